@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as dc, simhash
+from . import decontaminate as dc, langid, packing, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,9 +30,41 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def byte_bpe_50k():
+    """The packing encoder; runs where it is called, so each worker reads its own files."""
+    import public_tokenizers
+
+    return packing.byte_bpe(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), byte_bpe_50k)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out())
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,11 +76,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} A
 bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL),
 iw AS (
   SELECT DISTINCT item_id, unnest(CASE
-    WHEN len(ws) >= 10 THEN list_transform(range(1, len(ws) - 8), i -> array_to_string(ws[i:i + 9], ' '))
+    WHEN len(ws) >= 10 THEN list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' '))
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM bw),
 lens AS (SELECT DISTINCT len(string_split(g, ' ')) AS n FROM iw),
-at AS (SELECT rid, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens),
-dw AS (SELECT at.rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM at JOIN d ON d.rid = at.rid),
+spot AS (SELECT rid, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens),
+dw AS (SELECT spot.rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM spot JOIN d ON d.rid = spot.rid),
 hit AS (SELECT rid, i, n, item_id FROM dw JOIN iw USING (g)),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
