@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 END = b"\n"  # no word holds white space
-HEAD, BUCKETS, TOP, DIM, NOISE, BATCH, RATE = 255, 256, 300_000, 16, 48, 512, 0.1
+HEAD, BUCKETS, TOP, DIM, NOISE, BATCH, RATE = 255, 256, 200_000, 16, 48, 512, 0.1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,19 +84,30 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[bytes, int]], masses: dict[int, float], total: int, distinct: int):
         self.total, self.distinct = total, distinct
-        head = [END] + [w for w, _ in top if w != END][:HEAD]
         count = dict(top)
-        self.index = {w: i for i, w in enumerate([*head, *(w for w, _ in top if w not in set(head))])}
-        self.size = len(head) + BUCKETS
-        self.head = len(head)
-        self.count = np.array([count.get(w, 0) for w in self.index], np.float64)
-        self.symbol = np.array([i if i < self.head else self.head + bucket(w) for w, i in self.index.items()], np.int32)
+        head = [END, *[w for w, _ in top if w != END][:HEAD]]
+        in_head = set(head)
+        words = [*head, *(w for w, _ in top if w not in in_head)]
+        self.blob = b" ".join(words)
+        self.head, self.size = len(head), len(head) + BUCKETS
+        self.count = np.array([count.get(w, 0) for w in words], np.float64)
+        self.symbol = np.array([i if i < self.head else self.head + bucket(w) for i, w in enumerate(words)], np.int32)
         mass = np.array([masses.get(b, 0.0) for b in range(BUCKETS)]) + 0.5
         self.log_mass = np.log10(mass)
         self.share = np.concatenate([self.count[: self.head] + 0.5, mass])
         self.share = self.share / self.share.sum()
         self.log_count = np.log10(self.count + 0.5)
 
+    @property
+    def index(self) -> dict[bytes, int]:
+        """Place of each word; made where it is used, not sent."""
+        if "_index" not in self.__dict__:
+            self._index = {w: i for i, w in enumerate(self.blob.split(b" "))}
+        return self._index
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(index or -1, symbol) of each word."""
         get = self.index.get
@@ -259,9 +270,16 @@ def train(training: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ro
 
 def build_vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
     one = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    best = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
-    if END not in {w for w, _ in best}:
-        best += [(END, r["n"]) for r in counts.filter(F.col("word") == F.lit(bytearray(END))).collect()]
+    # the least count of which at most ``top`` words have as much, from a histogram of fixed size
+    step = F.floor(F.log2("n") * 16)
+    least, words = 1 << 62, 0
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("w"), F.min("n").alias("n")).collect(), key=lambda r: -r["b"]):
+        words += r["w"]
+        if words > top:
+            break
+        least = r["n"]
+    got = counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
+    best = sorted(zip(got.column("word").to_pylist(), got.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     head = [w for w, _ in best if w != END][:HEAD] + [END]
     rest = counts.filter(~F.col("word").isin([bytearray(w) for w in head])) if best else counts
     masses = rest.groupBy(_bucket_column("word").alias("b")).agg(F.sum(F.col("n") + 0.5).alias("m")).collect()
