@@ -7,9 +7,9 @@ each weighted by how well that classifier did in training, and takes the least.
 posterior over languages is the softmax of minus those sums; a text whose best two are
 close is flagged ambiguous.
 
-Fitting uses at most ``per_language`` labelled rows of each language, chosen by a hash of
-the id (the bound is a parameter; at most ``most_languages`` languages, most frequent
-first, ties by name). Features are hashed byte n-grams of whole lower-cased texts, letters
+Fitting uses about ``per_language`` labelled rows of each language, chosen by a hash of the
+id, and at most twice as many in all (the bound is a parameter; at most ``most_languages``
+languages, most frequent first, ties by name). Features are hashed byte n-grams of whole lower-cased texts, letters
 only, so the fit sees whole texts too. Prediction covers every text and reads nothing else.
 
 Defined cases: null text or one without any letter is ``und`` with score 0 and flagged;
@@ -141,12 +141,15 @@ def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", l
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model([], None, None, None, None)
-    # the rows of least hash, each language's own top-k: bounded in every task
+    # a share of each language's rows by a hash of their ids, about per_language of them; the
+    # limit also holds where one id is repeated without end
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
+    cut = {x: min(2**63 - 1, int(-(2**63) + share[x] * 2**64)) for x in languages}
+    number = F.create_map(*[F.lit(v) for k, x in enumerate(languages) for v in (x, k)])
+    most = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(cut[x]).cast("long"))])
     order = F.xxhash64(F.col(id).cast("string"), F.lit("langid"))
-    parts = [rows.filter(F.col(lang) == x).select(F.lit(k).alias("y"), order.alias("o"), F.col(id).alias("i"), F.col(text).alias("t")).orderBy("o", "i").limit(per_language) for k, x in enumerate(languages)]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.unionByName(p)
+    sample = rows.select(number[F.col(lang)].alias("y"), most[F.col(lang)].alias("m"), order.alias("o"), F.col(text).alias("t"))
+    sample = sample.filter("o <= m").limit(2 * per_language * len(languages))
 
     def vectors(batches):
         for b in batches:
