@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as dc, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
+from . import ann, decontaminate as dc, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_lm_scores": op8_lm_scores,
     "op9_language_id": op9_language_id,
+    "op10_nearest": op10_nearest,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
