@@ -187,10 +187,10 @@ def held_out(id: str = "doc_id", fold: int = 1, folds: int = 3):
     return F.coalesce(F.crc32(F.col(id).cast("string")) % folds == fold, F.lit(True))
 
 
-def keep_known(docs: DataFrame, *, least: float = 0.0) -> DataFrame:
-    """``docs`` whose language is known: not ``und`` and a posterior over ``least``."""
+def keep_known(docs: DataFrame, *, margin: float = 0.2) -> DataFrame:
+    """``docs`` whose language is known: not ``und``, and not ambiguous by ``margin``."""
     names = docs.columns
     model = fit(docs, ~held_out())
     shadow = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    found = predict(shadow, model).filter((F.col("lang_pred") != "und") & (F.col("score") > least))
+    found = predict(shadow, model, margin=margin).filter((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
