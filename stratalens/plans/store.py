@@ -1,0 +1,163 @@
+"""The store's relations, derived from the driver's tables in Spark and, alike, in SQL."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as X
+
+_NORM = r"trim(regexp_replace({0}, '[\x09-\x0D\x20\x85\p{{Z}}]+', ' ', 'g'), ' ')"
+
+
+def norm_sql(c: str) -> str:
+    return _NORM.format(c)
+
+
+# Relations in the order in which they build on each other.
+SQL = {
+    "docs": "SELECT doc_id, source || '/' || doc_id AS path, 'v' || (doc_id % 3) AS revision, (doc_id % 3)::INT AS rev_no, source, lang, text, 'sha256:' || sha256(text) AS sha256, strlen(text)::BIGINT AS byte_length FROM documents",
+    "doc_lines": "SELECT doc_id, path, revision, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, path, revision, string_split(text, chr(10)) AS l FROM docs)",
+    "blocks": f"SELECT doc_id, path, revision, line_no AS ordinal, CASE WHEN line[1] = '#' THEN 'heading' WHEN line[1:3] = '```' THEN 'code' ELSE 'prose' END AS kind, line AS text, 'sha256:' || sha256(line) AS content_hash, {norm_sql('line')} AS normalized, 'sha256:' || sha256({norm_sql('line')}) AS normalized_hash FROM doc_lines WHERE {norm_sql('line')} <> ''",
+    "suites": "SELECT * FROM (VALUES ('geo', 'Geography', 1), ('trade', 'Trade', 0)) t(suite_id, title, authority_root)",
+    "nodes": "SELECT 'REG-' || lpad(r_regionkey::VARCHAR, 6, '0') AS node_id, 'region' AS kind, 'root' AS authority, r_name AS title, NULL AS deleted_at, 'geo' AS suite_id FROM region UNION ALL SELECT 'NAT-' || lpad(n_nationkey::VARCHAR, 6, '0'), 'nation', 'derived', n_name, CASE WHEN n_nationkey % 7 = 3 THEN '2024-01-01' END, 'geo' FROM nation UNION ALL SELECT 'SUP-' || lpad(s_suppkey::VARCHAR, 6, '0'), 'supplier', 'derived', s_name, NULL, CASE WHEN s_suppkey % 5 <> 0 THEN 'trade' END FROM supplier UNION ALL SELECT 'CUS-' || lpad(c_custkey::VARCHAR, 6, '0'), 'customer', 'derived', c_name, NULL, 'trade' FROM customer",
+    "relations": "SELECT 'NAT-' || lpad(n_nationkey::VARCHAR, 6, '0') AS from_node, 'within' AS type, 'REG-' || lpad(n_regionkey::VARCHAR, 6, '0') AS to_node FROM nation UNION ALL SELECT 'SUP-' || lpad(s_suppkey::VARCHAR, 6, '0'), 'based-in', 'NAT-' || lpad(s_nationkey::VARCHAR, 6, '0') FROM supplier UNION ALL SELECT 'CUS-' || lpad(c_custkey::VARCHAR, 6, '0'), 'based-in', 'NAT-' || lpad(c_nationkey::VARCHAR, 6, '0') FROM customer",
+    "relation_types": "SELECT * FROM (VALUES ('within', 'contains', ['nation'], ['region'], 1::BIGINT), ('contains', 'within', ['region'], ['nation'], NULL), ('based-in', NULL, ['supplier'], ['nation'], 1)) t(name, inverse_of, domain_kinds, range_kinds, max_per_node)",
+    "statements": "SELECT 'BM-' || lpad(item_id::VARCHAR, 6, '0') AS statement_id, 'NAT-' || lpad((item_id % 25)::VARCHAR, 6, '0') AS node_id, CASE item_id % 3 WHEN 0 THEN 'shall' WHEN 1 THEN 'should' ELSE 'may' END AS kind, text AS canonical_text, 'sha256:' || sha256(text) AS canonical_hash, CASE WHEN item_id % 4 = 1 THEN 'sha256:' || sha256(item_id::VARCHAR) END AS supersedes_hash FROM benchmark",
+    "history": "SELECT 'NAT-' || lpad(n_nationkey::VARCHAR, 6, '0') AS node_id, o AS ordinal, CASE WHEN o = 1 THEN 'created' WHEN n_nationkey % 2 = 0 THEN 'content_changed' ELSE 'renamed' END AS event FROM nation, (SELECT unnest([1, 2, 3]) AS o) WHERE o <= 1 + n_nationkey % 3",
+    "lineage": "SELECT l.doc_id, d.path, d.revision, CASE WHEN l.doc_id % 10 <> 9 THEN 1::BIGINT END AS block_ordinal, CASE WHEN l.doc_id % 10 = 9 THEN 'Intro' END AS heading, CASE WHEN l.doc_id % 10 = 4 THEN 2::BIGINT END AS row_ordinal, CASE WHEN l.doc_id % 5 = 0 THEN 'superseded' WHEN l.doc_id % 5 = 1 THEN 'preserved-normalized' ELSE 'preserved-verbatim' END AS disposition, CASE WHEN l.doc_id % 2 = 0 THEN 'NAT-' || lpad((l.doc_id % 25)::VARCHAR, 6, '0') END AS target_node, CASE WHEN l.doc_id % 2 = 1 THEN 'BM-' || lpad((l.doc_id % 40)::VARCHAR, 6, '0') END AS target_statement FROM labels l JOIN docs d USING (doc_id) WHERE l.quality = 1",
+    "omissions": "SELECT l.doc_id, d.path, d.revision, 1::BIGINT AS block_ordinal, NULL AS heading, 'toxic' AS reason, 'removed by policy' AS justification FROM labels l JOIN docs d USING (doc_id) WHERE l.toxic = 1",
+    "submission_values": "SELECT conv_id AS submission, role AS field, turn AS ordinal, text AS value FROM conversations",
+    "facts": "SELECT user_id, event_type, date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS generation, arg_max(value, event_id) AS payload, max(event_id) AS event_id FROM events GROUP BY ALL",
+    "depends": "SELECT DISTINCT s_suppkey % 40 AS node, (s_suppkey * 7 + 3) % 40 AS needs FROM supplier UNION SELECT DISTINCT user_id % 40, (user_id + 1) % 40 FROM events WHERE user_id % 40 < 12",
+    "findings": "SELECT f.*, 'in ' || f.rule || ' of ' || lang AS summary, CASE WHEN doc_id % 6 = 5 THEN [] WHEN doc_id % 6 = 4 THEN [path, 'shared/' || lang] ELSE [path] END AS locations FROM (SELECT doc_id, path, source AS subject, lang, rule, CASE WHEN doc_id % 3 = 0 THEN 'Advisory' ELSE 'Blocking' END AS gate, ['Supported', 'SupportedWithFallback', 'PartiallySupported', 'NotApplicable', 'MissingCapability', 'Unparseable', 'Supported'][doc_id % 7 + 1] AS applicability, ['AgentJudged', 'HumanAsserted', 'Predicted', 'Approximate', 'Derived', 'Observed', 'Verified', 'Authoritative'][doc_id % 8 + 1] AS evidence FROM docs, (VALUES ('long-text'), ('shouting'), ('license-line'), ('short-text')) r(rule) WHERE CASE rule WHEN 'long-text' THEN length(text) > 3000 WHEN 'shouting' THEN contains(text, '!!') WHEN 'license-line' THEN text ILIKE '%license%' ELSE length(text) < 300 END) f",
+    "revision_docs": "SELECT d.path, r.rev AS rev_no, 'sha256:' || sha256(d.text || CASE WHEN d.doc_id % 4 = 1 THEN (r.rev // 2)::VARCHAR ELSE '' END) AS hash FROM docs d, (SELECT unnest(range(1, 7)) AS rev) r WHERE (d.doc_id * 7 + r.rev * 3) % 5 <> 0 UNION ALL SELECT 'moved/' || d.doc_id, r.rev, 'sha256:' || sha256(d.text) FROM docs d, (SELECT unnest(range(1, 7)) AS rev) r WHERE d.doc_id % 10 = 2 AND (d.doc_id * 7 + r.rev * 3) % 5 = 0",
+    "items": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Done' WHEN 1 THEN 'Claimed' WHEN 2 THEN 'Declined' ELSE 'Ready' END AS state, CASE WHEN o_orderkey % 5 = 1 THEN 'holder-' || (o_orderkey % 3) END AS holder, CASE WHEN o_orderkey % 5 = 1 THEN (o_orderkey % 100)::BIGINT END AS lease_expires, ['area' || (o_orderkey % 400) || '/' || o_orderkey, 'area' || (o_orderkey % 400) || CASE WHEN o_orderkey % 50 = 1 THEN '' ELSE '/x' || (o_orderkey % 7) END] AS paths FROM orders",
+    "item_needs": "SELECT o_orderkey AS id, p AS position, CASE WHEN p = 0 THEN o_orderkey + 5 WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey // 2 + 3 END AS needs FROM orders, (SELECT unnest([0, 1]) AS p) WHERE o_orderkey % 3 = 0",
+}
+
+
+class Store:
+    """The same relations as DataFrames, built once each."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return self.table("documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("revision"), (F.col("doc_id") % 3).cast("int").alias("rev_no"), "source", "lang", "text", X.content_hash("text").alias("sha256"), F.octet_length("text").cast("long").alias("byte_length"))
+
+    @cached_property
+    def doc_lines(self) -> DataFrame:
+        return self.docs.select("doc_id", "path", "revision", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", "path", "revision", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        kind = F.when(F.col("line").startswith("#"), "heading").when(F.col("line").startswith("```"), "code").otherwise("prose")
+        out = self.doc_lines.withColumn("normalized", X.normalise("line")).filter("normalized <> ''")
+        return out.select("doc_id", "path", "revision", F.col("line_no").alias("ordinal"), kind.alias("kind"), F.col("line").alias("text"), X.content_hash("line").alias("content_hash"), "normalized", X.content_hash("normalized").alias("normalized_hash"))
+
+    @cached_property
+    def suites(self) -> DataFrame:
+        return self.spark.createDataFrame([("geo", "Geography", 1), ("trade", "Trade", 0)], "suite_id string, title string, authority_root int")
+
+    @staticmethod
+    def node_key(prefix: str, key) -> F.Column:
+        return F.concat(F.lit(prefix + "-"), F.lpad((F.col(key) if isinstance(key, str) else key).cast("string"), 6, "0"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        null = F.lit(None).cast("string")
+        cols = lambda key, kind, authority, title, deleted, suite: [key.alias("node_id"), F.lit(kind).alias("kind"), F.lit(authority).alias("authority"), F.col(title).alias("title"), deleted.alias("deleted_at"), suite.alias("suite_id")]
+        region = self.table("region").select(*cols(self.node_key("REG", "r_regionkey"), "region", "root", "r_name", null, F.lit("geo")))
+        nation = self.table("nation").select(*cols(self.node_key("NAT", "n_nationkey"), "nation", "derived", "n_name", F.when(F.col("n_nationkey") % 7 == 3, "2024-01-01"), F.lit("geo")))
+        supplier = self.table("supplier").select(*cols(self.node_key("SUP", "s_suppkey"), "supplier", "derived", "s_name", null, F.when(F.col("s_suppkey") % 5 != 0, "trade")))
+        customer = self.table("customer").select(*cols(self.node_key("CUS", "c_custkey"), "customer", "derived", "c_name", null, F.lit("trade")))
+        return region.unionByName(nation).unionByName(supplier).unionByName(customer)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        edge = lambda t, a, ka, kind, b, kb: self.table(t).select(self.node_key(a, ka).alias("from_node"), F.lit(kind).alias("type"), self.node_key(b, kb).alias("to_node"))
+        return edge("nation", "NAT", "n_nationkey", "within", "REG", "n_regionkey").unionByName(edge("supplier", "SUP", "s_suppkey", "based-in", "NAT", "s_nationkey")).unionByName(edge("customer", "CUS", "c_custkey", "based-in", "NAT", "c_nationkey"))
+
+    @cached_property
+    def relation_types(self) -> DataFrame:
+        return self.spark.createDataFrame([("within", "contains", ["nation"], ["region"], 1), ("contains", "within", ["region"], ["nation"], None), ("based-in", None, ["supplier"], ["nation"], 1)], "name string, inverse_of string, domain_kinds array<string>, range_kinds array<string>, max_per_node bigint")
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        i = F.col("item_id")
+        return self.table("benchmark").select(self.node_key("BM", i).alias("statement_id"), self.node_key("NAT", i % 25).alias("node_id"), F.when(i % 3 == 0, "shall").when(i % 3 == 1, "should").otherwise("may").alias("kind"), F.col("text").alias("canonical_text"), X.content_hash("text").alias("canonical_hash"), F.when(i % 4 == 1, X.content_hash(i.cast("string"))).alias("supersedes_hash"))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        n = F.col("n_nationkey")
+        out = self.table("nation").select(self.node_key("NAT", n).alias("node_id"), n, F.explode(F.sequence(F.lit(1), (1 + n % 3).cast("int"))).alias("ordinal"))
+        return out.select("node_id", F.col("ordinal").cast("int").alias("ordinal"), F.when(F.col("ordinal") == 1, "created").when(n % 2 == 0, "content_changed").otherwise("renamed").alias("event"))
+
+    @cached_property
+    def lineage(self) -> DataFrame:
+        d = F.col("doc_id")
+        one = F.lit(1).cast("long")
+        out = self.table("labels").filter("quality = 1").join(self.docs.select("doc_id", "path", "revision"), "doc_id")
+        return out.select("doc_id", "path", "revision", F.when(d % 10 != 9, one).alias("block_ordinal"), F.when(d % 10 == 9, "Intro").alias("heading"), F.when(d % 10 == 4, F.lit(2).cast("long")).alias("row_ordinal"), F.when(d % 5 == 0, "superseded").when(d % 5 == 1, "preserved-normalized").otherwise("preserved-verbatim").alias("disposition"), F.when(d % 2 == 0, self.node_key("NAT", d % 25)).alias("target_node"), F.when(d % 2 == 1, self.node_key("BM", d % 40)).alias("target_statement"))
+
+    @cached_property
+    def omissions(self) -> DataFrame:
+        out = self.table("labels").filter("toxic = 1").join(self.docs.select("doc_id", "path", "revision"), "doc_id")
+        return out.select("doc_id", "path", "revision", F.lit(1).cast("long").alias("block_ordinal"), F.lit(None).cast("string").alias("heading"), F.lit("toxic").alias("reason"), F.lit("removed by policy").alias("justification"))
+
+    @cached_property
+    def submission_values(self) -> DataFrame:
+        return self.table("conversations").select(F.col("conv_id").alias("submission"), F.col("role").alias("field"), F.col("turn").alias("ordinal"), F.col("text").alias("value"))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        generation = (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("long")
+        return self.table("events").groupBy("user_id", "event_type", generation.alias("generation")).agg(F.max_by("value", "event_id").alias("payload"), F.max("event_id").alias("event_id"))
+
+    @cached_property
+    def depends(self) -> DataFrame:
+        s, u = F.col("s_suppkey"), F.col("user_id")
+        first = self.table("supplier").select((s % 40).alias("node"), ((s * 7 + 3) % 40).alias("needs"))
+        return first.union(self.table("events").filter(u % 40 < 12).select(u % 40, (u + 1) % 40)).distinct()
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        d, t = F.col("doc_id"), F.col("text")
+        tests = {"long-text": F.length(t) > 3000, "shouting": F.contains(t, F.lit("!!")), "license-line": F.ilike(t, F.lit("%license%")), "short-text": F.length(t) < 300}
+        rules = F.filter(F.array(*[F.when(test, name) for name, test in tests.items()]), lambda x: x.isNotNull())
+        out = self.docs.select("doc_id", "path", "source", "lang", F.explode(rules).alias("rule"))
+        pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (d % n).cast("int"))
+        locations = F.when(d % 6 == 5, F.array().cast("array<string>")).when(d % 6 == 4, F.array("path", F.concat(F.lit("shared/"), "lang"))).otherwise(F.array("path"))
+        return out.select("doc_id", "path", F.col("source").alias("subject"), "lang", "rule", F.when(d % 3 == 0, "Advisory").otherwise("Blocking").alias("gate"), pick(["Supported", "SupportedWithFallback", "PartiallySupported", "NotApplicable", "MissingCapability", "Unparseable", "Supported"], 7).alias("applicability"), pick(["AgentJudged", "HumanAsserted", "Predicted", "Approximate", "Derived", "Observed", "Verified", "Authoritative"], 8).alias("evidence"), F.concat(F.lit("in "), "rule", F.lit(" of "), "lang").alias("summary"), locations.alias("locations"))
+
+    @cached_property
+    def revision_docs(self) -> DataFrame:
+        d, r = F.col("doc_id"), F.col("rev_no")
+        base = self.docs.select("doc_id", "path", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("rev_no"))
+        gap = (d * 7 + r * 3) % 5 == 0
+        kept = base.filter(~gap).select("path", "rev_no", X.content_hash(F.concat("text", F.when(d % 4 == 1, F.floor(r / 2).cast("string")).otherwise(""))).alias("hash"))
+        moved = base.filter(gap & (d % 10 == 2)).select(F.concat(F.lit("moved/"), d.cast("string")).alias("path"), "rev_no", X.content_hash("text").alias("hash"))
+        return kept.unionByName(moved)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        area = F.concat(F.lit("area"), (k % 400).cast("string"))
+        return self.table("orders").select(k.alias("id"), F.when(k % 5 == 0, "Done").when(k % 5 == 1, "Claimed").when(k % 5 == 2, "Declined").otherwise("Ready").alias("state"), F.when(k % 5 == 1, F.concat(F.lit("holder-"), (k % 3).cast("string"))).alias("holder"), F.when(k % 5 == 1, (k % 100).cast("long")).alias("lease_expires"), F.array(F.concat(area, F.lit("/"), k.cast("string")), F.concat(area, F.when(k % 50 == 1, "").otherwise(F.concat(F.lit("/x"), (k % 7).cast("string"))))).alias("paths"))
+
+    @cached_property
+    def item_needs(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        out = self.table("orders").filter(k % 3 == 0).select(k.alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+        i = F.col("id")
+        return out.select("id", "position", F.when(F.col("position") == 0, i + 5).when(i % 11 == 0, -i).otherwise(F.floor(i / 2) + 3).cast("long").alias("needs"))
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    return Store(spark, sf_dir)
