@@ -97,7 +97,19 @@ QUERIES = {
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+# A SHA-1 in hexadecimal as 32 letters of base32: its bits in groups of five.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(0, 5), lambda k: substr(bits, (5 * i + k + 1)::INT, 1)::INT), lambda a, b: 2 * a + b), 1)), '')"""
+_BITS = "array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: substr(right('000' || bin(instr('0123456789abcdef', c) - 1), 4), 1, 4)), '')"
+
 ORACLES = {
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, payload, {_BITS} AS bits,
+  max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM d
+""",
     "op3_license_scan": licenses.oracle(),
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS ws FROM documents),
