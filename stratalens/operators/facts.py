@@ -89,15 +89,16 @@ def require_changes(changes: DataFrame) -> DataFrame:
     return changes
 
 
-def snapshot_digest(snapshot: DataFrame, buckets: int = 4096) -> DataFrame:
+def snapshot_digest(snapshot: DataFrame) -> DataFrame:
     """One digest of a snapshot's (path, digest) rows, whatever their order or partitions.
 
-    Rows hash into a fixed number of buckets, each bucket digests its sorted row digests, and
-    the last digest is over the buckets' ones: no task sorts or gathers the whole snapshot.
+    Row digests fall into 4096 buckets by their first three hexadecimal digits, each bucket
+    digests its sorted row digests, and the last digest is over the buckets' ones: no task
+    sorts or gathers the whole snapshot.
     """
-    row = X.framed_digest("path", "digest")
-    by = snapshot.select(row.alias("d")).groupBy(F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
-    return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"].cast("string"), F.lit(":"), x["d"])), "\n"), 256).alias("digest"))
+    row = snapshot.select(X.framed_digest("path", "digest").alias("d"))
+    by = row.groupBy(F.substring("d", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
+    return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], F.lit(":"), x["d"])), "\n"), 256).alias("digest"))
 
 
 def freshness(recorded: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
