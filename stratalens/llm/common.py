@@ -32,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, if the input's splits would leave half of them idle.
+
+    Tables of a cluster's size have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def write_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cuts the lineage: writes Parquet to the shared folder and reads it back."""
     spark = df.sparkSession

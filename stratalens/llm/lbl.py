@@ -349,10 +349,11 @@ def held_out(id: str = "doc_id", fold: int = 1, folds: int = 5):
 
 def lm_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: int = 1, top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    training = docs.filter(~held_out(id)).select(text)
-    counts = word_counts(training, text)
+    wide = C.spread(docs.select(id, text), id)
+    training = docs.filter(~held_out(id)).select(text)  # not spread: a task's pass over few rows learns little
+    counts = word_counts(wide.filter(~held_out(id)), text)
     vocabulary = build_vocabulary(counts, top)
     model = train(training, vocabulary, text=text, rounds=rounds)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    keyed = wide.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     got = score(keyed, counts, vocabulary, model)
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

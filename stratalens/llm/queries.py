@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate as dc, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
+from . import ann, common, decontaminate as dc, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    return common.spread(_read(spark, sf_dir, table).select(*columns), columns[0])
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text")
     found = dc.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -25,20 +29,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.round_trip(_spread(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan(_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_extract.main_text(_spread(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -62,11 +66,11 @@ def byte_bpe_50k():
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), byte_bpe_50k)
+    return packing.pack(_spread(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe_50k)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -75,7 +79,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs, ~langid.held_out())
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
