@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from .graph import settle
 
 
 def block_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -17,6 +18,7 @@ def block_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("pa
     key = list(keys)
     a = before.select(*key, F.col("ordinal").alias("a_ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
     b = after.select(*key, F.col("ordinal").alias("b_ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
+    a, b = settle(a), settle(b)  # keys and hashes only: each side's texts are read once
 
     def numbered(df, by, ordinal):
         return df.withColumn("rn", F.row_number().over(W.partitionBy(*key, by).orderBy(ordinal)))
@@ -25,8 +27,8 @@ def block_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("pa
         left = numbered(x, by, "a_ordinal").select(*key, by, "rn", "a_ordinal")
         return left.join(numbered(y, by, "b_ordinal").select(*key, by, "rn", "b_ordinal"), [*key, by, "rn"]).select(*key, "a_ordinal", "b_ordinal")
 
-    exact = pairs(a, b, "h").withColumn("change", F.when(F.col("a_ordinal") == F.col("b_ordinal"), "same").otherwise("moved"))
-    a1, b1 = a.join(exact, [*key, "a_ordinal"], "left_anti"), b.join(exact, [*key, "b_ordinal"], "left_anti")
+    exact = settle(pairs(a, b, "h")).withColumn("change", F.when(F.col("a_ordinal") == F.col("b_ordinal"), "same").otherwise("moved"))
+    a1, b1 = settle(a.join(exact, [*key, "a_ordinal"], "left_anti")), settle(b.join(exact, [*key, "b_ordinal"], "left_anti"))
     reflowed = pairs(a1, b1, "nh").withColumn("change", F.lit("reflowed"))
     a2, b2 = a1.join(reflowed, [*key, "a_ordinal"], "left_anti"), b1.join(reflowed, [*key, "b_ordinal"], "left_anti")
     reworded = a2.join(b2.select(*key, "b_ordinal"), [F.col("a_ordinal") == F.col("b_ordinal"), *[a2[k] == b2[k] for k in key]]).select(*[a2[k] for k in key], "a_ordinal", "b_ordinal").withColumn("change", F.lit("reworded"))

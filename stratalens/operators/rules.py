@@ -138,18 +138,24 @@ def _lines(text) -> Column:
     return F.transform(F.split(X.col(text), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
 
 
+# Every match of a rule above stands in a line with one of these; one cheap class first.
+MARKS = r"[#!:'<{=(/?&\"]|[ \t]$|unsafe|pub use|import|Relaxed|SeqCst|AcqRel|Acquire|Release|const|AKIA|ASIA|ghp_|github_pat_|xox|AIza|ya29|_live_|npm_|BEGIN"
+
+
 def sites(sources: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame:
     """Lines that may matter to a rule: path, language, line_no, line, code, masked, comments.
 
-    A cheap alternation of all patterns over the raw line picks them inside the row; patterns
-    that are anchored in derived text are relaxed to their comment mark.
+    An alternation of all patterns over the raw line picks them inside the row, after a cheap
+    class of marks for the rules of this module. Lines with a comment or a string, where code
+    differs from the raw line, are all kept.
     """
     raw = [r.pattern for r in rules if r.on in ("line", "code", "masked") and not r.pattern.startswith("^")]
     raw += [r.pattern for r in rules if r.on in ("line", "code", "masked") and r.pattern.startswith("^")]
-    pick = "|".join(f"(?:{p})" for p in dict.fromkeys(raw)) + r"|^\s*//"
+    pick = "|".join(f"(?:{p})" for p in dict.fromkeys(raw))
     base = sources.select("path", "language", _lines("text").alias("lines"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    wanted = F.filter(numbered, lambda s: masked(code_of(s["line"])).rlike(pick) | s["line"].rlike(pick))
+    either = lambda x: F.contains(x, F.lit("//")) | F.contains(x, F.lit('"')) | x.rlike(pick)
+    wanted = F.filter(numbered, lambda s: (s["line"].rlike(MARKS) & either(s["line"])) if rules is TEXT_RULES else either(s["line"]))
     ends = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(BLOCK_LINE), i + 1)), lambda x: x.isNotNull())
     base = base.select("path", "language", "lines", wanted.alias("wanted"), ends.alias("ends"))
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from ..session import spread
 
 _NORM = r"trim(regexp_replace({0}, '[\x09-\x0D\x20\x85\p{{Z}}]+', ' ', 'g'), ' ')"
 
@@ -119,7 +120,7 @@ class Store:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("revision"), (F.col("doc_id") % 3).cast("int").alias("rev_no"), "source", "lang", "text", X.content_hash("text").alias("sha256"), F.octet_length("text").cast("long").alias("byte_length"))
+        return spread(self.table("documents").select("doc_id", "text", "lang", "source"), "doc_id").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("revision"), (F.col("doc_id") % 3).cast("int").alias("rev_no"), "source", "lang", "text", X.content_hash("text").alias("sha256"), F.octet_length("text").cast("long").alias("byte_length"))
 
     @cached_property
     def doc_lines(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution coalesces and splits shuffle partitions at run time, so the number set
 # here is an upper bound for small inputs; clusters set it to two or three tasks a core.
@@ -24,3 +24,13 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, if the input's splits would leave half of them idle.
+
+    A small table in one file is one task otherwise. Tables of a cluster's size have more
+    splits than cores and are left as they are: no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
