@@ -127,7 +127,7 @@ def wave_cut(levels_df: DataFrame, bound: int) -> DataFrame:
     own = W.partitionBy("level", "part").orderBy("node")
     before = W.partitionBy("level").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sizes = dealt.groupBy("level", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    out = dealt.withColumn("rn", F.row_number().over(own)).join(F.broadcast(sizes.drop("n")), ["level", "part"])
+    out = dealt.withColumn("rn", F.row_number().over(own)).join(sizes.drop("n"), ["level", "part"])
     return out.select("node", "level", F.floor((F.col("offset") + F.col("rn") - 1) / bound).cast("long").alias("chunk"))
 
 

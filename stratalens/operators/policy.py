@@ -19,7 +19,7 @@ def scoped_limits(subjects: DataFrame, limits: DataFrame, key: str, language: st
     own = limits.filter(F.col("key") == key)
     by_language = own.filter("language is not null").select(F.col("language").alias(language), F.col("value").alias("own_limit"))
     overall = own.filter("language is null").agg(F.max("value").alias("repo_limit"))
-    out = subjects.join(F.broadcast(by_language), language, "left").crossJoin(F.broadcast(overall))
+    out = subjects.join(by_language, language, "left").crossJoin(F.broadcast(overall))
     return out.withColumn("limit", F.coalesce("own_limit", "repo_limit")).drop("own_limit", "repo_limit")
 
 
@@ -72,7 +72,7 @@ def admissible(edges: DataFrame, placement: DataFrame, permits: DataFrame, excep
     b = placement.select(F.col("package").alias("target"), F.col("component").alias("to_component"))
     ok = permits.select("from_component", "to_component", F.lit(True).alias("permitted"))
     excused = exceptions.select("package", "target", F.lit(True).alias("excepted"))
-    out = edges.join(a, "package", "left").join(b, "target", "left").join(F.broadcast(ok), ["from_component", "to_component"], "left").join(F.broadcast(excused), ["package", "target"], "left")
+    out = edges.join(a, "package", "left").join(b, "target", "left").join(ok, ["from_component", "to_component"], "left").join(excused, ["package", "target"], "left")
     verdict = F.when(F.col("kind") == "dev", "not-judged").when(F.col("from_component").isNull() | F.col("to_component").isNull(), "unplaced").when(F.col("from_component") == F.col("to_component"), "inside").when(F.col("permitted"), "permitted").when(F.col("excepted"), "excepted").otherwise("violation")
     return out.select("package", "target", "kind", verdict.alias("verdict"))
 

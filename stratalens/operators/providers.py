@@ -106,7 +106,7 @@ class Registry:
 def first_materialised(facts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
     """Of each subject, the fact of the best-ranked provider that has one."""
     rest = [c for c in facts.columns if c not in keys]
-    out = facts.join(F.broadcast(ranks.select("provider", "rank")), "provider")
+    out = facts.join(ranks.select("provider", "rank"), "provider")
     best = out.groupBy(*keys).agg(F.min(F.struct("rank", *rest)).alias("f"))
     return best.select(*keys, *[F.col(f"f.{c}") for c in rest])
 

@@ -21,7 +21,7 @@ def validate(submissions: DataFrame, values: DataFrame, required: DataFrame, gap
     required: (kind, field, least) with how many values a field needs.
     """
     counted = values.filter("value is not null and value <> ''").groupBy("submission", "field").agg(F.count("*").alias("n"))
-    need = submissions.join(F.broadcast(required), "kind").select(F.col("node_id").alias("submission"), "field", "least")
+    need = submissions.join(required, "kind").select(F.col("node_id").alias("submission"), "field", "least")
     short = need.join(counted, ["submission", "field"], "left").filter(F.coalesce("n", F.lit(0)) < F.col("least"))
     missing = short.select("submission", F.when(F.col("n").isNull(), "missing-field").otherwise("too-few-values").alias("problem"), F.col("field").alias("detail"))
     accepted = submissions.filter("state = 'accepted'").select(F.col("node_id").alias("submission"))

@@ -21,7 +21,7 @@ def nodes_view(nodes: DataFrame, suites: DataFrame) -> DataFrame:
     """Live nodes with their suite's title, empty where there is none."""
     live = nodes.filter("deleted_at is null")
     named = suites.select("suite_id", F.col("title").alias("suite"))
-    return live.join(F.broadcast(named), "suite_id", "left").select("node_id", "kind", "authority", "title", F.coalesce("suite", F.lit("")).alias("suite"))
+    return live.join(named, "suite_id", "left").select("node_id", "kind", "authority", "title", F.coalesce("suite", F.lit("")).alias("suite"))
 
 
 def relations_view(relations: DataFrame, nodes: DataFrame, types: DataFrame, suites: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def relations_view(relations: DataFrame, nodes: DataFrame, types: DataFrame, sui
     b = nodes.select(F.col("node_id").alias("to_node"), F.col("title").alias("to_title"))
     kinds = types.select(F.col("name").alias("type"), "inverse_of")
     named = suites.select("suite_id", F.col("title").alias("suite"))
-    out = relations.join(F.broadcast(kinds), "type").join(a, "from_node").join(b, "to_node").join(F.broadcast(named), "suite_id", "left")
+    out = relations.join(kinds, "type").join(a, "from_node").join(b, "to_node").join(named, "suite_id", "left")
     return out.select("from_node", "from_title", "type", "to_node", "to_title", F.coalesce("inverse_of", F.lit("")).alias("inverse"), F.coalesce("suite", F.lit("")).alias("suite"))
 
 
@@ -75,7 +75,7 @@ def family_edges(relations: DataFrame) -> DataFrame:
 def with_inverse_edges(relations: DataFrame, types: DataFrame) -> DataFrame:
     """Edges and the edges that their types' declared inverses add."""
     inverse = types.filter("inverse_of is not null").select(F.col("name").alias("type"), "inverse_of")
-    back = relations.join(F.broadcast(inverse), "type").select(F.col("to_node").alias("from_node"), F.col("inverse_of").alias("type"), F.col("from_node").alias("to_node"))
+    back = relations.join(inverse, "type").select(F.col("to_node").alias("from_node"), F.col("inverse_of").alias("type"), F.col("from_node").alias("to_node"))
     return relations.select("from_node", "type", "to_node").union(back).distinct()
 
 
@@ -84,7 +84,7 @@ def edge_violations(relations: DataFrame, nodes: DataFrame, types: DataFrame) ->
     a = nodes.select(F.col("node_id").alias("from_node"), F.col("kind").alias("from_kind"))
     b = nodes.select(F.col("node_id").alias("to_node"), F.col("kind").alias("to_kind"))
     t = types.select(F.col("name").alias("type"), "domain_kinds", "range_kinds")
-    out = relations.join(F.broadcast(t), "type").join(a, "from_node", "left").join(b, "to_node", "left")
+    out = relations.join(t, "type").join(a, "from_node", "left").join(b, "to_node", "left")
     bad_domain = F.col("from_kind").isNotNull() & ~F.array_contains("domain_kinds", F.col("from_kind"))
     bad_range = F.col("to_kind").isNotNull() & ~F.array_contains("range_kinds", F.col("to_kind"))
     return out.filter(bad_domain | bad_range).select("from_node", "type", "to_node", F.when(bad_domain, "domain").otherwise("range").alias("side"))
@@ -93,7 +93,7 @@ def edge_violations(relations: DataFrame, nodes: DataFrame, types: DataFrame) ->
 def cardinality_violations(relations: DataFrame, types: DataFrame) -> DataFrame:
     most = types.filter("max_per_node is not null").select(F.col("name").alias("type"), "max_per_node")
     counted = relations.groupBy("from_node", "type").agg(F.count("*").alias("edges"))
-    return counted.join(F.broadcast(most), "type").filter("edges > max_per_node").select("from_node", "type", "edges", "max_per_node")
+    return counted.join(most, "type").filter("edges > max_per_node").select("from_node", "type", "edges", "max_per_node")
 
 
 def inverse_mismatches(types: DataFrame) -> DataFrame:
