@@ -9,8 +9,9 @@ Size of the broadcast: at most ``max_words`` words of benchmark text, counted fi
 larger benchmark takes the other way: the broadcast is then a bit table of fixed size, and
 the windows that pass it are verified by a shuffled join with the benchmark's windows.
 
-Defined cases: null or wordless texts have no words and are clean; a null item or an item
-without words gives no window; repeated items all count (by item id, distinct); repeated
+Defined cases: null or wordless texts have no words and are clean; an item with null text or
+without words gives no window; windows of an item without id hit, but name no item; repeated
+items all count (by item id, distinct); repeated
 document rows each give a row; an empty benchmark leaves every document clean. Columns of
 ``docs`` stay as they are; new columns whose names are taken replace nothing: they are
 returned under ``prefix`` + name.
@@ -195,9 +196,8 @@ def decontaminate(
         return _decontaminate_joined(docs, benchmark, n, text, item_id, item_text, with_clean_text, prefix)
     windows: dict[bytes, set[str]] = defaultdict(set)
     for r in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).collect():
-        if r["i"] is not None:
-            for w in item_windows(r["t"], n):
-                windows[w].add(r["i"])
+        for w in item_windows(r["t"], n):
+            windows[w] |= set() if r["i"] is None else {r["i"]}
     plain = {w: sorted(v) for w, v in windows.items()}
     lengths = sorted({w.count(b" ") + 1 for w in plain})
     table = _bit_table(phrase_hashes(list(plain)), TABLE_BITS)
@@ -227,10 +227,9 @@ def _decontaminate_joined(docs, benchmark, n, text, item_id, item_text, with_cle
         for b in batches:
             phrase, item = [], []
             for t, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is not None:
-                    own = item_windows(t, n)
-                    phrase += own
-                    item += [i] * len(own)
+                own = item_windows(t, n)
+                phrase += own
+                item += [i] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.binary()), pa.array(item, pa.string())], names=["phrase", "item"])
 
     windows = C.write_table(

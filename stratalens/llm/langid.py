@@ -35,6 +35,11 @@ LETTERS = C.class_table(lambda b: 97 <= b <= 122 or b >= 128)
 _MULT = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (categories L*), not just a numeral or a sign."""
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts (texts x DIM, float32) of hashed byte n-grams; runs of other bytes are one space."""
     clean = LETTERS[raw]
@@ -111,7 +116,7 @@ class Model:
             gap = top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
             for i in range(len(p)):
                 t = texts[lo + i]
-                if t and LETTER.search(t):
+                if has_letter(t):
                     pred[lo + i], score[lo + i], flag[lo + i] = self.languages[best[i]], float(p[i, best[i]]), bool(gap[i] < margin)
         return pred, score, flag
 

@@ -117,7 +117,7 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
     "op3_license_scan": licenses.oracle(),
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS ws FROM documents),
-bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
 iw AS (
   SELECT DISTINCT item_id, unnest(CASE
     WHEN len(ws) >= 10 THEN list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' '))
@@ -128,7 +128,7 @@ dw AS (SELECT spot.rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM sp
 hit AS (SELECT rid, i, n, item_id FROM dw JOIN iw USING (g)),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hit) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)

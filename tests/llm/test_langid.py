@@ -18,7 +18,7 @@ def test_query_accuracy(spark):
 
 def test_odd_rows(spark):
     rows = [(i, w * 20, l) for i, (w, l) in enumerate([("the of and ", "en"), ("der die und ", "de"), ("le la une ", "fr")] * 10)]
-    rows += [(900, None, "en"), (901, "123 !!", "de"), (902, "", None), (None, "the of and", "en"), (903, "the of and the", None), (903, "the of and the", None)]
+    rows += [(900, None, "en"), (901, "123 !!", "de"), (902, "½ Ⅷ ² ٣", None), (None, "the of and", "en"), (903, "the of and the", None), (903, "the of and the", None)]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
     model = langid.fit(d, ~langid.held_out())
     got = langid.predict(d, model).collect()
