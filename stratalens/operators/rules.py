@@ -267,6 +267,12 @@ def item_findings(found: DataFrame) -> DataFrame:
     return found.select(F.explode(hits).alias("rule"), "path", "line_no", "name")
 
 
+def arity_findings(found: DataFrame, policy: DataFrame) -> DataFrame:
+    """Functions with more value parameters than a caller's policy (language, most) allows."""
+    fns = found.filter(F.col("kind").isin("fn", "func")).withColumn("arity", parameters("rest").cast("long"))
+    return fns.join(policy, "language").filter("arity > most").select(F.lit("function-arity").alias("rule"), "path", "line_no", "name", "arity")
+
+
 def file_findings(sources: DataFrame, found: DataFrame) -> DataFrame:
     """(rule, path, measure) of whole files: sizes, scripts, module files, public types."""
     lines = F.size(F.split("text", "\n")) - F.when(F.endswith("text", F.lit("\n")), 1).otherwise(0)

@@ -219,7 +219,7 @@ def _goals(s):
     return goals, n.select(F.col("n_name").alias("part"), serves.alias("serves"))
 
 
-@query("goal_coverage", f"WITH {_GOALS_SQL}, s AS (SELECT goal, count(DISTINCT part) AS n FROM (SELECT part, unnest(serves) AS goal FROM parts) GROUP BY 1) SELECT g.goal, coalesce(n, 0)::BIGINT AS servers, CASE WHEN coalesce(n, 0) = 0 THEN 'orphaned' WHEN n > 4 THEN 'smeared' ELSE 'served' END AS standing FROM goals g LEFT JOIN s USING (goal)", covers="131")
+@query("goal_coverage", f"WITH {_GOALS_SQL}, s AS (SELECT goal, count(DISTINCT part) AS n FROM (SELECT part, unnest(serves) AS goal FROM parts) GROUP BY 1) SELECT g.goal, coalesce(n, 0)::BIGINT AS servers, CASE WHEN coalesce(n, 0) = 0 THEN 'orphaned' WHEN n > 4 THEN 'smeared' ELSE 'served' END AS standing FROM goals g LEFT JOIN s USING (goal)", covers="131 goals-and-parts-line-up")
 def goal_coverage(spark, sf):
     return P.goal_coverage(*_goals(store(spark, sf)), 4)
 
@@ -240,7 +240,7 @@ def _edges(s):
     return a.union(b).distinct(), p
 
 
-@query("dependency_direction", f"WITH {_EDGES_SQL}, permits(f, t) AS (VALUES ('c0', 'c1'), ('c1', 'c2'), ('c2', 'c3')) SELECT d.package, d.target, d.kind, CASE WHEN d.kind = 'dev' THEN 'not-judged' WHEN a.component IS NULL OR b.component IS NULL THEN 'unplaced' WHEN a.component = b.component THEN 'inside' WHEN (a.component, b.component) IN (SELECT (f, t) FROM permits) THEN 'permitted' WHEN d.package = 5 AND d.target = 16 OR d.package = 6 AND d.target = 19 THEN 'excepted' ELSE 'violation' END AS verdict FROM deps d LEFT JOIN placement a ON a.package = d.package LEFT JOIN placement b ON b.package = d.target", covers="103 104")
+@query("dependency_direction", f"WITH {_EDGES_SQL}, permits(f, t) AS (VALUES ('c0', 'c1'), ('c1', 'c2'), ('c2', 'c3')) SELECT d.package, d.target, d.kind, CASE WHEN d.kind = 'dev' THEN 'not-judged' WHEN a.component IS NULL OR b.component IS NULL THEN 'unplaced' WHEN a.component = b.component THEN 'inside' WHEN (a.component, b.component) IN (SELECT (f, t) FROM permits) THEN 'permitted' WHEN d.package = 5 AND d.target = 16 OR d.package = 6 AND d.target = 19 THEN 'excepted' ELSE 'violation' END AS verdict FROM deps d LEFT JOIN placement a ON a.package = d.package LEFT JOIN placement b ON b.package = d.target", covers="103 104 dependency-direction")
 def dependency_direction(spark, sf):
     edges, placement = _edges(store(spark, sf))
     permits = spark.createDataFrame([("c0", "c1"), ("c1", "c2"), ("c2", "c3")], "from_component string, to_component string")

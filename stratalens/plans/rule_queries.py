@@ -97,6 +97,12 @@ def item_rule_findings(spark, sf):
     return R.item_findings(R.items(store(spark, sf).sources))
 
 
+@query("arity_policy", f"SELECT 'function-arity' AS rule, path, line_no, name, {_PARAMS}::BIGINT AS arity FROM ({ITEMS_SQL}) WHERE kind IN ('fn', 'func') AND {_PARAMS} > CASE language WHEN 'rust' THEN 1 WHEN 'go' THEN 0 ELSE 99 END", covers="function-arity")
+def arity_policy(spark, sf):
+    policy = spark.createDataFrame([("rust", 1), ("go", 0)], "language string, most int")
+    return R.arity_findings(R.items(store(spark, sf).sources), policy)
+
+
 # ---- files -----------------------------------------------------------------------------------
 
 _N = "(len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END)"
