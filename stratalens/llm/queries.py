@@ -105,7 +105,16 @@ _WORDS = r"coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(0, 5), lambda k: substr(bits, (5 * i + k + 1)::INT, 1)::INT), lambda a, b: 2 * a + b), 1)), '')"""
 _BITS = "array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: substr(right('000' || bin(instr('0123456789abcdef', c) - 1), 4), 1, 4)), '')"
 
+# What the main text of the given pages is: every one marks it by an article element, which the
+# query itself does not rely on alone.
+_BLOCK = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;', chr(39), 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
+
 ORACLES = {
+    "op4_html_extraction": f"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS bs FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(bs, lambda b: {_BLOCK}), lambda x: x <> ''), chr(10)) AS text FROM a)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+""",
     "op2_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, payload, {_BITS} AS bits,
