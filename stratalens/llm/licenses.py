@@ -1,8 +1,10 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks and templates.
 
-A text block is a sentence or line of a document. A block meets a template if it holds at
-least ``threshold`` of the template's distinct words. The join is exact, by DataFrame
-operations alone:
+A text block is a sentence or line of a document, or a window of words of a sentence that is
+wrapped over lines or holds an abbreviation such as "v. 2.0". A block meets a template if it
+holds at least ``threshold`` of the template's distinct words. The windows of a wrapped
+sentence overlap, so that every run of twice as many words as the longest template has stands
+in one of them whole. The join is exact, by DataFrame operations alone:
 
 * Template words are ordered by their document frequency over the whole table, rarest
   first (ties by word). Of a template with n words, of which m must be met, the n - m + 1
@@ -52,6 +54,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Sentence ends before white space, and line feeds.
 BLOCK_END = r"[.!?][\x09-\x0D\x20]+|\n"
+# Where a wrapped sentence ends: a sentence end that is no abbreviation's, or a blank line. Each is
+# one or more block ends too, so the pieces' blocks are those of the text.
+WRAP_END = r"(?:(?<!\b(?:v|ver|vers|no|inc|ltd|co|corp))\.|[!?])[\x09-\x0D\x20]+|\n[\x09\x0B-\x0D\x20]*\n"
 
 
 def needed(size: int, threshold: float) -> int:
@@ -108,13 +113,14 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=T
         F.when(F.regexp_like("j", F.lit(spot)), spaces(F.regexp_extract("j", f"(?s)^(.*?){spot}", 1))).alias("first_word"),
         F.when(F.regexp_like("j", F.lit(spot)), spaces(F.regexp_extract("j", f"(?s)^(.*){spot}", 1))).alias("last_word"),
         F.coalesce(F.filter(F.array(*[F.when(F.contains("j", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("base"),
-        F.when(F.arrays_overlap("ws", prefix_column), F.split("t", BLOCK_END)).alias("blocks"),
+        F.when(F.arrays_overlap("ws", prefix_column), F.split("t", WRAP_END)).alias("pieces"),
     )
     rows = C.write_table(pass_one)
 
-    met = _join(spark, rows, vocabulary_column, index, members, order)
+    span = 2 * max([len(t.split()) for _, t in templates], default=1)
+    met = _join(spark, rows, span, vocabulary_column, index, members, order)
     per_row = met.groupBy("_row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    out = rows.drop("blocks").join(per_row, "_row", "left")
+    out = rows.drop("pieces").join(per_row, "_row", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id",
@@ -128,13 +134,21 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=T
     )
 
 
-def _join(spark, rows: DataFrame, vocabulary_column, index, members, order) -> DataFrame:
+def _blocks(span: int):
+    """Words of each block of ``pieces``: its lines and sentences, then windows of wrapped pieces."""
+    lines = F.flatten(F.transform("pieces", lambda p: F.transform(F.split(p, BLOCK_END), _words)))
+    wrapped = F.transform(F.filter("pieces", lambda p: F.regexp_like(p, F.lit(BLOCK_END))), _words)
+    starts = lambda ws: F.sequence(F.lit(1), F.greatest(F.size(ws) - span, F.lit(1)), F.lit(span))
+    return F.concat(lines, F.flatten(F.transform(wrapped, lambda ws: F.transform(starts(ws), lambda i: F.slice(ws, i, 2 * span)))))
+
+
+def _join(spark, rows: DataFrame, span: int, vocabulary_column, index, members, order) -> DataFrame:
     """(_row, label, containment) of every block and template that meet."""
     index_df = spark.createDataFrame(index, "w string, j int, template int, size int, m int")
     member_df = spark.createDataFrame(members, "template int, label string, own array<string>, size int, m int")
     rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)]) if order else F.create_map().cast("map<string,int>")
-    blocks = rows.filter(F.col("blocks").isNotNull()).select("_row", F.posexplode("blocks").alias("block", "b"))
-    blocks = blocks.select("_row", "block", F.array_distinct(_words(F.col("b"))).alias("ws"))
+    blocks = rows.filter(F.col("pieces").isNotNull()).select("_row", F.posexplode(_blocks(span)).alias("block", "b"))
+    blocks = blocks.select("_row", "block", F.array_distinct("b").alias("ws"))
     # the block's template words, in the global order; its other words only count for its length
     known = F.array_sort(F.transform(F.array_intersect("ws", vocabulary_column), lambda w: F.struct(rank[w].alias("o"), w.alias("w"))))
     blocks = blocks.select("_row", "block", F.size("ws").alias("n"), known.alias("own")).filter(F.size("own") > 0)

@@ -64,3 +64,23 @@ def test_query_on_table(spark, sf_dir):
     got = op3_license_scan(spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted((r[0], *brute(r[1])) for r in rows)
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
+
+
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"
+    rows = [
+        ("mit", mit),
+        ("mit", " * " + mit.replace("\n", "\r\n * ").replace("charge, to", "charge,\r\n * to")),
+        ("bsd", "Copyright Foo Inc. All rights reserved.\n\n" + bsd),
+        ("bsd", "word " * 500 + "\n" + "word " * 93 + bsd + "\n" + "word " * 500),
+        ("mpl", mpl),
+        ("mpl", mpl.replace(" of the", "\nof the").replace("v. ", "v.\n")),
+        ("", bsd.replace("\n", "\n\n")),
+        ("", mpl.replace(" the Mozilla", " it. The Mozilla").replace("v. 2", "2")),
+        ("", bsd.replace("\n", "\n" + "word " * 200)),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(d).collect()}
+    assert [got[i] for i in range(len(rows))] == [label for label, _ in rows]
