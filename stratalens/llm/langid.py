@@ -7,9 +7,9 @@ each weighted by how well that classifier did in training, and takes the least.
 posterior over languages is the softmax of minus those sums; a text whose best two are
 close is flagged ambiguous.
 
-Fitting uses about ``per_language`` labelled rows of each language, chosen by a hash of the
-id, and at most twice as many in all (the bound is a parameter; at most ``most_languages``
-languages, most frequent first, ties by name). Features are hashed byte n-grams of whole lower-cased texts, letters
+Fitting learns every language that labels a training row. It uses about ``per_language`` rows
+of each, chosen by a hash of the id, and at most twice as many in all; beyond ``full_languages``
+languages each has fewer rows, so that the sample stays as large, but one row at least. Features are hashed byte n-grams of whole lower-cased texts, letters
 only, so the fit sees whole texts too. Prediction covers every text and reads nothing else.
 
 Defined cases: null text or one without any letter is ``und`` with score 0 and flagged;
@@ -74,6 +74,16 @@ def features(texts: list[str | None]):
         yield lo, np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
+def _closest(code: np.ndarray, rows: int = 1024) -> int:
+    """The largest product of two rows, by blocks: the square of many classes is never held."""
+    most = -code.shape[1]
+    for lo in range(0, len(code), rows):
+        agree = code[lo : lo + rows] @ code.T
+        agree[np.arange(len(agree)), lo + np.arange(len(agree))] = -code.shape[1]
+        most = max(most, int(agree.max()))
+    return most
+
+
 def codewords(classes: int, seed: int = 7) -> np.ndarray:
     """Rows of +1 and -1: exhaustive code up to 6 classes, else the best of random ones."""
     if classes == 1:
@@ -85,10 +95,9 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     bits = int(np.ceil(10 * np.log2(classes)))
     for _ in range(50):
         code = rng.integers(0, 2, (classes, bits)) * 2 - 1
-        agree = code @ code.T
-        np.fill_diagonal(agree, -bits)
-        if bits - agree.max() > most and (np.abs(code.sum(axis=0)) < classes).all():
-            best, most = code, bits - agree.max()
+        closest = _closest(code.astype(np.float32))
+        if bits - closest > most and (np.abs(code.sum(axis=0)) < classes).all():
+            best, most = code, bits - closest
     return best.astype(np.float32)
 
 
@@ -139,22 +148,22 @@ def _fit(languages: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 150,
     return Model(languages, code, w, b, (trust / trust.mean()).astype(np.float32))
 
 
-def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, most_languages: int = 64) -> Model:
+def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, full_languages: int = 64) -> Model:
     """Learns from rows where the Column ``trainable`` holds, a bounded number of each language."""
     rows = docs.filter(trainable & F.col(lang).isNotNull() & F.col(id).isNotNull() & F.col(text).isNotNull())
-    found = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    found = rows.groupBy(F.col(lang).alias("lang")).count().collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model([], None, None, None, None)
+    per_language = max(1, min(per_language, per_language * full_languages // len(languages)))
     # a share of each language's rows by a hash of their ids, about per_language of them; the
     # limit also holds where one id is repeated without end
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
     cut = {x: min(2**63 - 1, int(-(2**63) + share[x] * 2**64)) for x in languages}
-    number = F.create_map(*[F.lit(v) for k, x in enumerate(languages) for v in (x, k)])
-    most = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(cut[x]).cast("long"))])
     order = F.xxhash64(F.col(id).cast("string"), F.lit("langid"))
-    sample = rows.select(number[F.col(lang)].alias("y"), most[F.col(lang)].alias("m"), order.alias("o"), F.col(text).alias("t"))
-    sample = sample.filter("o <= m").limit(2 * per_language * len(languages))
+    numbers = docs.sparkSession.createDataFrame([(x, k, cut[x]) for k, x in enumerate(languages)], "_lang string, y int, m long")
+    keyed = rows.select(F.col(lang).alias("_lang"), order.alias("o"), F.col(text).alias("t")).join(numbers, "_lang")
+    sample = keyed.filter("o <= m").limit(2 * per_language * len(languages))
 
     def vectors(batches):
         for b in batches:
@@ -162,7 +171,12 @@ def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", l
             out = [r.astype(np.float16).tobytes() for _, x in features(texts) for r in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
 
-    got = sample.select("y", "t").mapInArrow(vectors, "y int, x binary").collect()
+    learn = lambda df: df.select("y", "t").mapInArrow(vectors, "y int, x binary").collect()
+    got = learn(sample)
+    missed = set(range(len(languages))) - {r["y"] for r in got}
+    if missed:  # no row under the cut, or lost by the limit: the row of the least hash
+        asked = docs.sparkSession.createDataFrame([(k,) for k in sorted(missed)], "y int")
+        got += learn(keyed.join(asked, "y", "left_semi").groupBy("y").agg(F.min_by("t", "o").alias("t")))
     y = np.array([r["y"] for r in got])
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
     present = np.unique(y)

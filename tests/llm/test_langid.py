@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from stratalens.llm import langid
@@ -41,3 +42,20 @@ def test_codewords_differ():
     for n in (2, 3, 4, 6, 9, 20):
         code = langid.codewords(n)
         assert len({tuple(r) for r in code.tolist()}) == n
+
+
+def test_every_label_is_learned(spark):
+    r, rows = random.Random(3), []
+    for k in range(80):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 6))) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(r.choice(words) for _ in range(60)), f"l{k:02}") for i in range(14 if k < 70 else 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(d, ~langid.held_out())
+    assert model.languages == [f"l{k:02}" for k in range(80)]
+    got = langid.predict(d, model).filter(langid.held_out()).collect()
+    right = sum(x["lang_pred"] == x["lang"] for x in got) / len(got)
+    rare = [x["lang_pred"] == x["lang"] for x in got if x["lang"] >= "l70"]
+    print("held out, all and rare languages:", right, sum(rare) / len(rare))
+    assert right > 0.9 and sum(rare) / len(rare) > 0.9
+    few = langid.fit(d, ~langid.held_out(), per_language=1)
+    assert few.languages == model.languages
