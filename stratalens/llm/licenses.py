@@ -16,10 +16,12 @@ in one of them whole. The join is exact, by DataFrame operations alone:
   words, rest of the template) words more can be met; fewer than m is out.
 * What is left is verified by the size of the intersection.
 
-The index is built from ``TEMPLATES``, a parameter of at most ``MAX_TEMPLATE_WORDS`` words,
-and so is what is broadcast; the word frequencies of the templates' words are the only rows
-that reach the driver. Nothing is grouped by a key that data can make hot: matches are
-grouped by document row.
+The index is built from ``TEMPLATES``, a parameter; the word frequencies of the templates'
+words are the only rows that reach the driver. Up to ``LITERAL_WORDS`` template words stand as
+literals in the plan, and the tables made from them are broadcast. Beyond that (a whole license
+list, say) words are joined with tables, broadcast or shuffled as Spark measures them, with the
+same results. Nothing is grouped by a key that data can make hot: matches are grouped by
+document row.
 
 Defined cases: null text is empty; an empty text has no words, no labels and score 0; a
 base phrase gives score 1 (its words all stand there); repeated rows are rows of their own;
@@ -49,7 +51,7 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 ]
-MAX_TEMPLATE_WORDS = 100_000
+LITERAL_WORDS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Sentence ends before white space, and line feeds.
@@ -72,21 +74,23 @@ def _words(column):
     return F.regexp_extract_all(column, F.lit(WORD), F.lit(0))
 
 
-def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = 0.9, literal_words: int = LITERAL_WORDS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     sets = [(label, sorted(set(t.split()))) for label, t in templates]
-    if sum(len(w) for _, w in sets) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"the templates have over {MAX_TEMPLATE_WORDS} words")
     spark = docs.sparkSession
     vocabulary = sorted({w for _, ws in sets for w in ws})
+    literal = len(vocabulary) <= literal_words
     lowered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id}`").alias("doc_id"), _lower(F.col(f"`{text}`")).alias("t"))
 
     # global order of the templates' words: document frequency over the whole table
-    vocabulary_column = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    vocabulary_column = F.array(*[F.lit(w) for w in vocabulary if literal]).cast("array<string>")
     frequency = dict.fromkeys(vocabulary, 0)
     if vocabulary:
-        counted = lowered.select(F.explode(F.array_intersect(_words(F.col("t")), vocabulary_column)).alias("w")).groupBy("w").count()
-        frequency |= {r["w"]: r["count"] for r in counted.collect()}
+        if literal:
+            seen = lowered.select(F.explode(F.array_intersect(_words(F.col("t")), vocabulary_column)).alias("w"))
+        else:
+            seen = lowered.select(F.explode(F.array_distinct(_words(F.col("t")))).alias("w")).join(spark.createDataFrame([(w,) for w in vocabulary], "w string"), "w")
+        frequency |= {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency[w], w)))}
 
     index, members = [], []
@@ -104,7 +108,7 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=T
     spaces = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
     has = F.array_contains("ws", "license")
     pass_one = lowered.withColumn("ws", _words(F.col("t"))).withColumn("j", F.when(has, joined))
-    prefix_column = F.array(*[F.lit(w) for w in prefix_words]).cast("array<string>")
+    prefix_column = F.array(*[F.lit(w) for w in prefix_words if literal]).cast("array<string>")
     pass_one = pass_one.select(
         "_row",
         "doc_id",
@@ -113,12 +117,12 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=T
         F.when(F.regexp_like("j", F.lit(spot)), spaces(F.regexp_extract("j", f"(?s)^(.*?){spot}", 1))).alias("first_word"),
         F.when(F.regexp_like("j", F.lit(spot)), spaces(F.regexp_extract("j", f"(?s)^(.*){spot}", 1))).alias("last_word"),
         F.coalesce(F.filter(F.array(*[F.when(F.contains("j", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("base"),
-        F.when(F.arrays_overlap("ws", prefix_column), F.split("t", WRAP_END)).alias("pieces"),
+        F.when(F.arrays_overlap("ws", prefix_column) if literal else F.size("ws") > 0, F.split("t", WRAP_END)).alias("pieces"),
     )
     rows = C.write_table(pass_one)
 
     span = 2 * max([len(t.split()) for _, t in templates], default=1)
-    met = _join(spark, rows, span, vocabulary_column, index, members, order)
+    met = _join(spark, rows, span, vocabulary_column if literal else None, index, members, order)
     per_row = met.groupBy("_row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     out = rows.drop("pieces").join(per_row, "_row", "left")
     none = F.array().cast("array<string>")
@@ -146,21 +150,28 @@ def _join(spark, rows: DataFrame, span: int, vocabulary_column, index, members,
     """(_row, label, containment) of every block and template that meet."""
     index_df = spark.createDataFrame(index, "w string, j int, template int, size int, m int")
     member_df = spark.createDataFrame(members, "template int, label string, own array<string>, size int, m int")
-    rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)]) if order else F.create_map().cast("map<string,int>")
+    small = F.broadcast if vocabulary_column is not None else lambda df: df
     blocks = rows.filter(F.col("pieces").isNotNull()).select("_row", F.posexplode(_blocks(span)).alias("block", "b"))
     blocks = blocks.select("_row", "block", F.array_distinct("b").alias("ws"))
     # the block's template words, in the global order; its other words only count for its length
-    known = F.array_sort(F.transform(F.array_intersect("ws", vocabulary_column), lambda w: F.struct(rank[w].alias("o"), w.alias("w"))))
-    blocks = blocks.select("_row", "block", F.size("ws").alias("n"), known.alias("own")).filter(F.size("own") > 0)
+    blocks = blocks.withColumn("n", F.size("ws"))
+    if vocabulary_column is not None:
+        rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)]) if order else F.create_map().cast("map<string,int>")
+        known = F.array_sort(F.transform(F.array_intersect("ws", vocabulary_column), lambda w: F.struct(rank[w].alias("o"), w.alias("w"))))
+        blocks = blocks.select("_row", "block", "n", known.alias("own")).filter(F.size("own") > 0)
+    else:
+        ranks = spark.createDataFrame([(w, i) for w, i in order.items()], "w string, o int")
+        words = blocks.select("_row", "block", "n", F.explode("ws").alias("w")).join(ranks, "w")
+        blocks = words.groupBy("_row", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("o", "w"))).alias("own"))
     tokens = blocks.select("*", F.posexplode("own").alias("i", "x")).select("_row", "block", "n", "own", "i", F.col("x.w").alias("w"))
-    candidates = tokens.join(F.broadcast(index_df), "w")
+    candidates = tokens.join(small(index_df), "w")
     candidates = candidates.filter(F.col("n") >= F.col("m"))
     rest = F.least(F.size("own") - F.col("i") - 1, F.col("size") - F.col("j") - 1)
     # places before the first common word hold none, so the first match decides for the pair
     first = F.struct("i", "j", "size", "m", rest.alias("rest"))
     pairs = candidates.groupBy("_row", "block", "template").agg(F.min(first).alias("f"), F.first("own").alias("own"))
     pairs = pairs.filter(1 + F.col("f.rest") >= F.col("f.m"))
-    verified = pairs.join(F.broadcast(member_df.withColumnRenamed("own", "words")), "template")
+    verified = pairs.join(small(member_df.withColumnRenamed("own", "words")), "template")
     shared = F.size(F.array_intersect(F.transform("own", lambda x: x["w"]), F.col("words")))
     return verified.withColumn("shared", shared).filter(F.col("shared") >= F.col("m")).select("_row", "label", (F.col("shared") / F.col("size")).alias("containment"))
 

@@ -42,14 +42,23 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.5, 0.2])
-def test_against_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,literal_words", [(0.9, 2000), (0.5, 2000), (0.2, 2000), (0.9, 0), (0.2, 0)])
+def test_against_brute_force(spark, threshold, literal_words):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[2]), (3, TEXTS[3])]
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, labels string").repartition(3)
-    got = sorted(map(tuple, licenses.scan(d, threshold=threshold).collect()), key=str)
+    got = sorted(map(tuple, licenses.scan(d, threshold=threshold, literal_words=literal_words).collect()), key=str)
     assert got == sorted([(i, *brute(t, threshold=threshold)) for i, t in rows], key=str)
 
 
+def test_many_templates(spark):
+    # a list of templates whose words no plan could hold as literals; a text that ties two of them
+    many = [(f"l{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(400)] + [("twin", "one two three four"), ("other", "four three two one")]
+    rows = [(i, f"Intro. {many[i][1]}. Outro") for i in range(0, 400, 40)] + [(1000, "one, two: three four"), (1001, "w1x1 w2x2 w3x3")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(d, templates=many).collect()}
+    assert got == {i: f"l{i}" for i in range(0, 400, 40)} | {1000: "other,twin", 1001: ""}
+
+
 def test_empty_table_and_templates(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(d).count() == 0
