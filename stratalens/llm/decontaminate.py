@@ -13,8 +13,8 @@ Defined cases: null or wordless texts have no words and are clean; an item with
 without words gives no window; windows of an item without id hit, but name no item; repeated
 items all count (by item id, distinct); repeated
 document rows each give a row; an empty benchmark leaves every document clean. Columns of
-``docs`` stay as they are; new columns whose names are taken replace nothing: they are
-returned under ``prefix`` + name.
+``docs`` stay as they are; the new columns are named ``prefix`` + name and take the place of
+columns of those names.
 """
 
 from __future__ import annotations
@@ -97,6 +97,7 @@ RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
+        T.StructField("longest", T.LongType()),
         T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("clean_text", T.StringType()),
@@ -124,20 +125,23 @@ def _scan(windows: dict[bytes, list[str]], table, bits, lengths, text: str, name
     def run(batches):
         for batch in batches:
             raw_all, off_all = C.text_column(batch.column(text))
-            n_words, n_hit, items, spans, cut = [], [], [], [], []
+            n_words, n_hit, longest, items, spans, cut = [], [], [], [], [], []
             for lo, hi in C.chunks(off_all):
                 base = off_all[lo]
                 raw, off = raw_all[base : off_all[hi]], off_all[lo : hi + 1] - base
                 clean, s, e, first, doc, found = _candidates(raw, off, lengths, table, bits)
                 cover = np.zeros(len(s) + 1, np.int32)
                 ids = defaultdict(set)
-                for n, at in found:
+                most = np.zeros(hi - lo, np.int64)
+                for n, at in found:  # lengths ascend
                     for i in at:
                         got = windows.get(_phrase(clean, s, e, i, n))
                         if got is not None:
                             cover[i] += 1
                             cover[i + n] -= 1
                             ids[int(doc[i])].update(got)
+                            most[doc[i]] = n
+                longest += most.tolist()
                 marked = np.cumsum(cover[:-1]) > 0
                 for d in range(hi - lo):
                     a, b = first[d], first[d + 1]
@@ -152,16 +156,14 @@ def _scan(windows: dict[bytes, list[str]], table, bits, lengths, text: str, name
             arrays = [
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
+                pa.array(longest, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),
             ]
-            keep = [batch.column(i) for i in range(batch.num_columns)]
-            out_names = list(names)
             if want_text:
                 arrays.append(pa.array(cut, pa.string()))
-            elif text in batch.schema.names:
-                keep.pop(batch.schema.names.index(text))
-            yield pa.RecordBatch.from_arrays(keep + arrays, names=out_names)
+            keep = [batch.column(c) for c in names[: len(names) - len(arrays)]]
+            yield pa.RecordBatch.from_arrays(keep + arrays, names=names)
 
     return run
 
@@ -184,9 +186,9 @@ def decontaminate(
     max_words: int = MAX_BROADCAST_WORDS,
     prefix: str = "dc_",
 ) -> DataFrame:
-    """One row per row of ``docs`` with n_words, n_hit, items and spans.
+    """One row per row of ``docs`` with n_words, n_hit, longest, items and spans.
 
-    items: ids, as strings, of the items with a window in the text, sorted as strings.
+    longest: words of the longest single window that stands in the text, 0 without any. items: ids, as strings, of the items with a window in the text, sorted as strings.
     spans: [first word, last word] of each run of hit words. ``with_clean_text`` keeps the
     text and adds ``clean_text``: the text without its hit spans, null where none was hit;
     otherwise the text column is not returned. Columns come with ``prefix``.
@@ -201,7 +203,8 @@ def decontaminate(
     plain = {w: sorted(v) for w, v in windows.items()}
     lengths = sorted({w.count(b" ") + 1 for w in plain})
     table = _bit_table(phrase_hashes(list(plain)), TABLE_BITS)
-    kept = [f for f in docs.schema.fields if with_clean_text or f.name != text]
+    taken = {prefix + f.name for f in RESULT.fields} | (set() if with_clean_text else {text})
+    kept = [f for f in docs.schema.fields if f.name not in taken]
     new = [T.StructField(prefix + f.name, f.dataType) for f in RESULT.fields if with_clean_text or f.name != "clean_text"]
     schema = T.StructType(kept + new)
     shared = docs.sparkSession.sparkContext.broadcast((plain, table, lengths))
@@ -261,7 +264,9 @@ def _decontaminate_joined(docs, benchmark, n, text, item_id, item_text, with_cle
         packed[r["k"] << 16 : (r["k"] + 1) << 16] = np.frombuffer(r["bits"], np.uint8)
     lengths = [r[0] for r in windows.select((F.size(F.split(F.col("phrase").cast("string"), " "))).alias("n")).distinct().collect()]
     shared = spark.sparkContext.broadcast((packed, sorted(lengths)))
-    keyed = C.write_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # the row's own columns stay together in one, so that no name of theirs can clash
+    keyed = C.write_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row")))
+    whole = F.col(f"doc.`{text}`")
 
     def scan(batches):
         packed_bits, own_lengths = shared.value
@@ -281,21 +286,25 @@ def _decontaminate_joined(docs, benchmark, n, text, item_id, item_text, with_cle
                     names=["_row", "at", "n", "phrase"],
                 )
 
-    seen = C.write_table(keyed.select("_row", text).mapInArrow(scan, "_row long, at long, n long, phrase binary"))
+    seen = C.write_table(keyed.select("_row", whole.alias("t")).mapInArrow(scan, "_row long, at long, n long, phrase binary"))
     hits = seen.filter("at >= 0").join(windows, "phrase").select("_row", "at", "n", "item")
     per_row = hits.groupBy("_row").agg(
         F.sort_array(F.collect_set("item")).alias("items"),
-        F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1))).alias("marked"),
+        F.max("n").alias("longest"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("marked"),
     )
-    gap = lambda a: F.sort_array(F.array_distinct(a))
     base = seen.filter("at < 0").select("_row", F.col("n").alias("n_words")).join(per_row, "_row", "left")
-    base = base.withColumn("marked", gap(F.coalesce("marked", F.array().cast("array<bigint>"))))
-    starts = F.filter("marked", lambda x: ~F.array_contains("marked", x - 1))
-    ends = F.filter("marked", lambda x: ~F.array_contains("marked", x + 1))
-    base = base.select("_row", "n_words", F.size("marked").cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.zip_with(starts, ends, lambda a, b: F.array(a, b)).alias("spans"))
-    base = base.select("_row", *[F.col(c).alias(prefix + c) for c in ("n_words", "n_hit", "items", "spans")])
+    base = base.withColumn("marked", F.coalesce("marked", F.array().cast("array<bigint>")))
+    # sorted places: a run starts and ends where the neighbour is not the next number
+    starts = F.filter("marked", lambda x, i: F.coalesce(F.get("marked", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("marked", lambda x, i: F.coalesce(F.get("marked", i + 1) != x + 1, F.lit(True)))
+    base = base.select("_row", "n_words", F.size("marked").cast("long").alias("n_hit"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.zip_with(starts, ends, lambda a, b: F.array(a, b)).alias("spans"))
+    found = keyed.join(base, "_row")
+    names = ["n_words", "n_hit", "longest", "items", "spans"]
+    taken = {prefix + f.name for f in RESULT.fields} | (set() if with_clean_text else {text})
+    own = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in taken]
     if not with_clean_text:
-        return keyed.drop(text).join(base, "_row").drop("_row")
+        return found.select(*own, *[F.col(c).alias(prefix + c) for c in names])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -311,26 +320,29 @@ def _decontaminate_joined(docs, benchmark, n, text, item_id, item_text, with_cle
             out.append(_cut(raw, s, e, 0, [list(x) for x in sp]))
         return pd.Series(out, dtype=object)
 
-    return keyed.join(base, "_row").withColumn(prefix + "clean_text", cut(F.col(text), F.col(prefix + "spans"))).drop("_row")
+    return found.select(*own, *[F.col(c).alias(prefix + c) for c in names], cut(whole, F.col("spans")).alias(prefix + "clean_text"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", n: int = 10, text: str = "text", max_share: float = 0.5) -> DataFrame:
-    """``docs`` without contamination, its columns unchanged.
+    """``docs`` without contamination, its columns unchanged, whatever their names.
 
-    "documents": a document goes if a window of the full n words stands in it, or if
+    "documents": a document goes if one window of the full n words stands in it, or if
     windows of shorter items cover more than ``max_share`` of its words (a two-word item is
-    no reason to drop every text that has those two words). "spans": every document stays
-    and hit spans go from its text.
+    no reason to drop every text that has those two words; neighbouring short items are not
+    one long window). "spans": every document stays and hit spans go from its text. Null and
+    empty texts are clean and stay; an empty benchmark leaves all; repeated rows stay or go
+    together; an empty table stays empty.
     """
-    found = decontaminate(docs, benchmark, n=n, text=text, with_clean_text=True, prefix="_dc_")
-    names = [f"`{c}`" for c in docs.columns]
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    found = decontaminate(held, benchmark, n=n, with_clean_text=True, prefix="")
     if mode == "documents":
-        longest = F.coalesce(F.array_max(F.transform("_dc_spans", lambda s: s[1] - s[0] + 1)), F.lit(0))
-        gone = (longest >= n) | ((F.col("_dc_n_hit") > 0) & (F.col("_dc_n_hit") > max_share * F.col("_dc_n_words")))
-        return found.filter(~gone).select(*names)
+        gone = (F.col("longest") >= n) | ((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words")))
+        return found.filter(~gone).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
     if mode != "spans":
         raise ValueError(f"mode is {mode!r}, not documents or spans")
-    return found.withColumn(text, F.when(F.size("_dc_spans") > 0, F.col("_dc_clean_text")).otherwise(F.col(text))).select(*names)
+    kept = F.when(F.size("spans") > 0, F.col("clean_text")).otherwise(F.col("text"))
+    return found.select(*[kept.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in names])
 
 
 def items_digest(items) -> str:

@@ -76,6 +76,30 @@ def test_removal_and_clashing_names(spark):
     assert {r["doc_id"]: r["dc_clean_text"] for r in via_join.collect()}[1] == "start  end"
 
 
+def test_neighbouring_short_items_are_no_long_window(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    d = spark.createDataFrame([(1, "x " * 40 + item + " " + item), (2, item + " " + item)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in dc.remove_contaminated(d, b).collect()] == [1]
+    for most in (10**6, 0):
+        got = {r["doc_id"]: (r["dc_n_hit"], r["dc_longest"], [list(x) for x in r["dc_spans"]]) for r in dc.decontaminate(d, b, max_words=most).collect()}
+        assert got == {1: (12, 6, [[40, 51]]), 2: (12, 6, [[0, 11]])}
+
+
+def test_internal_names_as_input_columns(spark):
+    names = ["_row", "doc", "at", "n", "phrase", "item", "marked", "spans", "n_words", "longest", "clean_text", "_dc_spans"]
+    d = spark.createDataFrame([(1, PASSAGE, *names), (2, "clean", *names)], ["doc_id", "text", *names])
+    b = spark.createDataFrame(BENCH, "item_id long, text string")
+    for mode, ids in (("documents", [2]), ("spans", [1, 2])):
+        left = dc.remove_contaminated(d, b, mode=mode)
+        assert left.columns == d.columns
+        assert sorted((r["doc_id"], *r[2:]) for r in left.collect()) == [(i, *names) for i in ids]
+    for most in (10**6, 0):
+        got = dc.decontaminate(d, b, max_words=most)
+        assert [c for c in got.columns if not c.startswith("dc_")] == [c for c in d.columns if c != "text"]
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == [tuple(names)] * 2
+
+
 def test_query_on_table(spark, sf_dir):
     from stratalens.llm.queries import op1_decontamination
 
