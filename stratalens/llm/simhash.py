@@ -124,11 +124,15 @@ class GrayTree:
         self.bits[me] = int(self.codes[lo]) & mask
         return me
 
-    def links(self, k: int):
-        """Blocks (rows, rows, whether equal ranges) of leaf pairs that may hold links."""
+    def links(self, k: int, joined=lambda *_: False):
+        """Ranges of rows (from, to, from, to) of leaf pairs that may hold links.
+
+        Pairs of nodes for whose ranges ``joined`` holds are left as a whole."""
         stack = [(0, 0)]
         while stack:
             a, b = stack.pop()
+            if joined(self.lo[a], self.hi[a], self.lo[b], self.hi[b]):
+                continue
             both = self.mask[a] & self.mask[b]
             if ((self.bits[a] ^ self.bits[b]) & both).bit_count() > k:
                 continue
@@ -146,27 +150,53 @@ class GrayTree:
                 yield self.lo[a], self.hi[a], self.lo[b], self.hi[b]
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least place of its component) after linking places a[i] and b[i]."""
+    while len(a):
+        x, y = label[a], label[b]
+        live = x != y
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
 def forest(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, root) of each code of these distinct ones that is linked to a smaller root."""
+    """(code, root) of each code of these distinct ones that is linked to a smaller root.
+
+    Links are united array by array; pairs of nodes that are one component are not compared.
+    """
     tree = GrayTree(codes)
-    codes = tree.codes
-    parent = np.arange(len(codes))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a0, a1, b0, b1 in tree.links(k):
-        x = codes[a0:a1, None] ^ codes[None, b0:b1]
-        for i, j in zip(*np.nonzero(np.bitwise_count(x) <= k)):
-            i, j = root(a0 + i), root(b0 + j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-    roots = np.array([root(i) for i in range(len(codes))], np.int64)
-    own = np.flatnonzero(roots != np.arange(len(codes)))
-    return codes[own], codes[roots[own]]
+    codes, label = tree.codes, np.arange(len(codes))
+    held, n = [], 0
+
+    def settle():
+        nonlocal label, n
+        if held:
+            label = unite(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            held.clear()
+            n = 0
+
+    def joined(a0, a1, b0, b1):
+        first = label[a0]
+        return bool((label[a0:a1] == first).all() and (label[b0:b1] == first).all())
+
+    for a0, a1, b0, b1 in tree.links(k, joined):
+        i, j = np.nonzero(np.bitwise_count(codes[a0:a1, None] ^ codes[None, b0:b1]) <= k)
+        if (a0, a1) == (b0, b1):
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            held.append((a0 + i, b0 + j))
+            n += len(i)
+        if n > 2048:
+            settle()
+    settle()
+    own = np.flatnonzero(label != np.arange(len(codes)))
+    return codes[own], codes[label[own]]
 
 
 # ---- buckets -----------------------------------------------------------------------------
@@ -253,7 +283,7 @@ def _search(k: int):
 # ---- components --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` that is not its component's root itself.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014); each round's edges are
@@ -273,7 +303,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     current = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct()
     path = C.shared_dir(spark)
     current, last = C.write_table(current, path), None
-    for _ in range(most_rounds):
+    while True:  # every round but the last lowers some end of an edge
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = least_neighbour(large)  # here every a is over its b
@@ -285,7 +315,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == last:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 4, k: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -307,12 +336,13 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: i
     group that has null ids only cannot be told apart: one of them stays.
     """
     names = docs.columns
-    keyed = C.write_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # the row's own columns stay together in one, so that no name of theirs can clash
+    keyed = C.write_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")))
     # the smallest (id, row) of a group, ids before nulls
-    rows = C.write_table(fingerprints(keyed.select(F.col(id).alias("id"), "_row", F.col(text).alias("text")), size=size))
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("_row")))
+    rows = C.write_table(fingerprints(keyed.select(F.col(f"doc.`{id}`").alias("id"), "row", F.col(f"doc.`{text}`").alias("text")), size=size))
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row")))
     codes = C.write_table(rows.groupBy("fp").agg(first.alias("first")))
     member = components(similar_edges(codes.select("fp"), k))
     kept = codes.join(member, codes["fp"] == member["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first._row").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    kept = kept.select(F.col("first.row").alias("row"))
+    return keyed.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

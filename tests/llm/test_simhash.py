@@ -107,3 +107,25 @@ def test_empty_and_keep_one(spark):
     df = spark.createDataFrame([(2, "a b c d e", 1), (1, "A b c d e", 2), (1, "A b c d e", 2), (9, "other words stand here", 0), (None, None, 3), (None, "", 4)], "doc_id long, text string, fp int")
     assert sorted((str(r["doc_id"]), r["fp"]) for r in simhash.keep_one(df).select("doc_id", "fp").collect())[:2] == [("1", 2), ("9", 0)]
     assert simhash.keep_one(df).count() == 3
+
+
+def test_dense_bucket_is_quick():
+    import time
+
+    rng = np.random.default_rng(3)
+    codes = set()
+    while len(codes) < 20_000:
+        x = 0x123456789ABCDEF
+        for b in rng.integers(0, 64, 4):
+            x ^= 1 << int(b)
+        codes.add(x)
+    start = time.perf_counter()
+    src, dst = simhash.forest(np.array(sorted(codes), np.uint64), 4)
+    assert len(src) == len(codes) - 1 and time.perf_counter() - start < 10
+
+
+def test_internal_names_as_input_columns(spark):
+    names = ["_row", "row", "doc", "fp", "first", "id", "root", "node", "n"]
+    d = spark.createDataFrame([(1, "a b c d e", *names), (2, "a b c d e", *names), (3, "something else is here", *names)], ["doc_id", "text", *names])
+    left = simhash.keep_one(d)
+    assert left.columns == d.columns and sorted((r["doc_id"], *r[2:]) for r in left.collect()) == [(i, *names) for i in (1, 3)]
