@@ -1,51 +1,57 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are words between ASCII white space, A-Z lower-cased, then one end. The model
-(Mnih and Hinton's log-bilinear one) predicts a symbol from the two symbols before it:
-score(w | u, v) = (R[u] C1 + R[v] C2) . Q[w] + b[w]. Symbols are the end, the ``HEAD`` most
-frequent words, and ``BUCKETS`` classes of all other words by their last three bytes. The
-softmax over symbols is exact, by batched matrix products over the contexts that occur; a
-word of a class has the class's probability times its add-half share of the class's count,
-where each class keeps a share for one unseen word. So probabilities of all known words and
-of one unseen word per class sum to one.
+(Mnih and Hinton's log-bilinear one, with a two-level tree of classes) predicts a symbol from
+the two symbols before it: hat = R[u] C1 + R[v] C2; the class c of a symbol has the score
+hat . K[c] + k[c] among the classes, the symbol itself hat . Q[w] + b[w] among its class.
+Symbols are the end, the ``words`` most frequent words, and ``buckets`` groups of all other
+words by their last three bytes; classes hold about the square root of their number. So the
+network has vectors for every word of any vocabulary, as context and as target; only words
+that share a group share vectors, and their parts of the group's probability are add-half
+shares of its count, where each group keeps a share for one unseen word. Both softmaxes are
+exact when scoring, by batched matrix products in double precision: probabilities of all known
+words and of one unseen word per group sum to one.
 
 Training. Word counts are exact over all training rows (shuffled, partly summed first).
-Every task runs noise-contrastive estimation over all its rows' tokens from the same start,
-and the parameters are averaged by tokens, block by block, on the executors; ``rounds``
-rounds. What reaches the driver is of fixed size: scalars, the averaged parameters, and the
-``TOP`` most frequent words, whose counts are broadcast. All rarer words (any number) get
-their counts by a shuffled join.
+Training rows are dealt by a hash of id and text to one shard for each ``SHARD`` tokens, and
+sorted by that hash: what a shard learns depends on the data alone, not on partitions. Each
+shard runs noise-contrastive estimation over all its tokens from the same start; parameters are
+averaged by tokens, block by block, on the executors; ``rounds`` rounds. What reaches the
+driver is of fixed size: scalars, the averaged parameters, and the ``TOP`` most frequent
+words, whose counts are broadcast. All rarer words (any number) get their counts by a
+shuffled join.
 
 Defined cases: null text has the end only; null ids never train and count as held out;
 without training rows the model knows the end only and gives each document probability by
-unseen words; repeated rows score alike.
+unseen words; repeated rows score alike; ids keep their type.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common as C
 
 END = b"\n"  # no word holds white space
-HEAD, BUCKETS, TOP, DIM, NOISE, BATCH, RATE = 255, 256, 200_000, 16, 48, 512, 0.1
+WORDS, BUCKETS, TOP, DIM, NOISE, BATCH, RATE, SHARD = 8_191, 2_048, 200_000, 16, 24, 512, 0.1, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % BUCKETS
+def bucket(word: bytes, buckets: int = BUCKETS) -> int:
+    return zlib.crc32(word[-3:]) % buckets
 
 
-def _bucket_column(word):
-    return F.crc32(F.expr(f"substring({word}, -3, 3)")) % BUCKETS
+def _bucket_column(word, buckets: int):
+    return F.crc32(F.expr(f"substring({word}, -3, 3)")) % buckets
 
 
 # ---- counts ------------------------------------------------------------------------------
@@ -80,23 +86,29 @@ def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The broadcast part: most frequent words, their symbols and counts; class masses."""
+    """The broadcast part: most frequent words, their symbols and counts; groups' masses; classes.
 
-    def __init__(self, top: list[tuple[bytes, int]], masses: dict[int, float], total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+    Symbols are numbered so that a class is a run of them: words by their last letters first.
+    """
+
+    def __init__(self, top: list[tuple[bytes, int]], masses: dict[int, float], total: int, distinct: int, words: int = WORDS, buckets: int = BUCKETS):
+        self.total, self.distinct, self.buckets = total, distinct, buckets
         count = dict(top)
-        head = [END, *[w for w, _ in top if w != END][:HEAD]]
+        head = sorted([END, *[w for w, _ in top if w != END][:words]], key=lambda w: w[::-1])
         in_head = set(head)
-        words = [*head, *(w for w, _ in top if w not in in_head)]
-        self.blob = b" ".join(words)
-        self.head, self.size = len(head), len(head) + BUCKETS
-        self.count = np.array([count.get(w, 0) for w in words], np.float64)
-        self.symbol = np.array([i if i < self.head else self.head + bucket(w) for i, w in enumerate(words)], np.int32)
-        mass = np.array([masses.get(b, 0.0) for b in range(BUCKETS)]) + 0.5
+        all_words = [*head, *(w for w, _ in top if w not in in_head)]
+        self.blob = b" ".join(all_words)
+        self.head, self.size = len(head), len(head) + buckets
+        self.count = np.array([count.get(w, 0) for w in all_words], np.float64)
+        self.symbol = np.array([i if i < self.head else self.head + bucket(w, buckets) for i, w in enumerate(all_words)], np.int32)
+        mass = np.array([masses.get(b, 0.0) for b in range(buckets)]) + 0.5
         self.log_mass = np.log10(mass)
-        self.share = np.concatenate([self.count[: self.head] + 0.5, mass])
-        self.share = self.share / self.share.sum()
+        share = np.concatenate([self.count[: self.head] + 0.5, mass])
+        self.share = share / share.sum()
         self.log_count = np.log10(self.count + 0.5)
+        self.width = math.isqrt(self.size - 1) + 1  # symbols of a class
+        self.starts = np.arange(0, self.size, self.width)
+        self.class_share = np.add.reduceat(self.share, self.starts)
 
     @property
     def index(self) -> dict[bytes, int]:
@@ -114,77 +126,133 @@ class Vocabulary:
         at = np.array([get(w, -1) for w in words], np.int64)
         sym = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
         for i in np.flatnonzero(at < 0).tolist():
-            sym[i] = self.head + zlib.crc32(words[i][-3:]) % BUCKETS
+            sym[i] = self.head + zlib.crc32(words[i][-3:]) % self.buckets
         return at, sym
 
 
 class Lbl:
     """Parameters as one flat float32 array, with views."""
 
-    def __init__(self, size: int, flat: np.ndarray | None = None, share: np.ndarray | None = None):
-        self.size = size
-        shapes = [(size + 1, DIM), (size, DIM), (DIM, DIM), (DIM, DIM), (size,)]
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
+        size, classes = vocabulary.size, len(vocabulary.starts)
+        self.size, self.starts, self.width = size, vocabulary.starts, vocabulary.width
+        shapes = [(size + 1, DIM), (size, DIM), (classes, DIM), (DIM, DIM), (DIM, DIM), (size,), (classes,)]
         if flat is None:
             rng = np.random.default_rng(11)
             eye = np.eye(DIM)
-            parts = [rng.normal(0, 0.3, shapes[0]), rng.normal(0, 0.02, shapes[1]), eye, 0.5 * eye, np.log(share)]
+            own = vocabulary.share / np.repeat(vocabulary.class_share, self.width)[:size]
+            parts = [rng.normal(0, 0.3, shapes[0]), rng.normal(0, 0.02, shapes[1]), rng.normal(0, 0.02, shapes[2]), eye, 0.5 * eye, np.log(own), np.log(vocabulary.class_share)]
             flat = np.concatenate([p.ravel() for p in parts]).astype(np.float32)
-        self.flat, at = flat, 0
-        views = []
+        self.flat, at, views = flat, 0, []
         for s in shapes:
             n = int(np.prod(s))
             views.append(flat[at : at + n].reshape(s))
             at += n
-        self.r, self.q, self.c1, self.c2, self.b = views
+        self.r, self.q, self.k, self.c1, self.c2, self.b, self.kb = views
+
+    def train(self, blocks, vocabulary: Vocabulary, seed: int, rate: float = RATE) -> int:
+        """One pass over blocks of (u, v, target); returns how many tokens it saw.
 
-    def train(self, batches, share: np.ndarray, seed: int, rate: float = RATE) -> int:
-        """One pass over (c1, c2, target) batches; returns how many tokens it saw."""
+        Of each block, the classes of the targets are learned in batches of any tokens, then the
+        targets among their classes in batches of one class each.
+        """
         rng = np.random.default_rng(seed)
-        edge, log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-        grad = np.zeros_like(self.flat)
-        g, past, seen = Lbl(self.size, grad), np.full_like(self.flat, 1e-8), 0
-        for u, v, w in batches:
-            n = np.minimum(np.searchsorted(edge, rng.random(NOISE)), self.size - 1)
-            ru, rv = self.r[u], self.r[v]
-            hat = ru @ self.c1 + rv @ self.c2
-            qw, qn = self.q[w], self.q[n]
-            data = np.einsum("ij,ij->i", hat, qw) + self.b[w] - log_noise[w]
-            noise = hat @ qn.T + (self.b[n] - log_noise[n])
-            dd = (1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)  # 1 - sigmoid
-            dn = -(1 / (1 + np.exp(np.clip(-noise, -30, 30)))).astype(np.float32)
-            dhat = dd[:, None] * qw + dn @ qn
-            grad[:] = 0
-            _add(g.q, w, dd[:, None] * hat)
-            _add(g.b, w, dd)
-            np.add.at(g.q, n, dn.T @ hat)
-            np.add.at(g.b, n, dn.sum(axis=0))
-            _add(g.r, u, dhat @ self.c1.T)
-            _add(g.r, v, dhat @ self.c2.T)
-            g.c1[:] = ru.T @ dhat
-            g.c2[:] = rv.T @ dhat
-            grad /= len(w)
-            past += grad * grad
-            self.flat += rate * grad / np.sqrt(past)
+        past = Lbl.__new__(Lbl)
+        past.r, past.q, past.k, past.c1, past.c2, past.b, past.kb = (np.full_like(x, 1e-8) for x in (self.r, self.q, self.k, self.c1, self.c2, self.b, self.kb))
+        seen = 0
+        for u, v, w in blocks:
+            order = rng.permutation(len(w))
+            u, v, w = u[order], v[order], w[order]
+            kind = w // self.width
+            for lo in range(0, len(w), BATCH):
+                s = slice(lo, lo + BATCH)
+                self._step(past, rng, rate, u[s], v[s], kind[s], self.k, self.kb, past.k, past.kb, vocabulary.class_share)
+            by_class = np.argsort(kind, kind="stable")
+            edge = np.flatnonzero(np.diff(kind[by_class])) + 1
+            runs = np.split(by_class, edge)
+            for j in rng.permutation(len(runs)).tolist():
+                first = int(self.starts[kind[runs[j][0]]]) if len(runs[j]) else 0
+                own = slice(first, first + self.width)
+                share = vocabulary.share[own] / vocabulary.share[own].sum()
+                for lo in range(0, len(runs[j]), BATCH):
+                    i = runs[j][lo : lo + BATCH]
+                    self._step(past, rng, rate, u[i], v[i], w[i] - first, self.q[own], self.b[own], past.q[own], past.b[own], share)
             seen += len(w)
         return seen
 
-    def log_z(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Natural log of the softmax's denominator of each context."""
-        a, b = self.r @ self.c1, self.r @ self.c2
-        out = np.zeros(len(u), np.float32)
-        for lo in range(0, len(u), 4096):
-            s = (a[u[lo : lo + 4096]] + b[v[lo : lo + 4096]]) @ self.q.T + self.b
-            top = s.max(axis=1)
-            out[lo : lo + 4096] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+    def _step(self, past, rng, rate, u, v, w, q, b, past_q, past_b, share) -> None:
+        """One step of noise-contrastive estimation of targets w among the rows of q."""
+        n = np.minimum(np.searchsorted(np.cumsum(share), rng.random(NOISE)), len(share) - 1)
+        log_noise = np.log(NOISE * share).astype(np.float32)
+        ru, rv, qw, qn = self.r[u], self.r[v], q[w], q[n]
+        hat = ru @ self.c1 + rv @ self.c2
+        data = np.einsum("ij,ij->i", hat, qw) + b[w] - log_noise[w]
+        noise = hat @ qn.T + (b[n] - log_noise[n])
+        scale = np.float32(1 / len(w))
+        dd = scale / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
+        dn = -scale / (1 + np.exp(np.clip(-noise, -30, 30)))
+        dhat = dd[:, None] * qw + dn @ qn
+        gq, gb = np.zeros_like(q), np.zeros_like(b)
+        _add(gq, w, dd[:, None] * hat)
+        _add(gb, w, dd)
+        np.add.at(gq, n, dn.T @ hat)
+        np.add.at(gb, n, dn.sum(axis=0))
+        rows, gr = _sums(np.concatenate([u, v]), np.concatenate([dhat @ self.c1.T, dhat @ self.c2.T]))
+        for x, p, g in ((q, past_q, gq), (b, past_b, gb), (self.c1, past.c1, ru.T @ dhat), (self.c2, past.c2, rv.T @ dhat)):
+            p += g * g
+            x += rate * g / np.sqrt(p)
+        p = past.r[rows] + gr * gr
+        past.r[rows] = p
+        self.r[rows] += rate * gr / np.sqrt(p)
+
+    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural log of each symbol's probability in its context, in doubles."""
+        hat = self.before(u, v)
+        kind = w // self.width
+        out = np.empty(len(w))
+        q, b, k, kb = (x.astype(np.float64) for x in (self.q, self.b, self.k, self.kb))
+        for lo in range(0, len(w), 8192):
+            s = slice(lo, lo + 8192)
+            out[s] = _log_softmax(hat[s] @ k.T + kb, kind[s])
+        by_class = np.argsort(kind, kind="stable")
+        for run in np.split(by_class, np.flatnonzero(np.diff(kind[by_class])) + 1):
+            if len(run):
+                first = int(self.starts[kind[run[0]]])
+                own = slice(first, first + self.width)
+                for lo in range(0, len(run), 8192):
+                    i = run[lo : lo + 8192]
+                    out[i] += _log_softmax(hat[i] @ q[own].T + b[own], w[i] - first)
         return out
 
+    def before(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The vectors predicted from contexts, in doubles."""
+        if "_before" not in self.__dict__:
+            r = self.r.astype(np.float64)
+            self._before = r @ self.c1.astype(np.float64), r @ self.c2.astype(np.float64)
+        return self._before[0][u] + self._before[1][v]
 
-def _add(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
-    """to[at] += what, with repeats, by one sort."""
+
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row of s at one place of it; overwrites s."""
+    own = s[np.arange(len(s)), at]
+    top = s.max(axis=1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return own - top - np.log(s.sum(axis=1))
+
+
+def _sums(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``at`` and the sums of their rows, by one sort."""
     order = np.argsort(at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    to[own[first]] += np.add.reduceat(what[order], first, axis=0)
+    return own[first], np.add.reduceat(what[order], first, axis=0)
+
+
+def _add(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
+    """to[at] += what, with repeats."""
+    rows, sums = _sums(at, what)
+    to[rows] += sums
 
 
 def _contexts(symbols: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,100 +291,99 @@ def _symbol_block(vocabulary: Vocabulary, texts: list[str]):
     return words, np.array(ends), at, sym
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, *, text: str = "text", rounds: int = 1) -> Lbl:
-    """Averaged parameters after ``rounds`` rounds over every training row."""
-    sc = training.sparkSession.sparkContext
+def shards(docs: DataFrame, tokens: int, *, id: str = "doc_id", text: str = "text", per_shard: int = SHARD) -> DataFrame:
+    """(shard, text) of training rows, each shard whole in one partition and in a fixed order."""
+    n = max(1, round(tokens / per_shard))
+    order = F.xxhash64(F.col(f"`{id}`").cast("string"), F.col(f"`{text}`"))
+    rows = docs.select(F.pmod(order, F.lit(n)).cast("int").alias("shard"), order.alias("o"), F.col(f"`{text}`").alias("text"))
+    return rows.repartition(4 * n, "shard").sortWithinPartitions("shard", "o").select("shard", "text")
+
+
+def train(dealt: DataFrame, vocabulary: Vocabulary, *, rounds: int = 1) -> Lbl:
+    """Averaged parameters after ``rounds`` rounds over every training row (shard, text)."""
+    sc = dealt.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
-    model, blocks = Lbl(vocabulary.size, share=vocabulary.share), 16
+    model, blocks = Lbl(vocabulary), 16
     for k in range(rounds):
         start = sc.broadcast(model.flat)
 
         def one(batches, start=start, k=k):
-            own, voc = Lbl(shared.value.size, start.value.copy()), shared.value
-
-            def stream():
-                for b in batches:
-                    for texts in _text_blocks(b.column(0)):
-                        _, ends, _, sym = _symbol_block(voc, texts)
-                        u, v = _contexts(sym, ends, voc.size)
-                        order = np.random.default_rng(len(sym)).permutation(len(sym))
-                        for lo in range(0, len(order), BATCH):
-                            i = order[lo : lo + BATCH]
-                            yield u[i], v[i], sym[i]
-
-            seen = own.train(stream(), voc.share, seed=k)
-            if seen:
-                parts = np.array_split(own.flat.astype(np.float64) * seen, blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(blocks), pa.int32()), pa.array([float(seen)] * blocks, pa.float64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    names=["block", "seen", "part"],
+            voc = shared.value
+
+            def learned(shard, texts):
+                own = Lbl(voc, start.value.copy())
+
+                def stream():
+                    for block in _text_blocks(texts, 1 << 21):
+                        _, ends, _, sym = _symbol_block(voc, block)
+                        yield *_contexts(sym, ends, voc.size), sym
+
+                seen = own.train(stream(), voc, seed=[k, shard])
+                parts = np.array_split(own.flat, blocks)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(blocks), pa.int32()), pa.array([shard] * blocks, pa.int32()), pa.array([float(seen)] * blocks, pa.float64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                    names=["block", "shard", "seen", "part"],
                 )
 
+            # one shard after the other; the texts of a shard are read as they come
+            rows = ((s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1)))
+            for shard, own in itertools.groupby(rows, key=lambda r: r[0]):
+                yield learned(shard, (t for _, t in own))
+
         def mean(key, frame):
             import pandas as pd
 
-            total = np.zeros(len(frame["part"].iloc[0]) // 8)
-            for p in frame["part"]:
-                total += np.frombuffer(p, np.float64)
-            return pd.DataFrame({"block": [key[0]], "part": [(total / frame["seen"].sum()).tobytes()]})
+            frame = frame.sort_values("shard")  # sums of doubles in a fixed order
+            total = np.zeros(len(frame["part"].iloc[0]) // 4)
+            for p, n in zip(frame["part"], frame["seen"]):
+                total += np.frombuffer(p, np.float32) * n
+            return pd.DataFrame({"block": [key[0]], "part": [(total / frame["seen"].sum()).astype(np.float32).tobytes()]})
 
-        out = training.select(F.col(text).alias("text")).mapInArrow(one, "block int, seen double, part binary")
+        out = dealt.mapInArrow(one, "block int, shard int, seen double, part binary")
         got = out.groupBy("block").applyInPandas(mean, "block int, part binary").collect()
         if got:
-            flat = np.concatenate([np.frombuffer(r["part"], np.float64) for r in sorted(got, key=lambda r: r["block"])])
-            model = Lbl(vocabulary.size, flat.astype(np.float32))
+            flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
+            model = Lbl(vocabulary, flat.copy())
     return model
 
 
-def build_vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
+def build_vocabulary(counts: DataFrame, top: int = TOP, words: int = WORDS, buckets: int = BUCKETS) -> Vocabulary:
+    top = max(top, words)
     one = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # the least count of which at most ``top`` words have as much, from a histogram of fixed size
     step = F.floor(F.log2("n") * 16)
-    least, words = 1 << 62, 0
+    least, met = 1 << 62, 0
     for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("w"), F.min("n").alias("n")).collect(), key=lambda r: -r["b"]):
-        words += r["w"]
-        if words > top:
+        met += r["w"]
+        if met > top:
             break
         least = r["n"]
     got = counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
     best = sorted(zip(got.column("word").to_pylist(), got.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    head = [w for w, _ in best if w != END][:HEAD] + [END]
-    rest = counts.filter(~F.col("word").isin([bytearray(w) for w in head])) if best else counts
-    masses = rest.groupBy(_bucket_column("word").alias("b")).agg(F.sum(F.col("n") + 0.5).alias("m")).collect()
-    return Vocabulary(best, {int(r["b"]): r["m"] for r in masses}, int(one["n"] or 0), int(one["v"]))
+    masses = {int(r["b"]): r["m"] for r in counts.groupBy(_bucket_column("word", buckets).alias("b")).agg(F.sum(F.col("n") + 0.5).alias("m")).collect()}
+    for w, n in [x for x in best if x[0] != END][:words] + [x for x in best if x[0] == END]:
+        masses[bucket(w, buckets)] -= n + 0.5  # halves below 2 ** 52: exact
+    return Vocabulary(best, masses, int(one["n"] or 0), int(one["v"]), words, buckets)
 
 
 # ---- scores ------------------------------------------------------------------------------
 
-_SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<binary>"
-_tables: dict[int, np.ndarray] = {}
-
-
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Lbl, *, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row of ``docs`` (row, doc_id, text)."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((vocabulary, model.flat))
     denominator = math.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([T.StructField("row", long), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", long), T.StructField("n_known", long), T.StructField("base_score", double), T.StructField("score", double), T.StructField("tail", T.ArrayType(T.BinaryType()))])
 
     def run(batches):
         voc, flat = shared.value
-        own, size = Lbl(voc.size, flat), voc.size
-        a, b = own.r @ own.c1, own.r @ own.c2
-        z = np.full((size + 1) * (size + 1), np.nan, np.float32)
+        own = Lbl(voc, flat)
         for batch in batches:
             lo, rows = 0, batch.column(0)
             for texts in _text_blocks(batch.column(2)):
                 words, ends, at, sym = _symbol_block(voc, texts)
-                u, v = _contexts(sym, ends, size)
-                context = u.astype(np.int64) * (size + 1) + v
-                fresh = np.unique(context[np.isnan(z[context])])
-                if len(fresh):
-                    z[fresh] = own.log_z(fresh // (size + 1), fresh % (size + 1))
-                raw = np.empty(len(sym), np.float64)
-                for k in range(0, len(sym), 1 << 16):
-                    s = slice(k, k + (1 << 16))
-                    raw[s] = np.einsum("ij,ij->i", a[u[s]] + b[v[s]], own.q[sym[s]]) + own.b[sym[s]] - z[context[s]]
-                logp = raw / math.log(10)
+                logp = own.log_p(*_contexts(sym, ends, voc.size), sym) / math.log(10)
                 rare = sym >= voc.head
                 logp[rare] -= voc.log_mass[sym[rare] - voc.head]
                 known = at >= 0
@@ -330,11 +397,11 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Lbl
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [rows.slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(ends), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(tails, pa.list_(pa.binary()))],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "tail"],
+                    names=schema.names,
                 )
                 lo += n
 
-    scored = C.write_table(docs.select("row", F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, _SCORED))
+    scored = C.write_table(docs.select("row", "doc_id", F.col(text).alias("text")).mapInArrow(run, schema))
     tails = scored.select("row", F.explode("tail").alias("word"))
     looked = tails.join(counts, "word", "left")
     per_row = looked.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("add"), F.count("n").alias("more"))
@@ -347,13 +414,18 @@ def held_out(id: str = "doc_id", fold: int = 1, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id).cast("string")) % folds == fold, F.lit(True))
 
 
-def lm_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: int = 1, top: int = TOP) -> DataFrame:
+def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: int = 1, top: int = TOP, words: int = WORDS, buckets: int = BUCKETS, per_shard: int = SHARD) -> tuple[DataFrame, Vocabulary, Lbl]:
+    """Word counts (a table), vocabulary and network of all rows that are not held out."""
+    training = docs.select(id, text).filter(~held_out(id))
+    counts = word_counts(training, text)
+    vocabulary = build_vocabulary(counts, top, words, buckets)
+    return counts, vocabulary, train(shards(training, vocabulary.total, id=id, text=text, per_shard=per_shard), vocabulary, rounds=rounds)
+
+
+def lm_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: int = 1, top: int = TOP, words: int = WORDS, buckets: int = BUCKETS, per_shard: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     wide = C.spread(docs.select(id, text), id)
-    training = docs.filter(~held_out(id)).select(text)  # not spread: a task's pass over few rows learns little
-    counts = word_counts(wide.filter(~held_out(id)), text)
-    vocabulary = build_vocabulary(counts, top)
-    model = train(training, vocabulary, text=text, rounds=rounds)
+    counts, vocabulary, model = fit(wide, id=id, text=text, rounds=rounds, top=top, words=words, buckets=buckets, per_shard=per_shard)
     keyed = wide.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     got = score(keyed, counts, vocabulary, model)
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

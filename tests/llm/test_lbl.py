@@ -52,27 +52,88 @@ def test_empty(spark):
 
 
 def test_probabilities_sum_to_one():
+    keep, buckets = 255, 256
     words = {b"w%d" % i: 1 + i % 5 for i in range(900)} | {lbl.END: 40}
     top = sorted(words.items(), key=lambda x: (-x[1], x[0]))
-    head = {w for w, _ in top if w != lbl.END}
-    head = {lbl.END, *[w for w, _ in top if w != lbl.END][: lbl.HEAD]}
+    head = {lbl.END, *[w for w, _ in top if w != lbl.END][:keep]}
     masses = {}
     for w, n in words.items():
         if w not in head:
-            masses[lbl.bucket(w)] = masses.get(lbl.bucket(w), 0) + n + 0.5
-    voc = lbl.Vocabulary(top[:400], masses, sum(words.values()), len(words))
-    model = lbl.Lbl(voc.size, share=voc.share)
+            masses[lbl.bucket(w, buckets)] = masses.get(lbl.bucket(w, buckets), 0) + n + 0.5
+    voc = lbl.Vocabulary(top[:400], masses, sum(words.values()), len(words), keep, buckets)
+    model = lbl.Lbl(voc)
+    model.flat += np.random.default_rng(1).normal(0, 0.3, len(model.flat)).astype(np.float32)
+    symbols = np.arange(voc.size)
     for u, v in ((3, 5), (voc.size, voc.size)):
-        z = model.log_z(np.array([u]), np.array([v]))[0]
-        s = (model.r[u] @ model.c1 + model.r[v] @ model.c2) @ model.q.T + model.b - z
-        p = np.exp(s)
+        p = np.exp(model.log_p(np.full(voc.size, u), np.full(voc.size, v), symbols))
+        assert abs(p.sum() - 1) < 1e-9
         total = p[: voc.head].sum()
         for w, n in words.items():
             if w not in head:
-                total += p[voc.head + lbl.bucket(w)] * (n + 0.5) / 10 ** voc.log_mass[lbl.bucket(w)]
-        for b in range(lbl.BUCKETS):
+                total += p[voc.head + lbl.bucket(w, buckets)] * (n + 0.5) / 10 ** voc.log_mass[lbl.bucket(w, buckets)]
+        for b in range(buckets):
             total += p[voc.head + b] * 0.5 / 10 ** voc.log_mass[b]
-        assert abs(total - 1) < 1e-4
+        assert abs(total - 1) < 1e-9
+
+
+def plain_score(rows, voc, model):
+    """Each text's log10 probability, token by token, from the parameters alone."""
+    counts = Counter(w for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1 for w in tokens(t))
+    name = lambda w: lbl.END if w == "</end>" else w.encode()
+    head = {w: i for i, w in enumerate(voc.blob.split(b" ")[: voc.head])}
+    mass = Counter()
+    for w, n in counts.items():
+        if name(w) not in head:
+            mass[zlib.crc32(name(w)[-3:]) % voc.buckets] += n + 0.5
+    r, q, k, c1, c2, b, kb = (x.astype(float) for x in (model.r, model.q, model.k, model.c1, model.c2, model.b, model.kb))
+    out = []
+    for _, t in rows:
+        u = v = voc.size
+        total = 0.0
+        for w in tokens(t):
+            group = zlib.crc32(name(w)[-3:]) % voc.buckets
+            s = head.get(name(w), voc.head + group)
+            hat = r[u] @ c1 + r[v] @ c2
+            c, first = s // voc.width, s // voc.width * voc.width
+            kinds, own = hat @ k.T + kb, hat @ q[first : first + voc.width].T + b[first : first + voc.width]
+            total += kinds[c] - np.log(np.exp(kinds).sum()) + own[s - first] - np.log(np.exp(own).sum())
+            if s >= voc.head:
+                total += math.log((counts[w] + 0.5) / (mass[group] + 0.5))
+            u, v = s, u
+        out.append(total / math.log(10))
+    return out
+
+
+@pytest.mark.parametrize("top", [1000, 30])
+def test_score_against_brute_force(spark, top):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}é" if i % 3 else f"V{i}" for i in range(60)]
+    rows = [(i, " ".join(words[j] for j in np.minimum(rng.geometric(0.08, 30), 60) - 1)) for i in range(200)] + [(300, None), (301, "unseen words W1é"), (None, "w1é")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    table = lbl.word_counts(d.filter(~lbl.held_out()))
+    counts = lbl.build_vocabulary(table, top, words=20, buckets=16)
+    texts = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    _, ends, _, sym = lbl._symbol_block(counts, [t or "" for t in texts])
+    model = lbl.Lbl(counts)
+    model.train([(*lbl._contexts(sym, ends, counts.size), sym)] * 3, counts, seed=1)
+    keyed = d.selectExpr("monotonically_increasing_id() as row", "doc_id", "text")
+    got = {r["doc_id"]: r["score"] for r in lbl.score(keyed, table, counts, model).collect()}
+    assert np.allclose([got[i] for i, _ in rows], plain_score(rows, counts, model), rtol=1e-9)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = []
+    for n in (1, 8, 64):
+        got.append({r["doc_id"]: r["score"] for r in lbl.lm_scores(d.repartition(n), per_shard=10_000).collect()})
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(math.isclose(x, got[0][i], rel_tol=1e-9) for i, x in other.items())
+
+
+def test_ids_keep_their_type_and_long_texts(spark):
+    rows = [("a", "x y z"), ("b", "x " * 100_000), (None, "z")]
+    got = {r["doc_id"]: r["n_tokens"] for r in lbl.lm_scores(spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id string, text string, row int, shard string")).collect()}
+    assert got == {"a": 4, "b": 100_001, None: 2}
 
 
 def test_query_beats_unigrams_on_held_out(spark):
