@@ -1,13 +1,18 @@
 """Main-text extraction by minimum-cut labelling of a page's text blocks.
 
-The page is read tag by tag into blocks of text (a block ends at any block-level tag). A
-linear classifier scores each block from its text, its links and the elements it stands in;
-its cost becomes a terminal capacity: a positive score ties the block to the source
-(content), a negative one to the sink (boilerplate). Neighbours in page order, and blocks
-close together in the element tree, are joined by smoothness capacities. Maximum flow
-(Dinic's) cuts the graph; blocks still reachable from the source are the main text.
-
-Scripts, styles and other elements whose text is never shown are not read at all.
+The page is read tag by tag into blocks of text (a block ends at any block-level tag). The
+graph has a node for each block and one for each element whose name, role, class or id says
+something. Terminal capacities are classifier costs: a linear classifier scores a block by its
+own text and links, another scores an element by its names; a positive score ties the node to
+the source (content), a negative one to the sink (boilerplate). Smoothness capacities join
+neighbours in page order, blocks close together in the element tree, and each block with the
+nearest element node around it, by how much that element says. Maximum flow (Dinic's) cuts the
+graph; blocks still reachable from the source are the main text. So a short heading, which
+looks like boilerplate by itself, is content in an article, a long advert is not, and a long
+paragraph with a weak mark (a class "side", say) goes with its neighbours.
+
+Scripts, styles and other elements whose text is never shown are not read at all; formulas,
+drawings' labels and fallback content are text like any other.
 
 Defined cases: null and empty pages have empty text; unclosed, crossed and unknown tags are
 tolerated; a page without markup is one block of content; character references are decoded,
@@ -26,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Element names, fixed by the HTML standard.
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option datalist textarea noframes noembed".split())
+HIDDEN = frozenset("script style template head title iframe select option datalist textarea noframes noembed".split())
 RAW = frozenset("script style textarea title noframes noembed iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input button object svg math canvas audio video".split()) | frozenset("mi mn mo mtext ms mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder munderover mtable mtr mtd mspace semantics annotation g text tspan desc path use".split())
 # Elements and words of class, id and role that mark content or boilerplate, with the classifier's weights.
 ELEMENT = {"article": 6.0, "main": 5.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -5.0, "button": -9.0, "fieldset": -9.0, "address": -2.0, "figcaption": -0.5}
 WORD_WEIGHT = [
@@ -38,7 +43,8 @@ WORD_WEIGHT = [
     (re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|tabs|topbar|skip)(?:$|[\s_-])"), -9.0),
     (re.compile(r"(?:^|[\s_-])(?:footer|foot|copyright|legal|colophon|masthead|site[_-]header|page[_-]header)(?:$|[\s_-])"), -9.0),
     (re.compile(r"(?:^|[\s_-])(?:header)(?:$|[\s_-])"), -5.0),
-    (re.compile(r"(?:^|[\s_-])(?:sidebar|side|rail|widgets?|related|recommend\w*|popular|trending|share|sharing|social|follow|subscribe|newsletter|signup|login|search\w*|tags?|tagcloud|categories|author[_-]bio|bio)(?:$|[\s_-])"), -8.0),
+    (re.compile(r"(?:^|[\s_-])(?:sidebar|rail|widgets?|related|recommend\w*|popular|trending|share|sharing|social|subscribe|newsletter|signup|login|tagcloud|author[_-]bio)(?:$|[\s_-])"), -8.0),
+    (re.compile(r"(?:^|[\s_-])(?:side|follow|search\w*|tags?|categories|bio)(?:$|[\s_-])"), -2.0),
     (re.compile(r"(?:^|[\s_-])(?:cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|disclaimer|warning|announcement|paywall|hidden)(?:$|[\s_-])"), -9.0),
     (re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|body|text|main|prose|hentry)(?:$|[\s_-])"), 4.0),
 ]
@@ -77,18 +83,18 @@ def _element_weight(tag: str, attributes: str) -> tuple[float, bool]:
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "context", "links", "words")
+    __slots__ = ("text", "path", "tag", "context", "links", "words", "mark")
 
-    def __init__(self, text, path, tag, context, links):
-        self.text, self.path, self.tag, self.context, self.links = text, path, tag, context, links
+    def __init__(self, text, path, tag, context, links, mark=0):
+        self.text, self.path, self.tag, self.context, self.links, self.mark = text, path, tag, context, links, mark
         self.words = text.count(" ") + 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in page order."""
     out: list[Block] = []
-    # element: (tag, number, weight of its context, hidden)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # element: (tag, number, weight of its context, hidden, number of the nearest one that has a weight)
+    stack: list[tuple[str, int, float, bool, int]] = [("", 0, 0.0, False, 0)]
     buffer: list[str] = []
     number, link, linked, at = 0, 0, 0, 0
 
@@ -98,7 +104,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             if text:
                 blocks = [s for s in stack if s[0] not in INLINE]
-                out.append(Block(text, tuple(s[1] for s in blocks), blocks[-1][0], stack[-1][2], min(1.0, linked / max(1, len(text)))))
+                out.append(Block(text, tuple(s[1] for s in blocks), blocks[-1][0], stack[-1][2], min(1.0, linked / max(1, len(text))), stack[-1][4]))
             buffer.clear()
         linked = 0
 
@@ -155,7 +161,7 @@ def blocks_of(page: str) -> list[Block]:
         else:
             context = max(outer, weight) if outer >= 0 else outer + weight / 2
         number += 1
-        stack.append((tag, number, context, hidden or stack[-1][3] or tag in HIDDEN))
+        stack.append((tag, number, context, hidden or stack[-1][3] or tag in HIDDEN, number if weight else stack[-1][4]))
     flush()
     return out
 
@@ -177,11 +183,13 @@ def _close_implied(stack, tag: str) -> None:
             return
 
 
-def score(block: Block, has_landmark: bool) -> float:
-    """The classifier: over 0 for content."""
-    s = block.context + (0.0 if len(block.path) > 1 else 2.0)  # text outside of all elements: hardly a page
-    s += min(2.5, 0.12 * block.words) - (1.6 if not has_landmark else 0.6)
-    s -= 4.0 * block.links if block.links > 0.5 or block.context <= 0 else 0.0
+def score(block: Block, has_landmark: bool, paragraphs: int = 0) -> float:
+    """The classifier of a block by its own text: over 0 for content, at most 3 either way.
+
+    paragraphs: how many p blocks the page has; loose text beside them is hardly main text."""
+    s = 2.0 if len(block.path) <= 1 else 0.0  # text outside of all elements: hardly a page
+    s += min(2.5, 0.12 * block.words) - 1.6
+    s -= (3.0 if block.tag == "p" else 4.0) * block.links if block.links > 0.5 or block.context <= 0 else 0.0
     s += 0.6 * (block.text[-1] in ".!?…。\"”»")
     if block.tag in ("h1",):
         s += 2.0
@@ -189,9 +197,13 @@ def score(block: Block, has_landmark: bool) -> float:
         s += 0.8
     elif block.tag in ("li", "dd", "dt"):
         s -= 0.2
+    elif paragraphs > 2:
+        s -= 1.0
     if re.match(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", block.text, re.I) and block.words < 30:
         s -= 5.0
-    return s
+    if has_landmark and block.context <= 0:
+        s -= 1.0  # outside of the marked main text
+    return max(-3.0, min(3.0, s))
 
 
 def max_flow_side(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -259,17 +271,20 @@ def max_flow_side(terminal: list[int], edges: list[tuple[int, int, int]]) -> lis
 
 
 SCALE = 100
+# How strongly a block is held by the element node around it, at most: over all that its own
+# score (3) and its other edges (at most 3) can weigh. Weaker marks hold less.
+HOLD = 7.0
 
 
-def label(blocks: list[Block], smooth: float = 1.0) -> list[bool]:
-    """Which blocks are main text."""
-    if not blocks:
-        return []
+def graph(blocks: list[Block], smooth: float = 1.0) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Terminal capacities of blocks, then of element nodes, and smoothness edges."""
     has_landmark = any(b.context >= 5.0 for b in blocks)
-    terminal = [round(SCALE * score(b, has_landmark)) for b in blocks]
-    edges = []
-    last_child: dict[int, int] = {}
+    paragraphs = sum(b.tag == "p" for b in blocks)
+    terminal = [round(SCALE * score(b, has_landmark, paragraphs)) for b in blocks]
+    edges, last_child, marks = [], {}, {}
     for i, b in enumerate(blocks):
+        if b.mark and b.context:
+            marks.setdefault(b.mark, []).append(i)
         if i:
             a = blocks[i - 1]
             common = 0
@@ -278,15 +293,27 @@ def label(blocks: list[Block], smooth: float = 1.0) -> list[bool]:
                     break
                 common += 1
             apart = len(a.path) + len(b.path) - 2 * common
-            edges.append((i - 1, i, round(SCALE * smooth / (1 + apart))))
+            beside = len(a.path) == len(b.path) and apart == 2
+            edges.append((i - 1, i, round(SCALE * smooth / (1 if beside else 1 + apart))))
         parent = b.path[-2] if len(b.path) > 1 else 0
         j = last_child.get(parent)
         if j is not None and j < i - 1:
             edges.append((j, i, round(SCALE * smooth / 2)))
         last_child[parent] = i
+    for held in marks.values():
+        context = blocks[held[0]].context
+        # what an element says counts for every block that it holds
+        terminal.append(round(SCALE * context * max(1.0, len(held) / 2)))
+        edges += [(len(terminal) - 1, i, round(SCALE * min(HOLD, abs(context)))) for i in held]
+    return terminal, edges
+
+
+def label(blocks: list[Block], smooth: float = 1.0) -> list[bool]:
+    """Which blocks are main text."""
+    terminal, edges = graph(blocks, smooth)
     if all(t > 0 for t in terminal):
         return [True] * len(blocks)
-    return max_flow_side(terminal, edges)
+    return max_flow_side(terminal, edges)[: len(blocks)]
 
 
 def extract(page: str | None) -> str:
