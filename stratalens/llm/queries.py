@@ -49,7 +49,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+    found = ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+    return found.select(F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
 
 
 def tokenizer_path(name: str) -> str:

@@ -8,7 +8,7 @@ from stratalens.llm import ann
 
 def brute(rows, queries, k=5):
     """Exact nearest by cosine; rows and queries: (id, vector)."""
-    dim = max((len(v) for _, v in rows if v is not None), default=0)
+    dim = 8 if rows and rows[0][1] is not None and len(rows[0][1]) == 8 else max((len(v) for _, v in rows if v is not None), default=0)
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     ids, unit = np.array([i for i, _ in ok]), np.array([v / np.linalg.norm(v) for _, v in ok])
     out = {}
@@ -42,16 +42,29 @@ def test_chi_square():
     assert abs(ann.chi2_quantile(0.95, 6) - 12.592) < 1e-2 and ann.chi2_cdf(0, 3) == 0
 
 
-def test_tree_order():
+def test_leaves_and_cells():
     r = np.random.default_rng(0)
-    x = r.normal(size=(5000, 4))
-    q = r.normal(size=4)
-    last, seen = 0.0, []
-    for box, rows in ann.KdTree(x).near(q):
-        assert box >= last and (((x[rows] - q) ** 2).sum(axis=1) >= box - 1e-12).all()
-        last = box
-        seen += rows.tolist()
-    assert sorted(seen) == list(range(5000))
+    x = np.concatenate([r.normal(size=(5000, 4)), np.zeros((3000, 4))])
+    leaves = ann.KdTree(x).leaves()
+    assert sorted(i for rows, _, _ in leaves for i in rows.tolist()) == list(range(8000))
+    assert all((x[rows] >= low).all() and (x[rows] <= high).all() for rows, low, high in leaves)
+    cells = ann.Cells(x[::7], 32)
+    at = cells.of(x)
+    assert len(cells.low) > 8 and (x >= cells.low[at]).all() and (x <= cells.high[at]).all()
+    assert (ann.box_distances(x[:50], cells.low, cells.high)[np.arange(50), at[:50]] == 0).all()
+    assert list(ann._runs([(0, 5), (2, 4), (3, 30), (9, 1)], 10)) == [(0, 2, 1), (3, 3, 3), (9, 9, 1)]
+
+
+def test_clustered_table(spark):
+    """A made table of 40,000 rows in 400 clusters: recall, and how many cells are left out."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(400, 32))
+    x = centres[r.integers(0, 400, 40_000)] + 0.15 * r.normal(size=(40_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    rows = list(enumerate(x.tolist()))
+    want = brute(rows, set(range(0, 40_000, 50)))
+    got = collected(ann.nearest(df, df.filter("vec_id % 50 = 0"), block=100, tree_rows=5_000, sample_rows=4_000))
+    assert recall(got, want) >= 0.95
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -91,3 +104,10 @@ def test_few_and_none(spark):
     got = collected(ann.nearest(df, df.filter("vec_id % 50 = 0")))
     assert [i for i, _ in got[0]] == [50, 1] and [i for i, _ in got[50]] == [0, 1]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_lengths_and_text_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [1.0, 0.0, 0.0]), ("d", [1.0, 0.5, 0.0]), ("e", [0.0, 1.0]), ("long", [1.0] * 20_000)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = collected(ann.nearest(df, df))
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {"a": ["b", "e"], "b": ["a", "e"], "e": ["b", "a"], "c": ["d"], "d": ["c"]}
