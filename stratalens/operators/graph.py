@@ -1,8 +1,11 @@
-"""Closures, components, levels and rings over edge tables, by semi-naive iteration.
+"""Closures, components, levels and rings over edge tables.
 
-Each round joins only what the last round found new; what is known stays in written tables
-in the shared folder that ``spark.checkpoint.dir`` names, so a lost executor costs one round
-and plans do not grow. Rounds end when nothing is new, so cycles end too.
+Large graphs go by rounds: each joins only what the last round found new, and what is known
+stays in written tables in the shared folder that ``spark.checkpoint.dir`` names, so a lost
+executor costs one round and plans do not grow. Closures double the length of their paths in
+each round; strong components come from trimming and colouring, never from all pairs. A graph,
+or what rounds have left of one, of at most ``LOCAL_EDGES`` edges (counted first) is finished in
+one task, by arrays. Rounds end when nothing is new, so cycles end too.
 """
 
 from __future__ import annotations
@@ -10,12 +13,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+LOCAL_EDGES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -36,11 +46,128 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _is_small(edges: DataFrame) -> bool:
+    return edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+
+
+def _in_one_task(edges: DataFrame, solve, columns: list[str], **more: DataFrame) -> DataFrame:
+    """``solve(codes of src, codes of dst, number of nodes, codes of each of more)`` -> columns of codes or numbers.
+
+    Edges (src, dst) and node tables (node) of a checked size; nodes are numbered in their order.
+    """
+    rows = edges.select(F.lit("").alias("kind"), "src", "dst")
+    for name, df in more.items():
+        rows = rows.union(df.select(F.lit(name), "node", "node"))
+    schema = T.StructType([T.StructField(c, T.IntegerType() if c == "level" else rows.schema["src"].dataType) for c in columns])
+    tables = list(more)
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        kind = np.array(table.column("kind").to_pylist(), object)
+        both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks])
+        names = pc.unique(both)
+        names = names.take(pc.sort_indices(names))
+        codes = pc.index_in(both.combine_chunks(), value_set=names).to_numpy().astype(np.int64)
+        src, dst = codes[: len(kind)], codes[len(kind) :]
+        out = solve(src[kind == ""], dst[kind == ""], len(names), **{n: src[kind == n] for n in tables})
+        yield pa.RecordBatch.from_arrays([pa.array(x) if c == "level" else names.take(pa.array(x)) for c, x in zip(columns, out)], names=columns)
+
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def _neighbours(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): the ends of node i's edges are to[from[i]:from[i + 1]]."""
+    order = np.argsort(src, kind="stable")
+    return np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+
+
+def _ends(start: np.ndarray, ends: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """All ends of these nodes' edges, repeats included."""
+    size = start[nodes + 1] - start[nodes]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return ends[np.repeat(start[nodes], size) + step]
+
+
+def _walk(src, dst, n, roots, stop=None):
+    start, ends = _neighbours(src, dst, n)
+    closed = np.zeros(n, bool)
+    if stop is not None:
+        closed[stop] = True
+    frontier, found = np.unique(roots[~closed[roots]]), []
+    while len(frontier):
+        closed[frontier] = True
+        found.append(frontier)
+        new = _ends(start, ends, frontier)
+        frontier = np.unique(new[~closed[new]])
+    return [np.concatenate(found) if found else np.zeros(0, np.int64)]
+
+
+def _place(src, dst, n, nodes):
+    start, ends = _neighbours(dst, src, n)  # who needs a node
+    needs, known = np.bincount(src, minlength=n), np.zeros(n, bool)
+    known[nodes] = True
+    frontier, found, levels_, level = np.unique(nodes[needs[nodes] == 0]), [], [], 0
+    while len(frontier):
+        found.append(frontier)
+        levels_.append(np.full(len(frontier), level, np.int32))
+        users = _ends(start, ends, frontier)
+        np.subtract.at(needs, users, 1)
+        users = np.unique(users)
+        frontier, level = users[known[users] & (needs[users] == 0)], level + 1
+    return [np.concatenate(found), np.concatenate(levels_)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int32)]
+
+
+def _strong(src, dst, n):
+    """(node, least node of its ring) by Tarjan's walk, with a stack of its own."""
+    start, ends = _neighbours(src, dst, n)
+    start, ends = start.tolist(), ends.tolist()
+    loops = set(src[src == dst].tolist())
+    number, low, on, path, count = [-1] * n, [0] * n, [False] * n, [], 0
+    node_out, ring_out = [], []
+    for root in range(n):
+        if number[root] >= 0:
+            continue
+        work = [(root, start[root])]
+        while work:
+            v, at = work.pop()
+            if number[v] < 0:
+                number[v] = low[v] = count
+                count += 1
+                path.append(v)
+                on[v] = True
+            while at < start[v + 1]:
+                w = ends[at]
+                at += 1
+                if number[w] < 0:
+                    work += [(v, at), (w, start[w])]
+                    break
+                if on[w]:
+                    low[v] = min(low[v], number[w])
+            else:
+                if low[v] == number[v]:
+                    own = []
+                    while not own or own[-1] != v:
+                        own.append(path.pop())
+                        on[own[-1]] = False
+                    if len(own) > 1 or v in loops:
+                        node_out += own
+                        ring_out += [min(own)] * len(own)
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+    return [np.array(node_out, np.int64), np.array(ring_out, np.int64)]
+
+
 def reach(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Nodes reached from ``roots`` (node) along ``edges`` (src, dst), roots included.
 
     Nodes of ``stop`` are not entered.
     """
+    if _is_small(edges) and _is_small(roots) and (stop is None or _is_small(stop)):
+        more = {"roots": roots.select("node")} | ({} if stop is None else {"stop": stop.select("node")})
+        return _in_one_task(edges, _walk, ["node"], **more)
     frontier = roots.select("node").distinct()
     if stop is not None:
         frontier = frontier.join(stop.select("node"), "node", "left_anti")
@@ -59,25 +186,56 @@ def reach(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) ->
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Every pair (src, dst) with a path of one or more edges."""
-    base = settle(edges.select("src", "dst").distinct())
-    frontier, known = base, [base]
+    """Every pair (src, dst) with a path of one or more edges; each round doubles the paths' length."""
+    frontier = settle(edges.select("src", "dst").distinct())
+    known = [frontier]
     while not frontier.isEmpty():
-        step = base.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+        step = _union(known).select(F.col("src").alias("mid"), F.col("dst").alias("far"))
         new = frontier.join(step, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
         frontier = settle(new.join(_union(known), ["src", "dst"], "left_anti"))
         known.append(frontier)
-        if len(known) > 12:
-            known = [settle(_union(known))]
     return _union(known)
 
 
 def rings(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves, with the least node of their ring."""
-    paths = settle(closure(edges))
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("ring"))
+    """Nodes that reach themselves, with the least node of their ring (strong component).
+
+    A graph too large for one task is trimmed of nodes without needs or users, and coloured by the
+    least node that reaches each; what reaches that node back within the colour is its ring.
+    """
+    left, done = edges.select("src", "dst").distinct(), []
+    while not _is_small(left):
+        left = settle(left)
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        inner = settle(inner)
+        if inner.count() < left.count():
+            left = inner
+            continue
+        colour = settle(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:  # the least node that reaches each
+            offers = left.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.col("colour").alias("offer"))
+            best = offers.groupBy("node").agg(F.min("offer").alias("offer"))
+            new = settle(colour.join(best, "node", "left").select("node", F.least("colour", "offer").alias("colour")))
+            moved = new.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            colour = new
+            if moved:
+                break
+        a = colour.select(F.col("node").alias("src"), F.col("colour").alias("a"))
+        b = colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        left = settle(left.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst"))
+        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = settle(reach(colour.filter("node = colour").select("node"), back))
+        loops = left.select(F.col("src").alias("node")).distinct()
+        done.append(settle(own.join(colour, "node").select("node", F.col("colour").alias("ring")).join(loops, "node", "left_semi")))
+        left = left.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti")
+    done.append(_in_one_task(left, _strong, ["node", "ring"]))
+    found = _union(done)
+    # a lone node of a colour without an edge to itself is no ring
+    if len(done) > 1:
+        many = found.groupBy("ring").agg(F.count("*").alias("n")).filter("n > 1").select("ring")
+        loops = edges.filter("src = dst").select(F.col("src").alias("node"))
+        found = found.join(many, "ring", "left_semi").select("node", "ring").union(found.join(many, "ring", "left_anti").join(loops, "node", "left_semi").select("node", "ring"))
+    return found
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,19 +256,22 @@ def condensation_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph; src needs dst, no need is level 0.
 
-    Round by round, the nodes all of whose needs are placed; nodes on a cycle are left out.
+    Round by round, the nodes all of whose needs are placed, until what is left fits one task;
+    nodes on a cycle are left out.
     """
-    left = settle(nodes.select("node").distinct())
-    placed: list[DataFrame] = []
-    needs, level = edges.select("src", "dst").distinct(), 0
-    while True:
-        open_needs = needs.join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
-        ready = settle(left.join(open_needs.select(F.col("src").alias("node")), "node", "left_anti"))
+    left, level, placed = nodes.select("node").distinct(), 0, []
+    needs = edges.select("src", "dst").distinct().join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    while not (_is_small(needs) and _is_small(left)):
+        left, needs = settle(left), settle(needs)
+        ready = settle(left.join(needs.select(F.col("src").alias("node")), "node", "left_anti"))
         if ready.isEmpty():
-            break
+            return _union(placed) if placed else left.limit(0).withColumn("level", F.lit(0))
         placed.append(ready.withColumn("level", F.lit(level)))
-        left, level = settle(left.join(ready, "node", "left_anti")), level + 1
-    return _union(placed) if placed else nodes.select("node").limit(0).withColumn("level", F.lit(0))
+        left = left.join(ready, "node", "left_anti")
+        needs = needs.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        level += 1
+    rest = _in_one_task(needs, _place, ["node", "level"], nodes=left)
+    return _union([*placed, rest.withColumn("level", (F.col("level") + level).cast("int"))])
 
 
 def wave_cut(levels_df: DataFrame, bound: int) -> DataFrame:

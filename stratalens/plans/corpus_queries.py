@@ -258,9 +258,9 @@ def statement_ids(spark, sf):
     return out.select("statement_id", "p.prefix", "p.number")
 
 
-@query("template_keys", f"SELECT doc_id, ordinal, replace({norm_sql('text')}, 'the', '{{}}') AS key FROM blocks WHERE kind = 'prose' AND ordinal = 1", covers="183")
+@query("template_keys", f"SELECT doc_id, ordinal, replace({norm_sql('text')}, 'the', '{{}}') AS key FROM blocks WHERE kind = 'prose'", covers="183")
 def template_keys(spark, sf):
-    b = store(spark, sf).blocks.filter("kind = 'prose' and ordinal = 1")
+    b = store(spark, sf).blocks.filter("kind = 'prose'")
     return b.select("doc_id", "ordinal", X.template_key("text", F.lit(" the ")).alias("key"))
 
 

@@ -132,14 +132,15 @@ def phased_disposition(spark, sf):
     return G.phased_disposition(F.lit("failed"), store(spark, sf).findings, declared, outcomes)
 
 
-_RUNS = f"runs AS (SELECT doc_id, {OCCURRENCE_SQL} AS occurrence, gate, evidence FROM findings), a AS (SELECT occurrence, min(gate) AS bucket, min(evidence) AS reason FROM runs WHERE doc_id % 4 <> 1 GROUP BY 1), b AS (SELECT occurrence, min(CASE WHEN doc_id % 10 = 3 THEN 'Review' ELSE gate END) AS bucket, min(CASE WHEN doc_id % 10 = 7 THEN NULL ELSE evidence END) AS reason FROM runs WHERE doc_id % 5 <> 2 GROUP BY 1)"
+_RUNS = f"runs AS (SELECT doc_id, {OCCURRENCE_SQL} AS occurrence, gate, evidence FROM findings), a AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'old:' || occurrence ELSE occurrence END AS occurrence, min(gate) AS bucket, min(evidence) AS reason FROM runs GROUP BY 1), b AS (SELECT CASE WHEN doc_id % 5 = 2 THEN 'new:' || occurrence ELSE occurrence END AS occurrence, min(CASE WHEN doc_id % 10 = 3 THEN 'Review' ELSE gate END) AS bucket, min(CASE WHEN doc_id % 10 = 7 THEN NULL ELSE evidence END) AS reason FROM runs GROUP BY 1)"
 
 
 def _runs(spark, sf):
     f = G.with_identity(store(spark, sf).findings)
     d = F.col("doc_id")
-    a = f.filter(d % 4 != 1).groupBy("occurrence").agg(F.min("gate").alias("bucket"), F.min("evidence").alias("reason"))
-    b = f.filter(d % 5 != 2).groupBy("occurrence").agg(F.min(F.when(d % 10 == 3, "Review").otherwise(F.col("gate"))).alias("bucket"), F.min(F.when(d % 10 == 7, None).otherwise(F.col("evidence"))).alias("reason"))
+    renamed = lambda where, mark: F.when(where, F.concat(F.lit(mark), "occurrence")).otherwise(F.col("occurrence")).alias("occurrence")
+    a = f.groupBy(renamed(d % 4 == 1, "old:")).agg(F.min("gate").alias("bucket"), F.min("evidence").alias("reason"))
+    b = f.groupBy(renamed(d % 5 == 2, "new:")).agg(F.min(F.when(d % 10 == 3, "Review").otherwise(F.col("gate"))).alias("bucket"), F.min(F.when(d % 10 == 7, None).otherwise(F.col("evidence"))).alias("reason"))
     return a, b
 
 
@@ -163,9 +164,9 @@ def occurrence_collisions(spark, sf):
     return G.collisions(G.with_identity(store(spark, sf).findings))
 
 
-@query("lineage_continuity", f"WITH o AS (SELECT DISTINCT {LINE_SQL} AS line, 1 + doc_id % 4 AS state FROM findings WHERE doc_id % 9 < 6), t AS (SELECT line, min(state) AS first, max(state) AS last, count(*) AS seen FROM o GROUP BY 1) SELECT line, CASE WHEN seen < last - first + 1 OR last < 4 THEN 'recreated' WHEN seen = 4 THEN 'exact' ELSE 'none' END AS continuity FROM t", covers="148 223")
+@query("lineage_continuity", f"WITH o AS (SELECT DISTINCT {LINE_SQL} AS line, 1 + doc_id % 4 AS state FROM findings), t AS (SELECT line, min(state) AS first, max(state) AS last, count(*) AS seen FROM o GROUP BY 1) SELECT line, CASE WHEN seen < last - first + 1 OR last < 4 THEN 'recreated' WHEN seen = 4 THEN 'exact' ELSE 'none' END AS continuity FROM t", covers="148 223")
 def lineage_continuity(spark, sf):
-    f = G.with_identity(store(spark, sf).findings).filter("doc_id % 9 < 6")
+    f = G.with_identity(store(spark, sf).findings)
     states = spark.createDataFrame([(1,), (2,), (3,), (4,)], "state bigint")
     return G.continuity(f.select("line", (1 + F.col("doc_id") % 4).alias("state")), states)
 
@@ -229,13 +230,13 @@ def goal_mismatches(spark, sf):
     return P.goal_mismatches(*_goals(store(spark, sf)))
 
 
-_EDGES_SQL = "deps AS (SELECT s_suppkey % 97 AS package, (s_suppkey * 5 + 2) % 97 AS target, CASE WHEN s_suppkey % 10 = 0 THEN 'dev' ELSE 'normal' END AS kind FROM supplier UNION SELECT c_custkey % 97, (c_custkey * 3 + 1) % 97, 'normal' FROM customer WHERE c_custkey < 120), placement AS (SELECT p AS package, 'c' || (p % 4) AS component FROM (SELECT unnest(range(0, 97)) AS p) WHERE p % 13 <> 0)"
+_EDGES_SQL = "deps AS (SELECT s_suppkey % 97 AS package, (s_suppkey * 5 + 2) % 97 AS target, CASE WHEN s_suppkey % 10 = 0 THEN 'dev' ELSE 'normal' END AS kind FROM supplier UNION SELECT c_custkey % 97, (c_custkey * 3 + 1) % 97, 'normal' FROM customer), placement AS (SELECT p AS package, 'c' || (p % 4) AS component FROM (SELECT unnest(range(0, 97)) AS p) WHERE p % 13 <> 0)"
 
 
 def _edges(s):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     a = s.table("supplier").select((k % 97).alias("package"), ((k * 5 + 2) % 97).alias("target"), F.when(k % 10 == 0, "dev").otherwise("normal").alias("kind"))
-    b = s.table("customer").filter(c < 120).select((c % 97).alias("package"), ((c * 3 + 1) % 97).alias("target"), F.lit("normal").alias("kind"))
+    b = s.table("customer").select((c % 97).alias("package"), ((c * 3 + 1) % 97).alias("target"), F.lit("normal").alias("kind"))
     p = s.spark.range(97).filter("id % 13 <> 0").select(F.col("id").alias("package"), F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("component"))
     return a.union(b).distinct(), p
 

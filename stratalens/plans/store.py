@@ -31,11 +31,11 @@ SQL = {
     "omissions": "SELECT l.doc_id, d.path, d.revision, 1::BIGINT AS block_ordinal, NULL AS heading, 'toxic' AS reason, 'removed by policy' AS justification FROM labels l JOIN docs d USING (doc_id) WHERE l.toxic = 1",
     "submission_values": "SELECT conv_id AS submission, role AS field, turn AS ordinal, text AS value FROM conversations",
     "facts": "SELECT user_id, event_type, date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS generation, arg_max(value, event_id) AS payload, max(event_id) AS event_id FROM events GROUP BY ALL",
-    "depends": "SELECT DISTINCT s_suppkey % 40 AS node, (s_suppkey * 7 + 3) % 40 AS needs FROM supplier UNION SELECT DISTINCT user_id % 40, (user_id + 1) % 40 FROM events WHERE user_id % 40 < 12",
+    "depends": "SELECT o_orderkey AS node, o_orderkey - o_orderkey % 40 + (o_orderkey * 7 + 3) % 40 AS needs FROM orders UNION SELECT o_orderkey, CASE WHEN o_orderkey % 40 < 12 THEN o_orderkey + 1 WHEN o_orderkey % 160 = 39 THEN o_orderkey + 1 ELSE o_orderkey - o_orderkey % 40 + (o_orderkey * 3 + 1) % 40 END FROM orders",
     "findings": "SELECT f.*, 'in ' || f.rule || ' of ' || lang AS summary, CASE WHEN doc_id % 6 = 5 THEN [] WHEN doc_id % 6 = 4 THEN [path, 'shared/' || lang] ELSE [path] END AS locations FROM (SELECT doc_id, path, source AS subject, lang, rule, CASE WHEN doc_id % 3 = 0 THEN 'Advisory' ELSE 'Blocking' END AS gate, ['Supported', 'SupportedWithFallback', 'PartiallySupported', 'NotApplicable', 'MissingCapability', 'Unparseable', 'Supported'][doc_id % 7 + 1] AS applicability, ['AgentJudged', 'HumanAsserted', 'Predicted', 'Approximate', 'Derived', 'Observed', 'Verified', 'Authoritative'][doc_id % 8 + 1] AS evidence FROM docs, (VALUES ('long-text'), ('shouting'), ('license-line'), ('short-text')) r(rule) WHERE CASE rule WHEN 'long-text' THEN length(text) > 3000 WHEN 'shouting' THEN contains(text, '!!') WHEN 'license-line' THEN text ILIKE '%license%' ELSE length(text) < 300 END) f",
     "revision_docs": "SELECT d.path, r.rev AS rev_no, 'sha256:' || sha256(d.text || CASE WHEN d.doc_id % 4 = 1 THEN (r.rev // 2)::VARCHAR ELSE '' END) AS hash FROM docs d, (SELECT unnest(range(1, 7)) AS rev) r WHERE (d.doc_id * 7 + r.rev * 3) % 5 <> 0 UNION ALL SELECT 'moved/' || d.doc_id, r.rev, 'sha256:' || sha256(d.text) FROM docs d, (SELECT unnest(range(1, 7)) AS rev) r WHERE d.doc_id % 10 = 2 AND (d.doc_id * 7 + r.rev * 3) % 5 = 0",
     "items": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Done' WHEN 1 THEN 'Claimed' WHEN 2 THEN 'Declined' ELSE 'Ready' END AS state, CASE WHEN o_orderkey % 5 = 1 THEN 'holder-' || (o_orderkey % 3) END AS holder, CASE WHEN o_orderkey % 5 = 1 THEN (o_orderkey % 100)::BIGINT END AS lease_expires, ['area' || (o_orderkey % 400) || '/' || o_orderkey, 'area' || (o_orderkey % 400) || CASE WHEN o_orderkey % 50 = 1 THEN '' ELSE '/x' || (o_orderkey % 7) END] AS paths FROM orders",
-    "item_needs": "SELECT o_orderkey AS id, p AS position, CASE WHEN p = 0 THEN o_orderkey + 5 WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey // 2 + 3 END AS needs FROM orders, (SELECT unnest([0, 1]) AS p) WHERE o_orderkey % 3 = 0",
+    "item_needs": "SELECT o_orderkey AS id, p AS position, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey + 1 WHEN p = 0 THEN o_orderkey + 5 WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey // 2 + 3 END AS needs FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 3 WHEN 0 THEN [0, 1] WHEN 1 THEN [0] ELSE [] END) AS p FROM orders)",
 }
 
 # Source files: lines of documents with code put in for every third line, by position, and a
@@ -193,9 +193,11 @@ class Store:
 
     @cached_property
     def depends(self) -> DataFrame:
-        s, u = F.col("s_suppkey"), F.col("user_id")
-        first = self.table("supplier").select((s % 40).alias("node"), ((s * 7 + 3) % 40).alias("needs"))
-        return first.union(self.table("events").filter(u % 40 < 12).select(u % 40, (u + 1) % 40)).distinct()
+        """Groups of forty orders that need one another, some of them the next group."""
+        k = F.col("o_orderkey")
+        orders, own = self.table("orders"), k - k % 40
+        other = F.when((k % 40 < 12) | (k % 160 == 39), k + 1).otherwise(own + (k * 3 + 1) % 40)
+        return orders.select(k.alias("node"), (own + (k * 7 + 3) % 40).alias("needs")).union(orders.select(k, other)).distinct()
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -225,9 +227,11 @@ class Store:
     @cached_property
     def item_needs(self) -> DataFrame:
         k = F.col("o_orderkey")
-        out = self.table("orders").filter(k % 3 == 0).select(k.alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+        """Every third order has two needs, every third one, and every third none."""
+        two, one, none = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array().cast("array<int>")
+        out = self.table("orders").select(k.alias("id"), F.explode(F.when(k % 3 == 0, two).when(k % 3 == 1, one).otherwise(none)).alias("position"))
         i = F.col("id")
-        return out.select("id", "position", F.when(F.col("position") == 0, i + 5).when(i % 11 == 0, -i).otherwise(F.floor(i / 2) + 3).cast("long").alias("needs"))
+        return out.select("id", "position", F.when(i % 3 == 1, i + 1).when(F.col("position") == 0, i + 5).when(i % 11 == 0, -i).otherwise(F.floor(i / 2) + 3).cast("long").alias("needs"))
 
     @cached_property
     def sources(self) -> DataFrame:

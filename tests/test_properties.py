@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as X
@@ -77,8 +78,11 @@ def test_normalise_against_a_plain_model(spark):
         assert x["n"] == " ".join(w for w in words if w)
 
 
-def test_closure_and_rings_against_a_plain_model(spark):
-    r = random.Random(11)
+@pytest.mark.parametrize("local", [10**6, 3, 0])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_closure_and_rings_against_a_plain_model(spark, monkeypatch, local, seed):
+    monkeypatch.setattr(G, "LOCAL_EDGES", local)
+    r = random.Random(seed)
     edges = {(r.randrange(14), r.randrange(14)) for _ in range(20)}
     reach = set(edges)
     while True:
@@ -90,6 +94,20 @@ def test_closure_and_rings_against_a_plain_model(spark):
     assert rows(G.closure(df)) == sorted(reach, key=str)
     ring = {a: min(b for x, b in reach if x == a and (b, a) in reach) for a, b in reach if a == b}
     assert dict(rows(G.rings(df))) == ring
+    roots = df.filter("src < 3").select(F.col("src").alias("node")).distinct()
+    stop = spark.createDataFrame([(5,), (2,)], "node bigint")
+    free = {(a, b) for a, b in edges if not {a, b} & {5, 2}}
+    seen = {a for a, _ in edges if a < 3 and a != 2}
+    while more := {b for a, b in free if a in seen} - seen:
+        seen |= more
+    assert sorted(x["node"] for x in G.reach(roots, df, stop).collect()) == sorted(seen)
+    down = {(max(e), min(e)) for e in edges if e[0] != e[1]}
+    level = {}
+    for n in range(14):
+        level[n] = max((level[b] + 1 for a, b in down if a == n), default=0)
+    nodes = spark.range(14).select(F.col("id").alias("node"))
+    got = G.levels(nodes, spark.createDataFrame(sorted(down), "src bigint, dst bigint"))
+    assert dict(rows(got)) == level
 
 
 def test_containment_of_paths_against_a_plain_model(spark):
