@@ -9,7 +9,7 @@ words by their last three bytes; classes hold about the square root of their num
 network has vectors for every word of any vocabulary, as context and as target; only words
 that share a group share vectors, and their parts of the group's probability are add-half
 shares of its count, where each group keeps a share for one unseen word. Both softmaxes are
-exact when scoring, by batched matrix products in double precision: probabilities of all known
+exact when scoring, by batched matrix products (exponentials in single precision): probabilities of all known
 words and of one unseen word per group sum to one.
 
 Training. Word counts are exact over all training rows (shuffled, partly summed first).
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import common as C
 
 END = b"\n"  # no word holds white space
-WORDS, BUCKETS, TOP, DIM, NOISE, BATCH, RATE, SHARD = 8_191, 2_048, 200_000, 16, 24, 512, 0.1, 2_000_000
+WORDS, BUCKETS, TOP, DIM, NOISE, INNER, BATCH, RATE, SHARD = 8_191, 2_048, 200_000, 8, 16, 2, 2_048, 0.1, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -153,75 +153,95 @@ class Lbl:
     def train(self, blocks, vocabulary: Vocabulary, seed: int, rate: float = RATE) -> int:
         """One pass over blocks of (u, v, target); returns how many tokens it saw.
 
-        Of each block, the classes of the targets are learned in batches of any tokens, then the
-        targets among their classes in batches of one class each.
-        """
+        A batch draws ``NOISE`` classes, the same for all of its tokens, and for each token
+        ``INNER`` symbols of the target's own class; both by unigram shares. Steps are scaled
+        by the gradients met so far (Adagrad), rows by rows."""
         rng = np.random.default_rng(seed)
-        past = Lbl.__new__(Lbl)
-        past.r, past.q, past.k, past.c1, past.c2, past.b, past.kb = (np.full_like(x, 1e-8) for x in (self.r, self.q, self.k, self.c1, self.c2, self.b, self.kb))
+        short = np.uint16 if self.size < 1 << 16 else np.int64  # short numbers sort quicker
+        top = vocabulary.class_share
+        own = (vocabulary.share / np.repeat(top, self.width)[: self.size]).astype(np.float32)
+        edge, top_edge = np.cumsum(vocabulary.share), np.cumsum(top)
+        before = np.concatenate([[0.0], top_edge[:-1]])
+        log_noise, log_top = np.log(INNER * own), np.log(NOISE * top).astype(np.float32)
+        qb = np.concatenate([self.q, self.b[:, None]], axis=1)  # a symbol's vector and bias
+        past = [np.full_like(x, 1e-8) for x in (self.r, qb, self.k, self.kb, self.c1, self.c2)]
         seen = 0
+
+        def scaled(x, p, g):
+            p += g * g
+            x += rate * g / np.sqrt(p)
+
+        def scaled_rows(x, p, rows, g):
+            p_rows = p[rows] + g * g
+            p[rows] = p_rows
+            x[rows] += rate * g / np.sqrt(p_rows)
+
         for u, v, w in blocks:
             order = rng.permutation(len(w))
-            u, v, w = u[order], v[order], w[order]
-            kind = w // self.width
+            u, v, w = u[order].astype(short), v[order].astype(short), w[order].astype(short)
+            kind = (w // self.width).astype(short)
+            low, room = before[kind], top[kind]
             for lo in range(0, len(w), BATCH):
                 s = slice(lo, lo + BATCH)
-                self._step(past, rng, rate, u[s], v[s], kind[s], self.k, self.kb, past.k, past.kb, vocabulary.class_share)
-            by_class = np.argsort(kind, kind="stable")
-            edge = np.flatnonzero(np.diff(kind[by_class])) + 1
-            runs = np.split(by_class, edge)
-            for j in rng.permutation(len(runs)).tolist():
-                first = int(self.starts[kind[runs[j][0]]]) if len(runs[j]) else 0
-                own = slice(first, first + self.width)
-                share = vocabulary.share[own] / vocabulary.share[own].sum()
-                for lo in range(0, len(runs[j]), BATCH):
-                    i = runs[j][lo : lo + BATCH]
-                    self._step(past, rng, rate, u[i], v[i], w[i] - first, self.q[own], self.b[own], past.q[own], past.b[own], share)
+                bu, bv, bw, bk = u[s], v[s], w[s], kind[s]
+                scale = np.float32(1 / len(bw))
+                ru, rv = self.r[bu], self.r[bv]
+                hat = ru @ self.c1 + rv @ self.c2
+                # classes
+                n = np.minimum(np.searchsorted(top_edge, rng.random(NOISE)), len(top) - 1)
+                kw, kn, bias = self.k[bk], self.k[n], self.kb - log_top
+                data = np.einsum("ij,ij->i", hat, kw) + bias[bk]
+                noise = hat @ kn.T + bias[n]
+                # symbols of the target's class: the target first, then its noise
+                drawn = np.searchsorted(edge, low[s, None] + rng.random((len(bw), INNER)) * room[s, None])
+                first = bk.astype(np.int64)[:, None] * self.width
+                drawn = np.clip(drawn, first, np.minimum(first + self.width, self.size) - 1)
+                at = np.concatenate([bw[:, None], drawn.astype(short)], axis=1)
+                rows = qb[at]
+                inner = np.einsum("ij,ikj->ik", hat, rows[:, :, :-1]) + rows[:, :, -1] - log_noise[at]
+                inner[:, 0] *= -1
+                with np.errstate(over="ignore"):  # an infinite exponential is a step of zero
+                    dd = scale / (1 + np.exp(data))  # 1 - sigmoid
+                    dn = -scale / (1 + np.exp(-noise))
+                    di = -scale / (1 + np.exp(-inner))
+                di[:, 0] *= -1
+                dhat = dd[:, None] * kw + dn @ kn + np.einsum("ik,ikj->ij", di, rows[:, :, :-1])
+                wide = np.concatenate([hat, np.ones((len(bw), 1), np.float32)], axis=1)
+                gk, gkb = np.zeros_like(self.k), np.zeros_like(self.kb)
+                places, sums = _sums(bk, dd[:, None] * wide)
+                gk[places], gkb[places] = sums[:, :-1], sums[:, -1]
+                np.add.at(gk, n, dn.T @ hat)
+                np.add.at(gkb, n, dn.sum(axis=0))
+                scaled_rows(qb, past[1], *_sums(at.ravel(), (di[:, :, None] * wide[:, None, :]).reshape(-1, DIM + 1)))
+                scaled_rows(self.r, past[0], *_sums(np.concatenate([bu, bv]), np.concatenate([dhat @ self.c1.T, dhat @ self.c2.T])))
+                for x, p, g in ((self.k, past[2], gk), (self.kb, past[3], gkb), (self.c1, past[4], ru.T @ dhat), (self.c2, past[5], rv.T @ dhat)):
+                    scaled(x, p, g)
             seen += len(w)
+        self.q[:], self.b[:] = qb[:, :-1], qb[:, -1]
         return seen
 
-    def _step(self, past, rng, rate, u, v, w, q, b, past_q, past_b, share) -> None:
-        """One step of noise-contrastive estimation of targets w among the rows of q."""
-        n = np.minimum(np.searchsorted(np.cumsum(share), rng.random(NOISE)), len(share) - 1)
-        log_noise = np.log(NOISE * share).astype(np.float32)
-        ru, rv, qw, qn = self.r[u], self.r[v], q[w], q[n]
-        hat = ru @ self.c1 + rv @ self.c2
-        data = np.einsum("ij,ij->i", hat, qw) + b[w] - log_noise[w]
-        noise = hat @ qn.T + (b[n] - log_noise[n])
-        scale = np.float32(1 / len(w))
-        dd = scale / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
-        dn = -scale / (1 + np.exp(np.clip(-noise, -30, 30)))
-        dhat = dd[:, None] * qw + dn @ qn
-        gq, gb = np.zeros_like(q), np.zeros_like(b)
-        _add(gq, w, dd[:, None] * hat)
-        _add(gb, w, dd)
-        np.add.at(gq, n, dn.T @ hat)
-        np.add.at(gb, n, dn.sum(axis=0))
-        rows, gr = _sums(np.concatenate([u, v]), np.concatenate([dhat @ self.c1.T, dhat @ self.c2.T]))
-        for x, p, g in ((q, past_q, gq), (b, past_b, gb), (self.c1, past.c1, ru.T @ dhat), (self.c2, past.c2, rv.T @ dhat)):
-            p += g * g
-            x += rate * g / np.sqrt(p)
-        p = past.r[rows] + gr * gr
-        past.r[rows] = p
-        self.r[rows] += rate * gr / np.sqrt(p)
-
     def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural log of each symbol's probability in its context, in doubles."""
-        hat = self.before(u, v)
+        """Natural log of each symbol's probability in its context."""
         kind = w // self.width
         out = np.empty(len(w))
         q, b, k, kb = (x.astype(np.float64) for x in (self.q, self.b, self.k, self.kb))
-        for lo in range(0, len(w), 8192):
-            s = slice(lo, lo + 8192)
-            out[s] = _log_softmax(hat[s] @ k.T + kb, kind[s])
-        by_class = np.argsort(kind, kind="stable")
+        # the classes' scores depend on the context alone: once for each context of the block
+        context, of = np.unique(u.astype(np.int64) * (self.size + 1) + v, return_inverse=True)
+        seen = self.before(context // (self.size + 1), context % (self.size + 1))
+        z = np.empty(len(context))
+        for lo in range(0, len(z), 4096):
+            s = slice(lo, lo + 4096)
+            z[s] = _log_sum(seen[s] @ k.T + kb)
+        hat = seen[of]
+        out = np.einsum("ij,ij->i", hat, k[kind]) + kb[kind] - z[of]
+        out += np.einsum("ij,ij->i", hat, q[w]) + b[w]
+        by_class = np.argsort(kind.astype(np.uint16) if len(kb) < 1 << 16 else kind, kind="stable")
         for run in np.split(by_class, np.flatnonzero(np.diff(kind[by_class])) + 1):
             if len(run):
-                first = int(self.starts[kind[run[0]]])
-                own = slice(first, first + self.width)
-                for lo in range(0, len(run), 8192):
-                    i = run[lo : lo + 8192]
-                    out[i] += _log_softmax(hat[i] @ q[own].T + b[own], w[i] - first)
+                own = slice(int(self.starts[kind[run[0]]]), int(self.starts[kind[run[0]]]) + self.width)
+                for lo in range(0, len(run), 4096):
+                    i = run[lo : lo + 4096]
+                    out[i] -= _log_sum(hat[i] @ q[own].T + b[own])
         return out
 
     def before(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -232,27 +252,20 @@ class Lbl:
         return self._before[0][u] + self._before[1][v]
 
 
-def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row of s at one place of it; overwrites s."""
-    own = s[np.arange(len(s)), at]
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row; exponentials in single precision."""
     top = s.max(axis=1)
-    s -= top[:, None]
-    np.exp(s, out=s)
-    return own - top - np.log(s.sum(axis=1))
+    return np.log(np.exp((s - top[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64)) + top
 
 
 def _sums(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of ``at`` and the sums of their rows, by one sort."""
     order = np.argsort(at, kind="stable")
     own = at[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[first], np.add.reduceat(what[order], first, axis=0)
-
-
-def _add(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
-    """to[at] += what, with repeats."""
-    rows, sums = _sums(at, what)
-    to[rows] += sums
+    last = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]]))
+    total = np.cumsum(what[order], axis=0)[last]
+    total[1:] -= total[:-1].copy()
+    return own[last], total
 
 
 def _contexts(symbols: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
