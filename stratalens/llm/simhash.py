@@ -17,6 +17,10 @@ A bucket returns a spanning forest of its links, not its pairs: at most one edge
 fingerprint. Components come from large-star / small-star rounds over edges in the shared
 folder; nothing of the corpus reaches the driver but counts.
 
+For a corpus' own near-duplicate stage, ``keep_one`` groups by the Jaccard similarity of shingle
+sets: most texts of similarity 0.8 differ in more than four bits, so the index alone cannot give
+right results. Its links are candidates there, completed by an exact prefix join.
+
 Defined cases: null or wordless texts have fingerprint zero and are linked like any other;
 fewer words than a shingle give one shingle of all words; repeated rows stay rows of their
 own; a null id gets its group's component; a group of null ids only has component null.
@@ -24,6 +28,8 @@ own; a null id gets its group's component; a group of null ids only has componen
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -329,20 +335,174 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.join(label, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 4, k: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: the row of the smallest id.
+# ---- one of each group of similar texts ----------------------------------------------------
+
+# A shingle in more prefixes than this is a hot one.
+HOT_POSTING = 32
+_ORDER_BITS = 20
+
+
+def _distinct_shingles(text: str | None, size: int) -> tuple[np.ndarray, int]:
+    """The sorted distinct shingle hashes of a text, and its fingerprint."""
+    h = shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), size)
+    return np.unique(h), majority(h)
+
+
+def _prefix_size(n: int, similarity: float) -> int:
+    """So many shingles of n hold one that any set of at least that Jaccard similarity has too."""
+    return n - math.ceil(round(similarity * n, 9)) + 1 if n else 0
+
+
+def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
+    """(row, fp, same, prefix) of rows (row, text).
+
+    same: a hash of the set of shingles. prefix: its first shingles in a global order: those
+    marked in the bit table ``hot`` come last, others by their hashes."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "fp", "same")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        table = np.unpackbits(hot.value) if hot is not None else None
+        for b in batches:
+            fp, same, prefix = [], [], []
+            for t in b.column(1):
+                own, code = _distinct_shingles(t.as_py(), size)
+                fp.append(code)
+                same.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
+                n = _prefix_size(len(own), similarity)
+                if table is not None:
+                    late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
+                    own = np.concatenate([own[~late], own[late]])
+                prefix.append(own[:n].astype(np.int64))
+            longs = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
+            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), longs(fp), longs(same), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _marked(hashes: DataFrame) -> np.ndarray:
+    """A packed bit table of fixed size (128 KB) in which the first bits of ``hashes`` (h) are set."""
+
+    def run(batches):
+        table = np.zeros(1 << _ORDER_BITS, bool)
+        for b in batches:
+            table[b.column(0).to_numpy().astype(np.uint64) >> np.uint64(64 - _ORDER_BITS)] = True
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["k", "bits"])
+
+    def merged(key, frame):
+        import pandas as pd
+
+        return pd.DataFrame({"k": [0], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["bits"]]).tobytes()]})
+
+    # one table a task, merged in sixteen groups, then on the driver: 128 KB each
+    parts = hashes.mapInArrow(run, "k int, bits binary")
+    some = parts.withColumn("k", F.spark_partition_id() % 16).groupBy("k").applyInPandas(merged, "k int, bits binary")
+    out = np.zeros((1 << _ORDER_BITS) // 8, np.uint8)
+    for r in some.collect():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (src, dst) of ``texts`` (same, text) whose sets of shingles are that similar."""
+
+    def run(batches):
+        for b in batches:
+            keep, known = [], {}
+            for s, d, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                sets = []
+                for key, t in ((s, x), (d, y)):
+                    if key not in known:
+                        if len(known) > 2000:
+                            known.clear()
+                        known[key] = _distinct_shingles(t, size)[0]
+                    sets.append(known[key])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                keep.append(both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    wide = pairs.join(texts.select(F.col("same").alias("src"), F.col("text").alias("x")), "src").join(texts.select(F.col("same").alias("dst"), F.col("text").alias("y")), "dst")
+    return wide.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+
+
+def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row, text): (row, same) of all rows, and (node, root) of grouped values of ``same``.
+
+    Groups are the components of "Jaccard similarity of the sets of ``size``-word shingles is at
+    least ``similarity``". Rows of one set are one node. Candidates are the SimHash index's links
+    of at most ``k`` bits, and, since most similar texts differ in more bits, pairs that share a
+    shingle of their prefixes. All candidates are verified on the texts.
+
+    Prefixes follow one order in which shingles that stand in over ``hot_posting`` prefixes come
+    last (two rounds). Shingles that are still in so many prefixes belong to large groups of texts
+    made of the same passages; no pairs are made there: members are compared with a few drawn
+    pivots, again with other pivots as long as a round links anything.
+    """
+    spark = keyed.sparkSession
+    first = C.write_table(_sketches(keyed.select("row", "text"), size, similarity, None))
+    nodes = C.write_table(first.groupBy("same").agg(F.min_by(F.struct("row", "fp"), "row").alias("r")).select("same", "r.row", "r.fp"))
+    texts = keyed.join(nodes.select("row", "same"), "row").select("same", "row", "text")
+    # the SimHash index: links of few bits, and nodes that share a fingerprint
+    codes = nodes.groupBy("fp").agg(F.min("same").alias("least"))
+    alike = nodes.join(codes, "fp").filter("same <> least").select(F.col("same").alias("src"), F.col("least").alias("dst"))
+    codes = C.write_table(codes)
+    near = similar_edges(codes.select("fp"), k).join(codes.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(codes.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
+    links = C.write_table(_verified(near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(alike), texts, size, similarity))
+    # prefixes, hot shingles last
+    prefixes = first.join(nodes.select("row"), "row", "left_semi").select("row", "same", "prefix")
+    hot, table = None, None
+    for turn in range(3):
+        postings = prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = C.write_table(postings)
+        many = shared.filter(F.col("n") > hot_posting)
+        if turn == 2 or many.isEmpty():
+            break
+        marked = _marked(many.select("h"))
+        table = marked if table is None else table | marked
+        hot = spark.sparkContext.broadcast(table)
+        prefixes = C.write_table(_sketches(texts.select("row", "text"), size, similarity, hot)).select("row", "same", "prefix")
+    tokens = C.write_table(prefixes.select("same", F.explode("prefix").alias("h")).join(shared, "h"))
+    member = components(links)
+
+    def grouped(df, member):
+        return df.join(member, df["same"] == member["node"], "left").select(*df.columns, F.coalesce("root", "same").alias("root"))
+
+    few = grouped(tokens.filter(F.col("n") <= hot_posting).select("same", "h"), member)
+    a, b = (few.select("h", F.col("same").alias(x), F.col("root").alias(r)) for x, r in (("src", "ra"), ("dst", "rb")))
+    pairs = a.join(b, "h").filter("src < dst and ra <> rb").select("src", "dst").distinct()
+    links = links.unionByName(C.write_table(_verified(pairs, texts, size, similarity)))
+    member, turn = components(links), 0
+    crowded = tokens.filter(F.col("n") > hot_posting).select("same", "h")
+    while not crowded.isEmpty():
+        own = grouped(crowded, member)
+        drawn = own.groupBy("h").agg(*[F.min_by(F.struct("same", "root"), F.xxhash64("root", F.lit(4 * turn + j))).alias(f"p{j}") for j in range(4)])
+        pivots = drawn.select("h", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(4)]))).alias("p"))
+        pairs = own.join(pivots, "h").filter("root <> p.root").select(F.least("same", "p.same").alias("src"), F.greatest("same", "p.same").alias("dst")).distinct()
+        new = C.write_table(_verified(pairs, texts, size, similarity))
+        if new.isEmpty():
+            break
+        links, turn = links.unionByName(new), turn + 1
+        member = components(links)
+    return first.select("row", "same"), member
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the row of the smallest id.
 
     Rows that share that id (repeated rows) are one document: one of them stays. Rows of a
-    group that has null ids only cannot be told apart: one of them stays.
+    group that has null ids only cannot be told apart: one of them stays. Null and wordless
+    texts are one group; texts of fewer words than a shingle are one shingle. Columns stay as
+    they are, whatever their names; an empty table stays empty.
     """
     names = docs.columns
     # the row's own columns stay together in one, so that no name of theirs can clash
     keyed = C.write_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    rows, member = similar_groups(keyed.select("row", F.col(f"doc.`{text}`").alias("text")), size=size, similarity=similarity, k=k, hot_posting=hot_posting)
     # the smallest (id, row) of a group, ids before nulls
-    rows = C.write_table(fingerprints(keyed.select(F.col(f"doc.`{id}`").alias("id"), "row", F.col(f"doc.`{text}`").alias("text")), size=size))
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row")))
-    codes = C.write_table(rows.groupBy("fp").agg(first.alias("first")))
-    member = components(similar_edges(codes.select("fp"), k))
-    kept = codes.join(member, codes["fp"] == member["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    least = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row")))
+    per_node = keyed.select("row", F.col(f"doc.`{id}`").alias("id")).join(rows, "row").groupBy("same").agg(least.alias("first"))
+    kept = per_node.join(member, per_node["same"] == member["node"], "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.row").alias("row"))
     return keyed.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm.test_decontaminate import WORD, lower
 from tests.llm.test_packing import check, library
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_groups
 
 from stratalens.llm import langid
 
@@ -10,9 +10,8 @@ def test_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     known = {r["doc_id"] for r in langid.predict(docs, langid.fit(docs, ~langid.held_out())).filter("lang_pred <> 'und' and not ambiguous").collect()}
-    prints = [(d, plain_fingerprint(t)) for d, t in rows.items() if d in known]
-    group = plain_components(prints)
-    first = {d for d, f in prints if group[d, f] == d}
+    ids = sorted(known)
+    first = {d for i, (d, group) in enumerate(zip(ids, plain_groups([rows[d] for d in ids]))) if i == group}
     windows = set()
     for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
         w = WORD.findall(lower(r["text"]))

@@ -129,3 +129,56 @@ def test_internal_names_as_input_columns(spark):
     d = spark.createDataFrame([(1, "a b c d e", *names), (2, "a b c d e", *names), (3, "something else is here", *names)], ["doc_id", "text", *names])
     left = simhash.keep_one(d)
     assert left.columns == d.columns and sorted((r["doc_id"], *r[2:]) for r in left.collect()) == [(i, *names) for i in (1, 3)]
+
+
+def plain_groups(texts, size=5, similarity=0.8):
+    """Smallest place of each text's group, by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    of = {}
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        first = of.setdefault(frozenset(s), i)
+        if first != i:
+            parent[root(i)] = root(first)
+            continue
+        for j in set(of.values()) - {i}:
+            both = len(s & sets[j])
+            if s and both >= similarity * (len(s) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def similar_texts():
+    """Groups of near copies of several sizes and edits, texts made of one common passage, and odd ones."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    out = []
+    for group in range(12):
+        base = [word() for _ in range(r.choice([6, 40, 120]))]
+        for _ in range([2, 3, 60][group % 3]):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = word()
+            out.append(" ".join(w))
+    passage = " ".join(word() for _ in range(60))
+    out += [f"{' '.join(word() for _ in range(n))} {passage}" for n in range(2, 40)]
+    return out + [None, "", "  ", "one", "One", "one two", "x " * 20_000, "x " * 20_000]
+
+
+def test_keep_one_against_all_pairs(spark):
+    texts = similar_texts()
+    want = {i for i, root in enumerate(plain_groups(texts)) if i == root}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for hot in (1000, 8):
+        got = {r["doc_id"] for r in simhash.keep_one(d, hot_posting=hot).collect()}
+        assert got == want
