@@ -354,21 +354,26 @@ def _prefix_size(n: int, similarity: float) -> int:
 
 
 def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
-    """(row, fp, same, prefix) of rows (row, text).
+    """(row, fp, same, n, parity, prefix) of rows (row, text).
 
-    same: a hash of the set of shingles. prefix: its first shingles in a global order: those
+    same: a hash of the set of shingles, n: its size. parity: whether each of 1,024 cells gets an
+    odd number of its shingles; two sets differ in as many shingles at least as their parities in
+    bits. prefix: its first shingles in a global order: those
     marked in the bit table ``hot`` come last, others by their hashes."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "fp", "same")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "fp", "same", "n")] + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("parity", "prefix")])
 
     def run(batches):
         table = np.unpackbits(hot.value) if hot is not None else None
         for b in batches:
-            fp, same, prefix = [], [], []
+            fp, same, size_, parity, prefix = [], [], [], [], []
             for t in b.column(1):
                 own, code = _distinct_shingles(t.as_py(), size)
                 fp.append(code)
                 same.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
                 n = _prefix_size(len(own), similarity)
+                size_.append(len(own))
+                odd = np.bincount((own & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if table is not None:
                     late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
                     own = np.concatenate([own[~late], own[late]])
@@ -376,7 +381,8 @@ def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
             longs = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), longs(fp), longs(same), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1, dtype=np.int32) * 16), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), longs(fp), longs(same), pa.array(size_, pa.int64()), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -405,8 +411,11 @@ def _marked(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (src, dst) of ``texts`` (same, text) whose sets of shingles are that similar."""
+def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (src, dst) of ``nodes`` (same, row, n, parity) whose texts' sets are that similar.
+
+    Pairs that sizes or parities exclude need no text. Pairs and the texts that they need are tables of their own, so that Spark knows their sizes
+    and all other texts stay where they are."""
 
     def run(batches):
         for b in batches:
@@ -423,8 +432,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
                 keep.append(both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
+    a = nodes.select(F.col("same").alias("src"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = nodes.select(F.col("same").alias("dst"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    may = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (apart <= most)
+    spark, made = keyed.sparkSession, []
+
+    def held(df):
+        made.append(C.shared_dir(spark))
+        return C.write_table(df, made[-1])
+
+    pairs = held(held(pairs).join(a, "src").join(b, "dst").filter(may).select("src", "dst"))
+    ends = pairs.select(F.col("src").alias("same")).union(pairs.select("dst")).distinct()
+    ends = held(nodes.join(ends, "same").select("same", "row"))
+    texts = held(keyed.join(ends, "row").select("same", "text"))
     wide = pairs.join(texts.select(F.col("same").alias("src"), F.col("text").alias("x")), "src").join(texts.select(F.col("same").alias("dst"), F.col("text").alias("y")), "dst")
-    return wide.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    found = C.write_table(wide.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
+    for path in made:
+        C.drop_table(spark, path)
+    return found
 
 
 def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> tuple[DataFrame, DataFrame]:
@@ -436,55 +463,86 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     shingle of their prefixes. All candidates are verified on the texts.
 
     Prefixes follow one order in which shingles that stand in over ``hot_posting`` prefixes come
-    last (two rounds). Shingles that are still in so many prefixes belong to large groups of texts
-    made of the same passages; no pairs are made there: members are compared with a few drawn
-    pivots, again with other pivots as long as a round links anything.
+    last. Of each posting (texts that share a prefix shingle) all members are compared with the
+    one that shares most, which makes one group of most copies; then each member outside of the
+    posting's largest group is compared with all others, if there are at most ``hot_posting`` such
+    members. In postings with more, texts made of the same passages that are not similar to one
+    another, members are compared with drawn pivots, again with others as long as that links
+    anything: no posting's pairs are all made, so there alone a link can be missed.
     """
     spark = keyed.sparkSession
     first = C.write_table(_sketches(keyed.select("row", "text"), size, similarity, None))
-    nodes = C.write_table(first.groupBy("same").agg(F.min_by(F.struct("row", "fp"), "row").alias("r")).select("same", "r.row", "r.fp"))
-    texts = keyed.join(nodes.select("row", "same"), "row").select("same", "row", "text")
+    nodes = C.write_table(first.groupBy("same").agg(F.min("row").alias("row")).join(first.drop("same"), "row").select("same", "row", "fp", "n", "parity"))
     # the SimHash index: links of few bits, and nodes that share a fingerprint
     codes = nodes.groupBy("fp").agg(F.min("same").alias("least"))
     alike = nodes.join(codes, "fp").filter("same <> least").select(F.col("same").alias("src"), F.col("least").alias("dst"))
     codes = C.write_table(codes)
     near = similar_edges(codes.select("fp"), k).join(codes.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(codes.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
-    links = C.write_table(_verified(near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(alike), texts, size, similarity))
+    links = _verified(near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(alike), nodes, keyed, size, similarity)
     # prefixes, hot shingles last
-    prefixes = first.join(nodes.select("row"), "row", "left_semi").select("row", "same", "prefix")
-    hot, table = None, None
-    for turn in range(3):
-        postings = prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = C.write_table(postings)
-        many = shared.filter(F.col("n") > hot_posting)
-        if turn == 2 or many.isEmpty():
-            break
-        marked = _marked(many.select("h"))
-        table = marked if table is None else table | marked
-        hot = spark.sparkContext.broadcast(table)
-        prefixes = C.write_table(_sketches(texts.select("row", "text"), size, similarity, hot)).select("row", "same", "prefix")
+    own_row = nodes.select("row")
+    prefixes = first.join(own_row, "row", "left_semi").select("same", "prefix")
+
+    def postings(prefixes):
+        return C.write_table(prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+
+    shared = postings(prefixes)
+    many = shared.filter(F.col("n") > hot_posting).select("h")
+    if not many.isEmpty():
+        hot = spark.sparkContext.broadcast(_marked(many))
+        again = C.write_table(_sketches(keyed.select("row", "text"), size, similarity, hot).select("row", "same", "prefix"))
+        prefixes = again.join(own_row, "row", "left_semi").select("same", "prefix")
+        shared = postings(prefixes)
     tokens = C.write_table(prefixes.select("same", F.explode("prefix").alias("h")).join(shared, "h"))
     member = components(links)
 
     def grouped(df, member):
         return df.join(member, df["same"] == member["node"], "left").select(*df.columns, F.coalesce("root", "same").alias("root"))
 
-    few = grouped(tokens.filter(F.col("n") <= hot_posting).select("same", "h"), member)
-    a, b = (few.select("h", F.col("same").alias(x), F.col("root").alias(r)) for x, r in (("src", "ra"), ("dst", "rb")))
-    pairs = a.join(b, "h").filter("src < dst and ra <> rb").select("src", "dst").distinct()
-    links = links.unionByName(C.write_table(_verified(pairs, texts, size, similarity)))
-    member, turn = components(links), 0
-    crowded = tokens.filter(F.col("n") > hot_posting).select("same", "h")
-    while not crowded.isEmpty():
-        own = grouped(crowded, member)
-        drawn = own.groupBy("h").agg(*[F.min_by(F.struct("same", "root"), F.xxhash64("root", F.lit(4 * turn + j))).alias(f"p{j}") for j in range(4)])
-        pivots = drawn.select("h", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(4)]))).alias("p"))
-        pairs = own.join(pivots, "h").filter("root <> p.root").select(F.least("same", "p.same").alias("src"), F.greatest("same", "p.same").alias("dst")).distinct()
-        new = C.write_table(_verified(pairs, texts, size, similarity))
+    def link(pairs):
+        """Verifies pairs (a, b) of nodes; the new links, if any, join the others."""
+        nonlocal links, member
+        pairs = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        new = _verified(pairs, nodes, keyed, size, similarity)
         if new.isEmpty():
-            break
-        links, turn = links.unionByName(new), turn + 1
+            return False
+        links = links.unionByName(new)
         member = components(links)
+        return True
+
+    # One star for each posting. Its middle is the member with most shared shingles in its prefix:
+    # the prefixes of edited copies begin with their own edits, that of what they were made from
+    # does not. So one round makes one group of most copies.
+    degree = tokens.groupBy("same").agg(F.count("*").alias("shared"))
+    tokens = C.write_table(tokens.join(degree, "same").select("same", "h", "shared"))
+    stars = tokens.groupBy("h").agg(F.max(F.struct("shared", "same")).alias("p")).select("h", F.col("p.same").alias("pivot"))
+    stars = grouped(tokens.join(stars, "h").filter("same <> pivot").select("same", "pivot").distinct(), member)
+    least = member.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    stars = stars.join(least, "pivot", "left").filter(F.col("root") != F.coalesce("pivot_root", "pivot"))
+    link(stars.select(F.col("same").alias("a"), F.col("pivot").alias("b")))
+    turn, more = 0, True
+    while more:
+        # members of a posting outside of its largest group; postings of one group are done
+        own = C.write_table(grouped(tokens, member))
+        sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"))
+        sizes = C.write_table(sizes.filter("strays > 0"))
+        tokens = C.write_table(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
+        crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
+        more = False
+        if not crowded.isEmpty():
+            among = own.join(crowded, "h")
+            member_of = F.struct("same", "root")
+            outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root"))
+            drawn = among.groupBy("h").agg(F.max(outside).alias("m"), *[F.min_by(member_of, F.xxhash64("same", F.lit(2 * turn + j))).alias(f"p{j}") for j in range(2)])
+            middle = F.struct(F.col("m.same").alias("same"), F.col("m.root").alias("root"))
+            pivots = drawn.select("h", F.explode(F.array_distinct(F.array(middle, "p0", "p1"))).alias("p"))
+            more = link(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
+            turn += 1
+        if not more:  # in all others, each stray with every member of another group
+            few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
+            strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
+            more = link(strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")) and not crowded.isEmpty()
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
     return first.select("row", "same"), member
 
 
@@ -504,5 +562,5 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: i
     least = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row")))
     per_node = keyed.select("row", F.col(f"doc.`{id}`").alias("id")).join(rows, "row").groupBy("same").agg(least.alias("first"))
     kept = per_node.join(member, per_node["same"] == member["node"], "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.row").alias("row"))
+    kept = C.write_table(kept.select(F.col("first.row").alias("row")))
     return keyed.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
