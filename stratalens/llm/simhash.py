@@ -419,14 +419,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
 
     def run(batches):
         for b in batches:
-            keep, known = [], {}
+            keep, known, held_hashes = [], {}, 0
             for s, d, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 sets = []
                 for key, t in ((s, x), (d, y)):
                     if key not in known:
-                        if len(known) > 2000:
+                        if held_hashes > 1_000_000:  # 8 MB, whatever the texts' lengths
                             known.clear()
+                            held_hashes = 0
                         known[key] = _distinct_shingles(t, size)[0]
+                        held_hashes += len(known[key])
                     sets.append(known[key])
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 keep.append(both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9)
@@ -470,8 +472,19 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     another, members are compared with drawn pivots, again with others as long as that links
     anything: no posting's pairs are all made, so there alone a link can be missed.
     """
-    spark = keyed.sparkSession
-    first = C.write_table(_sketches(keyed.select("row", "text"), size, similarity, None))
+    spark, made = keyed.sparkSession, []
+
+    def held(df):
+        made.append(C.shared_dir(spark))
+        return C.write_table(df, made[-1])
+
+    def done(paths):
+        for path in paths:
+            C.drop_table(spark, path)
+            made.remove(path)
+
+    first = held(_sketches(keyed.select("row", "text"), size, similarity, None))
+    rows = C.write_table(first.select("row", "same"))
     nodes = C.write_table(first.groupBy("same").agg(F.min("row").alias("row")).join(first.drop("same"), "row").select("same", "row", "fp", "n", "parity"))
     # the SimHash index: links of few bits, and nodes that share a fingerprint
     codes = nodes.groupBy("fp").agg(F.min("same").alias("least"))
@@ -490,10 +503,12 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     many = shared.filter(F.col("n") > hot_posting).select("h")
     if not many.isEmpty():
         hot = spark.sparkContext.broadcast(_marked(many))
-        again = C.write_table(_sketches(keyed.select("row", "text"), size, similarity, hot).select("row", "same", "prefix"))
+        again = held(_sketches(keyed.select("row", "text"), size, similarity, hot).select("row", "same", "prefix"))
+        done(made[:1])
         prefixes = again.join(own_row, "row", "left_semi").select("same", "prefix")
         shared = postings(prefixes)
     tokens = C.write_table(prefixes.select("same", F.explode("prefix").alias("h")).join(shared, "h"))
+    done(list(made))
     member = components(links)
 
     def grouped(df, member):
@@ -523,10 +538,11 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     turn, more = 0, True
     while more:
         # members of a posting outside of its largest group; postings of one group are done
-        own = C.write_table(grouped(tokens, member))
+        past = list(made)
+        own = held(grouped(tokens, member))
         sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"))
-        sizes = C.write_table(sizes.filter("strays > 0"))
-        tokens = C.write_table(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
+        sizes = held(sizes.filter("strays > 0"))
+        tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
         crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
         more = False
         if not crowded.isEmpty():
@@ -542,8 +558,10 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
             few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
             strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
             more = link(strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")) and not crowded.isEmpty()
+        done(past)
         spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
-    return first.select("row", "same"), member
+    done(list(made))
+    return rows, member
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> DataFrame:
