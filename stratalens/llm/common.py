@@ -167,3 +167,15 @@ def hadoop_filesystem(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), uri.split("://", 1)[1]
     return fs.FileSystem.from_uri(uri)
+
+
+_ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def roll(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive word hashes."""
+    m = len(hashes) - n + 1
+    out = np.zeros(max(m, 0), np.uint64)
+    for j in range(n if m > 0 else 0):
+        out = out * _ROLL + hashes[j : j + m]
+    return mix(out + np.uint64(n))

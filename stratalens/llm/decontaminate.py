@@ -30,7 +30,6 @@ from . import common as C
 
 MAX_BROADCAST_WORDS = 2_000_000
 TABLE_BITS = 22
-_ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -46,15 +45,6 @@ def item_windows(text: str | None, n: int) -> list[bytes]:
     return [b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
 
 
-def _roll(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive word hashes."""
-    m = len(hashes) - n + 1
-    out = np.zeros(max(m, 0), np.uint64)
-    for j in range(n if m > 0 else 0):
-        out = out * _ROLL + hashes[j : j + m]
-    return C.mix(out + np.uint64(n))
-
-
 def phrase_hashes(phrases: list[bytes]) -> np.ndarray:
     """The hashes that the scan will see for these windows."""
     out = np.zeros(len(phrases), np.uint64)
@@ -62,7 +52,7 @@ def phrase_hashes(phrases: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(p, np.uint8)
         clean = np.where(raw == 32, 0, raw).astype(np.uint8)
         s, e = C.word_bounds(clean, np.zeros(1, np.int64))
-        out[i] = _roll(C.word_hashes(clean, s, e), len(s))[0]
+        out[i] = C.roll(C.word_hashes(clean, s, e), len(s))[0]
     return out
 
 
@@ -81,7 +71,7 @@ def _candidates(raw, offsets, lengths, table, bits):
     h = C.word_hashes(clean, s, e)
     found = []
     for n in lengths:
-        r = _roll(h, n)
+        r = C.roll(h, n)
         if len(r):
             at = np.flatnonzero(table[r >> np.uint64(64 - bits)])
             at = at[doc[at] == doc[at + n - 1]]

@@ -40,6 +40,8 @@ from . import common as C
 SEED = 42
 BITS = 64
 BUCKET_ROWS = 20_000
+# Components of a graph of at most so many edges (16 MB) are made in one task.
+FEW_EDGES = 1_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -289,11 +291,23 @@ def _search(k: int):
 # ---- components --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _united(batches):
+    """(node, root) of the edges of one task, whose number is bounded."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = unite(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+        own = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[label[own]], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, root) of every node of ``edges`` that is not its component's root itself.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014); each round's edges are
-    a table in the shared folder, and the last one but one is deleted.
+    a table in the shared folder, and the last one but one is deleted. At most ``few_edges`` edges,
+    counted first, are united in one task, with the same result: roots are least nodes.
     """
     spark = edges.sparkSession
 
@@ -309,6 +323,10 @@ def components(edges: DataFrame) -> DataFrame:
     current = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct()
     path = C.shared_dir(spark)
     current, last = C.write_table(current, path), None
+    if current.count() <= few_edges:
+        found = C.write_table(current.coalesce(1).mapInArrow(_united, "node long, root long"))
+        C.drop_table(spark, path)
+        return found
     while True:  # every round but the last lowers some end of an edge
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -342,10 +360,55 @@ HOT_POSTING = 32
 _ORDER_BITS = 20
 
 
-def _distinct_shingles(text: str | None, size: int) -> tuple[np.ndarray, int]:
-    """The sorted distinct shingle hashes of a text, and its fingerprint."""
-    h = shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), size)
-    return np.unique(h), majority(h)
+# Bytes of words [^\x20\x09-\x0D]+, A-Z lower-cased; NUL is one, as a byte that UTF-8 never has.
+TOKEN = C.class_table(lambda b: b != 32 and not 9 <= b <= 13)
+TOKEN[0] = 255
+
+
+def _shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles, repeats included, and the bounds of each text's own."""
+    clean = TOKEN[raw]
+    s, e = C.word_bounds(clean, offsets[:-1])
+    first = np.searchsorted(s, offsets)
+    h, words = C.word_hashes(clean, s, e), np.diff(first)
+    count = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    out, rolled = np.zeros(bounds[-1], np.uint64), C.roll(h, size)
+    at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], count)
+    whole = np.repeat(words >= size, count)
+    out[whole] = rolled[at[whole]]
+    for d in np.flatnonzero((words > 0) & (words < size)):
+        out[bounds[d]] = C.roll(h[first[d] : first[d + 1]], int(words[d]))[0]
+    return out, bounds
+
+
+def _majorities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text's shingle hashes."""
+    out, count = np.zeros(len(bounds) - 1, np.uint64), np.diff(bounds)
+    live = np.flatnonzero(count)
+    if len(live) == 1:  # maybe a long text: by blocks
+        out[live] = majority(h)
+    elif len(live):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, bounds[live], axis=0, dtype=np.int32)
+        out[live] = np.packbits(ones * 2 > count[live][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one text."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return np.unique(_shingles(raw, np.array([0, len(raw)]), size)[0])
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Which cells get an odd number of a set's hashes, as bits of longs.
+
+    The cells are the hashes' last bits: the least power of two of at least twice the set's size, 64
+    or more. Halves laid over one another by XOR are the parity of half as many cells."""
+    cells = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefix_size(n: int, similarity: float) -> int:
@@ -354,35 +417,39 @@ def _prefix_size(n: int, similarity: float) -> int:
 
 
 def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
-    """(row, fp, same, n, parity, prefix) of rows (row, text).
+    """(row, fp, same, n, parity, prefix) of rows (row, text); (row, prefix) where ``hot`` is given.
 
-    same: a hash of the set of shingles, n: its size. parity: whether each of 1,024 cells gets an
-    odd number of its shingles; two sets differ in as many shingles at least as their parities in
-    bits. prefix: its first shingles in a global order: those
-    marked in the bit table ``hot`` come last, others by their hashes."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "fp", "same", "n")] + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("parity", "prefix")])
+    same: a hash of the set of shingles, n: its size, parity: of its cells; two sets differ in as
+    many shingles at least as their parities in bits. prefix: its first shingles in a global order:
+    those marked in the bit table ``hot`` come last, others by their hashes."""
+    lists = lambda *names: [T.StructField(n, T.ArrayType(T.LongType())) for n in names]
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    schema = T.StructType([*longs("row", "fp", "same", "n"), *lists("parity", "prefix")] if hot is None else [*longs("row"), *lists("prefix")])
+
+    def listed(parts):
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
 
     def run(batches):
         table = np.unpackbits(hot.value) if hot is not None else None
         for b in batches:
-            fp, same, size_, parity, prefix = [], [], [], [], []
-            for t in b.column(1):
-                own, code = _distinct_shingles(t.as_py(), size)
-                fp.append(code)
-                same.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED))
-                n = _prefix_size(len(own), similarity)
-                size_.append(len(own))
-                odd = np.bincount((own & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                if table is not None:
-                    late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
-                    own = np.concatenate([own[~late], own[late]])
-                prefix.append(own[:n].astype(np.int64))
-            longs = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1, dtype=np.int32) * 16), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), longs(fp), longs(same), pa.array(size_, pa.int64()), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+            raw, off = C.text_column(b.column(1))
+            for lo, hi in C.chunks(off):
+                h, bounds = _shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                sets = [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+                prefix = []
+                for own in sets:
+                    n = _prefix_size(len(own), similarity)
+                    if table is not None:
+                        late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
+                        own = np.concatenate([own[~late], own[late]])
+                    prefix.append(own[:n])
+                columns = [b.column(0).slice(lo, hi - lo)]
+                if table is None:
+                    same = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
+                    columns += [pa.array(x.astype(np.int64)) for x in (_majorities(h, bounds), same, np.diff([0, *np.cumsum([len(x) for x in sets])]))]
+                    columns.append(listed([_parity(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*columns, listed(prefix)], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -411,11 +478,13 @@ def _marked(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (src, dst) of ``nodes`` (same, row, n, parity) whose texts' sets are that similar.
+def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float, tested: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The ``pairs`` (src, dst) of ``nodes`` (same, row, n, parity) whose texts' sets are that similar,
+    and the pairs whose texts were compared; None and None if there were none.
 
-    Pairs that sizes or parities exclude need no text. Pairs and the texts that they need are tables of their own, so that Spark knows their sizes
-    and all other texts stay where they are."""
+    Pairs that sizes or parities exclude need no text, and those ``tested`` before are passed over.
+    Pairs and the texts that they need are tables of their own, so that Spark knows their sizes and
+    all other texts stay where they are."""
 
     def run(batches):
         for b in batches:
@@ -427,7 +496,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
                         if held_hashes > 1_000_000:  # 8 MB, whatever the texts' lengths
                             known.clear()
                             held_hashes = 0
-                        known[key] = _distinct_shingles(t, size)[0]
+                        known[key] = _shingle_set(t, size)
                         held_hashes += len(known[key])
                     sets.append(known[key])
                 both = len(np.intersect1d(*sets, assume_unique=True))
@@ -436,7 +505,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
 
     a = nodes.select(F.col("same").alias("src"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = nodes.select(F.col("same").alias("dst"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # sizes within the similarity have as many cells, or one side has twice as many
+    cells = F.least(F.size("pa"), F.size("pb"))
+
+    def folded(p):
+        halves = F.zip_with(F.slice(p, F.lit(1), cells), F.slice(p, cells + 1, cells), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(p) > cells, halves).otherwise(F.col(p))
+
+    apart = F.aggregate(F.zip_with(folded("pa"), folded("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
     may = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (apart <= most)
     spark, made = keyed.sparkSession, []
@@ -445,7 +521,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
         made.append(C.shared_dir(spark))
         return C.write_table(df, made[-1])
 
-    pairs = held(held(pairs).join(a, "src").join(b, "dst").filter(may).select("src", "dst"))
+    pairs = held(pairs).join(a, "src").join(b, "dst").filter(may).select("src", "dst")
+    if tested is not None:
+        pairs = pairs.join(tested, ["src", "dst"], "left_anti")
+    pairs = C.write_table(pairs)
+    if pairs.isEmpty():
+        for path in made:
+            C.drop_table(spark, path)
+        return None, None
     ends = pairs.select(F.col("src").alias("same")).union(pairs.select("dst")).distinct()
     ends = held(nodes.join(ends, "same").select("same", "row"))
     texts = held(keyed.join(ends, "row").select("same", "text"))
@@ -453,7 +536,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
     found = C.write_table(wide.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
     for path in made:
         C.drop_table(spark, path)
-    return found
+    return found, pairs
 
 
 def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> tuple[DataFrame, DataFrame]:
@@ -491,10 +574,12 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     alike = nodes.join(codes, "fp").filter("same <> least").select(F.col("same").alias("src"), F.col("least").alias("dst"))
     codes = C.write_table(codes)
     near = similar_edges(codes.select("fp"), k).join(codes.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(codes.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
-    links = _verified(near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(alike), nodes, keyed, size, similarity)
+    near = near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    alike = alike.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    links, tested = _verified(near.unionByName(alike).distinct(), nodes, keyed, size, similarity)
     # prefixes, hot shingles last
-    own_row = nodes.select("row")
-    prefixes = first.join(own_row, "row", "left_semi").select("same", "prefix")
+    own_row = nodes.select("row", "same")
+    prefixes = first.select("row", "prefix").join(own_row, "row").select("same", "prefix")
 
     def postings(prefixes):
         return C.write_table(prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -503,25 +588,29 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     many = shared.filter(F.col("n") > hot_posting).select("h")
     if not many.isEmpty():
         hot = spark.sparkContext.broadcast(_marked(many))
-        again = held(_sketches(keyed.select("row", "text"), size, similarity, hot).select("row", "same", "prefix"))
+        again = held(_sketches(keyed.select("row", "text"), size, similarity, hot))
         done(made[:1])
-        prefixes = again.join(own_row, "row", "left_semi").select("same", "prefix")
+        prefixes = again.join(own_row, "row").select("same", "prefix")
         shared = postings(prefixes)
     tokens = C.write_table(prefixes.select("same", F.explode("prefix").alias("h")).join(shared, "h"))
     done(list(made))
-    member = components(links)
+    none = spark.createDataFrame([], "node long, root long")
+    member = none if links is None else components(links)
 
     def grouped(df, member):
         return df.join(member, df["same"] == member["node"], "left").select(*df.columns, F.coalesce("root", "same").alias("root"))
 
     def link(pairs):
         """Verifies pairs (a, b) of nodes; the new links, if any, join the others."""
-        nonlocal links, member
+        nonlocal links, member, tested
         pairs = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        new = _verified(pairs, nodes, keyed, size, similarity)
+        new, compared = _verified(pairs, nodes, keyed, size, similarity, tested)
+        if new is None:
+            return False
+        tested = compared if tested is None else tested.unionByName(compared)
         if new.isEmpty():
             return False
-        links = links.unionByName(new)
+        links = new if links is None else links.unionByName(new)
         member = components(links)
         return True
 
@@ -544,20 +633,21 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
         sizes = held(sizes.filter("strays > 0"))
         tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
         crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
-        more = False
-        if not crowded.isEmpty():
+        # in most postings, each stray with every member of another group
+        few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
+        strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
+        pairs = strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")
+        any_crowded = not crowded.isEmpty()
+        if any_crowded:
             among = own.join(crowded, "h")
             member_of = F.struct("same", "root")
             outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root"))
             drawn = among.groupBy("h").agg(F.max(outside).alias("m"), *[F.min_by(member_of, F.xxhash64("same", F.lit(2 * turn + j))).alias(f"p{j}") for j in range(2)])
             middle = F.struct(F.col("m.same").alias("same"), F.col("m.root").alias("root"))
             pivots = drawn.select("h", F.explode(F.array_distinct(F.array(middle, "p0", "p1"))).alias("p"))
-            more = link(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
-            turn += 1
-        if not more:  # in all others, each stray with every member of another group
-            few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
-            strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
-            more = link(strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")) and not crowded.isEmpty()
+            pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
+        more = link(pairs) and any_crowded
+        turn += 1
         done(past)
         spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
     done(list(made))

@@ -182,3 +182,39 @@ def test_keep_one_against_all_pairs(spark):
     for hot in (1000, 8):
         got = {r["doc_id"] for r in simhash.keep_one(d, hot_posting=hot).collect()}
         assert got == want
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (400, 2))]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    want = [sorted(map(tuple, simhash.components(edges, few).collect())) for few in (0, 10_000)]
+    assert want[0] == want[1] and want[0]
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = ["", " \t", "One", "one  TWO\nthree", "a b c d e", "a b c d e f a b c d e", "\0 b\0c ä\xa0ö d e f", "x " * 3000]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    h, bounds = simhash._shingles(np.frombuffer(b"".join(raw), np.uint8), offsets, 5)
+    seen = {}
+    for i, t in enumerate(raw):
+        words = t.lower().split()
+        want = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        own = h[bounds[i] : bounds[i + 1]].tolist()
+        assert len(own) == len(want)
+        assert all(seen.setdefault(w, x) == x for w, x in zip(want, own))
+        assert simhash._majorities(h, bounds)[i] == simhash.majority(h[bounds[i] : bounds[i + 1]])
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_folded_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 32, 33, 63, 64, 1000, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
+        p, q = sorted((simhash._parity(a), simhash._parity(b)), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        assert int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
