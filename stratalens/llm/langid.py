@@ -33,6 +33,8 @@ ORDERS = (1, 2, 3)
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = C.class_table(lambda b: 97 <= b <= 122 or b >= 128)
 _MULT = np.uint32(0x9E3779B1)
+# The table of languages goes out as a broadcast up to so many rows, else by a shuffled join.
+MAX_BROADCAST_LANGUAGES = 100_000
 
 
 def has_letter(text: str | None) -> bool:
@@ -162,7 +164,9 @@ def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", l
     cut = {x: min(2**63 - 1, int(-(2**63) + share[x] * 2**64)) for x in languages}
     order = F.xxhash64(F.col(id).cast("string"), F.lit("langid"))
     numbers = docs.sparkSession.createDataFrame([(x, k, cut[x]) for k, x in enumerate(languages)], "_lang string, y int, m long")
-    keyed = rows.select(F.col(lang).alias("_lang"), order.alias("o"), F.col(text).alias("t")).join(numbers, "_lang")
+    # a bounded broadcast, so that texts stay where they are
+    small = F.broadcast if len(languages) <= MAX_BROADCAST_LANGUAGES else (lambda df: df)
+    keyed = rows.select(F.col(lang).alias("_lang"), order.alias("o"), F.col(text).alias("t")).join(small(numbers), "_lang")
     sample = keyed.filter("o <= m").limit(2 * per_language * len(languages))
 
     def vectors(batches):
@@ -176,7 +180,7 @@ def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", l
     missed = set(range(len(languages))) - {r["y"] for r in got}
     if missed:  # no row under the cut, or lost by the limit: the row of the least hash
         asked = docs.sparkSession.createDataFrame([(k,) for k in sorted(missed)], "y int")
-        got += learn(keyed.join(asked, "y", "left_semi").groupBy("y").agg(F.min_by("t", "o").alias("t")))
+        got += learn(keyed.join(small(asked), "y", "left_semi").groupBy("y").agg(F.min_by("t", "o").alias("t")))
     y = np.array([r["y"] for r in got])
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
     present = np.unique(y)
