@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Most bytes of text that a vectorised step lays out at once (one longer text is one step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
