@@ -1,10 +1,10 @@
-"""The queries of the ten operators and the SQL of those that SQL can express."""
+"""The queries of the operators and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, common, decontaminate as dc, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
+from . import ann, common, decontaminate as dc, exact_dedup, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assign(_spread(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,6 +130,7 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id <> last THEN last END AS refers_to FROM d
 """,
     "op3_license_scan": licenses.oracle(),
+    "op11_exact_dedup": exact_dedup.ORACLE,
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS ws FROM documents),
 bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
