@@ -179,3 +179,15 @@ def roll(hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(n if m > 0 else 0):
         out = out * _ROLL + hashes[j : j + m]
     return mix(out + np.uint64(n))
+
+
+def equal_runs(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[a_start : a_start + length] equals b[b_start : b_start + length], pair by pair."""
+    total = int(length.sum())
+    if not total:
+        return np.ones(len(length), bool)
+    first = np.cumsum(length) - length
+    step = np.arange(total) - np.repeat(first, length)
+    wrong = a[np.repeat(a_start, length) + step] != b[np.repeat(b_start, length) + step]
+    seen = np.append(0, np.cumsum(wrong))
+    return seen[first + length] == seen[first]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, common, decontaminate as dc, exact_dedup, html_extract, langid, lbl, licenses, packing, simhash, token_counts, warc
+from . import ann, common, decontaminate as dc, exact_dedup, html_extract, langid, lbl, lexical, licenses, packing, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_spread(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -102,6 +106,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,6 +136,7 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 """,
     "op3_license_scan": licenses.oracle(),
     "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS ws FROM documents),
 bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
