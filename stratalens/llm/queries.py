@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, common, decontaminate as dc, exact_dedup, html_extract, langid, lbl, lexical, licenses, packing, simhash, token_counts, warc
+from . import ann, collocations, common, decontaminate as dc, exact_dedup, html_extract, langid, lbl, lexical, licenses, packing, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_spread(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_spread(spark, sf_dir, "documents", "text", "lang"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -107,6 +111,7 @@ QUERIES = {
     "op10_nearest": op10_nearest,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,6 +142,7 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
     "op3_license_scan": licenses.oracle(),
     "op11_exact_dedup": exact_dedup.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
+    "op13_collocations": collocations.ORACLE,
     "op1_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS ws FROM documents),
 bw AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
