@@ -1,4 +1,4 @@
 """Named queries over the driver's tables."""
 
-from . import corpus_queries, gate_queries, graph_queries, rule_queries  # noqa: F401
+from . import corpus_queries, gate_queries, graph_queries, rule_queries, syntax_queries  # noqa: F401
 from .registry import OPERATORS, ORACLES, QUERIES  # noqa: F401
