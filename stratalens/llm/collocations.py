@@ -3,13 +3,13 @@
 A k-gram of words is a pair of two overlapping (k-1)-grams, so that phrases need no strings while
 they are counted:
 
-* Texts become blocks of word positions (at most ``BLOCK_WORDS`` words or ``BLOCK_KEYS`` distinct
-  ones), written once. Each block counts its own distinct words; a partially aggregated shuffle
-  over (lang, word) adds the counts up, and words of ``min_count`` or more get ids.
-* Each level counts the distinct pairs of adjacent ids in each block, adds them up over all
-  blocks, and names the pairs of ``min_count`` or more: the table of names is (id, left, right, a).
-  Positions are then renamed by the global names, and those without a name go, as do those without
-  a named neighbour; a phrase of ``min_count`` has no part with less, so nothing is lost.
+* Texts become blocks of about ``BLOCK_WORDS`` word positions with a dictionary each, written
+  once. A partially aggregated shuffle over (lang, word) adds the blocks' counts up, and words of
+  ``min_count`` or more get ids.
+* Each level renames the positions by the global names, finds each block's distinct pairs of
+  adjacent names, adds their counts up over all blocks, and names the pairs of ``min_count`` or
+  more: the table of names is (id, left, right, a). Positions without a named neighbour go; a phrase
+  of ``min_count`` has no part with less, so nothing is lost.
 * ``left`` and ``right`` are parent pointers: all cuts of a phrase and all shorter phrases in it are
   met by joining a level's names with those below it. Texts are not read again.
 
@@ -24,7 +24,10 @@ not read, so their names may be any.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -32,8 +35,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as C
 
-BLOCK_WORDS, BLOCK_KEYS = 2_000_000, 500_000
+BLOCK_WORDS, EMITTED = 300_000, 100_000
+BATCH_BLOCKS = 4  # blocks are rows of megabytes: so many of them, or texts a thousand times as many, are an Arrow batch
 NAMES_BROADCAST = 2_000_000
+PAGES = {"parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 ENDS = np.zeros(256, bool)  # [.,;:!?\x0A-\x0D] end a piece
 ENDS[[10, 11, 12, 13, *b".,;:!?"]] = True
 WORDS = ~ENDS  # and [\x20\x09] stand between words
@@ -42,113 +47,183 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-class _Block:
-    """Words of a run of texts as codes, with the block's own dictionary."""
-
-    def __init__(self):
-        self.codes, self.links, self.n, self.keys = [], [], 0, {}
+class _Chunk:
+    """Distinct words of a run of texts, and which of them stands where."""
 
-    def add(self, low: np.ndarray, starts: np.ndarray, lang: np.ndarray, langs: list[str]):
-        """``lang`` names each text's language among ``langs``."""
-        word = WORDS[low]
-        s, e = C.word_bounds(word.view(np.uint8), starts[:-1])
-        if not len(s):
-            return
+    def __init__(self, low: np.ndarray, starts: np.ndarray, lang: np.ndarray):
+        """``lang`` is each text's language as a number."""
+        s, e = C.word_bounds(WORDS[low].view(np.uint8), starts[:-1])
+        self.n = len(s)
         doc = np.searchsorted(starts, s, side="right") - 1
-        piece = np.append(0, np.cumsum(ENDS[low]))[s]
+        # a piece's number: ends before the word, and one more for each text's start
+        piece = np.append(0, np.cumsum(ENDS[low], dtype=np.int32))[s] + doc
         own = lang[doc]
         mixed = C.mix(C.word_hashes(low, s, e) + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, first, inverse = np.unique(mixed, return_index=True, return_inverse=True)
-        one = first[inverse]
-        if (own != own[one]).any() or ((e - s) != (e - s)[one]).any() or not C.equal_runs(low, s, low, s[one], e - s).all():
-            first, inverse = np.arange(len(s)), np.arange(len(s))  # two words of one hash: each by itself
-        raw = low.tobytes()
-        known = np.array([self.keys.setdefault((langs[own[i]], raw[s[i] : e[i]]), len(self.keys)) for i in first], np.int32)
-        self.codes.append(known[inverse])
-        self.links.append(np.append((piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1]), False))
-        self.n += len(s)
-
-    def row(self, block: int) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes)
-        counts = np.bincount(codes, minlength=len(self.keys))
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([block], pa.int64()),
-                "codes": [codes.tobytes()],
-                "links": [np.concatenate(self.links).tobytes()],
-                "langs": pa.array([[k[0] for k in self.keys]], pa.list_(pa.string())),
-                "words": pa.array([[k[1].decode("utf-8", "replace") for k in self.keys]], pa.list_(pa.string())),
-                "counts": pa.array([counts.tolist()], pa.list_(pa.int64())),
-            }
-        )
-
-
-def _blocks(block_words: int, block_keys: int):
+        self.codes, first = _distinct(mixed)
+        one = first[self.codes]
+        if (own != own[one]).any() or not _same_words(low, s, e, one):
+            self.codes, first = np.arange(self.n), np.arange(self.n)  # two words of one hash: each by itself
+        self.links = np.append((piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1]), False) if self.n else np.zeros(0, bool)
+        self.hashes, self.lang, self.lengths = mixed[first], own[first], (e - s)[first]
+        self.raw = low[_spread(s[first], self.lengths)]
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    first = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes in the order of first appearance, first places)."""
+    codes = pd.factorize(values)[0]
+    return codes, np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
+
+
+def _same_words(low, s, e, one) -> bool:
+    """Whether each word is that at place ``one``, by its length and first and last eight bytes,
+    and a word of more than 16 bytes by all of them."""
+    n = e - s
+    if (n != n[one]).any():
+        return False
+    padded = np.concatenate([np.zeros(8, np.uint8), low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    head = eight[s + 8] << (8 * (8 - np.minimum(n, 8))).astype(np.uint64)
+    tail = eight[e] >> (8 * (8 - np.minimum(n, 8))).astype(np.uint64)
+    if (head != head[one]).any() or (tail != tail[one]).any():
+        return False
+    long = np.flatnonzero(n > 16)
+    return bool(C.equal_runs(low, s[long], low, s[one[long]], n[long]).all())
+
+
+def _block(block: int, chunks: list[_Chunk], langs: list[str]) -> dict:
+    """Chunks as one block with one dictionary."""
+    lengths = np.concatenate([c.lengths for c in chunks])
+    raw, lang = np.concatenate([c.raw for c in chunks]), np.concatenate([c.lang for c in chunks])
+    codes, first = _distinct(np.concatenate([c.hashes for c in chunks]))
+    start, one = np.cumsum(lengths) - lengths, first[codes]
+    if (lang != lang[one]).any() or (lengths != lengths[one]).any() or not C.equal_runs(raw, start, raw, start[one], lengths).all():
+        words = [(int(g), raw[i : i + n].tobytes()) for g, i, n in zip(lang, start, lengths)]
+        codes, _ = pd.factorize(np.fromiter(words, dtype=object, count=len(words)))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    base = np.cumsum([0] + [len(c.lengths) for c in chunks])
+    codes = np.concatenate([codes[c.codes + b] for c, b in zip(chunks, base)])
+    return {
+        "block": block,
+        "codes": codes.astype(np.int32).tobytes(),
+        "links": np.concatenate([c.links for c in chunks]).tobytes(),
+        "counts": np.bincount(codes, minlength=len(first)).astype(np.int64).tobytes(),
+        "words": raw[_spread(start[first], lengths[first])].tobytes(),
+        "lengths": lengths[first].astype(np.int32).tobytes(),
+        "lang": lang[first].astype(np.int32).tobytes(),
+        "langs": langs,
+    }
+
+
+_BLOCK = "block long, codes binary, links binary, counts binary, words binary, lengths binary, lang binary, langs array<string>"
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("codes", "links", "counts", "words", "lengths", "lang")], ("langs", pa.list_(pa.string()))])
+
+
+def _blocks(block_words: int):
     def run(batches):
-        task, made, block = TaskContext.get().partitionId(), 0, _Block()
+        task, made, n, chunks, langs = TaskContext.get().partitionId(), 0, 0, [], {}
+
+        def flush():
+            return pa.RecordBatch.from_pylist([_block(task << 32 | made, chunks, list(langs))], _BLOCK_ARROW)
+
         for batch in batches:
             raw, off = C.text_column(batch.column(0))
-            langs, lang = np.unique(np.array(batch.column(1).fill_null("und").to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
+            lang = np.array([langs.setdefault("und" if x is None else x, len(langs)) for x in batch.column(1).to_pylist()], np.int64)
             for lo, hi in C.chunks(off):
-                block.add(LOWER[raw[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo], lang[lo:hi], langs)
-                if block.n >= block_words or len(block.keys) >= block_keys:
-                    yield block.row(task << 32 | made)
-                    made, block = made + 1, _Block()
-        if block.n:
-            yield block.row(task << 32 | made)
+                chunk = _Chunk(LOWER[raw[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo], lang[lo:hi])
+                if chunk.n:
+                    chunks.append(chunk)
+                    n += chunk.n
+                if n >= block_words:
+                    yield flush()
+                    made, n, chunks = made + 1, 0, []
+        if chunks:
+            yield flush()
 
     return run
 
 
-def _pairs(ids: np.ndarray, links: np.ndarray):
-    """Of one block: places of linked pairs, distinct (left, right), and which of them each place has."""
-    at = np.flatnonzero(links[:-1])
-    local, codes = np.unique(ids, return_inverse=True)
-    key, inverse = np.unique(codes[at] * len(local) + codes[at + 1], return_inverse=True)
-    width = max(len(local), 1)
-    return at, local[key // width], local[key % width], inverse
+def _words_of(row: dict) -> tuple[pa.Array, pa.Array]:
+    """(languages, words) of a block's dictionary."""
+    lengths = np.frombuffer(row["lengths"], np.int32)
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(row["words"])])
+    return pa.array(row["langs"], pa.string()).take(pa.array(np.frombuffer(row["lang"], np.int32))), words
 
 
-def _sequences(batch):
-    for block, ids, links in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), batch.column("links").to_pylist()):
-        yield block, np.frombuffer(ids, np.int64), np.frombuffer(links, bool)
+def _rows(batches):
+    """Each block's columns, its binary ones as buffers that are not copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_buffer() if pa.types.is_binary(batch.schema.field(c).type) else batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _count_pairs(batches):
-    for batch in batches:
-        for _, ids, links in _sequences(batch):
-            _, left, right, inverse = _pairs(ids, links)
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(np.bincount(inverse, minlength=len(left)))], names=["left", "right", "count"])
+def _sliced(columns: list, names: list[str]):
+    for i in range(0, len(columns[0]), EMITTED):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + EMITTED]) if isinstance(c, np.ndarray) else c.slice(i, EMITTED) for c in columns], names=names)
 
 
-def _distinct_pairs(batches):
-    for batch in batches:
-        for block, ids, links in _sequences(batch):
-            _, left, right, _ = _pairs(ids, links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), block)), pa.array(np.arange(len(left))), pa.array(left), pa.array(right)], names=["block", "code", "left", "right"])
+def _count_words(batches):
+    for row in _rows(batches):
+        yield from _sliced([*_words_of(row), np.frombuffer(row["counts"], np.int64)], ["lang", "word", "count"])
 
 
-def _sequence(block: int, at: np.ndarray, ids: np.ndarray, follows: np.ndarray) -> dict:
-    """A row of the next level: named places, less those without a named neighbour."""
+def _code_words(batches):
+    for row in _rows(batches):
+        lang, words = _words_of(row)
+        yield from _sliced([np.full(len(words), row["block"]), np.arange(len(words)), lang, words], ["block", "code", "lang", "word"])
+
+
+def _count_langs(batches):
+    for row in _rows(batches):
+        n = np.bincount(np.frombuffer(row["lang"], np.int32), weights=np.frombuffer(row["counts"], np.int64), minlength=len(row["langs"]))
+        yield pa.RecordBatch.from_arrays([pa.array(row["langs"], pa.string()), pa.array(n.astype(np.int64))], names=["lang", "n"])
+
+
+def _prepared(block: int, ids: np.ndarray, follows: np.ndarray) -> dict:
+    """A block at its next level: the distinct pairs of adjacent names, and which stands where.
+
+    ``ids`` are the names of places, or -1; ``follows`` says whether the next place is adjacent.
+    """
     named = ids >= 0
-    at, ids, follows = at[named], ids[named], follows[named]
-    links = np.append((at[1:] == at[:-1] + 1) & follows[:-1], False) if len(at) else np.zeros(0, bool)
-    kept = links | np.append(False, links[:-1]) if len(at) else links
-    return {"block": block, "ids": ids[kept].tobytes(), "links": links[kept].tobytes()}
+    at = np.flatnonzero(named[:-1] & named[1:] & follows[:-1]) if len(ids) else np.zeros(0, np.int64)
+    local, first = _distinct(ids)
+    width = max(len(first), 1)
+    codes, own = _distinct(local[at] * width + local[np.minimum(at + 1, max(len(ids) - 1, 0))])
+    return {
+        "block": block,
+        "codes": codes.astype(np.int32).tobytes(),
+        "links": (np.append(np.diff(at) == 1, False) if len(at) else np.zeros(0, bool)).tobytes(),
+        "counts": np.bincount(codes, minlength=len(own)).astype(np.int64).tobytes(),
+        "left": ids[at[own]].tobytes(),
+        "right": ids[at[own] + 1].tobytes(),
+    }
+
 
+_PAIRS = "block long, codes binary, links binary, counts binary, left binary, right binary"
+_PAIRS_ARROW = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("codes", "links", "counts", "left", "right")]])
 
-_SEQUENCE = "block long, ids binary, links binary"
-_SEQUENCE_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("links", pa.binary())])
+
+def _count_pairs(batches):
+    for row in _rows(batches):
+        yield from _sliced([np.frombuffer(row[c], np.int64) for c in ("left", "right", "counts")], ["left", "right", "count"])
 
 
-def _name_words(row: dict, ids: np.ndarray) -> dict:
-    codes = np.frombuffer(row["codes"], np.int32)
-    return _sequence(row["block"], np.arange(len(codes)), ids[codes], np.frombuffer(row["links"], bool))
+def _code_pairs(batches):
+    for row in _rows(batches):
+        left, right = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
+        yield from _sliced([np.full(len(left), row["block"]), np.arange(len(left)), left, right], ["block", "code", "left", "right"])
 
 
-def _name_pairs(row: dict, find) -> dict:
-    at, left, right, inverse = _pairs(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["links"], bool))
-    return _sequence(row["block"], at, find(left, right)[inverse], np.ones(len(at), bool))
+def _renamed(row: dict, ids: np.ndarray) -> pa.RecordBatch:
+    """The block at its next level, by the names of its dictionary."""
+    codes, links = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["links"], bool)
+    return pa.RecordBatch.from_pylist([_prepared(row["block"], ids[codes], links)], _PAIRS_ARROW)
 
 
 def _keys(langs: pa.Array, words: pa.Array) -> pa.Array:
@@ -158,12 +233,9 @@ def _keys(langs: pa.Array, words: pa.Array) -> pa.Array:
 def _words_by_broadcast(shared):
     def run(batches):
         keys, ids = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = pc.index_in(_keys(batch.column("langs")[i].values, batch.column("words")[i].values), value_set=keys)
-                at = pc.fill_null(at, len(ids)).to_numpy(zero_copy_only=False)
-                row = {c: batch.column(c)[i].as_py() for c in ("block", "codes", "links")}
-                yield pa.RecordBatch.from_pylist([_name_words(row, np.append(ids, -1)[at])], _SEQUENCE_ARROW)
+        for row in _rows(batches):
+            at = pc.fill_null(pc.index_in(_keys(*_words_of(row)), value_set=keys), len(ids))
+            yield _renamed(row, np.append(ids, -1)[at.to_numpy(zero_copy_only=False)])
 
     return run
 
@@ -171,36 +243,23 @@ def _words_by_broadcast(shared):
 def _pairs_by_broadcast(shared):
     def run(batches):
         lefts, rights, keys, ids = shared.value
-
-        def find(left, right):
-            l, r = np.searchsorted(lefts, left), np.searchsorted(rights, right)
-            l, r = np.minimum(l, len(lefts) - 1), np.minimum(r, len(rights) - 1)
+        for row in _rows(batches):
+            left, right = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
+            l = np.minimum(np.searchsorted(lefts, left), len(lefts) - 1)
+            r = np.minimum(np.searchsorted(rights, right), len(rights) - 1)
             key = l * len(rights) + r
             k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where((lefts[l] == left) & (rights[r] == right) & (keys[k] == key), ids[k], -1)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([_name_pairs(row, find)], _SEQUENCE_ARROW)
+            yield _renamed(row, np.where((lefts[l] == left) & (rights[r] == right) & (keys[k] == key), ids[k], -1))
 
     return run
 
 
-def _by_join(name):
-    """One block with the ids that the join found for its keys."""
-
-    def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        code, id = found.column("code").to_numpy(), found.column("id").to_numpy()
-
-        def find(n):
-            ids = np.full(n, -1, np.int64)
-            ids[code] = id
-            return ids
-
-        return pa.Table.from_pylist([name(row, find)], _SEQUENCE_ARROW)
-
-    return run
+def _by_join(block: pa.Table, found: pa.Table) -> pa.Table:
+    """One block with the ids that the join found for its dictionary."""
+    row = next(_rows(block.combine_chunks().to_batches()))
+    ids = np.full(row["counts"].size // 8, -1, np.int64)
+    ids[found.column("code").to_numpy()] = found.column("id").to_numpy()
+    return pa.Table.from_batches([_renamed(row, ids)])
 
 
 class _Miner:
@@ -211,45 +270,50 @@ class _Miner:
         self.paths.append(C.shared_dir(self.spark))
         return C.write_table(df, self.paths[-1])
 
-    def named(self, counted: DataFrame) -> tuple[DataFrame, int]:
+    def block_table(self, df: DataFrame) -> DataFrame:
+        """A table of rows of megabytes: a page each, for readers hold whole pages outside of the heap."""
+        self.paths.append(C.shared_dir(self.spark))
+        df.write.options(**PAGES).parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    @contextmanager
+    def batches(self, rows: int):
+        """Jobs whose plans are made within take at most so many rows into an Arrow batch."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
+    def level(self, blocks: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(names of the blocks' keys, the blocks at their next level in these names)."""
+        words = key[0] == "lang"
+        keyed = ["words", "lengths", "lang", "langs"] if words else key
+        emit, code, kind = (_count_words, _code_words, "lang string, word string") if words else (_count_pairs, _code_pairs, "left long, right long")
+        counted = blocks.select("counts", *keyed).mapInArrow(emit, f"{kind}, count long").groupBy(*key).agg(F.sum("count").alias("a"))
         names = self.table(counted.filter(F.col("a") >= self.min_count).withColumn("id", F.monotonically_increasing_id()))
-        return names, names.count()
-
-    def words(self, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(names of words, the blocks in these names)."""
-        one = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("code", "x"))
-        counted = one.groupBy(F.col("x.langs").alias("lang"), F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("a"))
-        names, n = self.named(counted)
-        if n <= self.names_broadcast:
-            got = names.select("lang", "word", "id").toArrow().combine_chunks()
-            lang, word = (got.column(c).combine_chunks() if n else pa.array([], pa.string()) for c in ("lang", "word"))
-            shared = self.spark.sparkContext.broadcast((_keys(lang, word), got.column("id").to_numpy()))
-            return names, self.table(blocks.select("block", "codes", "links", "langs", "words").mapInArrow(_words_by_broadcast(shared), _SEQUENCE))
-        keys = one.select("block", F.col("code").cast("long").alias("code"), F.col("x.langs").alias("lang"), F.col("x.words").alias("word"))
-        found = self.table(keys.join(names, ["lang", "word"]).select("block", "code", "id"))
-        plain = blocks.select("block", "codes", "links", F.size("words").alias("n"))
-        meet = _by_join(lambda row, find: _name_words(row, find(row["n"])))
-        return names, self.table(plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, _SEQUENCE))
-
-    def pairs(self, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(names of pairs, the blocks in these names)."""
-        counted = sequences.mapInArrow(_count_pairs, "left long, right long, count long").groupBy("left", "right").agg(F.sum("count").alias("a"))
-        names, n = self.named(counted)
-        if n <= self.names_broadcast:
-            got = names.select("left", "right", "id").toArrow()
-            left, right, ids = (got.column(c).to_numpy() for c in ("left", "right", "id"))
-            lefts, l = np.unique(left, return_inverse=True)
-            rights, r = np.unique(right, return_inverse=True)
-            key = l * len(rights) + r
-            order = np.argsort(key)
-            if not n:
-                return names, sequences.limit(0)
-            shared = self.spark.sparkContext.broadcast((lefts, rights, key[order], ids[order]))
-            return names, self.table(sequences.mapInArrow(_pairs_by_broadcast(shared), _SEQUENCE))
-        keys = sequences.mapInArrow(_distinct_pairs, "block long, code long, left long, right long")
-        found = self.table(keys.join(names, ["left", "right"]).select("block", "code", "id"))
-        meet = _by_join(lambda row, find: _name_pairs(row, lambda left, right: find(len(left))))
-        return names, self.table(sequences.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, _SEQUENCE))
+        n = names.count()
+        if 0 < n <= self.names_broadcast:
+            got = names.select(*key, "id").toArrow().combine_chunks()
+            first, second = (got.column(c).combine_chunks() for c in key)
+            ids = got.column("id").to_numpy()
+            shared = (_keys(first, second), ids) if words else _sorted_pairs(first.to_numpy(), second.to_numpy(), ids)
+            rename = (_words_by_broadcast if words else _pairs_by_broadcast)(self.spark.sparkContext.broadcast(shared))
+            return names, self.block_table(blocks.select("block", "codes", "links", *keyed).mapInArrow(rename, _PAIRS))
+        coded = blocks.select("block", *keyed).mapInArrow(code, f"block long, code long, {kind}")
+        found = self.table(coded.join(names, key).select("block", "code", "id"))
+        plain = blocks.select("block", "codes", "links", "counts")
+        return names, self.block_table(plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_by_join, _PAIRS))
+
+
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+    lefts, l = np.unique(left, return_inverse=True)
+    rights, r = np.unique(right, return_inverse=True)
+    key = l * len(rights) + r
+    order = np.argsort(key)
+    return lefts, rights, key[order], ids[order]
 
 
 def _level(names: DataFrame, under: DataFrame, level: int) -> DataFrame:
@@ -277,24 +341,29 @@ def _level(names: DataFrame, under: DataFrame, level: int) -> DataFrame:
     )
 
 
-def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 30, covered: int = 80, top: int = 2000, names_broadcast: int = NAMES_BROADCAST, block_words: int = BLOCK_WORDS, block_keys: int = BLOCK_KEYS) -> DataFrame:
+def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 30, covered: int = 80, top: int = 2000, names_broadcast: int = NAMES_BROADCAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each language's ``top`` phrases of two to four words.
 
     A phrase goes if a longer one that holds it has at least ``covered`` percent of its count.
     """
     miner = _Miner(docs.sparkSession, names_broadcast, min_count)
     texts = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    schema = "block long, codes binary, links binary, langs array<string>, words array<string>, counts array<long>"
-    blocks = miner.table(texts.mapInArrow(_blocks(block_words, block_keys), schema))
-    totals = blocks.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n"))
+    with miner.batches(1000 * BATCH_BLOCKS):
+        blocks = miner.block_table(texts.mapInArrow(_blocks(block_words), _BLOCK))
+    with miner.batches(BATCH_BLOCKS):
+        return _mine(miner, blocks, covered, top)
+
+
+def _mine(miner: _Miner, blocks: DataFrame, covered: int, top: int) -> DataFrame:
+    totals = miner.table(blocks.select("counts", "lang", "langs").mapInArrow(_count_langs, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
 
-    names, sequences = miner.words(blocks)
+    names, blocks = miner.level(blocks, ["lang", "word"])
     none = F.lit(None).cast("long")
     same = F.col("a")
     phrases = names.select("lang", F.lit(1).alias("level"), "id", none.alias("left"), none.alias("right"), "a", F.col("word").alias("phrase"), F.col("word").alias("last"), same.alias("f_first"), same.alias("f_last"), none.alias("f_left"), none.alias("f_right"))
     found = []
     for level in (2, 3, 4):
-        names, sequences = miner.pairs(sequences)
+        names, blocks = miner.level(blocks, ["left", "right"])
         phrases = miner.table(_level(names, phrases, level))
         found.append(phrases)
     candidates = found[0].unionByName(found[1]).unionByName(found[2])

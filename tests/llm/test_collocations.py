@@ -51,7 +51,7 @@ def corpus(seed=3, n=300):
     return rows + [(None, "en"), ("", "en"), (" .,\t", "de"), ("New York! City hall", None), ("long tail of the " * 20_000, "xx"), (rows[0][0], "en")]
 
 
-@pytest.mark.parametrize("options", [{}, {"min_count": 3, "block_words": 500}, {"min_count": 2, "block_keys": 20, "names_broadcast": 0}, {"min_count": 5, "names_broadcast": 60, "block_words": 2000}, {"covered": 101, "top": 7}])
+@pytest.mark.parametrize("options", [{}, {"min_count": 3, "block_words": 500}, {"min_count": 2, "block_words": 300, "names_broadcast": 0}, {"min_count": 5, "names_broadcast": 60, "block_words": 2000}, {"covered": 101, "top": 7}])
 def test_against_brute_force(spark, options):
     rows = corpus()
     d = spark.createDataFrame([(*r, "p", 1) for r in rows], "text string, lang string, phrase string, id int").repartition(4)
@@ -62,11 +62,16 @@ def test_against_brute_force(spark, options):
 
 def test_equal_hashes_are_told_apart(spark, monkeypatch):
     whole = collocations.C.word_hashes
-    monkeypatch.setattr(collocations.C, "word_hashes", lambda *a: whole(*a) & np.uint64(3))
-    low = np.frombuffer(b"a b c d e a b c d e", np.uint8)
-    block = collocations._Block()
-    block.add(low, np.array([0, len(low)]), np.zeros(1, np.int64), ["en"])
-    assert block.codes[0].tolist() == [0, 1, 2, 3, 4] * 2
+    words = "a b twentyfourcharactersword1 d e a b twentyfourcharactersword2 d e"
+    low = np.frombuffer(words.encode(), np.uint8)
+    for mask in (0, 3):  # within a chunk, and between chunks
+        monkeypatch.setattr(collocations.C, "word_hashes", lambda *a: whole(*a) & np.uint64(mask))  # noqa: B023
+        chunks = [collocations._Chunk(low, np.array([0, len(low)]), np.full(1, i)) for i in (0, 1, 0)]
+        row = collocations._block(1, chunks, ["en", "de"])
+        langs, found = collocations._words_of(row)
+        got = [(langs[int(c)].as_py(), found[int(c)].as_py()) for c in np.frombuffer(row["codes"], np.int32)]
+        assert got == [(lang, w) for lang in ("en", "de", "en") for w in words.split()]
+        assert len(set(zip(langs.to_pylist(), found.to_pylist()))) == len(found)
 
 
 def test_large_counts_are_exact(spark):
