@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import filters as Q, functions_of_files as X, incremental as I, rules as R
+from ..operators import filters as Q, functions_of_files as X, graph as G, incremental as I, rules as R
 from ..operators.providers import RuleDescriptor, judge_all
 from .registry import query
 from .store import sql_text as T, store
@@ -236,3 +238,31 @@ def incremental_check(spark, sf):
 def incremental_cost(spark, sf):
     s = store(spark, sf).sources
     return I.cost(s.select("path", "language", "text"), _record(s)[1])
+
+
+# The tree of the run before: sources of even documents, one in ten since edited, and one of each odd document that is gone.
+_BEFORE_SQL = f"SELECT doc_id, path, language, {_EDITED} AS text FROM sources WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, path || '.gone', language, text FROM sources WHERE doc_id % 2 = 1"
+_JUDGED_BEFORE_SQL = JUDGED_SQL.replace("FROM sources)", f"FROM ({_BEFORE_SQL}))")
+
+
+def _resident(spark, sf):
+    """A record of two runs: the tree before, and the tree as it is."""
+    s = store(spark, sf).sources
+    d = F.col("doc_id")
+    even = s.filter(d % 2 == 0).withColumn("text", F.when(d % 10 == 4, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    before = even.unionByName(s.filter(d % 2 == 1).withColumn("path", F.concat("path", F.lit(".gone"))))
+    record = I.Record(spark, f"{G.shared_folder(spark)}/records/{uuid.uuid4().hex}")
+    record.update(before.select("path", "language", "text"), R.judge, 0, whole=True)
+    record.update(s.select("path", "language", "text"), R.judge, 1, whole=True)
+    return record
+
+
+@query("resident_findings", JUDGED_SQL, covers="220 221 225")
+def resident_findings(spark, sf):
+    """The kept findings after a run over what changed are those of judging everything anew."""
+    return _resident(spark, sf).findings()
+
+
+@query("resident_changes", f"WITH a AS ({JUDGED_SQL}), b AS ({_JUDGED_BEFORE_SQL}) SELECT 'added' AS change, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'withdrawn', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", covers="225")
+def resident_changes(spark, sf):
+    return _resident(spark, sf).changes(1)

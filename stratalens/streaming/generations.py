@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import facts as V
+from ..operators.incremental import Record
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], *, trigger: dict | None = None) -> StreamingQuery:
@@ -75,3 +76,21 @@ def judge_stream(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], sin
         batch.agg(F.count("*").alias("sources")).write.mode("overwrite").parquet(f"{sink}_cost/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resident_judge(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, *, stamp: str | None = None, deleted: str | None = None) -> StreamingQuery:
+    """Keeps the findings of a tree current under a stream of its sources (path, language, text).
+
+    Each batch is a run of the ``Record`` at ``root``: sources whose content is known are not judged
+    again, edited ones are judged alone, deleted ones lose their findings. A batch that is run
+    again after a failure sees only the runs before it and replaces its own.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            Record(batch.sparkSession, root).update(batch, judge, number, stamp=stamp, deleted=deleted)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
