@@ -6,9 +6,9 @@ they are counted:
 * Texts become blocks of about ``BLOCK_WORDS`` word positions with a dictionary each, written
   once. A partially aggregated shuffle over (lang, word) adds the blocks' counts up, and words of
   ``min_count`` or more get ids.
-* Each level renames the positions by the global names, finds each block's distinct pairs of
-  adjacent names, adds their counts up over all blocks, and names the pairs of ``min_count`` or
-  more: the table of names is (id, left, right, a). Positions without a named neighbour go; a phrase
+* Each level renames the positions by the global names and finds each block's distinct pairs of
+  adjacent names. These are dealt by a hash to parts of about ``PART_PAIRS``, as arrays, and added up
+  part by part; the pairs of ``min_count`` or more get names: the table of names is (id, left, right, a). Positions without a named neighbour go; a phrase
   of ``min_count`` has no part with less, so nothing is lost.
 * ``left`` and ``right`` are parent pointers: all cuts of a phrase and all shorter phrases in it are
   met by joining a level's names with those below it. Texts are not read again.
@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common as C
 
 BLOCK_WORDS, EMITTED = 300_000, 100_000
+PART_PAIRS = 500_000  # distinct pairs of blocks that are added up at once
 BATCH_BLOCKS = 4  # blocks are rows of megabytes: so many of them, or texts a thousand times as many, are an Arrow batch
 NAMES_BROADCAST = 2_000_000
-PAGES = {"parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+PAGES = {"parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false", "compression": "zstd"}
 ENDS = np.zeros(256, bool)  # [.,;:!?\x0A-\x0D] end a piece
 ENDS[[10, 11, 12, 13, *b".,;:!?"]] = True
 WORDS = ~ENDS  # and [\x20\x09] stand between words
@@ -194,29 +195,64 @@ def _prepared(block: int, ids: np.ndarray, follows: np.ndarray) -> dict:
     at = np.flatnonzero(named[:-1] & named[1:] & follows[:-1]) if len(ids) else np.zeros(0, np.int64)
     local, first = _distinct(ids)
     width = max(len(first), 1)
-    codes, own = _distinct(local[at] * width + local[np.minimum(at + 1, max(len(ids) - 1, 0))])
+    following = local[np.minimum(at + 1, max(len(ids) - 1, 0))]
+    codes, own = _distinct(local[at] * width + following)
     return {
         "block": block,
         "codes": codes.astype(np.int32).tobytes(),
         "links": (np.append(np.diff(at) == 1, False) if len(at) else np.zeros(0, bool)).tobytes(),
-        "counts": np.bincount(codes, minlength=len(own)).astype(np.int64).tobytes(),
-        "left": ids[at[own]].tobytes(),
-        "right": ids[at[own] + 1].tobytes(),
+        "counts": np.bincount(codes, minlength=len(own)).astype(np.int32).tobytes(),
+        "names": ids[first].tobytes(),
+        "left": local[at[own]].astype(np.int32).tobytes(),
+        "right": following[own].astype(np.int32).tobytes(),
     }
 
 
-_PAIRS = "block long, codes binary, links binary, counts binary, left binary, right binary"
-_PAIRS_ARROW = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("codes", "links", "counts", "left", "right")]])
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Names of a block's distinct pairs."""
+    names = np.frombuffer(row["names"], np.int64)
+    return names[np.frombuffer(row["left"], np.int32)], names[np.frombuffer(row["right"], np.int32)]
 
 
-def _count_pairs(batches):
-    for row in _rows(batches):
-        yield from _sliced([np.frombuffer(row[c], np.int64) for c in ("left", "right", "counts")], ["left", "right", "count"])
+_PAIRS = "block long, codes binary, links binary, counts binary, names binary, left binary, right binary"
+_PAIRS_ARROW = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("codes", "links", "counts", "names", "left", "right")]])
+
+
+def _deal_pairs(parts: int):
+    """Each block's pairs and their counts, dealt to ``parts`` by a hash of the pair."""
+
+    def run(batches):
+        for row in _rows(batches):
+            left, right = _pairs_of(row)
+            part = C.mix(C.mix(left.astype(np.uint64)) + right.astype(np.uint64)) % np.uint64(parts)
+            order = np.lexsort((right, left, part))
+            cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            left, right, counts = left[order], right[order], np.frombuffer(row["counts"], np.int32)[order]
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (left, right, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "left", "right", "counts"])
+
+    return run
+
+
+def _add_pairs(min_count: int):
+    """The pairs of one part whose counts over all blocks are ``min_count`` or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("left", np.int64), ("right", np.int64), ("counts", np.int32)))
+        l, r = pd.factorize(left)[0], pd.factorize(right)[0]
+        codes, first = _distinct(l * (int(r.max()) + 1) + r)
+        a = np.zeros(len(first), np.int64)
+        np.add.at(a, codes, counts)
+        kept = first[a >= min_count]
+        return pa.table({"left": left[kept], "right": right[kept], "a": a[a >= min_count]})
+
+    return run
 
 
 def _code_pairs(batches):
     for row in _rows(batches):
-        left, right = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
+        left, right = _pairs_of(row)
         yield from _sliced([np.full(len(left), row["block"]), np.arange(len(left)), left, right], ["block", "code", "left", "right"])
 
 
@@ -244,7 +280,7 @@ def _pairs_by_broadcast(shared):
     def run(batches):
         lefts, rights, keys, ids = shared.value
         for row in _rows(batches):
-            left, right = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
+            left, right = _pairs_of(row)
             l = np.minimum(np.searchsorted(lefts, left), len(lefts) - 1)
             r = np.minimum(np.searchsorted(rights, right), len(rights) - 1)
             key = l * len(rights) + r
@@ -257,24 +293,22 @@ def _pairs_by_broadcast(shared):
 def _by_join(block: pa.Table, found: pa.Table) -> pa.Table:
     """One block with the ids that the join found for its dictionary."""
     row = next(_rows(block.combine_chunks().to_batches()))
-    ids = np.full(row["counts"].size // 8, -1, np.int64)
+    ids = np.full(row["n"], -1, np.int64)
     ids[found.column("code").to_numpy()] = found.column("id").to_numpy()
     return pa.Table.from_batches([_renamed(row, ids)])
 
 
 class _Miner:
     def __init__(self, spark, names_broadcast: int, min_count: int):
-        self.spark, self.names_broadcast, self.min_count, self.paths = spark, names_broadcast, min_count, []
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.paths.append(C.shared_dir(self.spark))
-        return C.write_table(df, self.paths[-1])
+        self.spark, self.names_broadcast, self.min_count, self.block_path = spark, names_broadcast, min_count, None
 
     def block_table(self, df: DataFrame) -> DataFrame:
         """A table of rows of megabytes: a page each, for readers hold whole pages outside of the heap."""
-        self.paths.append(C.shared_dir(self.spark))
-        df.write.options(**PAGES).parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        old, self.block_path = self.block_path, C.shared_dir(self.spark)
+        df.write.options(**PAGES).parquet(self.block_path)
+        if old:  # the level before is read no more
+            C.drop_table(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(self.block_path)
 
     @contextmanager
     def batches(self, rows: int):
@@ -290,10 +324,16 @@ class _Miner:
     def level(self, blocks: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
         """(names of the blocks' keys, the blocks at their next level in these names)."""
         words = key[0] == "lang"
-        keyed = ["words", "lengths", "lang", "langs"] if words else key
-        emit, code, kind = (_count_words, _code_words, "lang string, word string") if words else (_count_pairs, _code_pairs, "left long, right long")
-        counted = blocks.select("counts", *keyed).mapInArrow(emit, f"{kind}, count long").groupBy(*key).agg(F.sum("count").alias("a"))
-        names = self.table(counted.filter(F.col("a") >= self.min_count).withColumn("id", F.monotonically_increasing_id()))
+        keyed = ["words", "lengths", "lang", "langs"] if words else ["names", "left", "right"]
+        if words:
+            rows = blocks.select("counts", *keyed).mapInArrow(_count_words, "lang string, word string, count long")
+            counted = rows.groupBy(*key).agg(F.sum("count").alias("a")).filter(F.col("a") >= self.min_count)
+        else:
+            pairs = blocks.agg(F.coalesce(F.sum(F.octet_length("left")), F.lit(0))).first()[0] // 4
+            parts = max(1, -(-pairs // PART_PAIRS))
+            dealt = blocks.select("counts", *keyed).mapInArrow(_deal_pairs(parts), "part int, left binary, right binary, counts binary")
+            counted = dealt.groupBy("part").applyInArrow(_add_pairs(self.min_count), "left long, right long, a long")
+        names = C.write_table(counted.withColumn("id", F.monotonically_increasing_id()))
         n = names.count()
         if 0 < n <= self.names_broadcast:
             got = names.select(*key, "id").toArrow().combine_chunks()
@@ -302,9 +342,10 @@ class _Miner:
             shared = (_keys(first, second), ids) if words else _sorted_pairs(first.to_numpy(), second.to_numpy(), ids)
             rename = (_words_by_broadcast if words else _pairs_by_broadcast)(self.spark.sparkContext.broadcast(shared))
             return names, self.block_table(blocks.select("block", "codes", "links", *keyed).mapInArrow(rename, _PAIRS))
+        code, kind = (_code_words, "lang string, word string") if words else (_code_pairs, "left long, right long")
         coded = blocks.select("block", *keyed).mapInArrow(code, f"block long, code long, {kind}")
-        found = self.table(coded.join(names, key).select("block", "code", "id"))
-        plain = blocks.select("block", "codes", "links", "counts")
+        found = C.write_table(coded.join(names, key).select("block", "code", "id"))
+        plain = blocks.select("block", "codes", "links", (F.octet_length("lengths" if words else "left") / 4).cast("int").alias("n"))
         return names, self.block_table(plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_by_join, _PAIRS))
 
 
@@ -355,7 +396,7 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count:
 
 
 def _mine(miner: _Miner, blocks: DataFrame, covered: int, top: int) -> DataFrame:
-    totals = miner.table(blocks.select("counts", "lang", "langs").mapInArrow(_count_langs, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
+    totals = C.write_table(blocks.select("counts", "lang", "langs").mapInArrow(_count_langs, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
 
     names, blocks = miner.level(blocks, ["lang", "word"])
     none = F.lit(None).cast("long")
@@ -364,7 +405,7 @@ def _mine(miner: _Miner, blocks: DataFrame, covered: int, top: int) -> DataFrame
     found = []
     for level in (2, 3, 4):
         names, blocks = miner.level(blocks, ["left", "right"])
-        phrases = miner.table(_level(names, phrases, level))
+        phrases = C.write_table(_level(names, phrases, level))
         found.append(phrases)
     candidates = found[0].unionByName(found[1]).unionByName(found[2])
 
