@@ -3,9 +3,11 @@
 Large graphs go by rounds: each joins only what the last round found new, and what is known
 stays in written tables in the shared folder that ``spark.checkpoint.dir`` names, so a lost
 executor costs one round and plans do not grow. Closures double the length of their paths in
-each round; strong components come from trimming and colouring, never from all pairs. A graph,
-or what rounds have left of one, of at most ``LOCAL_EDGES`` edges (counted first) is finished in
-one task, by arrays. Rounds end when nothing is new, so cycles end too.
+each round. Levels and rings contract chains: nodes with a single need are passed over by pointers
+that double in each round, so a chain costs the logarithm of its length; what has no chain left is
+peeled, or coloured, never made from all pairs. A graph, or what rounds have left of one, of at
+most ``LOCAL_EDGES`` edges (counted first) is finished in one task, by arrays. Rounds end when
+nothing is new, so cycles end too.
 """
 
 from __future__ import annotations
@@ -50,14 +52,15 @@ def _is_small(edges: DataFrame) -> bool:
     return edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
 
 
-def _in_one_task(edges: DataFrame, solve, columns: list[str], **more: DataFrame) -> DataFrame:
+def _in_one_task(edges: DataFrame, solve, columns: list[str], weight: str | None = None, **more: DataFrame) -> DataFrame:
     """``solve(codes of src, codes of dst, number of nodes, codes of each of more)`` -> columns of codes or numbers.
 
     Edges (src, dst) and node tables (node) of a checked size; nodes are numbered in their order.
+    With ``weight``, that column of the edges and the column ``base`` of nodes are given too.
     """
-    rows = edges.select(F.lit("").alias("kind"), "src", "dst")
+    rows = edges.select(F.lit("").alias("kind"), "src", "dst", F.col(weight).cast("long").alias("w") if weight else F.lit(0).cast("long").alias("w"))
     for name, df in more.items():
-        rows = rows.union(df.select(F.lit(name), "node", "node"))
+        rows = rows.union(df.select(F.lit(name), "node", "node", F.col("base") if weight else F.lit(0).cast("long")))
     schema = T.StructType([T.StructField(c, T.IntegerType() if c == "level" else rows.schema["src"].dataType) for c in columns])
     tables = list(more)
 
@@ -72,7 +75,11 @@ def _in_one_task(edges: DataFrame, solve, columns: list[str], **more: DataFrame)
         names = names.take(pc.sort_indices(names))
         codes = pc.index_in(both.combine_chunks(), value_set=names).to_numpy().astype(np.int64)
         src, dst = codes[: len(kind)], codes[len(kind) :]
-        out = solve(src[kind == ""], dst[kind == ""], len(names), **{n: src[kind == n] for n in tables})
+        given = {n: src[kind == n] for n in tables}
+        if weight:
+            w = table.column("w").to_numpy()
+            given |= {"weights": w[kind == ""], "bases": w[kind != ""]}
+        out = solve(src[kind == ""], dst[kind == ""], len(names), **given)
         yield pa.RecordBatch.from_arrays([pa.array(x) if c == "level" else names.take(pa.array(x)) for c, x in zip(columns, out)], names=columns)
 
     return rows.repartition(1).mapInArrow(run, schema)
@@ -105,19 +112,24 @@ def _walk(src, dst, n, roots, stop=None):
     return [np.concatenate(found) if found else np.zeros(0, np.int64)]
 
 
-def _place(src, dst, n, nodes):
-    start, ends = _neighbours(dst, src, n)  # who needs a node
+def _place(src, dst, n, nodes, weights, bases):
+    level = np.zeros(n, np.int64)
+    level[nodes] = bases
+    order = np.argsort(dst, kind="stable")
+    start, users, weights = np.searchsorted(dst[order], np.arange(n + 1)), src[order], weights[order]
     needs, known = np.bincount(src, minlength=n), np.zeros(n, bool)
     known[nodes] = True
-    frontier, found, levels_, level = np.unique(nodes[needs[nodes] == 0]), [], [], 0
+    frontier, found = np.unique(nodes[needs[nodes] == 0]), []
     while len(frontier):
         found.append(frontier)
-        levels_.append(np.full(len(frontier), level, np.int32))
-        users = _ends(start, ends, frontier)
-        np.subtract.at(needs, users, 1)
-        users = np.unique(users)
-        frontier, level = users[known[users] & (needs[users] == 0)], level + 1
-    return [np.concatenate(found), np.concatenate(levels_)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        own_users, w = _ends(start, users, frontier), _ends(start, weights, frontier)
+        at = np.repeat(level[frontier], start[frontier + 1] - start[frontier])
+        np.maximum.at(level, own_users, at + w)
+        np.subtract.at(needs, own_users, 1)
+        own_users = np.unique(own_users)
+        frontier = own_users[known[own_users] & (needs[own_users] == 0)]
+    found = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return [found, level[found].astype(np.int32)]
 
 
 def _strong(src, dst, n):
@@ -197,17 +209,64 @@ def closure(edges: DataFrame) -> DataFrame:
     return _union(known)
 
 
+def _chains(needs: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes with a single need, and how far their needs lead.
+
+    ``needs`` (src, dst, w), ``bases`` (node, base). Returns (ends, endless, steps): ends (node, to,
+    w, base, least) of nodes whose chain leads to a node with other needs than one, with what
+    the chain adds; endless (node, to, least) of those that lead into a cycle, ``to`` being on it;
+    and the pointers of each round. ``least`` is the least node passed on the way.
+    """
+    single = needs.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("to"), F.first("w").alias("w")).filter("n = 1")
+    here = settle(single.select(F.col("src").alias("node"), "to", "w").join(bases, "node").withColumn("least", F.col("node")))
+    steps, rounds = [], max(1, here.count()).bit_length()
+    for _ in range(rounds):
+        steps.append(here)
+        on = here.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("w").alias("more"), F.col("base").alias("b2"), F.col("least").alias("l2"))
+        far = here.join(on, "to", "left")
+        w = F.col("w") + F.coalesce("more", F.lit(0))
+        base = F.greatest("base", F.coalesce(F.col("b2") + F.col("w"), "base"))
+        new = settle(far.select("node", F.coalesce("far", "to").alias("to"), w.alias("w"), base.alias("base"), F.least("least", F.coalesce("l2", "least")).alias("least"), F.col("far").isNotNull().alias("moved")))
+        here = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            break
+    inside = here.select(F.col("node").alias("to"))
+    return here.join(inside, "to", "left_anti"), here.join(inside, "to", "left_semi").select("node", "to", "least"), steps
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges none of whose ends is among ``nodes`` (node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
 def rings(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves, with the least node of their ring (strong component).
 
-    A graph too large for one task is trimmed of nodes without needs or users, and coloured by the
-    least node that reaches each; what reaches that node back within the colour is its ring.
+    A graph too large for one task loses nodes without needs or users; nodes with a single need are
+    passed over by the edges to them, and cycles of such nodes alone are rings at once. What has
+    neither is coloured by the least node that reaches each; what reaches that node back within
+    the colour is its ring. Nodes that were passed over belong to the ring of their chain's end if
+    someone of that ring needs them, or one before them in the chain.
     """
-    left, done = edges.select("src", "dst").distinct(), []
+    left, done, passed = edges.select("src", "dst").distinct(), [], []
     while not _is_small(left):
         left = settle(left)
         inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         inner = settle(inner)
+        nodes = inner.select(F.col("src").alias("node")).distinct().withColumn("base", F.lit(0).cast("long"))
+        ends, endless, steps = _chains(inner.withColumn("w", F.lit(0).cast("long")), nodes)
+        ends, endless = settle(ends), settle(endless)
+        if not (ends.isEmpty() and endless.isEmpty()):
+            # cycles of single needs: the ends of pointers that went round at least once
+            ring = endless.select(F.col("to").alias("node")).distinct().join(endless.select("node", F.col("least").alias("ring")), "node")
+            done.append(settle(ring))
+            rest = settle(_without(inner, endless))
+            chain = ends.select(F.col("node").alias("dst"), F.col("to").alias("end"))
+            users = rest.join(ends.select(F.col("node").alias("src")), "src", "left_anti").join(chain, "dst")
+            passed.append((settle(users.select("src", "dst", "end")), [p.join(ends.select("node"), "node", "left_semi").select("node", "to") for p in steps], ends.select("node", "to")))
+            kept = rest.join(chain, "dst", "left").select("src", F.coalesce("end", "dst").alias("dst"))
+            left = kept.join(ends.select(F.col("node").alias("src")), "src", "left_anti").distinct()
+            continue
         if inner.count() < left.count():
             left = inner
             continue
@@ -226,16 +285,27 @@ def rings(edges: DataFrame) -> DataFrame:
         back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         own = settle(reach(colour.filter("node = colour").select("node"), back))
         loops = left.select(F.col("src").alias("node")).distinct()
-        done.append(settle(own.join(colour, "node").select("node", F.col("colour").alias("ring")).join(loops, "node", "left_semi")))
-        left = left.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti")
+        found = own.join(colour, "node").select("node", F.col("colour").alias("ring")).join(loops, "node", "left_semi")
+        # a lone node of a colour without an edge to itself is no ring
+        many = found.groupBy("ring").agg(F.count("*").alias("n")).filter("n > 1").select("ring")
+        itself = left.filter("src = dst").select(F.col("src").alias("node"))
+        done.append(settle(found.join(many, "ring", "left_semi").select("node", "ring").union(found.join(many, "ring", "left_anti").join(itself, "node", "left_semi").select("node", "ring"))))
+        left = _without(left, own)
     done.append(_in_one_task(left, _strong, ["node", "ring"]))
     found = _union(done)
-    # a lone node of a colour without an edge to itself is no ring
-    if len(done) > 1:
-        many = found.groupBy("ring").agg(F.count("*").alias("n")).filter("n > 1").select("ring")
-        loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-        found = found.join(many, "ring", "left_semi").select("node", "ring").union(found.join(many, "ring", "left_anti").join(loops, "node", "left_semi").select("node", "ring"))
-    return found
+    for users, pointers, ends in reversed(passed):
+        found = settle(found)
+        a, b = found.select(F.col("node").alias("src"), F.col("ring").alias("a")), found.select(F.col("node").alias("end"), F.col("ring").alias("b"))
+        marked = settle(users.join(a, "src").join(b, "end").filter("a = b").select(F.col("dst").alias("node")).distinct())
+        for step in pointers:  # the 2 ** k th after a marked one is marked
+            ahead = step.join(marked, "node", "left_semi").select(F.col("to").alias("node"))
+            marked = settle(marked.union(ahead.join(ends.select("node"), "node", "left_semi")).distinct())
+        own = marked.join(ends, "node").join(found.select(F.col("node").alias("to"), "ring"), "to").select("node", "ring")
+        found = found.union(own)
+    if not passed:
+        return found
+    least = settle(found).groupBy("ring").agg(F.min("node").alias("least"))
+    return found.join(least, "ring").select("node", F.col("least").alias("ring"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -256,22 +326,47 @@ def condensation_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph; src needs dst, no need is level 0.
 
-    Round by round, the nodes all of whose needs are placed, until what is left fits one task;
-    nodes on a cycle are left out.
+    A graph too large for one task goes by rounds: nodes without needs are placed and raise their
+    users' bases; nodes with a single need are passed over, each user needing the chain's end
+    by as much more, and are placed once that end is. Nodes on a cycle or in need of one are left out.
     """
-    left, level, placed = nodes.select("node").distinct(), 0, []
-    needs = edges.select("src", "dst").distinct().join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    left = nodes.select("node").distinct().withColumn("base", F.lit(0).cast("long"))
+    needs = edges.select("src", "dst").distinct().join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("w"))
+    placed, passed = [], []
     while not (_is_small(needs) and _is_small(left)):
         left, needs = settle(left), settle(needs)
         ready = settle(left.join(needs.select(F.col("src").alias("node")), "node", "left_anti"))
-        if ready.isEmpty():
-            return _union(placed) if placed else left.limit(0).withColumn("level", F.lit(0))
-        placed.append(ready.withColumn("level", F.lit(level)))
-        left = left.join(ready, "node", "left_anti")
-        needs = needs.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-        level += 1
-    rest = _in_one_task(needs, _place, ["node", "level"], nodes=left)
-    return _union([*placed, rest.withColumn("level", (F.col("level") + level).cast("int"))])
+        if not ready.isEmpty():
+            placed.append(ready.select("node", F.col("base").alias("level")))
+            met = needs.join(ready.select(F.col("node").alias("dst"), "base"), "dst", "left")
+            raised = met.filter("base is not null").groupBy(F.col("src").alias("node")).agg(F.max(F.col("base") + F.col("w")).alias("raised"))
+            left = settle(left.join(ready.select("node"), "node", "left_anti").join(raised, "node", "left").select("node", F.greatest("base", F.coalesce("raised", "base")).alias("base")))
+            needs = settle(met.filter("base is null").select("src", "dst", "w"))
+        ends, endless, _ = _chains(needs, left)
+        ends, endless = settle(ends), settle(endless)
+        if ready.isEmpty() and ends.isEmpty() and endless.isEmpty():
+            return _placed([*placed, left.select("node", F.col("base").alias("level")).limit(0)], passed)
+        lost = endless.select("node")
+        passed.append(ends.select("node", "to", "w", "base"))
+        chain = ends.select(F.col("node").alias("dst"), F.col("to").alias("end"), F.col("w").alias("more"), F.col("base").alias("b2"))
+        users = needs.join(ends.select(F.col("node").alias("src")), "src", "left_anti").join(lost.select(F.col("node").alias("src")), "src", "left_anti").join(chain, "dst", "left")
+        users = settle(users)
+        raised = users.filter("b2 is not null").groupBy(F.col("src").alias("node")).agg(F.max(F.col("b2") + F.col("w")).alias("raised"))
+        left = left.join(ends.select("node"), "node", "left_anti").join(lost, "node", "left_anti").join(raised, "node", "left").select("node", F.greatest("base", F.coalesce("raised", "base")).alias("base"))
+        # a need of a lost node stays, so that its users are never ready
+        needs = users.groupBy("src", F.coalesce("end", "dst").alias("dst")).agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+    rest = _in_one_task(needs, _place, ["node", "level"], weight="w", nodes=left)
+    return _placed([*placed, rest.withColumn("level", F.col("level").cast("long"))], passed)
+
+
+def _placed(placed: list[DataFrame], passed: list[DataFrame]) -> DataFrame:
+    """Levels of all nodes, those that were passed over by the levels of their chains' ends."""
+    found = _union(placed)
+    for chain in reversed(passed):
+        found = settle(found)
+        at = found.select(F.col("node").alias("to"), F.col("level").alias("at"))
+        found = found.union(chain.join(at, "to").select("node", F.greatest("base", F.col("at") + F.col("w")).alias("level")))
+    return found.select("node", F.col("level").cast("int").alias("level"))
 
 
 def wave_cut(levels_df: DataFrame, bound: int) -> DataFrame:
