@@ -1,7 +1,9 @@
 """Markdown documents as typed blocks, and the rows of their tables.
 
-A document is folded line by line inside one row, by Spark's own higher-order functions, so
-nothing is shuffled and no document is spread over tasks or gathered from them.
+A short document is folded line by line inside one row, by Spark's own higher-order functions, so
+nothing is shuffled. A fold copies the blocks that it has with every line, so a document of more
+than ``FOLDED_LINES`` lines goes by windows over its lines instead, in time that its sort takes:
+what state a line is in follows from counts of the lines before it. Both give the same blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
+FOLDED_LINES = 200
+WINDOWED_LEVELS = 12  # headings nested deeper are looked up one by one
 BLOCK = "struct<kind:string,heading_path:array<string>,lines:array<string>>"
 STATE = f"struct<blocks:array<{BLOCK}>,open:array<string>,fence:boolean,path:array<string>>"
 
@@ -55,17 +59,53 @@ def body_lines(text: Column) -> Column:
     return F.when(first & (close > 0), F.slice(lines, (close + 2).cast("int"), F.size(lines))).otherwise(lines)
 
 
-def segment(documents: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("path", "revision")) -> DataFrame:
+def segment(documents: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("path", "revision"), folded_lines: int | None = None) -> DataFrame:
     """Blocks in order: headings, fenced code, and paragraphs between blank lines.
 
     Null and empty texts have no blocks.
     """
+    most = FOLDED_LINES if folded_lines is None else folded_lines
+    given = documents.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    found = _folded(given.filter(n_lines <= most), keys).unionByName(_scanned(given.filter(n_lines > most), keys))
+    return found.select(*keys, "ordinal", "kind", "heading_path", "text", X.content_hash("text").alias("content_hash"), X.normalised_hash("text").alias("normalized_hash"))
+
+
+def _folded(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     none = F.array().cast("array<string>")
     start = _state(F.array().cast(f"array<{BLOCK}>"), none, F.lit(False), none)
-    folded = F.aggregate(body_lines(F.coalesce(F.col(text), F.lit(""))), start, _step, _finish)
-    out = documents.select(*keys, F.posexplode(folded).alias("p", "b"))
-    body = F.array_join("b.lines", "\n")
-    return out.select(*keys, (F.col("p") + 1).cast("long").alias("ordinal"), F.col("b.kind").alias("kind"), F.col("b.heading_path").alias("heading_path"), body.alias("text"), X.content_hash(body).alias("content_hash"), X.normalised_hash(body).alias("normalized_hash"))
+    out = documents.select(*keys, F.posexplode(F.aggregate(body_lines(F.col("text")), start, _step, _finish)).alias("p", "b"))
+    return out.select(*keys, (F.col("p") + 1).cast("long").alias("ordinal"), F.col("b.kind").alias("kind"), F.col("b.heading_path").alias("heading_path"), F.array_join("b.lines", "\n").alias("text"))
+
+
+def _scanned(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    own = [f"k{i}" for i in range(len(keys))]
+    dealt = documents.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.monotonically_increasing_id().alias("doc"), "text").repartition("doc")
+    lines = dealt.select(*own, "doc", F.posexplode(body_lines(F.col("text"))).alias("p", "line"))
+    by = W.partitionBy("doc").orderBy("p")
+    ticks, heads = F.col("line").startswith("```"), F.col("line").startswith("#")
+    fenced = F.coalesce(F.sum(ticks.cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    lines = lines.withColumn("fenced", fenced)
+    kind = F.when(F.col("fenced") | ticks, "code").when(heads, "heading").when(X.trim_space("line") == "", "blank").otherwise("prose")
+    lines = lines.withColumn("kind", kind)
+    starts = (ticks & ~F.col("fenced")) | (F.col("kind") == "heading") | ((F.col("kind") == "prose") & ~F.coalesce(F.lag("kind").over(by) == "prose", F.lit(False)))
+    lines = lines.withColumn("ordinal", F.sum(starts.cast("long")).over(by)).filter("kind <> 'blank'")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
+    blocks = lines.groupBy("doc", "ordinal").agg(*[F.first(o).alias(o) for o in own], F.first("kind").alias("kind"), texts.alias("text"))
+    # The i-th heading has a path of min(its depth, one more than before) titles: the least of what
+    # each heading up to it allows. Its entry at a level is the last title of that length.
+    is_head = F.col("kind") == "heading"
+    so_far = W.partitionBy("doc", "is_head").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    blocks = blocks.withColumn("is_head", is_head).withColumn("title", X.heading_title("text")).withColumn("i", F.row_number().over(W.partitionBy("doc", "is_head").orderBy("ordinal")))
+    blocks = blocks.withColumn("size", F.when(is_head, F.col("i") + F.least(F.lit(0), F.min(F.greatest(X.heading_depth("text"), F.lit(1)) - F.col("i")).over(so_far))))
+    at = [F.last(F.when(F.col("size") == level, F.col("title")), ignorenulls=True).over(so_far) for level in range(1, WINDOWED_LEVELS + 1)]
+    blocks = blocks.withColumn("upper", F.when(is_head, F.array(*at)))
+    blocks = blocks.withColumn("deep", F.collect_list(F.when(F.col("size") > WINDOWED_LEVELS, F.struct("size", "title"))).over(so_far))
+    lower = F.transform(F.sequence(F.lit(WINDOWED_LEVELS + 1), F.col("size")), lambda level: F.element_at(F.filter("deep", lambda x: x["size"] == level), -1)["title"])
+    path = F.when(is_head, F.concat(F.slice("upper", F.lit(1), F.least(F.col("size"), F.lit(WINDOWED_LEVELS))), F.when(F.col("size") > WINDOWED_LEVELS, lower).otherwise(F.array().cast("array<string>"))))
+    last = F.last(F.col("path"), ignorenulls=True).over(W.partitionBy("doc").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0))
+    blocks = blocks.withColumn("path", path).withColumn("heading_path", F.coalesce(last, F.array().cast("array<string>")))
+    return blocks.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "ordinal", "kind", "heading_path", "text")
 
 
 def headings(blocks: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Properties: plain models of the segmenter and closures, row order, determinism, reuse."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,18 +58,36 @@ def plain_segment(text):
     return out
 
 
-def test_segmenter_against_a_plain_model(spark):
+@pytest.mark.parametrize("folded", [10**6, 0, 8])
+def test_segmenter_against_a_plain_model(spark, folded):
     r = random.Random(7)
-    parts = ["# A", "## B", "### C  ", "text", "more text", "", "  ", "```", "```py", "---", "﻿---", "| a |", "end\r", "#x", "　"]
+    parts = ["###### F", "#" * 15 + " deep", "# A", "## B", "### C  ", "text", "more text", "", "  ", "```", "```py", "---", "﻿---", "| a |", "end\r", "#x", "　"]
     texts = ["\n".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(300)]
     df = spark.createDataFrame([(str(i), "v", t) for i, t in enumerate(texts)], "path string, revision string, text string")
     got = {}
-    for x in S.segment(df).orderBy("path", "ordinal").collect():
+    for x in S.segment(df, folded_lines=folded).orderBy("path", "ordinal").collect():
         got.setdefault(int(x["path"]), []).append((x["kind"], x["heading_path"], x["text"]))
     for i, t in enumerate(texts):
         assert got.get(i, []) == plain_segment(t), repr(t)
 
 
+def test_long_documents_take_linear_time(spark):
+    text = "\n\n".join(f"{'#' * (i % 20 + 1)} h{i}" if i % 7 == 0 else f"paragraph {i}\nsecond line" for i in range(20_000))
+    df = spark.createDataFrame([("a", "v", text)], "path string, revision string, text string")
+    S.segment(df, folded_lines=0).count()
+    start = time.perf_counter()
+    assert S.segment(df).agg(F.max("ordinal"), F.count_if(F.col("kind") == "heading"), F.sum(F.size("heading_path"))).first()[:2] == (20_000, 2858)
+    assert time.perf_counter() - start < 5
+
+
+def test_deeply_nested_headings_keep_their_paths(spark):
+    lines = [f"{'#' * d} h{i}" for i, d in enumerate([*range(1, 31), 20, 21, 5, 6, 40, 40])]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([("a", "v", text)], "path string, revision string, text string")
+    got = [(x["kind"], x["heading_path"], x["text"]) for x in S.segment(df, folded_lines=0).orderBy("ordinal").collect()]
+    assert got == plain_segment(text)
+
+
 def test_normalise_against_a_plain_model(spark):
     r = random.Random(3)
     texts = ["".join(r.choice(SPACE + "abé​⁠.") for _ in range(r.randint(0, 12))) for _ in range(400)]
