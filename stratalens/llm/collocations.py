@@ -218,6 +218,12 @@ _PAIRS = "block long, codes binary, links binary, counts binary, names binary, l
 _PAIRS_ARROW = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("codes", "links", "counts", "names", "left", "right")]])
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in as few bytes as all of them fit."""
+    top = int(values.max(initial=0))
+    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+
+
 def _deal_pairs(parts: int):
     """Each block's pairs and their counts, dealt to ``parts`` by a hash of the pair."""
 
@@ -229,8 +235,8 @@ def _deal_pairs(parts: int):
             cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
             left, right, counts = left[order], right[order], np.frombuffer(row["counts"], np.int32)[order]
             some = np.flatnonzero(np.diff(cuts))
-            blobs = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (left, right, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "left", "right", "counts"])
+            blobs = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (_narrow(left), _narrow(right), _narrow(counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cuts)[some].astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "n", "left", "right", "counts"])
 
     return run
 
@@ -239,7 +245,8 @@ def _add_pairs(min_count: int):
     """The pairs of one part whose counts over all blocks are ``min_count`` or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("left", np.int64), ("right", np.int64), ("counts", np.int32)))
+        sizes = table.column("n").to_pylist()
+        left, right, counts = (np.concatenate([np.frombuffer(x.as_buffer(), f"<u{x.as_buffer().size // n}").astype(np.int64) for x, n in zip(table.column(c), sizes)]) for c in ("left", "right", "counts"))
         l, r = pd.factorize(left)[0], pd.factorize(right)[0]
         codes, first = _distinct(l * (int(r.max()) + 1) + r)
         a = np.zeros(len(first), np.int64)
@@ -310,6 +317,15 @@ class _Miner:
             C.drop_table(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(self.block_path)
 
+    def numbered(self, counted: DataFrame) -> DataFrame:
+        """The rows as a table with ids from 0 on, without gaps: small numbers, which shuffle in few bytes."""
+        written = C.write_table(counted.withColumn("id", F.monotonically_increasing_id()))
+        part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+        sizes = sorted((r["part"], r["count"]) for r in written.groupBy(part.alias("part")).count().collect())
+        starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
+        offsets = self.spark.createDataFrame([(p, at) for (p, _), at in zip(sizes, starts)], "part long, offset long")
+        return written.withColumn("part", part).join(offsets, "part").withColumn("id", F.col("offset") + place).drop("part", "offset")
+
     @contextmanager
     def batches(self, rows: int):
         """Jobs whose plans are made within take at most so many rows into an Arrow batch."""
@@ -331,9 +347,9 @@ class _Miner:
         else:
             pairs = blocks.agg(F.coalesce(F.sum(F.octet_length("left")), F.lit(0))).first()[0] // 4
             parts = max(1, -(-pairs // PART_PAIRS))
-            dealt = blocks.select("counts", *keyed).mapInArrow(_deal_pairs(parts), "part int, left binary, right binary, counts binary")
+            dealt = blocks.select("counts", *keyed).mapInArrow(_deal_pairs(parts), "part int, n int, left binary, right binary, counts binary")
             counted = dealt.groupBy("part").applyInArrow(_add_pairs(self.min_count), "left long, right long, a long")
-        names = C.write_table(counted.withColumn("id", F.monotonically_increasing_id()))
+        names = self.numbered(counted)
         n = names.count()
         if 0 < n <= self.names_broadcast:
             got = names.select(*key, "id").toArrow().combine_chunks()
