@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from .graph import settle
+from .mentions import mentions
 
 
 def parse_labels(names: DataFrame, column: str = "name") -> DataFrame:
@@ -78,52 +79,6 @@ def manifest_check(blocks: DataFrame, manifest: DataFrame) -> DataFrame:
     return a.join(b, ["path", "ordinal"], "full_outer").select("path", "ordinal", verdict.alias("verdict"))
 
 
-NAMES_A_BLOCK = 50_000
-
-
-def mentioned(names: DataFrame, documents: DataFrame, block: int = NAMES_A_BLOCK) -> DataFrame:
-    """The names (name) that some document's text contains.
-
-    Names are a stated set of patterns: blocks of at most ``block`` of them are broadcast, and
-    each block is one scan of the documents with one automaton, not a join of all pairs.
-    """
-    spark = documents.sparkSession
-    blocks = max(1, -(-names.count() // block))
-    found = None
-    for i in range(blocks):
-        own = names.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i)
-        shared = spark.sparkContext.broadcast([r["name"] for r in own.collect() if r["name"]])
-
-        def scan(batches, shared=shared):
-            finder, seen = _finder(shared.value), set()
-            for b in batches:
-                fresh = set()
-                for t in b.column(0).to_pylist():
-                    if t:
-                        fresh |= finder(t) - seen
-                seen |= fresh
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh), pa.string())], names=["name"])
-
-        part = documents.select("text").mapInArrow(scan, "name string")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
-
-
-def _finder(names: list[str]):
-    """A function from a text to the set of names in it."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n for n in names if n in text}
-    automaton = ahocorasick.Automaton()
-    for n in names:
-        automaton.add_word(n, n)
-    if not len(automaton):
-        return lambda text: set()
-    automaton.make_automaton()
-    return lambda text: {n for _, n in automaton.iter(text)}
-
-
 def member_fates(members: DataFrame, positions: DataFrame, documents: DataFrame) -> DataFrame:
     """Fate of each member (id, name, family): preserved, hollowed, mentioned or gone.
 
@@ -133,7 +88,8 @@ def member_fates(members: DataFrame, positions: DataFrame, documents: DataFrame)
     order = F.when(F.col("kind").isin("row", "narrative"), 0).otherwise(1)
     best = positions.groupBy("name").agg(F.min(order).alias("best"))
     placed = members.join(best, "name", "left")
-    found = mentioned(placed.filter("best is null").select("name").distinct(), documents).withColumn("seen", F.lit(True))
+    met = mentions(placed.filter("best is null").select("name"), documents, settle)
+    found = met.select("name").distinct().withColumn("seen", F.lit(True))
     fate = F.when(F.col("best") == 0, "preserved").when(F.col("best") == 1, "hollowed").when(F.col("seen"), "mentioned").otherwise("gone")
     return placed.join(found, "name", "left").select("id", "name", "family", fate.alias("fate"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import difference as D, facts as V, filters as Q, preservation as P, revisions as R, segment as S, views as J
+from ..operators.graph import settle
+from ..operators.mentions import mentions
 from .registry import query
 from .store import norm_sql, store
 
@@ -354,6 +356,14 @@ def member_fates(spark, sf):
     return _fates(store(spark, sf))
 
 
+@query("name_mentions", "WITH m AS (SELECT DISTINCT split_part(canonical_text, ' ', 1) AS name FROM statements UNION SELECT DISTINCT canonical_text[1:j] FROM statements, (VALUES (3), (6), (9), (14), (25)) v(j)) SELECT name, path FROM m, docs WHERE name <> '' AND contains(text, name)", covers="247")
+def name_mentions(spark, sf):
+    s = store(spark, sf)
+    first = s.statements.select(F.substring_index("canonical_text", " ", 1).alias("name"))
+    more = s.statements.select(F.explode(F.array(*[F.substring("canonical_text", 1, j) for j in (3, 6, 9, 14, 25)])).alias("name"))
+    return mentions(first.union(more), s.docs, settle)
+
+
 @query("fate_tally", f"SELECT family, count_if(fate = 'preserved')::BIGINT AS preserved, count_if(fate = 'hollowed')::BIGINT AS hollowed, count_if(fate = 'mentioned')::BIGINT AS mentioned, count_if(fate = 'gone')::BIGINT AS gone FROM ({FATES_SQL}) GROUP BY 1", covers="124")
 def fate_tally(spark, sf):
     return R.fate_tally(_fates(store(spark, sf)))
