@@ -86,77 +86,115 @@ def limit_findings(found: DataFrame, complexity_max: int | None, nesting_max: in
     return deep.unionByName(labels).unionByName(over)
 
 
-def condition(expression: str, symbols: set[str]) -> bool:
-    """A preprocessor condition: symbols, true, false, !, &&, ||, == and != and brackets."""
+# ---- conditional branches ----------------------------------------------------------------------
+
+DIRECTIVE = r"(?m)^[ \t]*#[ \t]*(if|elif|else|endif)\b([^\n]*)"
+
+
+def condition(expression: str, defined: dict[str, int], everywhere: int) -> int:
+    """The builds in which a preprocessor condition holds, as bits: symbols, true, false, !, &&, ||,
+    == and != and brackets. ``defined`` has the builds of each symbol."""
     tokens = re.findall(r"\w+|&&|\|\||!=|==|!|\(|\)", expression)
 
-    def either(at):
-        value, at = both(at)
-        while at < len(tokens) and tokens[at] == "||":
-            right, at = both(at + 1)
-            value = value or right
+    def joined(at, operators, inner):
+        value, at = inner(at)
+        while at < len(tokens) and tokens[at] in operators:
+            right, after = inner(at + 1)
+            value, at = operators[tokens[at]](value, right), after
         return value, at
 
+    def either(at):
+        return joined(at, {"||": lambda a, b: a | b}, both)
+
     def both(at):
-        value, at = same(at)
-        while at < len(tokens) and tokens[at] == "&&":
-            right, at = same(at + 1)
-            value = value and right
-        return value, at
+        return joined(at, {"&&": lambda a, b: a & b}, same)
 
     def same(at):
-        value, at = one(at)
-        while at < len(tokens) and tokens[at] in ("==", "!="):
-            right, after = one(at + 1)
-            value, at = (value == right) == (tokens[at] == "=="), after
-        return value, at
+        return joined(at, {"==": lambda a, b: everywhere & ~(a ^ b), "!=": lambda a, b: a ^ b}, one)
 
     def one(at):
         if at >= len(tokens):
-            return False, at
+            return 0, at
         if tokens[at] == "!":
             value, at = one(at + 1)
-            return not value, at
+            return everywhere & ~value, at
         if tokens[at] == "(":
             value, at = either(at + 1)
             return value, at + 1
-        return tokens[at] == "true" or tokens[at] in symbols, at + 1
+        return everywhere if tokens[at] == "true" else defined.get(tokens[at], 0), at + 1
 
     return either(0)[0]
 
 
-def conditional_branches(text: str, builds: list[set[str]]) -> list[int]:
-    """Lines of #if branches that none of the builds (sets of symbols) compiles."""
+def builds_of(builds: list[set[str]]) -> tuple[dict[str, int], int]:
+    """(the builds of each symbol, all builds) as bits."""
+    defined: dict[str, int] = {}
+    for i, symbols in enumerate(builds):
+        for symbol in symbols:
+            defined[symbol] = defined.get(symbol, 0) | 1 << i
+    return defined, (1 << len(builds)) - 1
+
 
+def dead_branches(directives, defined: dict[str, int], everywhere: int) -> list[int]:
+    """Lines of the directives (line, word, rest) whose branch no build compiles."""
     out: list[int] = []
-    stack: list[dict] = []
-    for n, line in enumerate((text or "").split("\n"), 1):
-        m = re.match(r"\s*#\s*(if|elif|else|endif)\b(.*)", line)
-        if not m:
-            continue
-        word, expression = m[1], m[2].split("//")[0]
+    stack: list[tuple[int, int, int]] = []  # builds that come by, that took a branch, that take this one
+    for line, word, rest in directives:
+        expression = rest.split("//")[0]
         if word == "if":
-            live = stack[-1]["on"] if stack else [True] * len(builds)
-            on = [a and condition(expression, s) for a, s in zip(live, builds)]
-            stack.append({"live": live, "taken": list(on), "on": on})
-        elif stack and word in ("elif", "else"):
-            top = stack[-1]
-            top["on"] = [a and not t and (word == "else" or condition(expression, s)) for a, t, s in zip(top["live"], top["taken"], builds)]
-            top["taken"] = [t or o for t, o in zip(top["taken"], top["on"])]
-        elif stack and word == "endif":
+            outer = stack[-1][2] if stack else everywhere
+            on = outer & condition(expression, defined, everywhere)
+            stack.append((outer, on, on))
+        elif not stack:
+            continue
+        elif word == "endif":
             stack.pop()
             continue
-        if stack and word != "endif" and not any(stack[-1]["on"]):
-            out.append(n)
+        else:
+            outer, taken, _ = stack[-1]
+            on = outer & ~taken & (everywhere if word == "else" else condition(expression, defined, everywhere))
+            stack[-1] = (outer, taken | on, on)
+        if not stack[-1][2]:
+            out.append(line)
     return out
 
 
+def conditional_branches(text: str | None, builds: list[set[str]]) -> list[int]:
+    """Lines of the branches of one text that no build compiles."""
+    found = [(n, m[1], m[2]) for n, line in enumerate((text or "").split("\n"), 1) if (m := re.match(DIRECTIVE, line))]
+    return dead_branches(found, *builds_of(builds))
+
+
+def directives(sources: DataFrame, *columns: str) -> DataFrame:
+    """The sources that have conditional directives, with these: line, word, rest."""
+    whole = F.regexp_extract_all("text", F.lit(DIRECTIVE), F.lit(0))
+    at = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.regexp_extract(x, DIRECTIVE, 1).alias("word"), F.regexp_extract(x, DIRECTIVE, 2).alias("rest"))), lambda x: x["word"] != "")
+    return sources.filter((F.col("language") == "csharp") & (F.size(whole) > 0)).select(*columns, at.alias("directives"))
+
+
 def uncompiled(sources: DataFrame, builds: list[set[str]]) -> DataFrame:
-    """(path, line_no) of C# branches that no declared build compiles."""
+    """(path, line_no) of C# branches that no declared build compiles.
+
+    All builds are judged at once, a bit for each, so a thousand cost what one does; only the
+    directives of a source leave it.
+    """
+    defined, everywhere = builds_of(builds)
 
     def run(batches):
         for b in batches:
-            rows = [(p, n) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n in conditional_branches(t, builds)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "line_no"])
-
-    return sources.filter("language = 'csharp'").select("path", "text").mapInArrow(run, "path string, line_no long")
+            paths, lines = [], []
+            for path, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                dead = dead_branches([(d["line"], d["word"], d["rest"]) for d in found], defined, everywhere)
+                paths += [path] * len(dead)
+                lines += dead
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lines, pa.int64())], names=["path", "line_no"])
+
+    return directives(sources, "path").mapInArrow(run, "path string, line_no long")
+
+
+def conditional_symbols(sources: DataFrame) -> DataFrame:
+    """(symbol, sources, directives): the symbols that conditions ask for, and how often."""
+    named = directives(sources, "path").select("path", F.explode("directives").alias("d")).filter("d.word in ('if', 'elif')")
+    words = F.regexp_extract_all(F.substring_index("d.rest", "//", 1), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    used = named.select("path", F.explode(F.array_except(words, F.array(F.lit("true"), F.lit("false")))).alias("symbol"))
+    return used.groupBy("symbol").agg(F.countDistinct("path").alias("sources"), F.count("*").alias("directives"))

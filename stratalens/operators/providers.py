@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import GRANULARITY, VARIANT, satisfies, standing
+from ..functions.ordered import GRANULARITY, VARIANT, rank, satisfies, standing
 from .filters import Refused
 
 
@@ -103,6 +103,69 @@ class Registry:
         return spark.createDataFrame(rows, "capability string, provider string, rank int")
 
 
+_AXES = ("variant", "soundness", "completeness", "incremental")
+
+
+def _heights(prefix: str = "") -> Column:
+    """A guarantee's four axes as numbers: it reaches another if none of them is lower."""
+    c = lambda name: F.col(prefix + name)
+    return F.array(rank(c("variant"), VARIANT), (c("soundness") == "Sound").cast("int"), (c("completeness") == "Sound").cast("int"), rank(c("incremental"), GRANULARITY))
+
+
+def _stronger(a: Column, b: Column) -> Column:
+    return F.forall(F.zip_with(a, b, lambda x, y: x >= y), lambda x: x) & (a != b)
+
+
+def rankings(offers: DataFrame, floor: dict[str, str] | None = None) -> DataFrame:
+    """(capability, provider, rank) of every usable offer, as ``Registry.ranked`` has them.
+
+    ``offers`` has the order of registration in ``position``. An offer comes after all that are
+    strictly stronger, and the climb to these goes to the earliest: that is a walk in depth, in which
+    an offer's way is a list of positions. Its next step is the earliest offer that is stronger than
+    the step before and that the offer equals or outdoes itself. Only the four axes tell offers apart,
+    so each way looks at the earliest offer of each distinct guarantee, of which there are few
+    however many offers there are, and takes no more steps than the axes are high.
+
+    Offers of equal guarantees keep their order. An offer with a guarantee that is not of the
+    vocabulary is not ranked.
+    """
+    own = offers if floor is None else usable(offers, floor)
+    own = own.select("capability", "provider", F.col("position").cast("long").alias("position"), _heights().alias("heights")).filter(F.forall("heights", lambda h: h.isNotNull()))
+    kinds = own.groupBy("capability", "heights").agg(F.min("position").alias("position"))
+    lower = kinds.select("capability", F.col("heights").alias("h2"), F.col("position").alias("p2"))
+    under = kinds.join(lower, "capability").filter(_stronger(F.col("heights"), F.col("h2"))).groupBy("capability", "heights").agg(F.collect_list(F.struct(F.col("p2").alias("position"), F.col("h2").alias("heights"))).alias("under"))
+    met = own.join(under, ["capability", "heights"], "left")
+    me = F.array(F.struct("position", "heights"))
+    met = met.withColumn("near", F.sort_array(F.concat(F.coalesce("under", F.slice(me, 2, 1)), me)))
+    last = lambda way: F.element_at(way, -1)
+    way = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(VARIANT) + len(GRANULARITY) + 2)),
+        F.slice("near", 1, 1),
+        lambda way, _: F.concat(way, F.slice(F.filter("near", lambda z: _stronger(z["heights"], last(way)["heights"])), 1, 1)),
+    )
+    met = met.withColumn("way", F.concat(F.transform(way, lambda z: z["position"]), F.array(F.lit((1 << 62)))))
+    place = F.row_number().over(W.partitionBy("capability").orderBy("way", "provider"))
+    return met.select("capability", "provider", place.alias("rank"))
+
+
+def resolved(requirements: DataFrame, offers: DataFrame) -> DataFrame:
+    """(id, capability, provider, weaker) for each requirement: who answers it, and how many of the
+    usable offers are strictly weaker than that one.
+
+    A requirement is (id, capability, preferred, and the least it takes on each axis). A preferred
+    provider answers if it is usable, else the first by rank; none is null.
+    """
+    floors = requirements.select("id", "capability", "preferred", _heights().alias("floor"))
+    own = offers.select("capability", "provider", "position", *_AXES, _heights().alias("heights"))
+    fits = floors.join(own, "capability").filter(F.forall(F.zip_with("heights", "floor", lambda x, y: x >= y), lambda x: x)).drop("capability")
+    # offers are ranked among the usable ones of each requirement
+    ranks = rankings(fits.select(F.col("id").alias("capability"), "provider", "position", *_AXES))
+    fits = fits.join(ranks.withColumnRenamed("capability", "id"), ["id", "provider"])
+    first = F.min(F.struct((~F.coalesce(F.col("provider") == F.col("preferred"), F.lit(False))).alias("other"), "rank", "provider", "heights")).alias("first")
+    counted = fits.join(fits.groupBy("id").agg(first), "id").groupBy("id").agg(F.first("first.provider").alias("provider"), F.count_if(_stronger(F.col("first.heights"), F.col("heights"))).alias("weaker"))
+    return requirements.select("id", "capability").join(counted, "id", "left").select("id", "capability", "provider", F.coalesce("weaker", F.lit(0)).alias("weaker"))
+
+
 def first_materialised(facts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
     """Of each subject, the fact of the best-ranked provider that has one."""
     rest = [c for c in facts.columns if c not in keys]

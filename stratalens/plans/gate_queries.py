@@ -309,14 +309,42 @@ def usable_offers(spark, sf):
     return V.usable(_offers(store(spark, sf)), {"variant": "Syntactic", "soundness": "Sound", "completeness": "Unknown", "incremental": "Project"})
 
 
-@query("provider_ranking", covers="150 158 236 237")
+# Offers of customers, in the order of their keys: a capability for each nation.
+_MANY_SQL = "c AS (SELECT 'cap' || c_nationkey AS capability, c_custkey AS provider, c_custkey AS position, c_custkey % 5 AS v, (c_custkey // 5 % 3 = 0)::INT AS s, (c_custkey // 15 % 2 = 1)::INT AS k, c_custkey // 7 % 4 + 1 AS g FROM customer)"
+_ABOVE = "{0}.v >= {1}.v AND {0}.s >= {1}.s AND {0}.k >= {1}.k AND {0}.g >= {1}.g AND ({0}.v, {0}.s, {0}.k, {0}.g) <> ({1}.v, {1}.s, {1}.k, {1}.g)"
+_WAYS_SQL = f"""up AS (SELECT a.capability, a.provider AS low, b.provider AS high, b.position FROM c a JOIN c b ON a.capability = b.capability AND {_ABOVE.format('b', 'a')}),
+near AS (SELECT capability, high AS x, low AS z FROM up UNION ALL SELECT capability, provider, provider FROM c),
+w AS (SELECT capability, x, [min(z)] AS way FROM near GROUP BY ALL
+  UNION ALL SELECT capability, x, list_append(any_value(way), min(z)) FROM (SELECT w.capability, w.x, w.way, near.z FROM w JOIN up ON up.low = w.way[-1] JOIN near ON near.x = w.x AND near.z = up.high WHERE w.way[-1] <> w.x) GROUP BY capability, x)"""
+RANKING_SQL = f"WITH RECURSIVE {_MANY_SQL}, {_WAYS_SQL} SELECT capability, x AS provider, (row_number() OVER (PARTITION BY capability ORDER BY list_append(way, 4611686018427387904)))::INT AS rank FROM w WHERE way[-1] = x"
+
+
+def _many_offers(s):
+    k = F.col("c_custkey")
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    div = lambda n: F.floor(k / n)
+    return s.table("customer").select(F.concat(F.lit("cap"), F.col("c_nationkey").cast("string")).alias("capability"), k.alias("provider"), k.alias("position"), pick(O.VARIANT, k % 5).alias("variant"), pick(["Sound", "Unknown", "Unsound"], div(5) % 3).alias("soundness"), pick(["Unknown", "Sound"], div(15) % 2).alias("completeness"), pick(O.GRANULARITY[1:], div(7) % 4).alias("incremental"))
+
+
+@query("provider_ranking", RANKING_SQL, covers="150 236")
 def provider_ranking(spark, sf):
-    registry = V.Registry()
-    for r in sorted(_offers(store(spark, sf)).collect(), key=lambda r: r["provider"]):  # 25 declared offers
-        if r["capability"] not in registry.offers:
-            registry.declare(r["capability"])
-        registry.register(r["capability"], r["provider"], V.Guarantee(r["variant"], r["soundness"], r["completeness"], r["incremental"]))
-    return registry.ranks(spark, "cap0").unionByName(registry.ranks(spark, "cap1"))
+    return V.rankings(_many_offers(store(spark, sf)))
+
+
+_RESOLVED_SQL = f"""WITH RECURSIVE {_MANY_SQL.replace('c AS', 'o AS', 1)},
+r AS (SELECT s_suppkey AS id, 'cap' || s_nationkey AS capability, s_suppkey % 5 AS v, (s_suppkey % 2 = 0)::INT AS s, 0 AS k, s_suppkey % 3 + 2 AS g, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 3 END AS preferred FROM supplier),
+c AS (SELECT r.id AS capability, o.provider, o.position, o.v, o.s, o.k, o.g, o.provider IS NOT DISTINCT FROM r.preferred AS liked FROM r JOIN o ON o.capability = r.capability AND o.v >= r.v AND o.s >= r.s AND o.k >= r.k AND o.g >= r.g),
+{_WAYS_SQL.replace('near.x = w.x', 'near.capability = w.capability AND near.x = w.x').replace('up.low = w.way[-1]', 'up.capability = w.capability AND up.low = w.way[-1]')},
+best AS (SELECT c.* FROM w JOIN c ON c.capability = w.capability AND c.provider = w.x WHERE way[-1] = x QUALIFY row_number() OVER (PARTITION BY c.capability ORDER BY liked DESC, list_append(way, 4611686018427387904)) = 1)
+SELECT r.id, r.capability, best.provider, (SELECT count(*) FROM c f WHERE f.capability = r.id AND {_ABOVE.format('best', 'f')})::BIGINT AS weaker FROM r LEFT JOIN best ON best.capability = r.id"""
+
+
+@query("resolved_requirements", _RESOLVED_SQL, covers="158 237 238")
+def resolved_requirements(spark, sf):
+    s, k = store(spark, sf), F.col("s_suppkey")
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    needs = s.table("supplier").select(k.alias("id"), F.concat(F.lit("cap"), F.col("s_nationkey").cast("string")).alias("capability"), pick(O.VARIANT, k % 5).alias("variant"), F.when(k % 2 == 0, "Sound").otherwise("Unknown").alias("soundness"), F.lit("Unknown").alias("completeness"), pick(O.GRANULARITY, k % 3 + 2).alias("incremental"), F.when(k % 4 == 0, k * 3).alias("preferred"))
+    return V.resolved(needs, _many_offers(s))
 
 
 @query("first_materialised_fact", "SELECT user_id, arg_min(payload, (CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, event_id)) AS payload FROM facts WHERE generation = 3 AND event_type IN ('click', 'view', 'error') GROUP BY 1", covers="239")

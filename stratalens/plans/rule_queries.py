@@ -153,11 +153,44 @@ def function_metrics(spark, sf):
     return X.limit_findings(found, 10)
 
 
-@query("conditional_branches", covers="29 196 uncompiled-conditional-branch")
+# (fragment of C#, lines of branches that no build compiles) where builds have all sets of S0 to S9 but
+# those with S8 and S9 together
+_BRANCHES = [
+    ("#if S0 && !S1 // @\nx\n#elif S1 || !S0\ny\n#else\nz\n#endif\n", [5]),
+    ("#if S2\n#if !S2\ndead @\n#else\nx\n#endif\n#elif S2 || false\ny\n#endif\n", [2, 7]),
+    ("  # if (S3 == S4) != !(S3 != S4)\n#endif\n#if true\n#else // @\n#endif\n", [1, 4]),
+    ("#if S8 && S9\n@\n#elif S8 || S9\nx\n#elif !S8\ny\n#else\nz\n#endif\n", [1, 7]),
+    ("// #if false\n#if UNKNOWN\n@\n#endif\n#endif\n#else\n", [2]),
+]
+_BRANCH_VALUES = ", ".join(f"({k}, {line})" for k, (_, dead) in enumerate(_BRANCHES) for line in dead)
+_BRANCH_SIZES = "[" + ", ".join(str(t.count("\n")) for t, _ in _BRANCHES) + "]"
+BUILDS = [{f"S{j}" for j in range(10) if b >> j & 1} for b in range(1024) if b >> 8 != 3]
+
+
+def _branched(spark, sf):
+    """(path, language, text): a fragment of C# for each line of a document."""
+    d = F.col("doc_id")
+    pick = lambda i: F.get(F.array(*[F.lit(t) for t, _ in _BRANCHES]), ((d * 3 + i + 1) % len(_BRANCHES)).cast("int"))
+    clean = lambda x: F.translate(x, "#/", "  ")
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.replace(pick(i), F.lit("@"), clean(x))), "")
+    return store(spark, sf).docs.select("path", F.lit("csharp").alias("language"), text.alias("text"))
+
+
+_BRANCHED_SQL = f"""SELECT path, k, 1 + coalesce(sum(size) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line FROM
+  (SELECT path, i, (doc_id * 3 + i) % {len(_BRANCHES)} AS k, ({_BRANCH_SIZES})[((doc_id * 3 + i) % {len(_BRANCHES)} + 1)::INT] AS size FROM (SELECT doc_id, path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs))"""
+
+
+@query("conditional_branches", f"SELECT path, (first_line + line - 1)::BIGINT AS line_no FROM ({_BRANCHED_SQL}) JOIN (VALUES {_BRANCH_VALUES}) f(k, line) USING (k)", covers="29 uncompiled-conditional-branch")
 def conditional_branches(spark, sf):
-    s = store(spark, sf).sources.filter("language = 'csharp'")
-    marked = s.withColumn("text", F.concat(F.lit("#if A && !B\n"), "text", F.lit("\n#elif C\nx\n#else\ny\n#endif\n")))
-    return X.uncompiled(marked, [{"A", "B"}, {"A", "C"}])
+    return X.uncompiled(_branched(spark, sf), BUILDS)
+
+
+_SYMBOL_VALUES = ", ".join(f"({k}, '{s}', {n})" for k, s, n in [(0, "S0", 2), (0, "S1", 2), (1, "S2", 3), (2, "S3", 1), (2, "S4", 1), (3, "S8", 3), (3, "S9", 2), (4, "UNKNOWN", 1)])
+
+
+@query("conditional_symbols", f"SELECT symbol, count(DISTINCT path) AS sources, sum(n)::BIGINT AS directives FROM (SELECT path, symbol, n FROM ({_BRANCHED_SQL}) JOIN (VALUES {_SYMBOL_VALUES}) f(k, symbol, n) USING (k)) GROUP BY 1", covers="196")
+def conditional_symbols(spark, sf):
+    return X.conditional_symbols(_branched(spark, sf))
 
 
 _TOOLS = {"lint-diagnostics": "click", "dependency-policy": "error", "copy-clones": "view", "nested-locks": "purchase", "review-finding": "signup", "a-discarded-error-is-explained": "scroll"}
