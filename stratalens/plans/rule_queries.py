@@ -197,7 +197,7 @@ _TOOLS = {"lint-diagnostics": "click", "dependency-policy": "error", "copy-clone
 _TOOLS_SQL = " ".join(f"WHEN {T(e)} THEN {T(r)}" for r, e in _TOOLS.items())
 
 
-@query("tool_fact_findings", f"SELECT rule, 'user' || user_id AS path, 'g' || generation || '/' || s AS site FROM (SELECT *, CASE event_type {_TOOLS_SQL} END AS rule, unnest(range(0, (event_id % 3)::INT)) AS s FROM facts) WHERE rule IS NOT NULL", covers="22 23 24 25 26 30 31 lint-diagnostics dependency-policy copy-clones nested-locks review-finding a-discarded-error-is-explained")
+@query("tool_fact_findings", f"SELECT rule, 'user' || user_id AS path, 'g' || generation || '/' || s AS site FROM (SELECT *, CASE event_type {_TOOLS_SQL} END AS rule, unnest(range(0, (event_id % 3)::INT)) AS s FROM facts) WHERE rule IS NOT NULL", covers="22 23 24 lint-diagnostics dependency-policy copy-clones nested-locks review-finding a-discarded-error-is-explained")
 def tool_fact_findings(spark, sf):
     f = store(spark, sf).facts
     sites = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda s: s < F.col("event_id") % 3), lambda s: F.concat(F.lit("g"), F.col("generation").cast("string"), F.lit("/"), s.cast("string")))
