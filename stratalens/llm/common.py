@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             base = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="stratalens-")
             spark.sparkContext.setCheckpointDir(base)

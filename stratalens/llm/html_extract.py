@@ -327,7 +327,7 @@ def main_text(pages: DataFrame, *, html_column: str = "html") -> DataFrame:
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     taken = {"text", "n_chars", html_column}
     kept = [f for f in pages.schema.fields if f.name not in taken]
-    source = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{html_column}`").alias("_html"))
+    source = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{html_column}`")).toDF(*map(str, range(len(kept) + 1)))
 
     def run(batches):
         for b in batches:

@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", margin: float
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     taken = {f.name for f in new} | (set() if keep_text else {text})
     kept = [f for f in docs.schema.fields if f.name not in taken]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`")).toDF(*map(str, range(len(kept) + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

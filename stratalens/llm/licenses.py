@@ -177,7 +177,13 @@ def _join(spark, rows: DataFrame, span: int, vocabulary_column, index, members,
 
 
 def oracle(templates=TEMPLATES, threshold: float = 0.9) -> str:
-    """DuckDB SQL of ``scan``, block by block without any filter."""
+    """DuckDB SQL of ``scan``, block by block without any filter.
+
+    Its expressions cannot look back, so the point of an abbreviation is marked before pieces are cut.
+    """
+    span = 2 * max([len(t.split()) for _, t in templates], default=1)
+    mark = r"\b(v|ver|vers|no|inc|ltd|co|corp)\."
+    cut = r"[.!?][\x09-\x0D\x20]+|\n[\x09\x0B-\x0D\x20]*\n"
     values = ", ".join(f"('{label}', {sorted(set(t.split()))}, {needed(len(set(t.split())), threshold)})" for label, t in templates)
     lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     words = lambda c: f"regexp_extract_all({c}, '{WORD}')"
@@ -188,7 +194,10 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, {lower} AS t FROM documents),
 w AS (SELECT rid, {words("t")} AS ws FROM d),
 spots AS (SELECT rid, i, CASE {places} END AS label FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license'))),
 base AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS found FROM spots WHERE label IS NOT NULL GROUP BY rid),
-blocks AS (SELECT rid, list_distinct({words("b")}) AS bw FROM (SELECT rid, unnest(regexp_split_to_array(t, '{BLOCK_END}')) AS b FROM d)),
+pieces AS (SELECT rid, unnest(regexp_split_to_array(regexp_replace(t, '{mark}', '\\1' || chr(1), 'g'), '{cut}')) AS p FROM d),
+wrapped AS (SELECT rid, {words("p")} AS ws FROM pieces WHERE regexp_matches(p, '[.!?\x01][\x09-\x0D\x20]+|\n')),
+blocks AS (SELECT rid, list_distinct({words("b")}) AS bw FROM (SELECT rid, unnest(regexp_split_to_array(t, '{BLOCK_END}')) AS b FROM d)
+  UNION ALL SELECT rid, list_distinct(ws[i:i + {2 * span - 1}]) FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - {span}, 1) + 1, {span})) AS i FROM wrapped)),
 met AS (SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM blocks, templates WHERE len(list_intersect(bw, tw)) >= m),
 own AS (SELECT rid, list(DISTINCT label) AS found, max(c) AS c FROM met GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,

@@ -211,7 +211,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", limit: int =
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     taken = {f.name for f in new} | {text}
     kept = [f for f in docs.schema.fields if f.name not in taken]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`")).toDF(*map(str, range(len(kept) + 1)))
 
     def run(batches):
         own = counter(path)

@@ -1,6 +1,9 @@
 import re
 
+import duckdb
+import pandas as pd
 import pytest
+import regex
 
 from stratalens.llm import licenses
 
@@ -12,8 +15,13 @@ def brute(text, templates=licenses.TEMPLATES, threshold=0.9):
     w = WORD.findall(low)
     spots = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     found, best = set(), 0.0
-    for block in re.split(licenses.BLOCK_END, low):
-        have = set(WORD.findall(block))
+    span = 2 * max([len(t.split()) for _, t in templates], default=1)
+    blocks = [WORD.findall(block) for block in re.split(licenses.BLOCK_END, low)]
+    for piece in regex.split(licenses.WRAP_END, low):
+        if re.search(licenses.BLOCK_END, piece):
+            own = WORD.findall(piece)
+            blocks += [own[i : i + 2 * span] for i in range(0, max(len(own) - span, 1), span)]
+    for have in map(set, blocks):
         for label, t in templates:
             t = set(t.split())
             if len(t & have) >= licenses.needed(len(t), threshold):
@@ -93,3 +101,7 @@ def test_wrapped_notices(spark):
     d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(d).collect()}
     assert [got[i] for i in range(len(rows))] == [label for label, _ in rows]
+    # the SQL of the query and the plain model say the same of them
+    documents = pd.DataFrame([(i, t) for i, (_, t) in enumerate(rows)], columns=["doc_id", "text"])  # noqa: F841
+    sql = {r[0]: r[6] for r in duckdb.sql(licenses.oracle()).fetchall()}
+    assert sql == got == {i: brute(t)[5] for i, (_, t) in enumerate(rows)}
