@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from .graph import settle
 
 
+def _claim(table: pa.Table) -> pa.Table:
+    """Blocks of one normal form in one document, claimed in the order of the later version.
+
+    Each later block takes the earliest free one of its own text, else the earliest free one of the
+    form, which may be what a later block would have taken as its own.
+    """
+    rows = sorted(zip(table.column("ordinal").to_pylist(), table.column("later").to_pylist(), table.column("h").to_pylist()))
+    before, free, own = [(o, h) for o, later, h in rows if not later], {}, 0
+    for i, (_, h) in enumerate(before):
+        free.setdefault(h, deque()).append(i)
+    taken, out = [False] * len(before), []
+    for to, later, h in rows:
+        if not later:
+            continue
+        same = free.get(h, ())
+        while same and taken[same[0]]:
+            same.popleft()
+        while own < len(before) and taken[own]:
+            own += 1
+        if same:
+            i, change = same[0], "same" if before[same[0]][0] == to else "moved"
+        elif own < len(before):
+            i, change = own, "reflowed"
+        else:
+            continue
+        taken[i] = True
+        out.append((before[i][0], to, change))
+    n = len(out)
+    kept = [table.column(c).take(pa.array([0] * n, pa.int64())) for c in table.column_names if c.startswith("key_")]
+    columns = [pa.array([r[k] for r in out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
+    return pa.table([*kept, *columns], names=[*[c for c in table.column_names if c.startswith("key_")], "a_ordinal", "b_ordinal", "change"])
+
+
 def block_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Each block of two versions: same, moved, reflowed, reworded, removed or added.
 
-    Equal texts pair in order of occurrence; what is left pairs by normalised text, and then
-    by ordinal. Every step is an equi-join on (text, occurrence), so long documents cost no
-    more than a sort.
+    Later blocks claim earlier ones in their order: the earliest free one of equal text, else the
+    earliest free one of equal normal form; what is left pairs by ordinal. Only blocks of one normal
+    form in one document compete. Where they are all of one text, their occurrences pair by an
+    equi-join; forms of several texts are claimed one by one, each by itself.
     """
     key = list(keys)
-    a = before.select(*key, F.col("ordinal").alias("a_ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
-    b = after.select(*key, F.col("ordinal").alias("b_ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
-    a, b = settle(a), settle(b)  # keys and hashes only: each side's texts are read once
-
-    def numbered(df, by, ordinal):
-        return df.withColumn("rn", F.row_number().over(W.partitionBy(*key, by).orderBy(ordinal)))
-
-    def pairs(x, y, by):
-        left = numbered(x, by, "a_ordinal").select(*key, by, "rn", "a_ordinal")
-        return left.join(numbered(y, by, "b_ordinal").select(*key, by, "rn", "b_ordinal"), [*key, by, "rn"]).select(*key, "a_ordinal", "b_ordinal")
-
-    exact = settle(pairs(a, b, "h")).withColumn("change", F.when(F.col("a_ordinal") == F.col("b_ordinal"), "same").otherwise("moved"))
-    a1, b1 = settle(a.join(exact, [*key, "a_ordinal"], "left_anti")), settle(b.join(exact, [*key, "b_ordinal"], "left_anti"))
-    reflowed = pairs(a1, b1, "nh").withColumn("change", F.lit("reflowed"))
-    a2, b2 = a1.join(reflowed, [*key, "a_ordinal"], "left_anti"), b1.join(reflowed, [*key, "b_ordinal"], "left_anti")
-    reworded = a2.join(b2.select(*key, "b_ordinal"), [F.col("a_ordinal") == F.col("b_ordinal"), *[a2[k] == b2[k] for k in key]]).select(*[a2[k] for k in key], "a_ordinal", "b_ordinal").withColumn("change", F.lit("reworded"))
-    null = F.lit(None).cast("long")
-    removed = a2.join(reworded, [*key, "a_ordinal"], "left_anti").select(*key, "a_ordinal", null.alias("b_ordinal"), F.lit("removed").alias("change"))
-    added = b2.join(reworded, [*key, "b_ordinal"], "left_anti").select(*key, null.alias("a_ordinal"), "b_ordinal", F.lit("added").alias("change"))
-    return exact.unionByName(reflowed).unionByName(reworded).unionByName(removed).unionByName(added)
+    a = before.select(*key, F.col("ordinal").cast("long").alias("ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
+    b = after.select(*key, F.col("ordinal").cast("long").alias("ordinal"), F.col("content_hash").alias("h"), F.col("normalized_hash").alias("nh"))
+    both = settle(a.withColumn("later", F.lit(False)).unionByName(b.withColumn("later", F.lit(True))))  # each side's texts are read once
+    shape = both.groupBy(*key, "nh").agg((F.min("h") != F.max("h")).alias("mixed"))
+    both = both.join(shape, [*key, "nh"])
+    plain = both.filter("not mixed").withColumn("rn", F.row_number().over(W.partitionBy(*key, "nh", "later").orderBy("ordinal")))
+    side = lambda later, name: plain.filter(F.col("later") == later).select(*key, "nh", "rn", F.col("ordinal").alias(name))
+    exact = side(False, "a_ordinal").join(side(True, "b_ordinal"), [*key, "nh", "rn"])
+    exact = exact.select(*key, "a_ordinal", "b_ordinal", F.when(F.col("a_ordinal") == F.col("b_ordinal"), "same").otherwise("moved").alias("change"))
+    named = both.filter("mixed").select(*[F.col(k).alias(f"key_{k}") for k in key], "nh", "ordinal", "later", "h")
+    schema = ", ".join([*[f"`key_{k}` {before.schema[k].dataType.simpleString()}" for k in key], "a_ordinal long, b_ordinal long, change string"])
+    claimed = named.groupBy(*[f"key_{k}" for k in key], "nh").applyInArrow(_claim, schema).select(*[F.col(f"key_{k}").alias(k) for k in key], "a_ordinal", "b_ordinal", "change")
+    held = settle(exact.unionByName(claimed))
+    left = lambda later, name: both.filter(F.col("later") == later).select(*key, F.col("ordinal").alias(name)).join(held.select(*key, name), [*key, name], "left_anti")
+    gone = left(False, "a_ordinal").select(*key, F.col("a_ordinal").alias("ordinal"), F.lit(True).alias("was"))
+    new = left(True, "b_ordinal").select(*key, F.col("b_ordinal").alias("ordinal"), F.lit(True).alias("now"))
+    rest = gone.join(new, [*key, "ordinal"], "full_outer")
+    at = lambda there, name: F.when(F.col(there), F.col("ordinal")).alias(name)
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("reworded")
+    return held.unionByName(rest.select(*key, at("was", "a_ordinal"), at("now", "b_ordinal"), change.alias("change")))
 
 
 def field_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
