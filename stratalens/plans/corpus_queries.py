@@ -465,9 +465,9 @@ def relation_changes(spark, sf):
     return D.relation_changes(r.filter(~F.endswith("from_node", F.lit("1"))), r.filter(~F.endswith("from_node", F.lit("2"))))
 
 
-@query("statement_locations", "WITH s AS (SELECT 'S-' || doc_id AS statement_id, path, ordinal, text, doc_id FROM blocks WHERE ordinal = 1), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN ordinal + 1 ELSE ordinal END AS ordinal, normalized FROM blocks WHERE doc_id % 4 <> 3) SELECT statement_id, CASE WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.normalized = " + norm_sql("s.text") + ") THEN 'gone' WHEN EXISTS (SELECT 1 FROM b WHERE b.normalized = " + norm_sql("s.text") + " AND b.path = s.path AND b.ordinal = s.ordinal) THEN 'held' ELSE 'moved' END AS location FROM s", covers="244")
+@query("statement_locations", "WITH s AS (SELECT 'S-' || doc_id || '-' || ordinal AS statement_id, path, ordinal, text, doc_id FROM blocks), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN ordinal + 1 ELSE ordinal END AS ordinal, normalized FROM blocks WHERE doc_id % 4 <> 3) SELECT statement_id, CASE WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.normalized = " + norm_sql("s.text") + ") THEN 'gone' WHEN EXISTS (SELECT 1 FROM b WHERE b.normalized = " + norm_sql("s.text") + " AND b.path = s.path AND b.ordinal = s.ordinal) THEN 'held' ELSE 'moved' END AS location FROM s", covers="244")
 def statement_locations(spark, sf):
     blocks = store(spark, sf).blocks
-    s = blocks.filter("ordinal = 1").select(F.concat(F.lit("S-"), F.col("doc_id").cast("string")).alias("statement_id"), "path", "ordinal", "text")
+    s = blocks.select(F.concat(F.lit("S-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("ordinal").cast("string")).alias("statement_id"), "path", "ordinal", "text")
     later = blocks.filter("doc_id % 4 <> 3").withColumn("ordinal", F.when(F.col("doc_id") % 5 == 0, F.col("ordinal") + 1).otherwise(F.col("ordinal")))
     return D.locate_statements(s, later)

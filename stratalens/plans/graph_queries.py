@@ -98,14 +98,14 @@ def scc_condensation(spark, sf):
 
 
 # An acyclic graph: a part needs parts of smaller keys.
-_ACYCLIC = "e AS (SELECT p_partkey % 300 AS src, (p_partkey % 300) // 2 AS dst FROM part WHERE p_partkey % 300 > 0 UNION SELECT p_partkey % 300, (p_partkey % 300) - 7 FROM part WHERE p_partkey % 300 > 7 AND p_partkey % 4 = 0)"
+_ACYCLIC = "e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey > 7 AND p_partkey % 4 = 0)"
 
 
 def _acyclic(s):
-    k = F.col("p_partkey") % 300
+    k = F.col("p_partkey")
     p = s.table("part")
     a = p.filter(k > 0).select(k.alias("src"), F.floor(k / 2).cast("long").alias("dst"))
-    return a.union(p.filter((k > 7) & (F.col("p_partkey") % 4 == 0)).select(k, k - 7)).distinct()
+    return a.union(p.filter((k > 7) & (k % 4 == 0)).select(k, k - 7)).distinct()
 
 
 @query("workflow_waves", f"WITH RECURSIVE {_ACYCLIC}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), lv(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.src, level + 1 FROM e JOIN lv ON lv.node = e.dst) SELECT node, max(level) AS level FROM lv GROUP BY 1", covers="208")

@@ -224,10 +224,15 @@ def standards_corpus(spark, sf):
     return R.corpus_documents(store(spark, sf).docs, declared)
 
 
-@query("undeclared_policy_keys", "SELECT 'undeclared-policy-key' AS rule, key, language FROM (VALUES ('nesting-depth-max', 'go'), ('no-such-key', 'rust'), ('other', NULL)) t(key, language) WHERE key NOT IN ('nesting-depth-max', 'parameter-count-max')", covers="undeclared-policy-key")
+_AXES = ["nesting-depth-max", "parameter-count-max", "file-lines-max"]
+
+
+@query("undeclared_policy_keys", f"SELECT 'undeclared-policy-key' AS rule, key, language FROM (SELECT CASE WHEN p_partkey % 5 < 3 THEN {list(_AXES)}[(p_partkey % 5 + 1)::INT] ELSE 'key-' || p_partkey END AS key, CASE WHEN p_partkey % 2 = 0 THEN 'go' END AS language FROM part) WHERE key NOT IN ({', '.join(T(x) for x in _AXES)})", covers="undeclared-policy-key")
 def undeclared_policy_keys(spark, sf):
-    policy = spark.createDataFrame([("nesting-depth-max", "go"), ("no-such-key", "rust"), ("other", None)], "key string, language string")
-    return R.undeclared_keys(policy, ["nesting-depth-max", "parameter-count-max"])
+    k = F.col("p_partkey")
+    axis = F.get(F.array(*[F.lit(x) for x in _AXES]), (k % 5).cast("int"))
+    policy = store(spark, sf).table("part").select(F.coalesce(axis, F.concat(F.lit("key-"), k.cast("string"))).alias("key"), F.when(k % 2 == 0, "go").alias("language"))
+    return R.undeclared_keys(policy, _AXES)
 
 
 @query("role_surface_pairs", "SELECT 'declared-role-matches-surface' AS rule, path, 'AgentRequired' AS applicability FROM sources WHERE language = 'rust'", covers="declared-role-matches-surface")
