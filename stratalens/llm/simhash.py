@@ -357,6 +357,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 # A shingle in more prefixes than this is a hot one.
 HOT_POSTING = 32
+BANDS, BAND_ROWS = 24, 5
 _ORDER_BITS = 20
 
 
@@ -478,6 +479,32 @@ def _marked(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _bands(size: int):
+    """(same, h): a text's band keys, each of some least hashes of its set under hash functions of their own."""
+    r = np.random.default_rng(SEED)
+    odd = r.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches):
+        for b in batches:
+            ids, keys = [], []
+            for same, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = _shingle_set(text, size)
+                if not len(own):
+                    continue
+                least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+                for lo in range(0, len(own), 4096):  # a long text in steps
+                    least = np.minimum(least, C.mix(own[lo : lo + 4096, None] * odd).min(axis=0))
+                key = np.arange(BANDS, dtype=np.uint64)
+                for row in least.reshape(BANDS, BAND_ROWS).T:
+                    key = C.mix(key ^ row)
+                ids.append(np.full(BANDS, same, np.int64))
+                keys.append(key.astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["same", "h"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float, tested: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """The ``pairs`` (src, dst) of ``nodes`` (same, row, n, parity) whose texts' sets are that similar,
     and the pairs whose texts were compared; None and None if there were none.
@@ -553,7 +580,9 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     posting's largest group is compared with all others, if there are at most ``hot_posting`` such
     members. In postings with more, texts made of the same passages that are not similar to one
     another, members are compared with drawn pivots, again with others as long as that links
-    anything: no posting's pairs are all made, so there alone a link can be missed.
+    anything. What is still crowded then is dealt again by ``BANDS`` bands of ``BAND_ROWS`` least hashes
+    of the whole sets: texts of the similarity 0.8 share one with a probability of 0.9999, others
+    seldom, and the same comparisons follow within the bands.
     """
     spark, made = keyed.sparkSession, []
 
@@ -624,32 +653,48 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     least = member.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     stars = stars.join(least, "pivot", "left").filter(F.col("root") != F.coalesce("pivot_root", "pivot"))
     link(stars.select(F.col("same").alias("a"), F.col("pivot").alias("b")))
-    turn, more = 0, True
-    while more:
-        # members of a posting outside of its largest group; postings of one group are done
-        past = list(made)
-        own = held(grouped(tokens, member))
-        sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"))
-        sizes = held(sizes.filter("strays > 0"))
-        tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
-        crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
-        # in most postings, each stray with every member of another group
-        few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
-        strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
-        pairs = strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")
-        any_crowded = not crowded.isEmpty()
-        if any_crowded:
-            among = own.join(crowded, "h")
-            member_of = F.struct("same", "root")
-            outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root"))
-            drawn = among.groupBy("h").agg(F.max(outside).alias("m"), *[F.min_by(member_of, F.xxhash64("same", F.lit(2 * turn + j))).alias(f"p{j}") for j in range(2)])
-            middle = F.struct(F.col("m.same").alias("same"), F.col("m.root").alias("root"))
-            pivots = drawn.select("h", F.explode(F.array_distinct(F.array(middle, "p0", "p1"))).alias("p"))
-            pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
-        more = link(pairs) and any_crowded
-        turn += 1
-        done(past)
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
+    turn = 0
+
+    def settled(tokens):
+        """Links the members of postings (same, h, shared); the members of those that stay crowded."""
+        nonlocal turn
+        more = True
+        while more:
+            # members of a posting outside of its largest group; postings of one group are done
+            past = list(made)
+            own = held(grouped(tokens, member))
+            sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"))
+            sizes = held(sizes.filter("strays > 0"))
+            tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
+            crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
+            # in most postings, each stray with every member of another group
+            few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
+            strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
+            pairs = strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")
+            any_crowded = not crowded.isEmpty()
+            if any_crowded:
+                among = own.join(crowded, "h")
+                member_of = F.struct("same", "root")
+                outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root"))
+                drawn = among.groupBy("h").agg(F.max(outside).alias("m"), *[F.min_by(member_of, F.xxhash64("same", F.lit(2 * turn + j))).alias(f"p{j}") for j in range(2)])
+                middle = F.struct(F.col("m.same").alias("same"), F.col("m.root").alias("root"))
+                pivots = drawn.select("h", F.explode(F.array_distinct(F.array(middle, "p0", "p1"))).alias("p"))
+                pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
+            more = link(pairs) and any_crowded
+            turn += 1
+            crowd = C.write_table(tokens.join(crowded.select("h"), "h").select("same").distinct()) if any_crowded and not more else None
+            done(past)
+            spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
+        return crowd
+
+    crowd = settled(tokens)
+    if crowd is not None:
+        # Texts made of the same passages: dealt again by bands of their whole sets' least hashes, in
+        # which texts meet by their similarity and not by one passage.
+        texts = keyed.join(nodes.join(crowd, "same").select("same", "row"), "row").select("same", "text")
+        bands = texts.mapInArrow(_bands(size), "same long, h long")
+        bands = held(bands)
+        settled(bands.join(bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h").select("same", "h", F.lit(0).cast("long").alias("shared")))
     done(list(made))
     return rows, member
 

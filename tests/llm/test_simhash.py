@@ -184,6 +184,17 @@ def test_keep_one_against_all_pairs(spark):
         assert got == want
 
 
+def test_reordered_copies_among_texts_of_shared_passages(spark):
+    # every shingle but those over the passages' seams stands in a quarter of the texts
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"p{i}w{int(x)}" for x in rng.integers(0, 5000, 60)) for i in range(40)]
+    picks = [rng.permutation(40)[:10] for _ in range(400)]
+    texts = [" ".join(passages[j] for j in p) for p in picks] + [" ".join(passages[j] for j in rng.permutation(p)) for p in picks[:60]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for hot in (simhash.HOT_POSTING, 8):
+        assert {r["doc_id"] for r in simhash.keep_one(d, hot_posting=hot).collect()} == set(range(400))
+
+
 def test_components_by_rounds_and_in_one_task(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (400, 2))]
