@@ -85,6 +85,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         lo = hi
 
 
+def sliced(batches, rows: int = 200):
+    """The batches in parts of few rows, so that few of their texts are Python's at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def class_table(keep) -> np.ndarray:
     """Byte to lower-cased byte for A-Z and word bytes, 0 for all others."""
     table = np.zeros(256, np.uint8)

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, trainable, *, id: str = "doc_id", text: str = "text", l
     sample = keyed.filter("o <= m").limit(2 * per_language * len(languages))
 
     def vectors(batches):
-        for b in batches:
+        for b in C.sliced(batches):
             texts = b.column(1).to_pylist()
             out = [r.astype(np.float16).tobytes() for _, x in features(texts) for r in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", margin: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in C.sliced(batches):
             pred, score, flag = shared.value.predict(b.column(b.num_columns - 1).to_pylist(), margin)
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns += [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())]

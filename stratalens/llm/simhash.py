@@ -485,7 +485,7 @@ def _bands(size: int):
     odd = r.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
-        for b in batches:
+        for b in C.sliced(batches):
             ids, keys = [], []
             for same, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = _shingle_set(text, size)
@@ -514,7 +514,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
     all other texts stay where they are."""
 
     def run(batches):
-        for b in batches:
+        for b in C.sliced(batches):
             keep, known, held_hashes = [], {}, 0
             for s, d, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 sets = []

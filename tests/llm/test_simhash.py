@@ -191,8 +191,7 @@ def test_reordered_copies_among_texts_of_shared_passages(spark):
     picks = [rng.permutation(40)[:10] for _ in range(400)]
     texts = [" ".join(passages[j] for j in p) for p in picks] + [" ".join(passages[j] for j in rng.permutation(p)) for p in picks[:60]]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for hot in (simhash.HOT_POSTING, 8):
-        assert {r["doc_id"] for r in simhash.keep_one(d, hot_posting=hot).collect()} == set(range(400))
+    assert {r["doc_id"] for r in simhash.keep_one(d).collect()} == set(range(400))
 
 
 def test_components_by_rounds_and_in_one_task(spark):
