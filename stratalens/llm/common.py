@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,18 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         lo = hi
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Jobs whose plans are made within take at most so many rows into an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced(batches, rows: int = 200):
     """The batches in parts of few rows, so that few of their texts are Python's at once."""
     for b in batches:

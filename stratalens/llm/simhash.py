@@ -710,7 +710,8 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: i
     names = docs.columns
     # the row's own columns stay together in one, so that no name of theirs can clash
     keyed = C.write_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")))
-    rows, member = similar_groups(keyed.select("row", F.col(f"doc.`{text}`").alias("text")), size=size, similarity=similarity, k=k, hot_posting=hot_posting)
+    with C.arrow_batches(docs.sparkSession, 1000):  # some megabytes of texts at once
+        rows, member = similar_groups(keyed.select("row", F.col(f"doc.`{text}`").alias("text")), size=size, similarity=similarity, k=k, hot_posting=hot_posting)
     # the smallest (id, row) of a group, ids before nulls
     least = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row")))
     per_node = keyed.select("row", F.col(f"doc.`{id}`").alias("id")).join(rows, "row").groupBy("same").agg(least.alias("first"))
