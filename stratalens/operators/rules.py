@@ -67,7 +67,7 @@ class TextRule:
 
 
 RUST, GO = ("rust",), ("go",)
-# Rules that look further around a line are in ``line_rules``.
+# ``line_rules`` judges eight of these again, by what stands around a line.
 TEXT_RULES = [
     TextRule("every-allow-carries-a-justification", r"#!?\[allow\(", RUST, reason=r"\S", judges_tests=False),
     TextRule("inline-always-requires-justification", r"#\[inline\(always\)\]", RUST, reason=r"\S"),
@@ -77,17 +77,25 @@ TEXT_RULES = [
     TextRule("unwrap-expect-discipline", r"\.unwrap\(\)|\.expect\(.*(?i:\"should not happen\"|\"impossible\"|\"unreachable\"|\"todo\"|\"fixme\")", RUST, judges_tests=False),
     TextRule("unsafe-justification", r"\bunsafe (?:\{|fn[ (]|impl|trait)", RUST, on="masked", reason=r"(?im)^safety:\s*\S|^# safety\s*\n+\s*\S"),
     TextRule("a-rust-path-stays-within-its-own-subtree", r"#\[path\s*=\s*\"(?:/|(?:\./)*\.\./|[^/\".]+/\.\./\.\./)", RUST),
+    TextRule("static-bounds-are-justified", r"[:+]\s*'static\b", RUST, on="masked", reason=r"\S"),
+    TextRule("lifetimes-follow-the-descriptive-naming-rule", r"\b(?:struct|enum|trait|impl|fn|type)\b.*(?:'[a-z]\b[^'].*'[a-z]\w*|'[a-z]\w+\b[^'].*'[a-z]\b[^'])", RUST, on="masked"),
     TextRule("relaxed-not-used-when-ordering-matters", r"\bRelaxed\b", RUST, on="masked", reason=r"atomic-ordering: allow\S*\s*\S"),
     TextRule("seqcst-justified-explicitly", r"\bSeqCst\b", RUST, on="masked", reason=r"atomic-ordering: allow\S*\s*\S"),
     TextRule("atomic-ordering-choices-are-justified", r"\b(?:AcqRel|Acquire|Release)\b", RUST, on="masked", reason=r"atomic-ordering: allow\S*\s*\S"),
+    TextRule("sleep-based-synchronization", rf"{_any(RUST_SLEEP_CALLS)}\(", RUST, on="masked", reason=r"sleep: allow\S*\s*\S"),
+    TextRule("zero-flake-policy", rf"^\s*#\[{_any(RUST_RETRY_ATTRIBUTES)}[\](]", RUST),
     TextRule("lowercase-first-letter", r"#\[error\(\"[A-Z][^A-Z\s\"]+[\s\"]", RUST, reason=r"error-message: allow\S*\s*\S"),
     TextRule("no-trailing-punctuation", r"#\[error\(\"[^\"]*[.!?] *\"", RUST, reason=r"error-message: allow\S*\s*\S"),
     TextRule("eager-vs-lazy-context", rf"\.With_Context\(.*{_any(LAZY_CONTEXT_ALLOCATING)}", RUST, reason=r"context-laziness: allow\S*\s*\S"),
+    TextRule("prefer-macro-rules-over-procedural-macros", r"#\[proc_macro(?:_derive|_attribute)?[\](]", RUST, reason=r"\S"),
+    TextRule("boxed-closures-are-justified-and-off-hot-paths", r"\b(?:Box|Arc|Rc)<dyn Fn(?:Mut|Once)?\(", RUST, on="masked", reason=r"\S"),
+    TextRule("closure-bounds-are-minimal", r"\bFn(?:Mut|Once)?\([^)]*\)[^,;{]*\+\s*(?:Send|Sync|'static)", RUST, on="masked", reason=r"\S"),
     TextRule("parameters-borrow-unless-ownership-is-taken", r":\s*&\s*(?:mut\s+)?(?:String\b|Vec<|PathBuf\b|OsString\b|Box<)", RUST, on="masked"),
     TextRule("domain-values-are-distinct-types", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+\w+\s*=\s*{_any(RUST_SCALARS)}\s*;", RUST),
     TextRule("constants-are-the-exception-to-function-scope-use", r"^\s+const\s+[A-Z]", (*RUST, *GO), on="masked"),
     TextRule("no-single-line-function-bodies", r"\bfn\s+\w+.*\{.*\}\s*$", RUST, on="masked"),
     TextRule("facade-aliases-name-the-contract", r"^\s*pub use .*\bas\s+\w+", RUST, reason=r"facade-alias: allow\S*\s*\S"),
+    TextRule("named-fields-over-positional-variant-payloads", r"^\s*[A-Z]\w*\([^()]+,[^()]+\),?\s*$", RUST, on="masked"),
     TextRule("no-wildcard-imports", r"^\s*(?:pub\s+)?use\s+[^;]*::\*\s*;|^\s*import\s+\.\s", (*RUST, *GO)),
     TextRule("deprecation", r"#\[deprecated\]|#\[deprecated\([^)]*\)\]|^\s*// Deprecated:\s*$", (*RUST, *GO), on="line", unless=r"note\s*="),
     TextRule("a-known-range-picks-its-type", r":\s*[iu](?:16|32|64)\b.*//.*\brange:?\s*0\s*\.\.=?\s*(?:\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])\b", RUST, on="line"),
@@ -148,7 +156,7 @@ def sites(sources: DataFrame, rules: list[TextRule] = TEXT_RULES) -> DataFrame:
     base = sources.select("path", "language", _lines("text").alias("lines"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     either = lambda x: F.contains(x, F.lit("//")) | F.contains(x, F.lit('"')) | x.rlike(pick)
-    wanted = F.filter(numbered, lambda s: (s["line"].rlike(MARKS) & either(s["line"])) if rules is TEXT_RULES else either(s["line"]))
+    wanted = F.filter(numbered, lambda s: (s["line"].rlike(MARKS) & either(s["line"])) if set(rules) <= set(TEXT_RULES) else either(s["line"]))
     ends = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(BLOCK_LINE), i + 1)), lambda x: x.isNotNull())
     base = base.select("path", "language", "lines", wanted.alias("wanted"), ends.alias("ends"))
 
