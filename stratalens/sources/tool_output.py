@@ -115,7 +115,9 @@ def go_types(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     values = F.transform(of("value"), lambda v: F.struct(_relative(v["file"]).alias("file"), v["line"].alias("line"), v["column"].alias("column"), v["is_error"].alias("is_error"), v["type"].alias("type")))
     d = d.withColumn("checked", checked).withColumn("found", values)
     unread = F.exists("said", lambda v: v.isNull() | ~F.coalesce(v["kind"].isin("checked", "value", "failed"), F.lit(False)) | ((v["kind"] == "failed") & (v["package"].isNull() | v["files"].isNull() | v["reason"].isNull())))
-    unread = unread | F.exists("checked", lambda f: f.isNull()) | F.exists("found", lambda v: v["file"].isNull() | v["line"].isNull() | v["column"].isNull() | v["is_error"].isNull() | v["type"].isNull() | ~F.array_contains("checked", F.coalesce(v["file"], F.lit(""))))
+    unread = unread | F.exists("checked", lambda f: f.isNull()) | F.exists("found", lambda v: v["file"].isNull() | v["line"].isNull() | v["column"].isNull() | v["is_error"].isNull() | v["type"].isNull())
+    # by hash, once a run: a filter on the failure would look through all files for each value
+    unread = unread | (F.size(F.array_except(F.transform("found", lambda v: v["file"]), "checked")) > 0)
     d = d.withColumn("failure", F.coalesce(_did_not_answer(), F.when(F.coalesce(unread, F.lit(True)), "unreadable")))
     found, failures = _split(d, ["file", "line", "column", "is_error", "type"])
     return found, d.filter("failure is null").select("module", F.explode("checked").alias("file")).distinct(), failures
