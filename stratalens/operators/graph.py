@@ -198,15 +198,25 @@ def reach(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) ->
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Every pair (src, dst) with a path of one or more edges; each round doubles the paths' length."""
-    frontier = settle(edges.select("src", "dst").distinct())
+    """Every pair (src, dst) with a path of one or more edges.
+
+    Rings are contracted first: pairs are closed over components, by rounds that double the paths'
+    length, and written out over their members at the end, each pair once.
+    """
+    edges = edges.select("src", "dst")
+    ring = settle(rings(edges))
+    a, b = ring.select(F.col("node").alias("src"), F.col("ring").alias("a")), ring.select(F.col("node").alias("dst"), F.col("ring").alias("b"))
+    between = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    frontier = settle(between.filter("src <> dst").distinct())
     known = [frontier]
     while not frontier.isEmpty():
         step = _union(known).select(F.col("src").alias("mid"), F.col("dst").alias("far"))
         new = frontier.join(step, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
         frontier = settle(new.join(_union(known), ["src", "dst"], "left_anti"))
         known.append(frontier)
-    return _union(known)
+    pairs = _union(known).union(ring.select("ring", "ring").distinct())
+    from_ring, to_ring = ring.select(F.col("ring").alias("src"), F.col("node").alias("x")), ring.select(F.col("ring").alias("dst"), F.col("node").alias("y"))
+    return pairs.join(from_ring, "src", "left").join(to_ring, "dst", "left").select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
 
 
 def _chains(needs: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -239,9 +249,75 @@ def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
+def _rings_within(edges: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """((node, ring), edges) after what is a ring within a part of the edges became one node.
+
+    A ring of some of the edges lies inside a ring of all. Parts are ranges of ``src``, so that
+    neighbours in number meet; a part is solved by as many edges at a time as one task may hold.
+    """
+    limit = LOCAL_EDGES
+    kind = edges.schema["src"].dataType
+    schema = T.StructType([T.StructField("is_edge", T.BooleanType()), T.StructField("src", kind), T.StructField("dst", kind)])
+
+    def solved(held):
+        table = pa.Table.from_batches(held)
+        both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks])
+        names = pc.unique(both)
+        names = names.take(pc.sort_indices(names))
+        codes = pc.index_in(both.combine_chunks(), value_set=names).to_numpy().astype(np.int64)
+        src, dst = codes[: len(table)], codes[len(table) :]
+        nodes, ring = _strong(src, dst, len(names))
+        own = np.arange(len(names))
+        own[nodes] = ring
+        left = np.unique(np.stack([own[src], own[dst]])[:, own[src] != own[dst]], axis=1)
+        flags = pa.array([False] * len(nodes) + [True] * left.shape[1])
+        out = [pa.array(np.concatenate([nodes, left[0]])), pa.array(np.concatenate([ring, left[1]]))]
+        return pa.RecordBatch.from_arrays([flags, *[names.take(x) for x in out]], names=["is_edge", "src", "dst"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if held and n + len(b) > limit:
+                yield solved(held)
+                held, n = [], 0
+            if len(b):
+                held.append(b)
+                n += len(b)
+        if held:
+            yield solved(held)
+
+    both = settle(edges.select("src", "dst").repartitionByRange(parts, "src").mapInArrow(run, schema))
+    found = both.filter("not is_edge").select(F.col("src").alias("node"), F.col("dst").alias("ring"))
+    members = settle(found.groupBy("node").agg(F.min("ring").alias("ring")))
+    # a node of several rings, found at several times, makes them one: edges lead both ways between them
+    again = found.join(members.withColumnRenamed("ring", "least"), "node").filter("ring <> least").select(F.col("ring").alias("src"), F.col("least").alias("dst"))
+    a, b = members.select(F.col("node").alias("src"), F.col("ring").alias("a")), members.select(F.col("node").alias("dst"), F.col("ring").alias("b"))
+    left = both.filter("is_edge").join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    return members, settle(left.union(again).union(again.select("dst", "src")).filter("src <> dst").distinct())
+
+
+def _led_on(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, ring) of the whole graph: members of rings within parts, and what was found beyond."""
+    on = found.select(F.col("node").alias("ring"), F.col("ring").alias("more"))
+    own = members.join(on, "ring", "left").select("node", F.coalesce("more", "ring").alias("ring"))
+    return own.union(found.join(members.select("node"), "node", "left_anti"))
+
+
 def rings(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves, with the least node of their ring (strong component).
 
+    A graph too large for one task is first solved within parts of its edges; what is left is small
+    where neighbours in number are neighbours in the graph.
+    """
+    if _is_small(edges):
+        return _rings_by_rounds(edges)
+    members, left = _rings_within(edges, edges.count() * 4 // LOCAL_EDGES + 1)
+    return _led_on(members, settle(_rings_by_rounds(left)))
+
+
+def _rings_by_rounds(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, with the least node of their ring (strong component).
+
     A graph too large for one task loses nodes without needs or users; nodes with a single need are
     passed over by the edges to them, and cycles of such nodes alone are rings at once. What has
     neither is coloured by the least node that reaches each; what reaches that node back within
