@@ -358,6 +358,8 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 # A shingle in more prefixes than this is a hot one.
 HOT_POSTING = 32
 BANDS, BAND_ROWS = 24, 5
+# Members of a crowded posting in a block that is compared with another.
+CROWD_BLOCK = 512
 _ORDER_BITS = 20
 
 
@@ -566,6 +568,56 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, s
     return found, pairs
 
 
+def _crowd_pairs(own: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs within postings (same, h, root) of two groups that sizes and parities allow.
+
+    Postings of the same members are compared once. Members are dealt to blocks by their sizes' class
+    and a hash; sets as similar are of one class or of the next, so each pair of blocks of those is a
+    group of its own: bounded in memory, however large a posting is."""
+    import pandas as pd
+
+    of = own.groupBy("h").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("same", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    once = of.groupBy("n", "x0", "x1").agg(F.min("h").alias("h")).select("h")
+    size_class = F.floor(F.log("n") / math.log(1 / similarity) + 1e-9).cast("int")
+    rows = C.write_table(own.join(once, "h").join(nodes.select("same", "n", "parity"), "same").withColumn("c", size_class))
+    blocks = rows.groupBy("h", "c").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("m"))
+    at = lambda step, name: blocks.select("h", (F.col("c") + step).alias("c"), F.col("m").alias(name))
+    rows = rows.join(at(0, "m"), ["h", "c"]).join(at(-1, "above"), ["h", "c"], "left").join(at(1, "below"), ["h", "c"], "left")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("same"), "m").cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda c, i, up, j, side: F.struct(c.alias("c"), i.alias("i"), F.lit(up).alias("up"), j.alias("j"), side.alias("side"))
+    i, c = F.col("i"), F.col("c")
+    inner = F.transform(every("m"), lambda j: key(c, F.least(i, j), False, F.greatest(i, j), (i > j).cast("int")))
+    upper = F.transform(F.coalesce(F.when(F.col("above") > 0, every("above")), F.array()), lambda j: key(c, i, True, j, F.lit(0)))
+    lower = F.transform(F.coalesce(F.when(F.col("below") > 0, every("below")), F.array()), lambda j: key(c - 1, j, True, i, F.lit(1)))
+    dealt = rows.select("h", F.explode(F.concat(inner, upper, lower)).alias("k"), "same", "root", "n", "parity").select("h", "k.*", "same", "root", "n", "parity")
+
+    def met(key, frame):
+        _, _, up, i, j = key
+        cells = frame["parity"].map(len).min()
+        parity = np.zeros((len(frame), cells), np.uint64)
+        for at, p in enumerate(frame["parity"]):
+            for lo in range(0, len(p), cells):
+                parity[at] ^= np.asarray(p[lo : lo + cells], np.int64).view(np.uint64)
+        same, root, n = (frame[x].to_numpy() for x in ("same", "root", "n"))
+        left = np.flatnonzero(frame["side"].to_numpy() == 0)
+        within = not up and i == j
+        right = left if within else np.flatnonzero(frame["side"].to_numpy() == 1)
+        a, b = [], []
+        for at in left:
+            to = right[(root[right] != root[at]) & (np.minimum(n[right], n[at]) >= similarity * np.maximum(n[right], n[at]) - 1e-6)]
+            if within:
+                to = to[to > at]
+            apart = np.bitwise_count(parity[to] ^ parity[at]).sum(axis=1, dtype=np.int64)
+            to = to[apart <= (1 - similarity) / (1 + similarity) * (n[to] + n[at]) + 1e-6]
+            a.append(np.full(len(to), same[at], np.int64))
+            b.append(same[to])
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
+
+    return dealt.groupBy("h", "c", "up", "i", "j").applyInPandas(met, "a long, b long").distinct()
+
+
 def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8, k: int = 4, hot_posting: int = HOT_POSTING) -> tuple[DataFrame, DataFrame]:
     """Of rows (row, text): (row, same) of all rows, and (node, root) of grouped values of ``same``.
 
@@ -582,7 +634,8 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     another, members are compared with drawn pivots, again with others as long as that links
     anything. What is still crowded then is dealt again by ``BANDS`` bands of ``BAND_ROWS`` least hashes
     of the whole sets: texts of the similarity 0.8 share one with a probability of 0.9999, others
-    seldom, and the same comparisons follow within the bands.
+    seldom, and the same comparisons follow within the bands. Whatever they leave, members of different
+    groups in postings that are still crowded, is compared pair by pair, so that no link is lost.
     """
     spark, made = keyed.sparkSession, []
 
@@ -656,7 +709,7 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     turn = 0
 
     def settled(tokens):
-        """Links the members of postings (same, h, shared); the members of those that stay crowded."""
+        """Links the members of postings (same, h, shared); (same, h) of those that stay crowded."""
         nonlocal turn
         more = True
         while more:
@@ -682,7 +735,7 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
                 pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
             more = link(pairs) and any_crowded
             turn += 1
-            crowd = C.write_table(tokens.join(crowded.select("h"), "h").select("same").distinct()) if any_crowded and not more else None
+            crowd = C.write_table(tokens.join(crowded.select("h"), "h").select("same", "h")) if any_crowded and not more else None
             done(past)
             spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
         return crowd
@@ -691,10 +744,11 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     if crowd is not None:
         # Texts made of the same passages: dealt again by bands of their whole sets' least hashes, in
         # which texts meet by their similarity and not by one passage.
-        texts = keyed.join(nodes.join(crowd, "same").select("same", "row"), "row").select("same", "text")
+        texts = keyed.join(nodes.join(crowd.select("same").distinct(), "same").select("same", "row"), "row").select("same", "text")
         bands = texts.mapInArrow(_bands(size), "same long, h long")
         bands = held(bands)
         settled(bands.join(bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h").select("same", "h", F.lit(0).cast("long").alias("shared")))
+        link(_crowd_pairs(grouped(crowd, member), nodes, similarity))
     done(list(made))
     return rows, member
 

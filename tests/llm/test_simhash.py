@@ -228,3 +228,24 @@ def test_folded_parities_bound_the_difference():
         while len(q) > len(p):
             q = q[: len(q) // 2] ^ q[len(q) // 2 :]
         assert int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_no_link_in_crowded_postings_hangs_on_bands(spark, monkeypatch):
+    # bands in which no two texts meet: what pivots leave is compared pair by pair
+    def alone(size):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["same", "h"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_bands", alone)
+    monkeypatch.setattr(simhash, "CROWD_BLOCK", 40)  # several blocks a posting
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"p{i}w{int(x)}" for x in rng.integers(0, 5000, 60)) for i in range(40)]
+    picks = [rng.permutation(40)[: 9 + k % 3] for k in range(400)]
+    texts = [" ".join(passages[j] for j in p) for p in picks] + [" ".join(passages[j] for j in rng.permutation(p)) for p in picks[:60]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.keep_one(d).collect()} == set(range(400))
