@@ -98,8 +98,9 @@ def locate_statements(statements: DataFrame, blocks: DataFrame) -> DataFrame:
     own, by the hash of its normal form; no containment scan of all pairs.
     """
     s = statements.withColumn("nh", X.normalised_hash("text"))
-    at = blocks.groupBy(F.col("normalized_hash").alias("nh")).agg(F.collect_set(F.struct("path", "ordinal")).alias("places"))
-    out = s.join(at, "nh", "left")
-    home = F.exists(F.coalesce("places", F.array().cast("array<struct<path:string,ordinal:bigint>>")), lambda p: (p["path"] == F.col("path")) & (p["ordinal"] == F.col("ordinal")))
-    verdict = F.when(F.coalesce(X.normalise("text"), F.lit("")) == "", "unlocatable").when(F.col("places").isNull(), "gone").when(home, "held").otherwise("moved")
+    # the text's own place first, then whether it stands anywhere: a repeated text's places never meet
+    own = blocks.select("path", "ordinal", F.col("normalized_hash").alias("nh")).distinct().withColumn("home", F.lit(True))
+    known = blocks.select(F.col("normalized_hash").alias("nh")).distinct().withColumn("known", F.lit(True))
+    out = s.join(own, ["path", "ordinal", "nh"], "left").join(known, "nh", "left")
+    verdict = F.when(F.coalesce(X.normalise("text"), F.lit("")) == "", "unlocatable").when(F.col("known").isNull(), "gone").when(F.col("home"), "held").otherwise("moved")
     return out.select("statement_id", verdict.alias("location"))

@@ -43,3 +43,12 @@ def test_against_the_loop(spark):
         got.setdefault(x["path"], []).append((x["a_ordinal"], x["b_ordinal"], x["change"]))
     assert {d: sorted(x, key=str) for d, x in got.items()} == want
     assert D.block_diff(frame(a).limit(0), frame(b).limit(0)).count() == 0
+
+
+def test_places_of_a_repeated_text_are_not_gathered(spark):
+    s = spark.createDataFrame([("a", "p", 1, " x  y "), ("b", "p", 2, "x y"), ("c", None, 1, "x y"), ("d", "p", 3, "z"), ("e", "p", 4, " "), ("f", "p", 5, None)], "statement_id string, path string, ordinal long, text string")
+    blocks = spark.createDataFrame([("p", 1, "x y"), ("p", 1, "x y"), ("q", 2, "x y"), ("p", 3, "x y"), (None, 1, "x y")], "path string, ordinal long, text string")
+    got = D.locate_statements(s, blocks.withColumn("normalized_hash", X.normalised_hash("text")))
+    assert sorted(map(tuple, got.collect())) == [("a", "held"), ("b", "moved"), ("c", "moved"), ("d", "gone"), ("e", "unlocatable"), ("f", "unlocatable")]
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
