@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import by_path
+
 
 def _comment(depth: int) -> str:
     inner = rf"|{_comment(depth - 1)}" if depth else ""
@@ -79,7 +81,7 @@ def _running(flag: Column, window) -> Column:
 
 def tokens(sources: DataFrame, text: str = "text") -> DataFrame:
     """(path, pos, line, token) of all code, in order."""
-    dealt = sources.select("path", F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("path")
+    dealt = by_path(sources.select("path", F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
     cut = dealt.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     ends = F.length("token") - F.length(F.replace(_token(), F.lit("\n"), F.lit("")))
     numbered = cut.withColumn("line", 1 + F.coalesce(F.sum(ends).over(_before()), F.lit(0)))
@@ -131,7 +133,11 @@ def broken(sources: DataFrame, text: str = "text") -> DataFrame:
 
 def tree(sources: DataFrame, text: str = "text") -> DataFrame:
     """Tokens of sources that are not broken, with the item head and the function each is under."""
-    d = _read(sources, text).filter("bad_line is null").drop("bad_line", "wrong")
+    return _tree(_read(sources, text).filter("bad_line is null").drop("bad_line", "wrong"))
+
+
+def _tree(d: DataFrame) -> DataFrame:
+    """Adds the item head and the function that each token is under."""
     p1, n1, n2 = F.col("p1"), F.col("n1"), F.col("n2")
     starts = p1.isNull() | p1.isin(";", "}", "{", "]")
     named = F.coalesce(_is_name(n1) & ~n1.isin(OPENING_WORDS), F.lit(False))
@@ -344,8 +350,12 @@ def unread_arms(t: DataFrame, binding: str = "applicability") -> DataFrame:
     return found.select("path", F.col("name").alias("function"), "line", F.lit(binding).alias("binding"), "shape")
 
 
-def unread_findings(sources: DataFrame, text: str = "text") -> DataFrame:
-    """(rule, path, site): one finding an unread arm, and one for each source that is broken."""
-    sites = unread_arms(tree(sources, text)).select("path", F.concat_ws(": ", "function", "shape").alias("site"))
-    lost = broken(sources, text).select("path", F.lit("unparseable").alias("site"))
+def unread_findings(sources: DataFrame, settle, text: str = "text") -> DataFrame:
+    """(rule, path, site): one finding an unread arm, and one for each source that is broken.
+
+    ``settle`` writes a table and reads it back: tokens are cut once. Of broken sources only the
+    tokens of the first wrong line are kept."""
+    t = settle(_tree(_read(sources, text).filter("bad_line is null or line = bad_line").drop("wrong")))
+    sites = unread_arms(by_path(t.filter("bad_line is null"))).select("path", F.concat_ws(": ", "function", "shape").alias("site"))
+    lost = t.filter("bad_line is not null").select("path", F.lit("unparseable").alias("site")).distinct()
     return sites.unionByName(lost).select(F.lit("unread-reaches-finding").alias("rule"), "path", "site")

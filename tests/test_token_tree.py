@@ -178,3 +178,18 @@ def test_tokens_of_a_source_do_not_shuffle(spark):
     d = spark.createDataFrame([("a", "fn f() {}")], "path string, text string")
     plan = T.tree(d)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    # adaptive execution merges small compressed texts into tasks that hold all their tokens
+    from pyspark.sql import functions as F
+
+    from stratalens import session
+
+    monkeypatch.setattr(session, "TASK_CHARS", 50)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    d = spark.createDataFrame([(f"p{i}", "fn f() { if a { b(); } }") for i in range(40)], "path string, text string")
+    for rows in (T.tokens(d), T.tree(d)):
+        held = rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("path").alias("n")).collect()
+        assert len(held) > 8 and max(r["n"] for r in held) < 10
+    assert session.by_path(T.tree(d)).rdd.getNumPartitions() == 40 * 14 // 10 + 1
