@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import path_tasks
 from .rules import RUST_RETRY_ATTRIBUTES, RUST_SLEEP_CALLS, _any, code_of, masked
 
 WINDOW_LINES = 3
@@ -37,9 +38,9 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def lines(sources: DataFrame) -> DataFrame:
+def lines(sources: DataFrame, tasks: int | None = None) -> DataFrame:
     """(path, language, line_no, line) of Rust and Go sources, in order."""
-    dealt = sources.filter(F.col("language").isin("rust", "go")).select("path", "language", F.regexp_replace("text", "\n$", "").alias("text")).repartition("path")
+    dealt = sources.filter(F.col("language").isin("rust", "go")).select("path", "language", F.regexp_replace("text", "\n$", "").alias("text")).repartition(tasks or path_tasks(sources, "text"), "path")
     cut = dealt.select("path", "language", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return cut.select("path", "language", (F.col("p") + 1).cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
@@ -52,7 +53,7 @@ def _before():
     return _file().rowsBetween(W.unboundedPreceding, -1)
 
 
-def _enum_bodies(d: DataFrame) -> DataFrame:
+def _enum_bodies(d: DataFrame, tasks: int) -> DataFrame:
     """Adds whether a line stands right inside an enum's braces.
 
     Braces are counted as they are written, but not on comment and attribute lines; the count never
@@ -72,14 +73,15 @@ def _enum_bodies(d: DataFrame) -> DataFrame:
     heads = heads.join(ends, ["path", "head"], "left").withColumn("end", F.coalesce("end", F.lit(1 << 40)))
     inner = F.max("end").over(W.partitionBy("path").orderBy("head").rowsBetween(W.unboundedPreceding, -1))
     heads = heads.withColumn("inner", F.coalesce(inner >= F.col("head"), F.lit(False))).filter("not inner")
-    marked = d.join(heads.select("path", F.col("open_line").alias("line_no"), F.struct(F.col("open_line").alias("at"), "open_depth", "end").alias("opens")), ["path", "line_no"], "left")
+    marked = d.join(heads.select("path", F.col("open_line").alias("line_no"), F.struct(F.col("open_line").alias("at"), "open_depth", "end").alias("opens")), ["path", "line_no"], "left").repartition(tasks, "path")
     last = F.last("opens", ignorenulls=True).over(_before())
     return marked.withColumn("body", last).withColumn("in_enum", F.coalesce((F.col("line_no") <= F.col("body.end")) & (F.col("depth") == F.col("body.open_depth") + 1), F.lit(False))).drop("opens", "body", "net", "opened", "brace")
 
 
 def findings(sources: DataFrame) -> DataFrame:
     """(rule, path, line_no) of the rules that look around a line."""
-    d = lines(sources)
+    tasks = path_tasks(sources, "text")
+    d = lines(sources, tasks)
     line, rust = F.col("line"), F.col("language") == "rust"
     d = d.withColumn("trimmed", _trim(line)).withColumn("code", code_of("line")).withColumn("masked", masked(code_of("line")))
     trimmed, code, bare = F.col("trimmed"), F.col("code"), F.col("masked")
@@ -96,7 +98,7 @@ def findings(sources: DataFrame) -> DataFrame:
     skipped = (trimmed == "") | trimmed.rlike(r"^(?://|/\*|\*|#\[)")
     above = F.last(F.when(line.rlike(marker) | ~skipped, line.rlike(marker + r"\s*:?\s*\S")), ignorenulls=True).over(_before())
     d = d.withColumn("named", line.rlike(marker) | F.coalesce(above, F.lit(False)))
-    d = _enum_bodies(d)
+    d = _enum_bodies(d, tasks)
 
     allowed = line.rlike(_COMMENT + "flakiness: allow")
     call = lambda names: code.rlike(_EDGE + _any(names) + r"\s*\(")
