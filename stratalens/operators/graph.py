@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _unbroadcast(spark: SparkSession):
+    """Joins planned within go by shuffles: what rounds broadcast adds up on the driver."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        yield
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -407,7 +422,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by as much more, and are placed once that end is. Nodes on a cycle or in need of one are left out.
     """
     left = nodes.select("node").distinct().withColumn("base", F.lit(0).cast("long"))
-    needs = edges.select("src", "dst").distinct().join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("w"))
+    needs = edges.select("src", "dst").distinct()
+    if _is_small(needs) and _is_small(left):
+        return _levels(left, needs)
+    with _unbroadcast(nodes.sparkSession):  # dozens of rounds, each with tables just small enough to be sent around
+        return settle(_levels(left, needs))
+
+
+def _levels(left: DataFrame, needs: DataFrame) -> DataFrame:
+    """``levels`` of nodes (node, base) by rounds, or in one task."""
+    needs = needs.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("w"))
     placed, passed = [], []
     while not (_is_small(needs) and _is_small(left)):
         left, needs = settle(left), settle(needs)

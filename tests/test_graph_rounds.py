@@ -75,3 +75,25 @@ def test_a_deep_chain_and_a_long_ring(spark, monkeypatch):
     got = G.rings(ring)
     assert got.filter("ring = 0").count() == deep == got.count()
     assert took < 60
+
+
+def test_rounds_of_levels_broadcast_nothing(spark, monkeypatch):
+    plans, settle = [], G.settle
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(G, "LOCAL_EDGES", 20)
+    monkeypatch.setattr(G, "settle", seen)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 40)] + [(i, i - 7) for i in range(8, 40, 4)], "src long, dst long")
+    got = dict(map(tuple, G.levels(spark.range(40).select(F.col("id").alias("node")), edges).collect()))
+    want = {}
+    for i in range(40):
+        needs = [i // 2] * (i > 0) + [i - 7] * (i > 7 and i % 4 == 0)
+        want[i] = max((want[j] + 1 for j in needs), default=0)
+    assert got == want and len(plans) > 5
+    assert not any("Broadcast" in p for p in plans)
+    assert spark.conf.get(key) == before
