@@ -355,12 +355,16 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 # ---- one of each group of similar texts ----------------------------------------------------
 
-# A shingle in more prefixes than this is a hot one.
+# A posting of more members than this is not written out as pairs.
 HOT_POSTING = 32
 BANDS, BAND_ROWS = 24, 5
+# Postings are compared pair by pair once that takes at most so many comparisons for each text.
+COMPARED = 500
 # Members of a crowded posting in a block that is compared with another.
 CROWD_BLOCK = 512
 _ORDER_BITS = 20
+# One in so many rows tells which shingles are frequent; they come last in prefixes.
+ORDER_SAMPLE = 8
 
 
 # Bytes of words [^\x20\x09-\x0D]+, A-Z lower-cased; NUL is one, as a byte that UTF-8 never has.
@@ -420,21 +424,21 @@ def _prefix_size(n: int, similarity: float) -> int:
 
 
 def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
-    """(row, fp, same, n, parity, prefix) of rows (row, text); (row, prefix) where ``hot`` is given.
+    """(row, fp, same, n, parity, prefix) of rows (row, text).
 
     same: a hash of the set of shingles, n: its size, parity: of its cells; two sets differ in as
     many shingles at least as their parities in bits. prefix: its first shingles in a global order:
     those marked in the bit table ``hot`` come last, others by their hashes."""
     lists = lambda *names: [T.StructField(n, T.ArrayType(T.LongType())) for n in names]
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    schema = T.StructType([*longs("row", "fp", "same", "n"), *lists("parity", "prefix")] if hot is None else [*longs("row"), *lists("prefix")])
+    schema = T.StructType([*longs("row", "fp", "same", "n"), *lists("parity", "prefix")])
 
     def listed(parts):
         ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
 
     def run(batches):
-        table = np.unpackbits(hot.value) if hot is not None else None
+        table = np.unpackbits(hot.value)
         for b in batches:
             raw, off = C.text_column(b.column(1))
             for lo, hi in C.chunks(off):
@@ -442,21 +446,103 @@ def _sketches(texts: DataFrame, size: int, similarity: float, hot) -> DataFrame:
                 sets = [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
                 prefix = []
                 for own in sets:
-                    n = _prefix_size(len(own), similarity)
-                    if table is not None:
-                        late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
-                        own = np.concatenate([own[~late], own[late]])
-                    prefix.append(own[:n])
-                columns = [b.column(0).slice(lo, hi - lo)]
-                if table is None:
-                    same = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
-                    columns += [pa.array(x.astype(np.int64)) for x in (_majorities(h, bounds), same, np.diff([0, *np.cumsum([len(x) for x in sets])]))]
-                    columns.append(listed([_parity(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([*columns, listed(prefix)], names=schema.names)
+                    late = table[own >> np.uint64(64 - _ORDER_BITS)] > 0
+                    prefix.append(np.concatenate([own[~late], own[late]])[: _prefix_size(len(own), similarity)])
+                same = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
+                numbers = [pa.array(x.astype(np.int64)) for x in (_majorities(h, bounds), same, np.array([len(x) for x in sets]))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *numbers, listed([_parity(x) for x in sets]), listed(prefix)], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
+def _frequent(texts: DataFrame, size: int, least: int) -> DataFrame:
+    """(h): shingles of at least ``least`` rows among one in ``ORDER_SAMPLE`` of rows (row, text).
+
+    They only give prefixes their order; any order gives the same groups."""
+
+    def run(batches):
+        for b in batches:
+            raw, off = C.text_column(b.column(0))
+            for lo, hi in C.chunks(off):
+                h, bounds = _shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                own = np.concatenate([np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:])])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], names=["h"])
+
+    drawn = texts.filter(F.pmod(F.xxhash64("row"), F.lit(ORDER_SAMPLE)) == 0).select("text")
+    return drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("h")
+
+
+def _near_enough(a: str, b: str, similarity: float):
+    """Whether two sets may be as similar if no shingle before places qa and qb of their orders is in both:
+    sizes na and nb, columns named by ``a`` and ``b``. Every similar pair meets that at the first shingle of both."""
+    n, q = (lambda s: F.col(s.format("n"))), (lambda s: F.col(s.format("q")))
+    return F.least(n(a) - q(a), n(b) - q(b)) >= similarity / (1 + similarity) * (n(a) + n(b)) - 1e-6
+
+
+def _met(similarity: float, most: int):
+    """Of tokens (h, n, q, same) sorted by h and n: pairs (same, other) of postings of at most ``most`` members
+    whose sizes and places allow the similarity, and the tokens of larger postings, with a null ``other``.
+
+    Members of a posting without any other of such a size are left out first."""
+    need = similarity / (1 + similarity)
+
+    def pairs_of(h, n, q, same):
+        for d in range(1, most):
+            i = np.flatnonzero((h[d:] == h[:-d]) & (n[:-d] >= similarity * n[d:] - 1e-6))
+            if not len(i):
+                return
+            j = i + d
+            ok = np.minimum(n[i] - q[i], n[j] - q[j]) >= need * (n[i] + n[j]) - 1e-6
+            yield np.minimum(same[i], same[j])[ok], np.maximum(same[i], same[j])[ok]
+
+    def run(batches):
+        names = ["h", "n", "q", "same", "other"]
+        held, found, n_found = [], [], 0
+
+        def flush():
+            nonlocal found, n_found
+            if n_found:
+                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0)
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+            found, n_found = [], 0
+
+        def settled(h, n, q, same):
+            nonlocal n_found
+            near = (h[1:] == h[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-6)
+            alive = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+            h, n, q, same = (x[alive] for x in (h, n, q, same))
+            if not len(h):
+                return
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            members = np.diff(np.append(first, len(h)))
+            few = np.repeat(members <= most, members)
+            for pair in pairs_of(*(x[few] for x in (h, n, q, same))):
+                found.append(pair)
+                n_found += len(pair[0])
+            if n_found > 500_000:
+                yield from flush()
+            if not few.all():
+                own = [x[~few] for x in (h, n, q, same)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), pa.nulls(len(own[0]), pa.int64())], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [c.to_numpy() for c in b.columns]
+            at = int(np.searchsorted(own[0], own[0][-1]))  # the last posting may go on
+            if at or (held and held[0][0][0] != own[0][0]):
+                done = [np.concatenate(x) for x in zip(*held, [x[:at] for x in own])]
+                held = []
+                yield from settled(*done)
+            held.append([x[at:] for x in own])
+        if held:
+            yield from settled(*(np.concatenate(x) for x in zip(*held)))
+        yield from flush()
+
+    return run
+
+
 def _marked(hashes: DataFrame) -> np.ndarray:
     """A packed bit table of fixed size (128 KB) in which the first bits of ``hashes`` (h) are set."""
 
@@ -626,13 +712,15 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     of at most ``k`` bits, and, since most similar texts differ in more bits, pairs that share a
     shingle of their prefixes. All candidates are verified on the texts.
 
-    Prefixes follow one order in which shingles that stand in over ``hot_posting`` prefixes come
-    last. Of each posting (texts that share a prefix shingle) all members are compared with the
-    one that shares most, which makes one group of most copies; then each member outside of the
+    Prefixes follow one order in which shingles that are frequent among some of the rows come last.
+    In postings (texts that share a prefix shingle) of at most ``hot_posting`` members, all whose sizes
+    and places of the shingle allow the similarity are pairs. Of a larger posting all members are compared
+    with the one that shares most, which makes one group of most copies; then each member outside of the
     posting's largest group is compared with all others, if there are at most ``hot_posting`` such
     members. In postings with more, texts made of the same passages that are not similar to one
     another, members are compared with drawn pivots, again with others as long as that links
-    anything. What is still crowded then is dealt again by ``BANDS`` bands of ``BAND_ROWS`` least hashes
+    anything and more than ``COMPARED`` comparisons a text are left. If more are left, what is still
+    crowded is dealt again by ``BANDS`` bands of ``BAND_ROWS`` least hashes
     of the whole sets: texts of the similarity 0.8 share one with a probability of 0.9999, others
     seldom, and the same comparisons follow within the bands. Whatever they leave, members of different
     groups in postings that are still crowded, is compared pair by pair, so that no link is lost.
@@ -648,9 +736,12 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
             C.drop_table(spark, path)
             made.remove(path)
 
-    first = held(_sketches(keyed.select("row", "text"), size, similarity, None))
+    texts = keyed.select("row", "text")
+    hot = spark.sparkContext.broadcast(_marked(_frequent(texts, size, max(2, hot_posting // ORDER_SAMPLE))))
+    first = held(_sketches(texts, size, similarity, hot))
     rows = C.write_table(first.select("row", "same"))
-    nodes = C.write_table(first.groupBy("same").agg(F.min("row").alias("row")).join(first.drop("same"), "row").select("same", "row", "fp", "n", "parity"))
+    whole = held(first.groupBy("same").agg(F.min("row").alias("row")).join(first.drop("same"), "row").select("same", "row", "fp", "n", "parity", "prefix"))
+    nodes = C.write_table(whole.drop("prefix"))
     # the SimHash index: links of few bits, and nodes that share a fingerprint
     codes = nodes.groupBy("fp").agg(F.min("same").alias("least"))
     alike = nodes.join(codes, "fp").filter("same <> least").select(F.col("same").alias("src"), F.col("least").alias("dst"))
@@ -658,26 +749,20 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
     near = similar_edges(codes.select("fp"), k).join(codes.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(codes.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
     near = near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     alike = alike.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    links, tested = _verified(near.unionByName(alike).distinct(), nodes, keyed, size, similarity)
-    # prefixes, hot shingles last
-    own_row = nodes.select("row", "same")
-    prefixes = first.select("row", "prefix").join(own_row, "row").select("same", "prefix")
-
-    def postings(prefixes):
-        return C.write_table(prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-
-    shared = postings(prefixes)
-    many = shared.filter(F.col("n") > hot_posting).select("h")
-    if not many.isEmpty():
-        hot = spark.sparkContext.broadcast(_marked(many))
-        again = held(_sketches(keyed.select("row", "text"), size, similarity, hot))
-        done(made[:1])
-        prefixes = again.join(own_row, "row").select("same", "prefix")
-        shared = postings(prefixes)
-    tokens = C.write_table(prefixes.select("same", F.explode("prefix").alias("h")).join(shared, "h"))
-    done(list(made))
+    # postings: pairs of those with few members, the tokens of others
+    dealt = whole.select("n", "same", F.posexplode("prefix").alias("q", "h")).select("h", "n", F.col("q").cast("long").alias("q"), "same")
+    with C.arrow_batches(spark, 50_000):
+        dealt = dealt.repartition("h").sortWithinPartitions("h", "n")
+        met = held(dealt.mapInArrow(_met(similarity, hot_posting), "h long, n long, q long, same long, other long"))
+    few = met.filter("other is not null").select(F.col("same").alias("src"), F.col("other").alias("dst"))
+    tokens = met.filter("other is null").select("same", "h", "n", "q")
+    done(made[:2])
     none = spark.createDataFrame([], "node long, root long")
+    links, tested = _verified(near.unionByName(alike).unionByName(few).distinct(), nodes, keyed, size, similarity)
     member = none if links is None else components(links)
+    if tokens.isEmpty():
+        done(list(made))
+        return rows, member
 
     def grouped(df, member):
         return df.join(member, df["same"] == member["node"], "left").select(*df.columns, F.coalesce("root", "same").alias("root"))
@@ -696,58 +781,66 @@ def similar_groups(keyed: DataFrame, *, size: int = 5, similarity: float = 0.8,
         member = components(links)
         return True
 
-    # One star for each posting. Its middle is the member with most shared shingles in its prefix:
+    # One star for each large posting. Its middle is the member with most shared shingles in its prefix:
     # the prefixes of edited copies begin with their own edits, that of what they were made from
     # does not. So one round makes one group of most copies.
     degree = tokens.groupBy("same").agg(F.count("*").alias("shared"))
-    tokens = C.write_table(tokens.join(degree, "same").select("same", "h", "shared"))
-    stars = tokens.groupBy("h").agg(F.max(F.struct("shared", "same")).alias("p")).select("h", F.col("p.same").alias("pivot"))
-    stars = grouped(tokens.join(stars, "h").filter("same <> pivot").select("same", "pivot").distinct(), member)
+    tokens = C.write_table(tokens.join(degree, "same").select("same", "h", "shared", "n", "q"))
+    done(list(made))
+    stars = tokens.groupBy("h").agg(F.max(F.struct("shared", "same", "n", "q")).alias("p")).select("h", F.col("p.same").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.q").alias("pq"))
+    stars = grouped(tokens.join(stars, "h").filter("same <> pivot").filter(_near_enough("{}", "p{}", similarity)).select("same", "pivot").distinct(), member)
     least = member.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     stars = stars.join(least, "pivot", "left").filter(F.col("root") != F.coalesce("pivot_root", "pivot"))
     link(stars.select(F.col("same").alias("a"), F.col("pivot").alias("b")))
     turn = 0
 
     def settled(tokens):
-        """Links the members of postings (same, h, shared); (same, h) of those that stay crowded."""
+        """Links the members of postings (same, h, shared, n, q); (same, h) of those that stay crowded."""
         nonlocal turn
         more = True
         while more:
             # members of a posting outside of its largest group; postings of one group are done
             past = list(made)
             own = held(grouped(tokens, member))
-            sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"))
+            sizes = own.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("strays"), F.sum("n").alias("members"))
             sizes = held(sizes.filter("strays > 0"))
-            tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared"))
-            crowded = sizes.filter(F.col("strays") > hot_posting).select("h", "major")
+            tokens = held(own.join(sizes.select("h"), "h").select("same", "h", "shared", "n", "q"))
+            crowded = sizes.filter(F.col("strays") > hot_posting)
+            left = crowded.agg(F.sum(F.col("strays").cast("double") * F.col("members"))).first()[0]
+            any_crowded = left is not None
+            crowded = crowded.select("h", "major")
             # in most postings, each stray with every member of another group
-            few = own.join(sizes.filter(F.col("strays") <= hot_posting), "h")
-            strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"))
-            pairs = strays.join(few.select("h", F.col("same").alias("b"), F.col("root").alias("rb")), "h").filter("ra <> rb").select("a", "b")
-            any_crowded = not crowded.isEmpty()
+            few = own.join(sizes.filter(F.col("strays") <= hot_posting).select("h", "major"), "h")
+            strays = few.filter("root <> major").select("h", F.col("same").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("q").alias("qa"))
+            others = few.select("h", F.col("same").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("q").alias("qb"))
+            pairs = strays.join(others, "h").filter("ra <> rb").filter(_near_enough("{}a", "{}b", similarity)).select("a", "b")
             if any_crowded:
                 among = own.join(crowded, "h")
-                member_of = F.struct("same", "root")
-                outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root"))
+                member_of = F.struct("same", "root", "n", "q")
+                outside = F.when(F.col("root") != F.col("major"), F.struct("shared", "same", "root", "n", "q"))
                 drawn = among.groupBy("h").agg(F.max(outside).alias("m"), *[F.min_by(member_of, F.xxhash64("same", F.lit(2 * turn + j))).alias(f"p{j}") for j in range(2)])
-                middle = F.struct(F.col("m.same").alias("same"), F.col("m.root").alias("root"))
+                middle = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("same", "root", "n", "q")])
                 pivots = drawn.select("h", F.explode(F.array_distinct(F.array(middle, "p0", "p1"))).alias("p"))
-                pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").select(F.col("same").alias("a"), F.col("p.same").alias("b")))
-            more = link(pairs) and any_crowded
+                pairs = pairs.unionByName(among.join(pivots, "h").filter("root <> p.root").filter(_near_enough("{}", "p.{}", similarity)).select(F.col("same").alias("a"), F.col("p.same").alias("b")))
+            more = link(pairs) and any_crowded and left > most
             turn += 1
             crowd = C.write_table(tokens.join(crowded.select("h"), "h").select("same", "h")) if any_crowded and not more else None
             done(past)
             spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past rounds
-        return crowd
+        return crowd, any_crowded and left > most
 
-    crowd = settled(tokens)
-    if crowd is not None:
+    most = COMPARED * nodes.count()
+    crowd, over = settled(tokens)
+    if over:
         # Texts made of the same passages: dealt again by bands of their whole sets' least hashes, in
         # which texts meet by their similarity and not by one passage.
         texts = keyed.join(nodes.join(crowd.select("same").distinct(), "same").select("same", "row"), "row").select("same", "text")
         bands = texts.mapInArrow(_bands(size), "same long, h long")
         bands = held(bands)
-        settled(bands.join(bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h").select("same", "h", F.lit(0).cast("long").alias("shared")))
+        zero = F.lit(0).cast("long")  # bands have no order of their shingles
+        bands = bands.join(bands.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h")
+        settled(bands.join(nodes.select("same", "n"), "same").select("same", "h", zero.alias("shared"), "n", zero.alias("q")))
+    if crowd is not None:
         link(_crowd_pairs(grouped(crowd, member), nodes, similarity))
     done(list(made))
     return rows, member

@@ -249,3 +249,42 @@ def test_no_link_in_crowded_postings_hangs_on_bands(spark, monkeypatch):
     texts = [" ".join(passages[j] for j in p) for p in picks] + [" ".join(passages[j] for j in rng.permutation(p)) for p in picks[:60]]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in simhash.keep_one(d).collect()} == set(range(400))
+
+
+def test_crowded_postings_take_few_rounds(spark, monkeypatch):
+    # chains of edits: members of one posting are linked to their neighbours only, so each pivot links few
+    rounds, verified = [], simhash._verified
+
+    def counted(*args):
+        rounds.append(1)
+        return verified(*args)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    rng = np.random.default_rng(11)
+    words = [f"w{int(x)}" for x in rng.integers(0, 10**6, 200)]
+    texts = []
+    for i in range(240):
+        words[int(rng.integers(40, 200))] = f"e{i}"
+        if i % 3 == 0:
+            texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.keep_one(d).collect()}
+    assert got == {i for i, root in enumerate(plain_groups(texts)) if i == root}
+    assert len(rounds) <= 4
+
+
+def test_postings_give_pairs_that_sizes_and_places_allow():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(h), int(n), int(n * p), i) for i, (h, n, p) in enumerate(zip(rng.integers(-40, 40, 900), rng.integers(5, 60, 900), rng.random(900) * 0.2))})
+    rows += [(99, 20, 0, 5000 + i) for i in range(50)]  # a large posting over several batches
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + 33])], names=["h", "n", "q", "same"]) for lo in range(0, len(rows), 33)]
+    got = [r for b in simhash._met(0.8, 32)(iter(batches)) for r in b.to_pylist()]
+    want = set()
+    for h, n, q, a in rows[:-50]:
+        for g, m, p, b in rows[:-50]:
+            if h == g and a < b and min(n, m) >= 0.8 * max(n, m) and min(n - q, m - p) >= 0.8 / 1.8 * (n + m) - 1e-6:
+                want.add((a, b))
+    assert {(r["same"], r["other"]) for r in got if r["other"] is not None} == want and want
+    assert [r["same"] for r in got if r["other"] is None] == [5000 + i for i in range(50)]
