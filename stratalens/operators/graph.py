@@ -187,26 +187,78 @@ def _strong(src, dst, n):
     return [np.array(node_out, np.int64), np.array(ring_out, np.int64)]
 
 
+def _walked_within(rows: DataFrame, parts: int) -> DataFrame:
+    """(node, is_open) found from the roots among ``rows`` (is_edge, src, dst) within parts of the edges.
+
+    Parts are ranges of ``src``, read in its order by as many rows at a time as one task may hold. Open
+    nodes lie outside of the range that found them, so their edges may be elsewhere.
+    """
+    limit = LOCAL_EDGES
+    kind = rows.schema["src"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("is_open", T.BooleanType())])
+
+    def walked(table, more):
+        """What is found, and the last src if it is: its edges may go on in the next rows."""
+        edges, roots = table.filter(table.column("is_edge")), table.filter(pc.invert(table.column("is_edge"))).column("src")
+        both = pa.chunked_array([*edges.column("src").chunks, *edges.column("dst").chunks, *roots.chunks, *more], type=table.schema.field("src").type)
+        names = pc.unique(both)
+        names = names.take(pc.sort_indices(names))
+        codes = pc.index_in(both.combine_chunks(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(edges)
+        src, dst, start = codes[:n], codes[n : 2 * n], codes[2 * n :]
+        found = _walk(src, dst, len(names), start)[0]
+        if not n:
+            return names, found, np.ones(len(found), bool), []
+        last = src.max()
+        return names, found, (found < src.min()) | (found > last), [names.slice(last, 1)] if (found == last).any() else []
+
+    def run(batches):
+        held, n, more = [], 0, []
+
+        def out():
+            names, found, is_open, again = walked(pa.Table.from_batches(held), more)
+            more[:] = again
+            return pa.RecordBatch.from_arrays([names.take(pa.array(found)), pa.array(is_open)], names=["node", "is_open"])
+
+        for b in batches:
+            if held and n + len(b) > limit:
+                yield out()
+                held.clear()
+                n = 0
+            if len(b):
+                held.append(b)
+                n += len(b)
+        if held:
+            yield out()
+
+    return rows.repartitionByRange(parts, "src").sortWithinPartitions("src", "is_edge").mapInArrow(run, schema)
+
+
 def reach(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Nodes reached from ``roots`` (node) along ``edges`` (src, dst), roots included.
 
-    Nodes of ``stop`` are not entered.
+    Nodes of ``stop`` are not entered. A graph too large for one task is walked within parts of its
+    edges, as far as each part leads; a round goes on with what left its part, so rounds are
+    few where neighbours in number are neighbours in the graph.
     """
+    edges = settle(edges.select("src", "dst"))
     if _is_small(edges) and _is_small(roots) and (stop is None or _is_small(stop)):
         more = {"roots": roots.select("node")} | ({} if stop is None else {"stop": stop.select("node")})
         return _in_one_task(edges, _walk, ["node"], **more)
-    frontier = roots.select("node").distinct()
+    frontier, parts = roots.select("node").distinct(), edges.count() * 4 // max(1, LOCAL_EDGES) + 1
     if stop is not None:
-        frontier = frontier.join(stop.select("node"), "node", "left_anti")
+        stop = settle(stop.select("node").distinct())
+        frontier = frontier.join(stop, "node", "left_anti")
+        edges = settle(edges.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     frontier = settle(frontier)
+    walk_on = edges.filter("src is not null").select(F.lit(True).alias("is_edge"), "src", "dst")
     known = [frontier]
     while not frontier.isEmpty():
-        new = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = new.join(_union(known), "node", "left_anti")
-        if stop is not None:
-            new = new.join(stop.select("node"), "node", "left_anti")
-        frontier = settle(new)
-        known.append(frontier)
+        rows = frontier.filter("node is not null").select(F.lit(False).alias("is_edge"), F.col("node").alias("src"), F.col("node").alias("dst"))
+        out = settle(_walked_within(walk_on.union(rows), parts))
+        done = out.filter("not is_open").select("node")
+        frontier = settle(out.filter("is_open and node is not null").select("node").distinct().join(_union([*known, done]), "node", "left_anti"))
+        known += [settle(done.distinct().join(_union(known), "node", "left_anti")), frontier]
         if len(known) > 12:
             known = [settle(_union(known))]
     return _union(known)
@@ -326,7 +378,7 @@ def rings(edges: DataFrame) -> DataFrame:
     """
     if _is_small(edges):
         return _rings_by_rounds(edges)
-    members, left = _rings_within(edges, edges.count() * 4 // LOCAL_EDGES + 1)
+    members, left = _rings_within(edges, edges.count() * 4 // max(1, LOCAL_EDGES) + 1)
     return _led_on(members, settle(_rings_by_rounds(left)))
 
 
