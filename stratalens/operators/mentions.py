@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 CLASSES = [(16, 12, 5), (8, 6, 3)]  # (least bytes of a name, bytes of a gram, grams in a row)
 SHORT = 7
 TABLE_BITS = 24
 SAMPLE_TEXTS, ORDER_BITS = 1000, 16
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,14 +34,25 @@ def _shape(size: int) -> tuple[int, int]:
     return next(((q, w) for least, q, w in CLASSES if size >= least), (size, 1))
 
 
-def _grams(raw: np.ndarray, q: int) -> np.ndarray:
+def _spans(raw: np.ndarray, q: int, held: dict) -> np.ndarray:
+    """Each q bytes in a row as a number, from those of half as many; ``held`` keeps them for other q."""
+    if q not in held:
+        if q == 1:
+            held[q] = raw.astype(np.uint64)
+        else:
+            n, half = max(0, len(raw) - q + 1), q // 2
+            held[q] = _spans(raw, half, held)[:n] * (_BASE * np.uint64(2 * q + 1))
+            held[q] += _spans(raw, q - half, held)[half : half + n]
+    return held[q]
+
+
+def _grams(raw: np.ndarray, q: int, held: dict | None = None) -> np.ndarray:
     """A hash of each q bytes in a row."""
-    n = max(0, len(raw) - q + 1)
-    h = np.full(n, q, np.uint64)
-    for i in range(q):
-        h = (h ^ raw[i : i + n]) * _BASE
-    h ^= h >> np.uint64(31)
-    return h * _BASE
+    with np.errstate(over="ignore"):
+        h = _spans(raw, q, {} if held is None else held) * (_BASE ^ np.uint64(2 * q))
+        h ^= h >> np.uint64(31)
+        h *= _BASE
+    return h
 
 
 def _ranks(h: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -83,35 +95,74 @@ def _index(shared):
                     q, w = _shape(len(text))
                     h = _grams(np.frombuffer(text, np.uint8)[: q + w - 1], q)
                     names.append(name)
-                    anchors.append(int(h[_ranks(h, order).argmin()].astype(np.int64)))
+                    anchors.append(int(_anchors(h, w, order)[0].astype(np.int64)))
                     sizes.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(anchors, pa.int64())], names=["name", "q", "anchor"])
 
     return run
 
 
+def _anchored(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, w: int, order: np.ndarray) -> np.ndarray:
+    """Which of the grams ``at`` are the rarest of some w in a row, all from ``low`` to ``high`` (not included)."""
+    if w == 1:
+        return np.ones(len(at), bool)
+    near = at[:, None] + np.arange(1 - w, w)
+    ranks = _ranks(h[np.clip(near, 0, len(h) - 1)], order)
+    within = (near >= low[:, None]) & (near < high[:, None])
+    own, found = ranks[:, w - 1], np.zeros(len(at), bool)
+    for k in range(w):
+        found |= within[:, k] & within[:, k + w - 1] & (ranks[:, k : k + w].min(axis=1) == own)
+    return found
+
+
+def _text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes in a row, and where each begins; null texts are empty."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
 def _scan(shared, lengths: list[int]):
-    """(path, q, anchor): the anchors of each text that the bit table knows."""
+    """(path, q, anchor): the anchors of each text that the bit table knows.
+
+    A batch's texts are read as one row of bytes, in steps that overlap by a row of grams; what is done for
+    each text apart is done for grams that the table knows only.
+    """
     shapes = [(q, w) for _, q, w in CLASSES if q in lengths] + [(q, 1) for q in lengths if 0 < q <= SHORT and q not in [c[1] for c in CLASSES]]
     # names of 6 bytes are grams of their own, as those of the middle class are, but out of every place
     shapes = [(q, 1 if -q in lengths else w) for q, w in shapes]
-    step = STEP_BYTES
+    step, lead, rest = STEP_BYTES, max((w for _, w in shapes), default=1) - 1, max((q + w for q, w in shapes), default=2) - 2
 
     def run(batches):
         order, table = shared.value
         for batch in batches:
             at, sizes, found = [], [], []
-            for i, text in enumerate(_text_bytes(batch.column(1))):
-                raw = np.frombuffer(text, np.uint8)
+            raw, ends = _text_buffer(batch.column(1))
+            for lo in range(0, len(raw), step):
+                first, held = max(0, lo - lead), {}
+                own = raw[first : lo + step + rest]
                 for q, w in shapes:
-                    # one long text is read in steps that overlap by a row of grams
-                    for lo in range(0, max(1, len(raw) - q - w + 2), step):
-                        own = _anchors(_grams(raw[lo : lo + step + q + w - 2], q), w, order)
-                        bit = own >> np.uint64(64 - TABLE_BITS)
-                        own = own[table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1]
-                        at.append(np.full(len(own), i))
-                        sizes.append(np.full(len(own), q, np.int32))
-                        found.append(own.astype(np.int64))
+                    if len(own) < q:
+                        continue
+                    h = _grams(own, q, held)
+                    byte = table.take((h >> np.uint64(64 - TABLE_BITS + 3)).view(np.int64))
+                    p = np.flatnonzero(byte != 0)
+                    bit = h[p] >> np.uint64(64 - TABLE_BITS) & np.uint64(7)
+                    p = p[(byte[p] >> bit.astype(np.uint8) & 1 == 1) & (p + first >= lo) & (p + first < lo + step)]
+                    text = np.searchsorted(ends, p + first, "right") - 1
+                    low, high = ends[text] - first, ends[text + 1] - first - q + 1
+                    kept = p < high
+                    kept[kept] = _anchored(h, p[kept], low[kept], high[kept], w, order)
+                    p, text = p[kept], text[kept]
+                    by = np.lexsort((h[p], text))
+                    text, anchor = text[by], h[p][by]
+                    new = np.ones(len(by), bool)
+                    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+                    at.append(text[new])
+                    sizes.append(np.full(new.sum(), q, np.int32))
+                    found.append(anchor[new].astype(np.int64))
             if at:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found))], names=["path", "q", "anchor"])
 

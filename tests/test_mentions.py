@@ -54,3 +54,19 @@ def test_many_names_and_empty_tables(spark):
     want = {(f"name number {int(str(x)[:k])}", i) for i in texts for x in (f"{i}00", f"{i}1") for k in range(1, len(str(x)) + 1) if not (str(x)[0] == "0" and k > 1)}
     assert got == want
     assert M.mentions(n.limit(0), d, settle).count() == 0 and M.mentions(n, d.limit(0), settle).count() == 0
+
+
+def test_texts_of_a_batch_are_read_together(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    calls, grams = [], M._grams
+    monkeypatch.setattr(M, "_grams", lambda *a: calls.append(1) or grams(*a))
+    full = types.SimpleNamespace(value=(np.zeros(1 << M.ORDER_BITS, np.uint16), np.full(1 << M.TABLE_BITS - 3, 255, np.uint8)))
+    texts = [None, "", "ab", *(f"text {i}" for i in range(2000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["path", "text"]).slice(1)
+    got = {(r["path"], r["anchor"]) for out in M._scan(full, [2, -2])([batch]) for r in out.to_pylist()}
+    want = {(i, int(h)) for i, t in enumerate(texts) for h in grams(np.frombuffer((t or "").encode(), np.uint8), 2).astype(np.int64)}
+    assert got == want and len(calls) < 50
