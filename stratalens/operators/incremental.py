@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from .graph import settle
 
 
 def digests(sources: DataFrame) -> DataFrame:
@@ -101,7 +102,8 @@ class Record:
         one = there.groupBy("path").agg(F.max(F.struct("text", "language", "digest", "stamp")).alias("s")).select("path", "s.*")
         seen = known.select("path", F.col("digest").alias("was"), F.col("findings").alias("had"))
         met = one.join(seen, "path", "left")
-        changed = met.filter("was is null or was <> digest").select("path", "language", "text", "digest", "stamp")
+        # written once: the count, the judging and the record would each shuffle and hash all texts again
+        changed = settle(met.filter("was is null or was <> digest").select("path", "language", "text", "digest", "stamp"))
         gone = known.select("path").join(given.filter("gone").select("path").distinct(), "path", "left_semi")
         if whole:
             gone = known.select("path").join(given.filter(~F.col("gone")).select("path").distinct(), "path", "left_anti")
