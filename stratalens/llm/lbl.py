@@ -40,6 +40,7 @@ from . import common as C
 
 END = b"\n"  # no word holds white space
 WORDS, BUCKETS, TOP, DIM, NOISE, INNER, BATCH, RATE, SHARD = 8_191, 2_048, 200_000, 8, 16, 2, 2_048, 0.1, 2_000_000
+ROWS, FAR = 1_024, 30  # rows of scores that stay in a core's cache; scores whose exponential is taken as it is
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -229,8 +230,8 @@ class Lbl:
         context, of = np.unique(u.astype(np.int64) * (self.size + 1) + v, return_inverse=True)
         seen = self.before(context // (self.size + 1), context % (self.size + 1))
         z = np.empty(len(context))
-        for lo in range(0, len(z), 4096):
-            s = slice(lo, lo + 4096)
+        for lo in range(0, len(z), ROWS):
+            s = slice(lo, lo + ROWS)
             z[s] = _log_sum(seen[s] @ k.T + kb)
         hat = seen[of]
         out = np.einsum("ij,ij->i", hat, k[kind]) + kb[kind] - z[of]
@@ -239,8 +240,8 @@ class Lbl:
         for run in np.split(by_class, np.flatnonzero(np.diff(kind[by_class])) + 1):
             if len(run):
                 own = slice(int(self.starts[kind[run[0]]]), int(self.starts[kind[run[0]]]) + self.width)
-                for lo in range(0, len(run), 4096):
-                    i = run[lo : lo + 4096]
+                for lo in range(0, len(run), ROWS):
+                    i = run[lo : lo + ROWS]
                     out[i] -= _log_sum(hat[i] @ q[own].T + b[own])
         return out
 
@@ -253,9 +254,21 @@ class Lbl:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials of each row; exponentials in single precision."""
-    top = s.max(axis=1)
-    return np.log(np.exp((s - top[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64)) + top
+    """log of the sum of exponentials of each row; exponentials in single precision.
+
+    Only rows that hold a score beyond ``FAR`` are shifted by their greatest, so a row's sum does not
+    depend on the others.
+    """
+    near = max(s.max(), -s.min()) < FAR if s.size else True
+    e = s.astype(np.float32)
+    with np.errstate(over="ignore", divide="ignore"):
+        np.exp(e, out=e)
+        out = np.log(e.sum(axis=1, dtype=np.float64))
+    if not near:
+        far = np.flatnonzero(np.abs(s).max(axis=1) >= FAR)
+        top = s[far].max(axis=1)
+        out[far] = np.log(np.exp((s[far] - top[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64)) + top
+    return out
 
 
 def _sums(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

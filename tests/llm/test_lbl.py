@@ -148,3 +148,29 @@ def test_query_beats_unigrams_on_held_out(spark):
     own = sum(r["score"] for r in got if r["held_out"]) / n
     print("log10 a token, held out:", base, own)
     assert own > base + 0.15
+
+
+def test_log_sums_of_rows_far_and_near():
+    import time
+
+    r = np.random.default_rng(1)
+    s = r.normal(0, 3, (200, 90))
+    s[50] += 200
+    s[51] -= 200
+    s[52, 3] = 500
+    top = s.max(axis=1)
+    want = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+    assert np.allclose(lbl._log_sum(s), want, rtol=1e-6, atol=2e-6)
+    assert lbl._log_sum(s[:10]).tolist() == lbl._log_sum(s)[:10].tolist()  # a row alone, or beside far ones
+    near = r.normal(0, 1, (1024, 102))
+    shifted = lambda x: np.log(np.exp((x - x.max(axis=1)[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64)) + x.max(axis=1)
+
+    def best(f):
+        times = []
+        for _ in range(30):
+            start = time.perf_counter()
+            f(near)
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert best(lbl._log_sum) < 0.8 * best(shifted)
