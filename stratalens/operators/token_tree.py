@@ -8,6 +8,10 @@ path before they are cut, so their tokens do not shuffle, and no window holds mo
 
 What a macro invocation or an attribute holds is not code yet, and is left out.
 
+``source_items``, ``source_complexity``, ``source_arms``, ``broken`` and ``unread_findings`` take sources
+and read each alone (``rust_scan``): the same facts without rows of tokens, at a small part of the time.
+``items``, ``complexity`` and ``unread_arms`` are for callers that have a ``tree``.
+
 Defined cases: null and empty texts have no tokens; sources whose brackets do not match, with open
 strings or comments, a byte order mark after the start, or a few forms that no grammar has, are
 ``broken`` and have no facts; a path stands for one source; other columns are not read.
@@ -15,39 +19,18 @@ strings or comments, a byte order mark after the start, or a few forms that no g
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import by_path
+from . import rust_scan as R
+from .rust_scan import ITEM_WORDS, KINDS, OPENING_WORDS, SCOPES
 
 
-def _comment(depth: int) -> str:
-    inner = rf"|{_comment(depth - 1)}" if depth else ""
-    return rf"/\*[^*/]*+(?:(?:\*(?!/)|/(?!\*){inner})[^*/]*+)*+\*/"
-
-
-NAME = r"(?:r#)?[\p{L}_][\p{L}\p{N}_]*+"
-TOKEN = "|".join(
-    [
-        r"//[^\n]*+",
-        _comment(6),
-        r"/\*",
-        r'(?:br|cr|r)(#*)"[\s\S]*?"\1',
-        r'(?:b|c)?"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"',
-        r"b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]*\}|[\s\S])|[^'\\\n])'",
-        r"'[\p{L}_][\p{L}\p{N}_]*+",
-        NAME,
-        r"[0-9][\p{L}\p{N}_]*+(?:\.[0-9][\p{L}\p{N}_]*+)?",
-        r"->|=>|::|\.\.[.=]?|&&|\|\||[<>=!]=|[-+*/%^&|]=",
-        r"\n",
-        r"[^\s]",
-    ]
-)
-# words that no operand ends with
-OPENING_WORDS = ["if", "while", "match", "return", "in", "else", "let", "mut", "ref", "move", "for", "loop", "break", "continue", "as", "where", "impl", "dyn", "unsafe", "async", "static", "const", "fn", "pub", "use", "mod", "struct", "enum", "trait", "type", "extern"]
-# words that begin an item, or go on after a closing bracket
-ITEM_WORDS = ["pub", "fn", "struct", "enum", "union", "trait", "type", "const", "static", "mod", "impl", "use", "extern", "unsafe", "async", "auto", "default", "macro_rules", "else", "where", "for", "as"]
-KINDS = {"fn": "Function", "struct": "Struct", "enum": "Enum", "union": "Union", "trait": "Trait", "type": "TypeAlias", "const": "Constant", "static": "Static", "mod": "Module", "impl": "Implementation"}
-SCOPES = ["Module", "Implementation", "Trait"]
+NAME = R.name_pattern(r"\p{L}", r"\p{N}")
+TOKEN = R.token_pattern(r"\p{L}", r"\p{N}")
+CORE = R.core_pattern(r"\p{L}")
+ROWS_OUT = 20_000  # facts of a batch that Python hands over at once
 
 
 def _token() -> Column:
@@ -126,11 +109,6 @@ def _read(sources: DataFrame, text: str) -> DataFrame:
     return d.withColumn("bad_line", F.min(F.when(wrong, F.col("line"))).over(W.partitionBy("path")))
 
 
-def broken(sources: DataFrame, text: str = "text") -> DataFrame:
-    """(path, line) of sources that no reader can take, with the first line that is wrong."""
-    return _read(sources, text).filter("bad_line is not null").groupBy("path").agg(F.min("bad_line").cast("long").alias("line"))
-
-
 def tree(sources: DataFrame, text: str = "text") -> DataFrame:
     """Tokens of sources that are not broken, with the item head and the function each is under."""
     return _tree(_read(sources, text).filter("bad_line is null").drop("bad_line", "wrong"))
@@ -197,7 +175,7 @@ def _heads(t: DataFrame) -> DataFrame:
     header = F.array_sort(F.collect_list(F.when((F.col("pos") > F.col("head")) & (F.col("pos") < F.col("head_end")), F.struct("pos", "token", "angle", depth.alias("depth"), "n1"))))
     out = within.groupBy("path", F.col("head").alias("pos")).agg(
         *[one(c).alias(c) for c in ("kind", "token", "n1", "n2", "n3", "p1", "p2", "p3", "line", "depth")],
-        F.max(F.when((F.col("p1") == "fn") & (F.col("pos") > F.col("head")), F.col("line"))).alias("name_line"),
+        F.min(F.when((F.col("p1") == "fn") & (F.col("pos") > F.col("head")), F.col("line"))).alias("name_line"),
         F.first("head_end").alias("head_end"),
         F.max(F.when((F.col("pos") == F.col("head_end")) & (_token() == "{"), F.col("partner"))).alias("close"),
         F.when(one("kind") == "Function", F.when(last.isNull(), 0).otherwise(commas + F.when(last == ",", 0).otherwise(1))).cast("long").alias("inputs"),
@@ -311,9 +289,6 @@ def complexity(t: DataFrame) -> DataFrame:
 
 # ---- arms that take an unread fact and say nothing -----------------------------------------------
 
-_GENERIC = r"(?: :: < [^{};]* >)?"
-_CORE = rf"(continue(?: '\S+)?|return|(?:[\p{{L}}_]\S*{_GENERIC} :: )*Ok{_GENERIC} \( \))"
-
 
 def unread_arms(t: DataFrame, binding: str = "applicability") -> DataFrame:
     """(path, function, line, binding, shape) of match arms ``Err(binding) => body`` whose body is empty,
@@ -343,19 +318,59 @@ def unread_arms(t: DataFrame, binding: str = "applicability") -> DataFrame:
     outer = body.withColumn("depth", depth).filter((F.col("depth") == 0) | ((F.col("depth") == 1) & _token().isin("(", "[")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
     texts = outer.groupBy("path", "arm").agg(text.alias("body"))
-    core = F.regexp_extract("body", rf"^(?:\{{ )*{_CORE}(?: ;)?(?: \}}(?: ;)?)*$", 1)
+    core = F.regexp_extract("body", CORE, 1)
     shape = F.when(F.col("body") == "{ }", "empty").when(core.startswith("continue"), "bare-continue").when(core == "return", "bare-return").when(core != "", "tail-ok")
     names = t.filter("kind = 'Function'").select("path", F.col("pos").alias("function"), F.regexp_replace("n1", "^r#", "").alias("name"))
     found = arms.join(texts, ["path", "arm"]).withColumn("shape", shape).filter("shape is not null").join(names, ["path", "function"])
     return found.select("path", F.col("name").alias("function"), "line", F.lit(binding).alias("binding"), "shape")
 
 
-def unread_findings(sources: DataFrame, settle, text: str = "text") -> DataFrame:
-    """(rule, path, site): one finding an unread arm, and one for each source that is broken.
+# ---- the same facts, each source read alone ------------------------------------------------------
+
+
+def _facts(sources: DataFrame, text: str, columns: str, read) -> DataFrame:
+    """``path`` and the rows that ``read`` makes of each source, which is read alone: nothing shuffles."""
+    path = sources.schema["path"].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i in range(batch.num_rows):
+                new = read(R.Source(batch.column(1)[i].as_py()))
+                at += [i] * len(new)
+                rows += new
+                if len(rows) >= ROWS_OUT or (rows and i + 1 == batch.num_rows):
+                    made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *made], names=["path", *names])
+                    at, rows = [], []
+
+    return sources.select("path", F.col(text).alias("text")).mapInArrow(run, f"path {path}, {columns}")
+
+
+def broken(sources: DataFrame, text: str = "text") -> DataFrame:
+    """(path, line) of sources that no reader can take, with the first line that is wrong."""
+    return _facts(sources, text, "line long", lambda s: [] if s.bad_line is None else [(s.bad_line,)])
+
+
+def source_items(sources: DataFrame, text: str = "text") -> DataFrame:
+    """``items`` of sources."""
+    columns = "ordinal long, line long, kind string, name string, qualified string, visibility string, inputs long, receiver boolean"
+    return _facts(sources, text, columns, lambda s: s.items() if s.bad_line is None else [])
+
+
+def source_complexity(sources: DataFrame, text: str = "text") -> DataFrame:
+    """``complexity`` of sources."""
+    return _facts(sources, text, "function string, line long, complexity long", lambda s: s.complexity() if s.bad_line is None else [])
+
+
+def source_arms(sources: DataFrame, binding: str = "applicability", text: str = "text") -> DataFrame:
+    """``unread_arms`` of sources."""
+    return _facts(sources, text, "function string, line long, binding string, shape string", lambda s: s.unread_arms(binding) if s.bad_line is None else [])
+
 
-    ``settle`` writes a table and reads it back: tokens are cut once. Of broken sources only the
-    tokens of the first wrong line are kept."""
-    t = settle(_tree(_read(sources, text).filter("bad_line is null or line = bad_line").drop("wrong")))
-    sites = unread_arms(by_path(t.filter("bad_line is null"))).select("path", F.concat_ws(": ", "function", "shape").alias("site"))
-    lost = t.filter("bad_line is not null").select("path", F.lit("unparseable").alias("site")).distinct()
-    return sites.unionByName(lost).select(F.lit("unread-reaches-finding").alias("rule"), "path", "site")
+def unread_findings(sources: DataFrame, text: str = "text", binding: str = "applicability") -> DataFrame:
+    """(rule, path, site): one finding an unread arm, and one for each source that is broken."""
+    sites = lambda s: [("unparseable",)] if s.bad_line is not None else [(f"{a[0]}: {a[3]}",) for a in s.unread_arms(binding)]
+    return _facts(sources, text, "site string", sites).select(F.lit("unread-reaches-finding").alias("rule"), "path", "site")

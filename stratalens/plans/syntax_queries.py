@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import token_tree as S
-from ..operators.graph import settle
-from ..session import by_path
 from .registry import query
 from .store import store
 
@@ -89,22 +87,22 @@ def programs(spark, sf):
 
 @query("rust_items", f"SELECT path, (row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1)::BIGINT AS ordinal, (first_line + line - 1)::BIGINT AS line, kind, qualified, visibility, inputs::BIGINT AS inputs, receiver FROM ({PLACED_SQL}) JOIN (VALUES {_ITEMS}) f(k, n, line, kind, qualified, visibility, inputs, receiver) USING (k) WHERE NOT is_broken", covers="18")
 def rust_items(spark, sf):
-    return S.items(by_path(settle(S.tree(programs(spark, sf))))).drop("name")
+    return S.source_items(programs(spark, sf)).drop("name")
 
 
 @query("rust_complexity", f"SELECT path, function, (first_line + line - 1)::BIGINT AS line, complexity::BIGINT AS complexity FROM ({PLACED_SQL}) JOIN (VALUES {_FUNCTIONS}) f(k, line, function, complexity) USING (k) WHERE NOT is_broken", covers="27 cyclomatic-complexity")
 def rust_complexity(spark, sf):
-    return S.complexity(by_path(settle(S.tree(programs(spark, sf)))))
+    return S.source_complexity(programs(spark, sf))
 
 
 @query("unread_arms", f"SELECT path, function, (first_line + line - 1)::BIGINT AS line, 'applicability' AS binding, shape FROM ({PLACED_SQL}) JOIN (VALUES {_ARMS}) f(k, line, function, shape) USING (k) WHERE NOT is_broken", covers="28")
 def unread_arms(spark, sf):
-    return S.unread_arms(by_path(settle(S.tree(programs(spark, sf)))))
+    return S.source_arms(programs(spark, sf))
 
 
 @query("unread_findings", f"SELECT 'unread-reaches-finding' AS rule, path, site FROM (SELECT path, function || ': ' || shape AS site FROM ({PLACED_SQL}) JOIN (VALUES {_ARMS}) f(k, line, function, shape) USING (k) WHERE NOT is_broken UNION ALL SELECT path, 'unparseable' FROM ({PLACED_SQL}) WHERE is_broken)", covers="unread-reaches-finding")
 def unread_findings(spark, sf):
-    return S.unread_findings(programs(spark, sf), settle)
+    return S.unread_findings(programs(spark, sf))
 
 
 @query("broken_sources", f"SELECT path, (first_line + size)::BIGINT AS line FROM ({PLACED_SQL}) WHERE is_broken", covers="18")

@@ -193,3 +193,56 @@ def test_tasks_grow_with_the_texts(spark, monkeypatch):
         held = rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("path").alias("n")).collect()
         assert len(held) > 8 and max(r["n"] for r in held) < 10
     assert session.by_path(T.tree(d)).rdd.getNumPartitions() == 40 * 14 // 10 + 1
+
+
+# ---- sources read alone --------------------------------------------------------------------------
+
+
+def test_sources_read_alone_give_the_facts_counted_by_hand(read):
+    for (text, want), rows in zip(ITEMS, read(T.source_items, [t for t, _ in ITEMS])):
+        assert [(r["kind"], r["qualified"], r["visibility"], r["inputs"]) for r in rows] == want, text
+        assert [r["ordinal"] for r in rows] == list(range(len(want)))
+    for (text, want), rows in zip(COMPLEXITY, read(T.source_complexity, [t for t, _ in COMPLEXITY])):
+        assert {r["function"]: r["complexity"] for r in rows} == want, text
+    for (text, want), rows in zip(ARMS, read(T.source_arms, [t for t, _ in ARMS])):
+        assert sorted(r["shape"] for r in rows) == sorted(want), text
+    texts = [t for t, _ in BROKEN]
+    for facts in (T.source_items, T.source_complexity, T.source_arms):
+        assert not any(read(facts, texts))
+
+
+def test_sources_read_alone_agree_with_rows_of_tokens(spark):
+    # damaged and joined sources, with letters, numbers and spaces that only some engines take for such
+    import random
+    import re
+
+    rnd = random.Random(11)
+    base = [t for t, _ in ITEMS + COMPLEXITY + ARMS if t]
+    pieces = ["é", "²", "Ⅷ", "\u0085", "\U00020000x", "::", "=>", "pub(", "pub(in a::b)", 'r#"', '"#', "/*", "*/", "{", ")", "match", "b'x'", "use a::{b, c};", "﻿", "macro_rules! m"]
+    texts = []
+    for _ in range(300):
+        parts = [x for b in rnd.choices(base, k=2) for x in re.findall(r"\s+|\w+|[^\s\w]", b)]
+        for _ in range(rnd.randrange(3)):
+            parts[rnd.randrange(len(parts))] = rnd.choice([*pieces, "", ""])
+        texts.append("".join(parts))
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    t = T.tree(d).persist()
+    for alone, rows in ((T.source_items(d), T.items(t)), (T.source_complexity(d), T.complexity(t)), (T.source_arms(d), T.unread_arms(t))):
+        assert alone.schema.simpleString() == rows.schema.simpleString()
+        assert sorted(map(repr, alone.collect())) == sorted(map(repr, rows.collect()))
+    t.unpersist()
+
+
+def test_the_readings_shuffle_nothing(spark):
+    from stratalens.plans import QUERIES
+
+    for name in ("rust_items", "rust_complexity", "unread_arms", "unread_findings", "broken_sources"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        # one exchange at most: the one that deals a small table over the cores
+        assert plan.count("MapInArrow") == 1 and plan.count("Window") == 0 and plan.count("Exchange") <= 1, name
+
+
+def test_a_function_is_on_the_line_of_its_name(read):
+    text = "fn\nNamed(\n    f: fn(u8) -> u8,\n    g: fn(u8),\n) {}\n"
+    for facts in (T.source_complexity, lambda d: T.complexity(T.tree(d))):
+        assert [(r["function"], r["line"]) for r in read(facts, [text])[0]] == [("Named", 2)]
