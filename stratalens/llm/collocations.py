@@ -13,8 +13,9 @@ they are counted:
 * ``left`` and ``right`` are parent pointers: all cuts of a phrase and all shorter phrases in it are
   met by joining a level's names with those below it. Texts are not read again.
 
-Names reach the blocks by broadcast up to ``names_broadcast`` of them (counted first; 24 bytes each,
-or the word). More names are joined with the distinct keys of each block by a shuffle, and each block
+Names reach the blocks by broadcast, ``names_broadcast`` of them at a time (counted first; 24 bytes each,
+or the word): up to ``MOST_PARTS`` such parts pass the blocks one after the other, which keep what they
+found. More names are joined with the distinct keys of each block by a shuffle, and each block
 is met with its own ids. No task sees more than blocks one by one; a hot pair is one row a block.
 
 Defined cases: null or empty texts have no words; a null lang is ``und``; repeated rows count again;
@@ -31,14 +32,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import common as C
 
 BLOCK_WORDS, EMITTED = 300_000, 100_000
 PART_PAIRS = 500_000  # distinct pairs of blocks that are added up at once
 BATCH_BLOCKS = 4  # blocks are rows of megabytes: so many of them, or texts a thousand times as many, are an Arrow batch
-NAMES_BROADCAST = 2_000_000
+NAMES_BROADCAST, MOST_PARTS = 2_000_000, 8
 PAGES = {"parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false", "compression": "zstd"}
 ENDS = np.zeros(256, bool)  # [.,;:!?\x0A-\x0D] end a piece
 ENDS[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -273,26 +274,34 @@ def _keys(langs: pa.Array, words: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(words.cast(pa.large_string()), langs.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))  # a word has no space
 
 
-def _words_by_broadcast(shared):
-    def run(batches):
-        keys, ids = shared.value
-        for row in _rows(batches):
-            at = pc.fill_null(pc.index_in(_keys(*_words_of(row)), value_set=keys), len(ids))
-            yield _renamed(row, np.append(ids, -1)[at.to_numpy(zero_copy_only=False)])
+def _ids_of_words(row: dict, keys: pa.Array, ids: np.ndarray) -> np.ndarray:
+    at = pc.fill_null(pc.index_in(_keys(*_words_of(row)), value_set=keys), len(ids))
+    return np.append(ids, -1)[at.to_numpy(zero_copy_only=False)]
 
-    return run
 
+def _ids_of_pairs(row: dict, lefts: np.ndarray, rights: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    left, right = _pairs_of(row)
+    l = np.minimum(np.searchsorted(lefts, left), len(lefts) - 1)
+    r = np.minimum(np.searchsorted(rights, right), len(rights) - 1)
+    key = l * len(rights) + r
+    k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where((lefts[l] == left) & (rights[r] == right) & (keys[k] == key), ids[k], -1)
+
+
+def _by_broadcast(shared, find, last: bool):
+    """Blocks with the ids of one part of the names beside those found before; with the last part, renamed."""
 
-def _pairs_by_broadcast(shared):
     def run(batches):
-        lefts, rights, keys, ids = shared.value
-        for row in _rows(batches):
-            left, right = _pairs_of(row)
-            l = np.minimum(np.searchsorted(lefts, left), len(lefts) - 1)
-            r = np.minimum(np.searchsorted(rights, right), len(rights) - 1)
-            key = l * len(rights) + r
-            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            yield _renamed(row, np.where((lefts[l] == left) & (rights[r] == right) & (keys[k] == key), ids[k], -1))
+        for batch in batches:
+            kept = [c for c in batch.schema.names if c != "found"]
+            for i, row in enumerate(_rows([batch])):
+                ids = find(row, *shared.value)
+                if "found" in row:
+                    ids = np.maximum(ids, np.frombuffer(row["found"], np.int64))
+                if last:
+                    yield _renamed(row, ids)
+                else:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in kept), pa.array([ids.tobytes()], pa.binary())], names=[*kept, "found"])
 
     return run
 
@@ -337,6 +346,21 @@ class _Miner:
         finally:
             self.spark.conf.set(key, before)
 
+    def renamed(self, blocks: DataFrame, names: DataFrame, n: int, key: list[str]) -> DataFrame:
+        """The blocks at their next level, by as many broadcasts as the ``n`` names take."""
+        parts = -(-n // self.names_broadcast)
+        schema = T.StructType([*blocks.schema.fields, T.StructField("found", T.BinaryType())])
+        for p in range(parts):
+            own = names.filter((F.col("id") >= p * n // parts) & (F.col("id") < (p + 1) * n // parts))
+            got = own.select(*key, "id").toArrow().combine_chunks()
+            first, second = (got.column(c).combine_chunks() for c in key)
+            ids = got.column("id").to_numpy()
+            found, find = ((_keys(first, second), ids), _ids_of_words) if key[0] == "lang" else (_sorted_pairs(first.to_numpy(), second.to_numpy(), ids), _ids_of_pairs)
+            shared, last = self.spark.sparkContext.broadcast(found), p + 1 == parts
+            blocks = self.block_table(blocks.mapInArrow(_by_broadcast(shared, find, last), _PAIRS if last else schema))
+            shared.unpersist()
+        return blocks
+
     def level(self, blocks: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
         """(names of the blocks' keys, the blocks at their next level in these names)."""
         words = key[0] == "lang"
@@ -351,13 +375,8 @@ class _Miner:
             counted = dealt.groupBy("part").applyInArrow(_add_pairs(self.min_count), "left long, right long, a long")
         names = self.numbered(counted)
         n = names.count()
-        if 0 < n <= self.names_broadcast:
-            got = names.select(*key, "id").toArrow().combine_chunks()
-            first, second = (got.column(c).combine_chunks() for c in key)
-            ids = got.column("id").to_numpy()
-            shared = (_keys(first, second), ids) if words else _sorted_pairs(first.to_numpy(), second.to_numpy(), ids)
-            rename = (_words_by_broadcast if words else _pairs_by_broadcast)(self.spark.sparkContext.broadcast(shared))
-            return names, self.block_table(blocks.select("block", "codes", "links", *keyed).mapInArrow(rename, _PAIRS))
+        if 0 < n <= MOST_PARTS * self.names_broadcast:
+            return names, self.renamed(blocks.select("block", "codes", "links", *keyed), names, n, key)
         code, kind = (_code_words, "lang string, word string") if words else (_code_pairs, "left long, right long")
         coded = blocks.select("block", *keyed).mapInArrow(code, f"block long, code long, {kind}")
         found = C.write_table(coded.join(names, key).select("block", "code", "id"))

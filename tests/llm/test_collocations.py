@@ -60,6 +60,15 @@ def test_against_brute_force(spark, options):
     assert sorted(map(tuple, got.collect())) == brute(rows, **own)
 
 
+def test_names_of_several_broadcasts_are_not_joined(spark, monkeypatch):
+    rows = corpus(seed=5, n=100)
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    monkeypatch.setattr(collocations, "_code_words", None)
+    monkeypatch.setattr(collocations, "_code_pairs", None)
+    got = collocations.mine(d, min_count=3, block_words=4000, names_broadcast=200)
+    assert sorted(map(tuple, got.collect())) == brute(rows, min_count=3)
+
+
 def test_equal_hashes_are_told_apart(spark, monkeypatch):
     whole = collocations.C.word_hashes
     words = "a b twentyfourcharactersword1 d e a b twentyfourcharactersword2 d e"
